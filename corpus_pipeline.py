@@ -1,15 +1,56 @@
-"""The corpus pipeline; its stages follow with their operators."""
+"""The corpus pipeline: toxic and poor documents go, one document of each near-duplicate group stays, the rest is packed.
+
+Each stage works on all rows its predecessor kept and returns the columns of documents, but for the last, which returns the pieces of the packed
+sequences with their ids. Null and empty texts are no toxic passages, are as good as their neighbours' votes say, and have no duplicates;
+rows that repeat a document are duplicates of each other; an empty table stays empty through all stages.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamspark.llm import minhash_dedup, packing, quality_knn, toxicity
+from loamspark.llm.queries import learnable
+from loamspark.llm.shared import shared_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.7 by the segment model of ``labels.toxic``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels.where(learnable(3, 1))))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.3 or more by the neighbours' votes from ``labels.quality``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_knn.keep_good(docs, quality_knn.fit(docs, labels.where(learnable(5, 0))))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash_dedup.keep_first(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``."""
+    pieces = packing.pack(docs)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_duplicates", drop_near_duplicates), ("packing", pack)]
 
-STAGES: list = []
+#: Models, signatures and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages from ``documents``, each written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -296,3 +296,20 @@ def dedup(docs: DataFrame) -> DataFrame:
     out = narrow.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``dedup`` keeps: one document of each group.
+
+    Of rows that repeat an id one stays, its sets alike or not; an id stays if any of its rows is kept. Rows without id stay.
+    """
+    key = "__loamspark_id"
+    found = dedup(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    found = written(found, "kept")
+    ids = found.where("not kept").select(key)
+    own = F.col("doc_id").cast("long") == F.col(key)
+    out = docs.join(ids, own, "left_anti")
+    twice = found.where("kept and rows > 1").select(key)
+    if not twice.isEmpty():
+        out = out.join(twice, own, "left_anti").unionAll(out.join(twice, own, "left_semi").dropDuplicates(["doc_id"]))
+    return out

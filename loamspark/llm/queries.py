@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash_dedup, packing, quality_knn, sharding, token_files, toxicity, url_filter
+from . import byte_bpe, embedding_dedup, hilbert_ann, minhash_dedup, packing, quality_knn, sharding, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,19 @@ def _remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % divisor
 
 
+def learnable(divisor: int, held_out: int) -> Column:
+    """Rows whose labels may be learnt from."""
+    return _remainder(divisor) != held_out
+
+
+def op1_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return hilbert_ann.search(table, table.where("vec_id % 100 = 0"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(_remainder(3) != 1)))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(learnable(3, 1))))
     return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
@@ -42,9 +52,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    scored = quality_knn.score(docs, quality_knn.fit(docs, labels.where(_remainder(5) != 0)))
+    scored = quality_knn.score(docs, quality_knn.fit(docs, labels.where(learnable(5, 0))))
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -57,7 +71,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_sharding, op4_byte_bpe, op5_minhash_dedup, op6_token_files, op8_quality_knn, op9_packing, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_ann, op2_toxicity, op3_sharding, op4_byte_bpe, op5_minhash_dedup, op6_token_files, op7_embedding_dedup, op8_quality_knn, op9_packing, op10_url_filter)}
 
 OP10_SQL = r"""
 WITH parts AS (
