@@ -158,8 +158,8 @@ def _edges(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Re
 
 
 def _parts(df: DataFrame, id_: str) -> DataFrame:
-    """``df`` with ``part``: rows of ``k`` parts are copied so that every pair of rows meets in one part; k is 1 or null for the rest."""
-    k = F.greatest(F.coalesce("k", F.lit(1)), F.lit(1)).cast("int")
+    """``df`` with ``part``: rows of ``k`` parts are copied so that every pair of rows meets in one part."""
+    k = F.col("k")
     own = F.pmod(F.xxhash64(id_, F.lit(5)), k).cast("int")
     code = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.least(j, own).cast("long") * k + F.greatest(j, own))
     return df.withColumn("part", F.explode(code)).drop("k")
@@ -201,11 +201,12 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     large = keyed.where("pmod(xxhash64(id), 16) = 0").groupBy("key").count().where(F.col("count") * 16 > BUCKET_ROWS)
     large = written(large.select("key", F.ceil(F.col("count") * 16 / BUCKET_ROWS).cast("int").alias("k")), "large")
     known = large.count()
+    rows = keyed.withColumn("part", F.lit(0).cast("long"))
     if known:
-        keyed = keyed.join(F.broadcast(large) if known <= BROADCAST_KEYS else large, "key", "left")
-    else:
-        keyed = keyed.withColumn("k", F.lit(1))
-    ordered = _parts(keyed, "id").repartition("key", "part").sortWithinPartitions("key", "part")
+        # Only the rows of large buckets are copied to parts.
+        large = F.broadcast(large) if known <= BROADCAST_KEYS else large
+        rows = rows.join(large, "key", "left_anti").unionByName(_parts(keyed.join(large, "key"), "id"))
+    ordered = rows.repartition("key", "part").sortWithinPartitions("key", "part")
     return ordered.mapInArrow(compare, "a long, b long")
 
 

@@ -50,10 +50,10 @@ def discard(df: DataFrame) -> None:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of ``edges``; a component is named by its smallest node.
 
-    Each round maps every node to the smallest of itself and its neighbours, jumps that pointer
-    once, and contracts the edges by it; the rows are aggregated before each shuffle, so a hub with
-    very many neighbours costs no more than its rows. Loops and null ends are ignored. Rounds grow
-    with the logarithm of a component's diameter. Nothing but row counts reaches the driver.
+    Each round maps every node to the smallest of itself and its neighbours, doubles that pointer
+    until it ends at a root, and contracts the edges by it, so half the nodes at least go; the rows are aggregated before each shuffle, so a hub with
+    very many neighbours costs no more than its rows. Loops and null ends are ignored. Rounds and
+    jumps grow with the logarithm of a component's size. Nothing but row counts reaches the driver.
     """
     e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct()
     e = written(e, "edges")
@@ -62,9 +62,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends = e.select(F.col("lo").alias("node"), F.col("hi").alias("near")).unionAll(e.select(F.col("hi").alias("node"), F.col("lo").alias("near")))
         p = ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("parent"))
         p = written(p, "parents")
-        up = p.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        jumped = written(p.join(up, "parent").select("node", F.col("above").alias("parent")), "parents")
-        discard(p)
+        while True:
+            up = p.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+            jumped = written(p.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "parents")
+            discard(p)
+            p = jumped
+            if p.where("moved").isEmpty():
+                break
         lo = jumped.select(F.col("node").alias("lo"), F.col("parent").alias("x"))
         hi = jumped.select(F.col("node").alias("hi"), F.col("parent").alias("y"))
         nxt = e.join(lo, "lo").join(hi, "hi").select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("lo < hi").distinct()
