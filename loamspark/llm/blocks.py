@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,19 @@ NOT_SPACE[[0x20, 9, 10, 11, 12, 13]] = False
 ALNUM = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 
 
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _malloc_trim = None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; workers live on between tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in row ranges of at most ``limit`` text bytes, one row at least."""
     n = batch.num_rows
@@ -33,6 +47,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+    trim()
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

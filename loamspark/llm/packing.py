@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import blocks, piecewise
 
 CAPACITY = 2048
-#: Padding that a full bin of a class may keep, of 2048; pieces that would leave more are cut.
+#: Padding that a full bin of a class may keep, of 2048; pieces that would leave more are cut. (A cut piece may leave up to the capacity's square root.)
 SLACK = 16
 
 
