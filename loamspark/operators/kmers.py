@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 from loamspark.functions import dna
 from loamspark.functions.frames import sql
 
+#: K-mers of a piece that a sequence is cut into.
+PIECE = 256
 
-def hashes(sequences: DataFrame, k: int, bases: str = "^[ACGT]+$") -> DataFrame:
+
+def hashes(sequences: DataFrame, k: int, bases: str = "ACGT") -> DataFrame:
     """``id, pos, hash`` of every valid canonical k-mer."""
     if k < 1:
         raise ValueError("k must be 1 or more")
-    # The sequence is a column before it is windowed, so what it is made by runs once a sequence, not once a k-mer.
+    # Sequences are cut into overlapping pieces first: a substring walks from its string's start, and every k-mer row carries the
+    # string that it is cut from, so both would grow with the square of a long sequence.
     rows = sequences.select("id", F.upper("sequence").alias("s"))
-    at = rows.select("id", "s", F.explode(F.when(F.length("s") >= k, F.sequence(F.lit(0), F.length("s") - k))).alias("pos"))
-    windows = at.select("id", "pos", F.substring(F.col("s"), F.col("pos") + 1, F.lit(k)).alias("kmer")).where(F.col("kmer").rlike(bases))
+    cut = rows.select("id", "s", F.explode(F.when(F.length("s") >= k, F.sequence(F.lit(0), F.length("s") - k, F.lit(PIECE)))).alias("at"))
+    pieces = cut.select("id", "at", F.substring(F.col("s"), F.col("at") + 1, F.lit(PIECE + k - 1)).alias("piece"))
+    at = pieces.select("id", "at", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - k)).alias("i"))
+    windows = at.select("id", (F.col("at") + F.col("i")).alias("pos"), F.substring(F.col("piece"), F.col("i") + 1, F.lit(k)).alias("kmer")).where(dna.valid(F.col("kmer"), bases))
     return windows.select("id", "pos", dna.hash_hex(dna.canonical(F.col("kmer"))).alias("hash"))
 
 
