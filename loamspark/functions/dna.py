@@ -44,3 +44,7 @@ def below(scale: float) -> str:
     if not 0 < scale <= 1:
         raise ValueError("scale must be over 0 and at most 1")
     return format(int((2**64 - 1) * scale), "016x")
+
+
+def revcomp_text(seq: str) -> str:
+    return seq.upper().translate(str.maketrans("ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN"))[::-1]

@@ -129,3 +129,35 @@ def mean_quality(reads: DataFrame) -> DataFrame:
 def auto_scale(mean_length: float, k: int, scale: float = 0.001) -> float:
     """A larger scale for short genomes, so that a sketch keeps some five k-mers."""
     return scale if mean_length >= 1_000_000 else min(1.0, max(scale, 5 / max(1.0, mean_length - k + 1)))
+
+
+# The bases that each IUPAC code stands for.
+IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
+
+
+def primer_hits(sequences: DataFrame, primer: str, mismatches: int = 0) -> DataFrame:
+    """``id, pos, mismatches`` of every window that the primer fits, by IUPAC codes, with at most so many mismatches."""
+    n = len(primer)
+    rows = sequences.select("id", F.upper("sequence").alias("s"))
+    cut = rows.select("id", "s", F.explode(F.when(F.length("s") >= n, F.sequence(F.lit(0), F.length("s") - n, F.lit(PIECE)))).alias("at"))
+    pieces = cut.select("id", "at", F.substring(F.col("s"), F.col("at") + 1, F.lit(PIECE + n - 1)).alias("piece"))
+    at = pieces.select("id", "at", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - n)).alias("i"))
+    window = at.select("id", (F.col("at") + F.col("i")).alias("pos"), F.substring(F.col("piece"), F.col("i") + 1, F.lit(n)).alias("w"))
+    missed = sum((F.when(F.substring("w", i + 1, 1).isin(*IUPAC[c]), 0).otherwise(1) for i, c in enumerate(primer.upper())), F.lit(0))
+    return window.withColumn("mismatches", missed).where(F.col("mismatches") <= mismatches).select("id", "pos", "mismatches")
+
+
+def amplicons(sequences: DataFrame, forward: str, reverse: str, mismatches: int = 2, shortest: int = 50, longest: int = 2000) -> DataFrame:
+    """``id, start, end, mismatches``: the best stretch between the primers of each sequence, its reverse complement only if the sequence has none."""
+    back = sequences.select("id", dna.revcomp(F.col("sequence")).alias("sequence"))
+    found = None
+    for strand, rows in (("+", sequences), ("-", back)):
+        f = primer_hits(rows, forward, mismatches)
+        r = primer_hits(rows, dna.revcomp_text(reverse), mismatches)
+        pairs = sql(
+            """SELECT f.id, f.pos AS start, r.pos + {n} AS `end`, f.mismatches + r.mismatches AS mismatches FROM {f} f JOIN {r} r ON r.id = f.id AND r.pos + {n} - f.pos BETWEEN {a} AND {b}""",
+            f=f, r=r, n=len(reverse), a=shortest, b=longest,
+        )
+        pairs = pairs.withColumn("strand", F.lit(strand))
+        found = pairs if found is None else found.unionAll(pairs)
+    return sql("SELECT id, start, `end`, mismatches, strand FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY strand, mismatches, start, `end`) AS rn FROM {p}) WHERE rn = 1", p=found)

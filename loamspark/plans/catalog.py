@@ -18,7 +18,10 @@ from loamspark.operators import evaluation as ev
 from loamspark.operators import functional as fu
 from loamspark.operators import kmers as km
 from loamspark.operators import mixture as mx
+from loamspark.operators import joint as jt
 from loamspark.operators import network as nw
+from loamspark.operators import ordination as od
+from loamspark.operators import simulate as si
 from loamspark.plans import fixtures as fx
 from loamspark.plans.fixtures import views
 
@@ -55,8 +58,8 @@ query("fil_04_subset_samples", f"{views('tiny')} SELECT * FROM tiny WHERE sample
 query("fil_05_groups", f"{views('meta')} SELECT grp, count(*) AS n, string_agg(CAST(sample_id AS VARCHAR), ';' ORDER BY CAST(sample_id AS VARCHAR)) AS samples FROM meta GROUP BY 1")(lambda s, d: co.sample_groups(fx.meta(s, d), "grp"))
 query(
     "fil_16_genome_ids",
-    "SELECT doc_id, regexp_replace(regexp_replace(replace(trim(source || '.k' || doc_id || '_k141_' || n_chars), '.', '_'), '_k[0-9]+_[0-9]+$', ''), '_[0-9]+$', '') AS genome FROM documents",
-)(lambda s, d: fx.table(s, d, "documents").selectExpr("doc_id", "regexp_replace(regexp_replace(replace(trim(concat(source, '.k', doc_id, '_k141_', n_chars)), '.', '_'), '_k[0-9]+_[0-9]+$', ''), '_[0-9]+$', '') AS genome"))
+    "SELECT doc_id, replace(trim(regexp_replace(regexp_replace(source || '.k' || doc_id || '_k141_' || n_chars, '_k[0-9]+_[0-9]+$', ''), '_[0-9]+$', '')), '.', '_') AS genome FROM documents",
+)(lambda s, d: fx.table(s, d, "documents").selectExpr("doc_id", "replace(trim(regexp_replace(regexp_replace(concat(source, '.k', doc_id, '_k141_', n_chars), '_k[0-9]+_[0-9]+$', ''), '_[0-9]+$', '')), '.', '_') AS genome"))
 query("fil_07_min_length", f"{views('reads')} SELECT id, length(sequence) AS n FROM reads WHERE length(sequence) >= 50")(lambda s, d: fx.reads(s, d).where(F.length("sequence") >= 50).select("id", F.length("sequence").cast("long").alias("n")))
 query(
     "fil_12_significance",
@@ -200,6 +203,12 @@ SELECT a, b, e - avg(e) OVER (PARTITION BY a) - avg(e) OVER (PARTITION BY b) + a
     "g",
 )(lambda s, d: ds.gower_centred(ds.bray_curtis(fx.tiny(s, d))))
 
+query("st_07_rarefaction")(lambda s, d: od.rarefaction(fx.ab(s, d), depths=8, draws=5))
+query("st_07_expected_richness", f"{views('ab')}, t AS (SELECT sample_id, sum(value) AS t FROM ab GROUP BY 1) SELECT sample_id, sum(1 - power(1 - value / t, 100)) AS richness FROM ab JOIN t USING (sample_id) GROUP BY 1", "richness")(lambda s, d: od.expected_richness(fx.ab(s, d), 100))
+query("st_08_pcoa")(lambda s, d: od.pcoa(ds.bray_curtis(fx.tiny(s, d)), 3))
+query("st_09_nmds")(lambda s, d: od.nmds(ds.bray_curtis(fx.tiny(s, d)), 2))
+query("st_13_permdisp")(lambda s, d: od.permdisp(ds.bray_curtis(fx.tiny(s, d)), fx.tmeta(s, d).select("sample_id", "grp"), 99))
+
 # Functions
 
 query("agg_13_ko_presence", f"{views('genes')} SELECT DISTINCT ko_id AS function_id, feature_id, 1.0 AS value FROM genes", "value")(lambda s, d: fu.build("ko", fx.genes(s, d)))
@@ -427,7 +436,7 @@ SELECT species, greatest(2 * sum(ll - CASE WHEN rest > 0 THEN ln(rest / (1 - w))
 query("em_01_mixture_fit")(lambda s, d: mx.fit(fx.cand(s, d).cache(), max_iter=60)[0])
 _HIT = "hit AS (SELECT read_id, marker, species FROM cand WHERE containment >= 0.7)"
 query("agg_24_report_counts", f"{views('cand')}, {_HIT} SELECT species, count(*) AS reads, 100.0 * count(*) / (SELECT count(DISTINCT read_id) FROM hit) AS read_pct FROM hit GROUP BY 1", "read_pct")(lambda s, d: mx.report_counts(fx.cand(s, d).where("containment >= 0.7")).withColumn("read_pct", F.col("read_pct").cast("double")))
-query("agg_25_marker_agreement", f"{views('cand')}, {_HIT}, t AS (SELECT marker, species FROM (SELECT marker, species, row_number() OVER (PARTITION BY marker ORDER BY count(*) DESC, species) AS rn FROM hit GROUP BY ALL) WHERE rn = 1) SELECT avg(CASE WHEN a.species = b.species THEN 1.0 ELSE 0.0 END) AS agreement FROM t a JOIN t b ON a.marker < b.marker", "agreement")(lambda s, d: mx.marker_agreement(fx.cand(s, d).where("containment >= 0.7")))
+query("agg_25_marker_agreement", f"{views('cand')}, {_HIT}, hc AS (SELECT marker, species, count(*) AS n FROM hit GROUP BY ALL), t AS (SELECT marker, species FROM (SELECT marker, species, row_number() OVER (PARTITION BY marker ORDER BY n DESC, species) AS rn FROM hc) WHERE rn = 1) SELECT avg(CASE WHEN a.species = b.species THEN 1.0 ELSE 0.0 END) AS agreement FROM t a JOIN t b ON a.marker < b.marker", "agreement")(lambda s, d: mx.marker_agreement(fx.cand(s, d).where("containment >= 0.7")))
 query(
     "agg_26_verdict",
     f"""{_unrolled(2)} SELECT CASE WHEN bool_or(species = 1 AND w >= 0.001) THEN 'FAIL' ELSE 'PASS' END AS verdict FROM p2""",
@@ -446,6 +455,16 @@ SELECT (SELECT avg(mu) FROM dm) AS d_mu, greatest((SELECT sqrt(avg(v)) FROM dm),
 )
 query("agg_27_fragment_rate", f"{views('seqs')} SELECT 1 / avg(length(sequence)) AS rate FROM seqs", "rate")(lambda s, d: mx.fragment_rate(fx.seqs(s, d).select(F.length("sequence").alias("length"))))
 
+query("em_16_joint_fit")(lambda s, d: jt.fit(_joint(s, d)))
+query("sim_01_reads")(lambda s, d: si.reads(fx.seqs(s, d).where(F.length("sequence") >= 200).select("id", "sequence"), 50, 150, 0.01))
+query("km_27_primer_hits", f"{views('seqs')}, w AS (SELECT id, pos, substr(sequence, CAST(pos + 1 AS INTEGER), 6) AS x FROM (SELECT id, sequence, unnest(range(0, greatest(length(sequence) - 5, 0))) AS pos FROM seqs)) SELECT id, count(*) AS n FROM w WHERE regexp_matches(x, '^[AG]C[ACGT]TA[CT]$') GROUP BY 1")(lambda s, d: km.primer_hits(fx.seqs(s, d), "RCNTAY", 0).groupBy("id").agg(F.count("*").alias("n")))
+
+
+def _joint(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of reads among strains, each with the gene that it would come from."""
+    return fx.cand(s, d).selectExpr("read_id", "species AS strain", "marker AS gene", "containment")
+
+
 # Evaluation
 
 query("agg_29_regression", f"{views('truth')} SELECT count(*) AS n, avg(abs(est_w - true_w)) AS mae, 1 - sum(power(est_w - true_w, 2)) / sum(power(true_w - (SELECT avg(true_w) FROM truth), 2)) AS r2, avg(est_w - true_w) AS bias, stddev_samp(est_w - true_w) AS sd, avg(est_w - true_w) - 1.96 * stddev_samp(est_w - true_w) AS loa_lo, avg(est_w - true_w) + 1.96 * stddev_samp(est_w - true_w) AS loa_hi FROM truth", "mae r2 bias sd loa_lo loa_hi")(lambda s, d: ev.regression(fx.truth(s, d)))
@@ -473,7 +492,7 @@ SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, count(*) FILTER (WHERE a
 query("st_24_power_law", "SELECT regr_slope(ln(l_extendedprice), ln(l_quantity)) AS slope, regr_intercept(ln(l_extendedprice), ln(l_quantity)) AS intercept FROM lineitem", "slope intercept")(lambda s, d: ev.power_law(fx.table(s, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))))
 query(
     "st_23_ellipse",
-    """WITH c AS (SELECT s_nationkey % 5 AS grp, var_samp(s_acctbal) AS a, covar_samp(s_acctbal, s_suppkey) AS b, var_samp(s_suppkey) AS d FROM supplier GROUP BY 1)
+    """WITH c AS (SELECT s_nationkey % 5 AS grp, var_samp(s_acctbal) AS a, covar_samp(s_acctbal, s_suppkey) AS b, var_samp(s_suppkey) AS d FROM supplier GROUP BY 1 HAVING count(*) > 2)
 SELECT grp, sqrt(5.991 * ((a + d) / 2 + sqrt(power((a - d) / 2, 2) + b * b))) AS major, sqrt(5.991 * greatest((a + d) / 2 - sqrt(power((a - d) / 2, 2) + b * b), 0)) AS minor, atan2((a + d) / 2 + sqrt(power((a - d) / 2, 2) + b * b) - a, b) AS angle FROM c""",
     "major minor angle",
 )(lambda s, d: ev.ellipse(fx.table(s, d, "supplier").selectExpr("s_nationkey % 5 AS grp", "s_acctbal AS x", "cast(s_suppkey AS DOUBLE) AS y"), "grp"))
