@@ -16,13 +16,19 @@ from loamspark.functions.frames import sql
 PIECE = 256
 
 
+def spread(sequences: DataFrame) -> DataFrame:
+    """Fewer partitions than cores are dealt anew: k-mers cost far more than moving their sequences. Larger inputs stay as they are."""
+    cores = sequences.sparkSession.sparkContext.defaultParallelism
+    return sequences.repartition(cores) if sequences.rdd.getNumPartitions() < cores else sequences
+
+
 def hashes(sequences: DataFrame, k: int, bases: str = "ACGT") -> DataFrame:
     """``id, pos, hash`` of every valid canonical k-mer."""
     if k < 1:
         raise ValueError("k must be 1 or more")
     # Sequences are cut into overlapping pieces first: a substring walks from its string's start, and every k-mer row carries the
     # string that it is cut from, so both would grow with the square of a long sequence.
-    rows = sequences.select("id", F.upper("sequence").alias("s"))
+    rows = spread(sequences.select("id", "sequence")).select("id", F.upper("sequence").alias("s"))
     cut = rows.select("id", "s", F.explode(F.when(F.length("s") >= k, F.sequence(F.lit(0), F.length("s") - k, F.lit(PIECE)))).alias("at"))
     pieces = cut.select("id", "at", F.substring(F.col("s"), F.col("at") + 1, F.lit(PIECE + k - 1)).alias("piece"))
     at = pieces.select("id", "at", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - k)).alias("i"))

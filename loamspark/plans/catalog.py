@@ -31,7 +31,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select([(F.round(F.col(c), 6) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select([(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) if kind == "double" or kind.startswith("decimal") else F.col(c) for c, kind in df.dtypes])
 
 
 def query(name: str, oracle: str | None = None, doubles: str = "") -> Callable[[Query], Query]:
@@ -40,7 +40,7 @@ def query(name: str, oracle: str | None = None, doubles: str = "") -> Callable[[
     def add(f: Query) -> Query:
         QUERIES[name] = lambda s, d: rounded(f(s, d))
         if oracle:
-            cols = ", ".join(f"round({c}, 6) + 0 AS {c}" for c in doubles.split())
+            cols = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0 AS {c}" for c in doubles.split())
             ORACLE_SQL[name] = f"SELECT * {f'REPLACE ({cols})' if cols else ''} FROM (\n{oracle}\n)"
         return f
 
