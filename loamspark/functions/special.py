@@ -74,12 +74,14 @@ def norm_two_sided(z: np.ndarray) -> np.ndarray:
     return _erfc(np.abs(np.asarray(z, float)) / math.sqrt(2))
 
 
-def beta_ppf(p: float, a: float, b: float) -> float:
-    """The quantile by bisection on ``betainc``."""
-    lo, hi = 0.0, 1.0
+def beta_ppf(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The quantile by bisection on ``betainc``, all elements at once."""
+    a, b = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float))
+    lo, hi = np.zeros(a.shape), np.ones(a.shape)
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if betainc(a, b, mid) < p else (lo, mid)
+        low = betainc(a, b, mid) < p
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
     return (lo + hi) / 2
 
 

@@ -1,75 +1,310 @@
 """Joint inference of strain weights and the genes that strains carry, from ``(read_id, strain, gene, containment)``.
 
-pi is a strain's weight, phi(strain, gene) the chance that it carries the gene. Reads with the same candidates are one row with a
-count, so an iteration costs distinct candidate lists, not reads.
+pi is a strain's weight, phi(strain, gene) how its reads spread over genes; a pool of mobile genes may take reads of any strain. Reads with
+the same candidates are one row with a count, so an iteration costs distinct candidate lists, not reads. Restarts, ablations and
+choices of strains are *runs*: rows of one parameter table, so that one plan an iteration serves all of them. Shares are summed in Spark; only
+the sums, a row for each run, strain and gene, come to the driver for the closed-form update.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamspark.functions import special
 from loamspark.functions.frames import sql
 
 
+#: A parameter table of more rows is joined without a broadcast.
+BROADCAST_ROWS = 500_000
+
+
+@dataclass(frozen=True)
+class Run:
+    """One fit: its strains (none given: all), its seed (none: even start), and what stays fixed."""
+
+    name: str
+    strains: tuple = ()
+    seed: int | None = None
+    fix_pi: bool = False
+    fix_phi: bool = False
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Priors: Dirichlet(alpha) on weights; Beta(a, b) on phi, or ``present`` and ``absent`` where a reference tells which."""
+
+    alpha: float = 1.0
+    beta: tuple[float, float] = (1.5, 1.5)
+    present: tuple[float, float] = (2.0, 1.01)
+    absent: tuple[float, float] = (1.01, 2.0)
+    mobile: bool = True
+    max_iter: int = 12
+    tolerance: float = 1e-6
+    least: float = 0.05
+
+
+@dataclass
+class Fit:
+    """``params(run, strain, gene, pi, phi)``, and by run: mobile weight, penalised log-likelihood, its trace and BIC. phi is not yet scaled."""
+
+    params: pd.DataFrame
+    mobile: dict[str, float]
+    ll: dict[str, float]
+    bic: dict[str, float]
+    reads: dict[str, float]
+    traces: dict[str, list[float]] = field(default_factory=dict)
+
+    @property
+    def best(self) -> str:
+        """The run with the highest likelihood; the first of equals."""
+        return max(self.ll, key=self.ll.get)
+
+    @property
+    def multimodal(self) -> bool:
+        """Runs differ by more than 10 in likelihood."""
+        return len(self.ll) > 1 and max(self.ll.values()) - min(self.ll.values()) > 10
+
+
 def profiles(candidates: DataFrame, least: float = 0.05) -> DataFrame:
-    """``profile, reads, strain, gene, c``: distinct candidate lists with their numbers of reads; a strain's best row of each read counts."""
-    best = sql("SELECT read_id, strain, gene, containment AS c FROM (SELECT *, row_number() OVER (PARTITION BY read_id, strain ORDER BY containment DESC, gene) AS rn FROM {c} WHERE containment >= {m}) WHERE rn = 1", c=candidates, m=least)
-    lists = best.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("strain", "gene", "c"))).alias("list")).groupBy("list").agg(F.count("*").alias("reads"))
+    """``profile, reads, strain, gene, c``: distinct candidate lists with their numbers of reads."""
+    kept = candidates.where(F.col("containment") >= least).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("strain", "gene", F.col("containment").alias("c")))).alias("list"))
+    lists = kept.groupBy("list").agg(F.count("*").alias("reads"))
     rows = lists.select(F.xxhash64("list").alias("profile"), "reads", F.explode("list").alias("x"))
-    return rows.select("profile", "reads", "x.strain", "x.gene", "x.c")
+    # Dealt by profile once, so that the windows of every iteration need no shuffle.
+    return rows.select("profile", "reads", "x.strain", "x.gene", "x.c").repartition("profile")
 
 
-def step(rows: DataFrame, params: DataFrame, alpha: float = 1.0, a: float = 1.5, b: float = 1.5) -> DataFrame:
-    """New ``strain, gene, pi, phi``: shares by pi phi c, then MAP updates with Dirichlet and Beta priors; phi is clipped to [0.01, 0.99]."""
+def _shares(rows: DataFrame, params: DataFrame, pools: DataFrame) -> DataFrame:
+    """Every candidate row of every run with ``own``, its strain's likelihood, ``pool``, the mobile one's, and the strain's and the profile's numbers of rows.
+
+    A strain counts once in a profile, by its likeliest row; the pool has half the mean containment, evenly over the genes.
+    """
+    return sql(
+        """WITH x AS (SELECT p.run, r.profile, r.reads, r.strain, r.gene, r.c, greatest(p.pi, 1e-300D) * greatest(r.c, 1e-300D) * greatest(coalesce(p.phi, 1D), 1e-300D) AS x FROM {r} r JOIN {p} p ON p.strain = r.strain AND p.gene <=> r.gene),
+                y AS (SELECT *, max(x) OVER (PARTITION BY run, profile, strain) AS own, count(*) OVER (PARTITION BY run, profile, strain) AS k FROM x),
+                z AS (SELECT *, sum(own / k) OVER (PARTITION BY run, profile) AS total, avg(c) OVER (PARTITION BY run, profile) AS mean, count(*) OVER (PARTITION BY run, profile) AS kk FROM y)
+           SELECT /*+ BROADCAST(m) */ z.run, z.profile, z.reads, z.strain, z.gene, z.x, z.own, z.k, z.kk, m.mobile * 0.5D * z.mean / greatest(m.genes, 1) AS pool, z.total + m.mobile * 0.5D * z.mean / greatest(m.genes, 1) AS total FROM z JOIN {m} m ON m.run = z.run""",
+        r=rows, p=params, m=pools,
+    )
+
+
+def expected(rows: DataFrame, params: DataFrame, pools: DataFrame) -> DataFrame:
+    """``run, strain, gene, g, s, m, ll, reads``: sums of shares. g counts a strain's share at each of its rows' genes; s, the strain's shares, m, the
+    pool's, ll and reads add up to their totals over the rows."""
     return sql(
-        """WITH x AS (SELECT r.profile, r.reads, r.strain, r.gene, p.pi * coalesce(p.phi, 0.5D) * r.c AS x FROM {r} r JOIN {p} p ON p.strain = r.strain AND p.gene <=> r.gene),
-                g AS (SELECT strain, gene, reads * x / sum(x) OVER (PARTITION BY profile) AS g FROM x),
-                n AS (SELECT strain, gene, sum(g) AS g FROM g GROUP BY ALL),
-                s AS (SELECT strain, sum(g) AS t, coalesce(sum(g) FILTER (WHERE gene IS NOT NULL), 0D) AS genic FROM n GROUP BY strain),
-                w AS (SELECT strain, genic, greatest(t + {alpha} - 1, 1e-10D) / sum(greatest(t + {alpha} - 1, 1e-10D)) OVER () AS pi FROM s)
-           SELECT p.strain, p.gene, coalesce(w.pi, 1e-10D) AS pi, CASE WHEN p.gene IS NOT NULL THEN least(greatest((coalesce(n.g, 0D) + {a} - 1) / (coalesce(w.genic, 0D) + {a} + {b} - 2), 0.01D), 0.99D) END AS phi
-           FROM {p} p LEFT JOIN w ON w.strain = p.strain LEFT JOIN n ON n.strain = p.strain AND n.gene <=> p.gene""",
-        r=rows, p=params, alpha=alpha, a=a, b=b,
+        """SELECT run, strain, gene, sum(reads * own / total) AS g, sum(reads * own / total / k) AS s, sum(reads * pool / total / kk) AS m, sum(reads * ln(total) / kk) AS ll, sum(reads / kk) AS reads
+           FROM {x} GROUP BY run, strain, gene""",
+        x=_shares(rows, params, pools),
     )
 
 
-def log_likelihood(rows: DataFrame, params: DataFrame) -> float:
-    found = sql("SELECT sum(reads * ln(t)) AS ll FROM (SELECT r.profile, max(r.reads) AS reads, sum(p.pi * coalesce(p.phi, 0.5D) * r.c) AS t FROM {r} r JOIN {p} p ON p.strain = r.strain AND p.gene <=> r.gene GROUP BY r.profile)", r=rows, p=params)
-    return found.first()["ll"] or 0.0
+def maximise(params: pd.DataFrame, mobile: dict[str, float], sums: pd.DataFrame, runs: list[Run], use: Settings) -> tuple[pd.DataFrame, dict[str, float]]:
+    """New weights and phi of every run: MAP under the priors, phi from the reads that hit any gene, within 1e-6 of 0 and 1."""
+    out, pools = [], {}
+    joined = params.merge(sums[["run", "strain", "gene", "g", "s", "m"]], on=["run", "strain", "gene"], how="left").fillna({"g": 0.0, "s": 0.0, "m": 0.0})
+    for run in runs:
+        own = joined[joined["run"] == run.name].copy()
+        by = own.groupby("strain")
+        raw = np.maximum(by["s"].sum() + use.alpha - 1, 1e-10)
+        pool = max(own["m"].sum() + use.alpha - 1, 1e-10) if use.mobile else 0.0
+        whole = raw.sum() + pool
+        if run.fix_pi:
+            raw, pool, whole = raw * 0 + 1.0, float(use.mobile), len(raw) + float(use.mobile)
+        own["pi"] = own["strain"].map(raw / whole)
+        pools[run.name] = float(pool / whole) if whole else 0.0
+        if not run.fix_phi:
+            genic = own["strain"].map(own[own["gene"].notna()].groupby("strain")["g"].sum()).fillna(0.0)
+            top = np.maximum(own["g"] + own["a"] - 1, 1e-10)
+            low = np.maximum(genic + own["a"] + own["b"] - 2, top + 1e-10)
+            own["phi"] = np.where(own["gene"].notna(), np.clip(top / low, 1e-6, 1 - 1e-6), np.nan)
+        out.append(own[params.columns])
+    return pd.concat(out, ignore_index=True) if out else params, pools
+
+
+def _prior(params: pd.DataFrame, mobile: float, use: Settings) -> float:
+    """Log-density of the priors, up to a constant, with the default Beta on every phi."""
+    pi = params.drop_duplicates("strain")["pi"].to_numpy(float)
+    phi = np.clip(params["phi"].dropna().to_numpy(float), 1e-300, 1 - 1e-16)
+    pi = np.append(pi, mobile) if use.mobile else pi
+    return float((use.alpha - 1) * np.log(pi[pi > 1e-300]).sum() + (use.beta[0] - 1) * np.log(phi).sum() + (use.beta[1] - 1) * np.log1p(-phi).sum())
+
+
+def start(cells: pd.DataFrame, runs: list[Run], use: Settings, reference: pd.DataFrame | None = None) -> tuple[pd.DataFrame, dict[str, float]]:
+    """Parameters before the first step. A run without a seed starts evenly, phi at the reference or 0.5; with one, weights come from Dirichlet(alpha + 0.5)
+    and phi from the reference give or take 0.1, or from its Beta prior."""
+    base = cells.copy()
+    if reference is not None:
+        base = base.merge(reference.rename(columns={"phi": "ref"})[["strain", "gene", "ref"]], on=["strain", "gene"], how="left")
+        base["ref"] = base["ref"].fillna(0.0)
+    else:
+        base["ref"] = np.nan
+    known = base["ref"].notna()
+    for i, column in enumerate(("a", "b")):
+        base[column] = np.where(~known, use.beta[i], np.where(base["ref"] > 0.5, use.present[i], use.absent[i]))
+    out, pools = [], {}
+    for run in runs:
+        own = base[base["strain"].isin(run.strains)].copy() if run.strains else base.copy()
+        strains = sorted(own["strain"].unique())
+        n = len(strains) + use.mobile
+        if run.seed is None:
+            pi, phi = np.full(n, 1.0 / max(n, 1)), np.where(own["ref"].notna(), own["ref"].clip(0.01, 0.99), 0.5)
+        else:
+            rng = np.random.default_rng(run.seed)
+            pi = rng.dirichlet(np.full(n, use.alpha + 0.5)) if n else np.zeros(0)
+            phi = np.where(own["ref"].notna(), np.clip(own["ref"] + rng.uniform(-0.1, 0.1, len(own)), 0.01, 0.99), rng.beta(*use.beta, len(own)))
+        own.insert(0, "run", run.name)
+        own["pi"] = own["strain"].map(dict(zip(strains, pi, strict=False)))
+        own["phi"] = np.where(own["gene"].notna(), phi, np.nan)
+        pools[run.name] = float(pi[-1]) if use.mobile and n else 0.0
+        out.append(own.drop(columns="ref"))
+    return pd.concat(out, ignore_index=True) if out else base.assign(run="", pi=0.0, phi=0.0), pools
+
+
+def tables(rows: DataFrame, params: pd.DataFrame, mobile: dict[str, float], genes: int) -> tuple[DataFrame, DataFrame]:
+    spark, kinds = rows.sparkSession, {f.name: f.dataType.simpleString() for f in rows.schema}
+    clean = [(r.run, r.strain, None if pd.isna(r.gene) else r.gene, float(r.pi), None if pd.isna(r.phi) else float(r.phi)) for r in params.itertuples()]
+    params = spark.createDataFrame(clean, f"run string, strain {kinds['strain']}, gene {kinds['gene']}, pi double, phi double")
+    return (
+        F.broadcast(params) if len(clean) <= BROADCAST_ROWS else params,
+        spark.createDataFrame([(k, v, genes) for k, v in mobile.items()], "run string, mobile double, genes int"),
+    )
 
 
-def fit(candidates: DataFrame, max_iter: int = 12, tolerance: float = 1e-6, least: float = 0.05) -> DataFrame:
-    """``strain, gene, pi, phi, lo, hi, ll, bic`` after convergence, checked before each update; lo and hi bound pi by its diagonal information.
+def cells(rows: DataFrame) -> pd.DataFrame:
+    """Every strain with every gene of the candidates, and with none where some rows have none."""
+    found = rows.select("strain", "gene").distinct().collect()
+    strains, genes = sorted({r["strain"] for r in found}), sorted({r["gene"] for r in found if r["gene"] is not None})
+    return pd.DataFrame([(s, g) for s in strains for g in [*genes, *([None] if any(r["gene"] is None for r in found) else [])]], columns=["strain", "gene"], dtype=object)
 
-    The parameter table, strains times genes, goes through the driver after each step. Without candidates the result is empty.
+
+def fit_runs(rows: DataFrame, runs: list[Run], use: Settings | None = None, reference: pd.DataFrame | None = None) -> Fit:
+    """All runs over cached ``profiles`` until each has converged, which is asked before each update.
+
+    A run stops changing once converged. Without candidates a run has no likelihood (minus infinity) and an infinite BIC.
     """
-    spark = candidates.sparkSession
-    rows = profiles(candidates, least).cache()
-    params = sql("SELECT s.strain, g.gene, 1D / (SELECT count(DISTINCT strain) FROM {r}) AS pi, CASE WHEN g.gene IS NOT NULL THEN 0.5D END AS phi FROM (SELECT DISTINCT strain FROM {r}) s CROSS JOIN (SELECT DISTINCT gene FROM {r}) g", r=rows)
-    schema, last, ll = params.schema, None, 0.0
-    params = spark.createDataFrame(params.collect(), schema)
-    for _ in range(max_iter):
-        ll = log_likelihood(rows, params)
-        if last is not None and abs(ll - last) <= tolerance * abs(last):
+    use = use or Settings()
+    grid = cells(rows)
+    genes = int(grid["gene"].nunique())
+    params, mobile = start(grid, runs, use, reference)
+    fit = Fit(params, mobile, {r.name: -math.inf for r in runs}, {r.name: math.inf for r in runs}, {r.name: 0.0 for r in runs}, {r.name: [] for r in runs})
+    active = [r for r in runs if (params["run"] == r.name).any()]
+    for _ in range(use.max_iter):
+        if not active:
             break
-        last = ll
-        params = spark.createDataFrame(step(rows, params).collect(), schema)
-    n = rows.select("profile", "reads").distinct().agg(F.sum("reads")).first()[0] or 0
-    cells = params.agg(F.count_distinct("strain").alias("k"), F.count("gene").alias("kg")).first()
-    bic = -2 * ll + (max(cells["k"] - 1, 0) + cells["kg"]) * math.log(max(n, 1))
+        names = {r.name for r in active}
+        given, pools = tables(rows, params[params["run"].isin(names)], {k: v for k, v in mobile.items() if k in names}, genes)
+        sums = pd.DataFrame([tuple(r) for r in expected(rows, given, pools).collect()], columns=["run", "strain", "gene", "g", "s", "m", "ll", "reads"], dtype=object)
+        sums = sums.astype({c: float for c in ("g", "s", "m", "ll", "reads")})
+        going = []
+        for run in active:
+            own = sums[sums["run"] == run.name]
+            if own.empty:
+                continue
+            fit.reads[run.name] = float(own["reads"].sum())
+            fit.ll[run.name] = float(own["ll"].sum()) + _prior(params[params["run"] == run.name], mobile[run.name], use)
+            trace = fit.traces[run.name]
+            trace.append(fit.ll[run.name])
+            if len(trace) < 2 or abs(trace[-1] - trace[-2]) >= use.tolerance * (abs(trace[-2]) or 1.0):
+                going.append(run)
+        new, pools_new = maximise(params, mobile, sums, going, use)
+        if going:
+            params = pd.concat([params[~params["run"].isin([r.name for r in going])], new], ignore_index=True)
+            mobile = mobile | pools_new
+        active = going
+    fit.params, fit.mobile = params, mobile
+    for run in runs:
+        if fit.reads[run.name]:
+            k = params[params["run"] == run.name]["strain"].nunique()
+            fit.bic[run.name] = -2 * fit.ll[run.name] + (k - 1 + k * genes + use.mobile) * math.log(max(fit.reads[run.name], 1))
+    return fit
+
+
+def restarts(n: int, seed: int = 42) -> list[Run]:
+    """An even start and n - 1 random ones."""
+    return [Run("0")] + [Run(str(i), seed=seed + i) for i in range(1, n)]
+
+
+#: A fit with deterministic starts for each question of the ablation.
+ABLATIONS = [Run("joint"), Run("strain_only", fix_phi=True), Run("function_only", fix_pi=True)]
+
+
+def presence(params: pd.DataFrame) -> pd.DataFrame:
+    """phi over the median of a strain's values above 1e-4, so that 0.5 tells presence; within 1e-6 of 0 and 1."""
+    out = params.copy()
+    positive = out["phi"].where(out["phi"] > 1e-4)
+    middle = positive.groupby([out["run"], out["strain"]]).transform("median")
+    out["phi"] = (out["phi"] / middle.where(middle > 1e-6, 1.0).fillna(1.0)).clip(1e-6, 1 - 1e-6)
+    return out
+
+
+def fit(candidates: DataFrame, n: int = 3, use: Settings | None = None, reference: pd.DataFrame | None = None) -> DataFrame:
+    """``strain, gene, pi, phi, lo, hi, phi_lo, phi_hi, mobile, ll, bic`` of the best restart.
+
+    lo and hi bound pi by its diagonal information n_k / pi^2 + 1e-6; phi's bounds are quantiles of its Beta posterior. Without candidates it is empty.
+    """
+    use = use or Settings()
+    spark = candidates.sparkSession
+    rows = profiles(candidates, use.least).cache()
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"strain {kinds['strain']}, gene {kinds['gene']}, pi double, phi double, lo double, hi double, phi_lo double, phi_hi double, mobile double, ll double, bic double"
+    done = fit_runs(rows, restarts(n), use, reference)
+    rows.unpersist()
+    best = done.best
+    own = presence(done.params[done.params["run"] == best])
+    count, pi = done.reads[best], own["pi"].to_numpy(float)
+    se = 1 / np.sqrt(count * pi / np.maximum(pi, 1e-10) ** 2 + 1e-6)
+    own["lo"], own["hi"] = np.maximum(pi - 1.96 * se, 0.0), np.minimum(pi + 1.96 * se, 1.0)
+    phi = own["phi"].fillna(0.5).to_numpy(float)
+    a, b = phi * count * pi + own["a"].to_numpy(float), (1 - phi) * count * pi + own["b"].to_numpy(float)
+    own["phi_lo"], own["phi_hi"] = special.beta_ppf(0.025, a, b), special.beta_ppf(0.975, a, b)
+    named = own["phi"].notna()
+    values = own[["strain", "gene", "pi", "phi", "lo", "hi", "phi_lo", "phi_hi"]].itertuples(index=False)
+    out = [(r[0], r[1] if n else None, r[2], r[3] if n else None, r[4], r[5], r[6] if n else None, r[7] if n else None, done.mobile[best], done.ll[best], done.bic[best]) for r, n in zip(values, named, strict=True)]
+    return spark.createDataFrame(out, schema)
+
+
+def select_strains(candidates: DataFrame, use: Settings | None = None, most: int | None = None) -> DataFrame:
+    """``k, ll, bic, chosen``: the k strains with most containment, for every k, fitted at once; the smallest BIC is chosen."""
+    use = use or Settings()
+    rows = profiles(candidates, use.least).cache()
+    order = [r["strain"] for r in rows.groupBy("strain").agg(F.sum(F.col("reads") * F.col("c")).alias("x")).orderBy(F.desc("x"), "strain").collect()][:most]
+    done = fit_runs(rows, [Run(str(k), tuple(order[:k])) for k in range(1, len(order) + 1)], use)
+    rows.unpersist()
+    least = min(done.bic.values(), default=math.inf)
+    return candidates.sparkSession.createDataFrame([(int(k), done.ll[k], b, b == least) for k, b in done.bic.items()], "k int, ll double, bic double, chosen boolean")
+
+
+def ablate(candidates: DataFrame, use: Settings | None = None, reference: pd.DataFrame | None = None) -> DataFrame:
+    """``run, strain, gene, pi, phi`` of the joint fit, of one with phi fixed, and of one with even weights."""
+    use = use or Settings()
+    rows = profiles(candidates, use.least).cache()
+    done = fit_runs(rows, ABLATIONS, use, reference)
     rows.unpersist()
-    se = F.sqrt(F.lit(1.0) / (F.lit(float(n)) / F.greatest("pi", F.lit(1e-10)) + 1e-6))
-    return params.select("strain", "gene", "pi", "phi", F.greatest(F.col("pi") - 1.96 * se, F.lit(0.0)).alias("lo"), F.least(F.col("pi") + 1.96 * se, F.lit(1.0)).alias("hi"), F.lit(float(ll)).alias("ll"), F.lit(float(bic)).alias("bic"))
+    params, _ = tables(rows, presence(done.params), done.mobile, 0)
+    return params
 
 
-def assign(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Each profile's most likely strain with its probability and gene."""
+def assign(rows: DataFrame, done: Fit, genes: int) -> DataFrame:
+    """``profile, reads, strain, posterior, gene, is_mobile`` of the best run: the likeliest strain, the gene of its likeliest row, and whether the pool is likelier."""
+    best = done.best
+    params, pools = tables(rows, done.params[done.params["run"] == best], {best: done.mobile[best]}, genes)
     return sql(
-        """WITH x AS (SELECT r.profile, r.strain, r.gene, p.pi * coalesce(p.phi, 0.5D) * r.c AS x FROM {r} r JOIN {p} p ON p.strain = r.strain AND p.gene <=> r.gene),
-                g AS (SELECT *, x / sum(x) OVER (PARTITION BY profile) AS posterior, row_number() OVER (PARTITION BY profile ORDER BY x DESC, strain) AS rn FROM x)
-           SELECT profile, strain, gene, posterior FROM g WHERE rn = 1""",
-        r=rows, p=params,
-    )
+        """SELECT profile, reads, strain, own / total AS posterior, gene, pool > own AS is_mobile
+           FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY own DESC, strain, x DESC, gene) AS rn FROM {x}) WHERE rn = 1""",
+        x=_shares(rows, params, pools),
+    )
+
+
+def identifiability(weights: DataFrame) -> DataFrame:
+    """``a, b, score`` of every pair of strains in ``(strain, pi, reads)``: the larger of the pair's smaller information and the smallest of all."""
+    return sql(
+        """WITH f AS (SELECT strain, reads / pow(greatest(pi, 1e-10D), 2) + 1e-6D AS f FROM {w})
+           SELECT x.strain AS a, y.strain AS b, greatest(least(x.f, y.f), (SELECT min(f) FROM f)) AS score FROM f x JOIN f y ON x.strain < y.strain""",
+        w=weights,
+    )

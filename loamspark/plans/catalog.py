@@ -18,7 +18,6 @@ from loamspark.operators import evaluation as ev
 from loamspark.operators import functional as fu
 from loamspark.operators import kmers as km
 from loamspark.operators import mixture as mx
-from loamspark.operators import joint as jt
 from loamspark.operators import network as nw
 from loamspark.operators import ordination as od
 from loamspark.operators import simulate as si
@@ -455,16 +454,10 @@ SELECT (SELECT avg(mu) FROM dm) AS d_mu, greatest((SELECT sqrt(avg(v)) FROM dm),
 )
 query("agg_27_fragment_rate", f"{views('seqs')} SELECT 1 / avg(length(sequence)) AS rate FROM seqs", "rate")(lambda s, d: mx.fragment_rate(fx.seqs(s, d).select(F.length("sequence").alias("length"))))
 
-query("em_16_joint_fit")(lambda s, d: jt.fit(_joint(s, d)))
 query("sim_01_reads")(lambda s, d: si.reads(fx.seqs(s, d).where(F.length("sequence") >= 200).select("id", "sequence"), 50, 150, 0.01))
 query("km_27_primer_hits", f"{views('seqs')}, w AS (SELECT id, pos, substr(sequence, CAST(pos + 1 AS INTEGER), 6) AS x FROM (SELECT id, sequence, unnest(range(0, greatest(length(sequence) - 5, 0))) AS pos FROM seqs)) SELECT id, count(*) AS n FROM w WHERE regexp_matches(x, '^[AG]C[ACGT]TA[CT]$') GROUP BY 1")(lambda s, d: km.primer_hits(fx.seqs(s, d), "RCNTAY", 0).groupBy("id").agg(F.count("*").alias("n")))
 
 
-def _joint(s: SparkSession, d: str) -> DataFrame:
-    """Candidates of reads among strains, each with the gene that it would come from."""
-    return fx.cand(s, d).selectExpr("read_id", "species AS strain", "marker AS gene", "containment")
-
-
 # Evaluation
 
 query("agg_29_regression", f"{views('truth')} SELECT count(*) AS n, avg(abs(est_w - true_w)) AS mae, 1 - sum(power(est_w - true_w, 2)) / sum(power(true_w - (SELECT avg(true_w) FROM truth), 2)) AS r2, avg(est_w - true_w) AS bias, stddev_samp(est_w - true_w) AS sd, avg(est_w - true_w) - 1.96 * stddev_samp(est_w - true_w) AS loa_lo, avg(est_w - true_w) + 1.96 * stddev_samp(est_w - true_w) AS loa_hi FROM truth", "mae r2 bias sd loa_lo loa_hi")(lambda s, d: ev.regression(fx.truth(s, d)))

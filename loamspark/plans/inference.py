@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loamspark.operators import differential as di
 from loamspark.operators import functional as fu
+from loamspark.operators import joint as jt
 from loamspark.operators import markers as mk
+from loamspark.operators import strains as st
 from loamspark.operators import summaries as su
 from loamspark.plans import fixtures as fx
 from loamspark.plans.catalog import query
@@ -97,3 +99,73 @@ SELECT *, mae_other - mae_one AS mae_change, CASE WHEN mae_one < mae_other THEN
         fx.table(s, d, "lineitem").selectExpr("l_linenumber AS experiment", "inline(array(struct('standard' AS mode, l_discount AS est_w), struct('advanced' AS mode, l_tax AS est_w)))").withColumn("true_w", F.lit(0.05)), "standard", "advanced"
     )
 )
+
+# Joint inference: the mixture's candidates, whose markers are genes and the last of them none.
+
+_EVEN = f"""{views("cand")}, k AS (SELECT count(DISTINCT species) AS k FROM cand), x AS (SELECT read_id, species AS strain, nullif(marker, 2) AS gene, containment AS c, containment / (k + 1) * CASE WHEN marker = 2 THEN 1 ELSE 0.5 END AS x FROM cand CROSS JOIN k WHERE containment >= 0.05),
+t AS (SELECT read_id, avg(c) * 0.25 / max(k + 1) AS pool, sum(x) + avg(c) * 0.25 / max(k + 1) AS total, count(*) AS n FROM x CROSS JOIN k GROUP BY 1),
+e AS MATERIALIZED (SELECT strain, gene, sum(x / total) AS g, sum(pool / total / n) AS m, sum(ln(total) / n) AS ll, sum(1.0 / n) AS reads FROM x JOIN t USING (read_id) GROUP BY ALL)"""
+
+
+def joint_candidates(s: SparkSession, d: str) -> DataFrame:
+    return fx.cand(s, d).selectExpr("read_id", "species AS strain", "nullif(marker, 2) AS gene", "containment")
+
+
+def _even_shares(s: SparkSession, d: str) -> DataFrame:
+    rows = jt.profiles(joint_candidates(s, d))
+    params, mobile = jt.start(jt.cells(rows), [jt.Run("0")], jt.Settings())
+    return jt.expected(rows, *jt.tables(rows, params, mobile, 2)).drop("run", "s")
+
+
+def _one_update(s: SparkSession, d: str) -> DataFrame:
+    rows = jt.profiles(joint_candidates(s, d))
+    done = jt.fit_runs(rows, [jt.Run("0")], jt.Settings(max_iter=1))
+    return jt.tables(rows, done.params, done.mobile, 2)[0].select("strain", "gene", "pi", "phi", F.lit(done.mobile["0"]).alias("mobile"))
+
+
+def _assigned(s: SparkSession, d: str) -> DataFrame:
+    rows = jt.profiles(joint_candidates(s, d)).cache()
+    return jt.assign(rows, jt.fit_runs(rows, [jt.Run("0")], jt.Settings(max_iter=5)), 2).groupBy("strain", "gene", "is_mobile").agg(F.sum("reads").alias("reads"), F.sum(F.col("reads") * F.col("posterior")).alias("posterior"))
+
+
+query("em_17_joint_shares", f"{_EVEN} SELECT strain, gene, g, m, ll, reads FROM e", "g m ll reads")(_even_shares)
+query(
+    "em_18_joint_update",
+    f"""{_EVEN}, s AS (SELECT strain, sum(g) AS s, sum(g) FILTER (WHERE gene IS NOT NULL) AS genic FROM e GROUP BY 1), w AS (SELECT (SELECT sum(m) FROM e) AS m, (SELECT sum(g + m) FROM e) AS n)
+SELECT e.strain, e.gene, s.s / w.n AS pi, CASE WHEN e.gene IS NOT NULL THEN (e.g + 0.5) / (s.genic + 1) END AS phi, w.m / w.n AS mobile FROM e JOIN s USING (strain) CROSS JOIN w""",
+    "pi phi mobile",
+)(_one_update)
+query("em_16_joint_fit")(lambda s, d: jt.fit(joint_candidates(s, d)))
+query("em_23_select_strains")(lambda s, d: jt.select_strains(joint_candidates(s, d)))
+query("em_24_assigned_reads")(_assigned)
+query("em_26_ablation")(lambda s, d: jt.ablate(joint_candidates(s, d)))
+query(
+    "em_20_identifiability",
+    """WITH w AS (SELECT p_type AS strain, count(*) AS reads, count(*) / (SELECT count(*) FROM part) AS pi FROM part GROUP BY 1), f AS (SELECT strain, reads / power(pi, 2) + 1e-6 AS f FROM w)
+SELECT x.strain AS a, y.strain AS b, least(x.f, y.f) AS score FROM f x JOIN f y ON x.strain < y.strain""",
+    "score",
+)(lambda s, d: jt.identifiability(fx.table(s, d, "part").groupBy(F.col("p_type").alias("strain")).agg(F.count("*").alias("reads")).selectExpr("strain", "reads", "reads / sum(reads) OVER () AS pi")))
+
+# Simulated strains: the supplied tables give genomes and places, so that SQL can tell the same reads and genes.
+
+_ORIGIN = "o AS (SELECT l_orderkey * 10 + l_linenumber AS read_id, doc_id AS strain, CAST(l_partkey * 37 % length(sequence) AS INTEGER) AS start FROM lineitem JOIN seqs ON doc_id = l_suppkey WHERE length(sequence) >= 100), gn AS (SELECT p_size % 2 = 0 AS is_mobile, s.doc_id AS strain, p_brand AS gene, CAST(p_partkey * 11 % 2000 AS INTEGER) AS start, CAST(p_partkey * 11 % 2000 + 80 AS INTEGER) AS \"end\" FROM part JOIN (SELECT DISTINCT l_suppkey AS doc_id, l_partkey FROM lineitem) s ON l_partkey = p_partkey)"
+
+
+def _origins(s: SparkSession, d: str) -> DataFrame:
+    lines, docs = fx.table(s, d, "lineitem"), fx.seqs(s, d).where(F.length("sequence") >= 100)
+    return lines.join(docs, lines["l_suppkey"] == docs["id"]).selectExpr("l_orderkey * 10 + l_linenumber AS read_id", "id AS strain", "cast(l_partkey * 37 % length(sequence) AS INT) AS start")
+
+
+def _places(s: SparkSession, d: str) -> DataFrame:
+    carried = fx.table(s, d, "lineitem").selectExpr("l_suppkey AS strain", "l_partkey AS p_partkey").distinct()
+    return fx.table(s, d, "part").join(carried, "p_partkey").selectExpr("strain", "p_brand AS gene", "cast(p_partkey * 11 % 2000 AS INT) AS start", "cast(p_partkey * 11 % 2000 + 80 AS INT) AS `end`")
+
+
+_SEQS = views("seqs").replace("doc_id AS id", "doc_id")
+query("sim_03_fragments", f"{_SEQS}, {_ORIGIN} SELECT read_id, strain, start, substr(sequence || substr(sequence, 1, 100), start + 1, 100) AS sequence FROM o JOIN seqs ON doc_id = strain")(lambda s, d: st.fragments(_origins(s, d), fx.seqs(s, d).withColumnRenamed("id", "strain"), 100))
+query(
+    "jn_15_overlapped_genes",
+    f"{_SEQS}, {_ORIGIN} SELECT o.read_id, o.strain, o.start, arg_min(g.gene, (g.start, g.gene)) AS gene FROM o LEFT JOIN gn g ON g.strain = o.strain AND o.start < g.\"end\" AND o.start + 100 > g.start GROUP BY ALL",
+)(lambda s, d: st.with_genes(_origins(s, d), _places(s, d), 100))
+query("sim_06_flawed_reads")(lambda s, d: st.with_errors(st.fragments(_origins(s, d), fx.seqs(s, d).withColumnRenamed("id", "strain"), 100).withColumn("read_id", F.col("read_id").cast("string")), 0.005))
+query("sim_03_metagenome")(lambda s, d: st.simulate(s, st.Scenario())["reads"])
