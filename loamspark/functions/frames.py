@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame
 
 
 def sql(query: str, **given: Any) -> DataFrame:
-    """``query`` with DataFrames and values put in by name; Catalyst sees one plan."""
-    spark = next(v.sparkSession for v in given.values() if isinstance(v, DataFrame))
-    return spark.sql(query, **given)
+    """``query`` with DataFrames and values put in by name; Catalyst sees one plan.
+
+    The views that name the DataFrames are dropped in the session's own catalog: dropping them through the public one, as
+    ``spark.sql`` does with DataFrames that it is given, would also drop the cached data of any that are cached.
+    """
+    frames = {k: v for k, v in given.items() if isinstance(v, DataFrame)}
+    spark = next(iter(frames.values())).sparkSession
+    names = {k: f"_given_{k}_{uuid.uuid4().hex}" for k in frames}
+    try:
+        for k, frame in frames.items():
+            frame.createOrReplaceTempView(names[k])
+            query = query.replace(f"{{{k}}}", names[k])
+        return spark.sql(query, **{k: v for k, v in given.items() if k not in frames})
+    finally:
+        catalog = spark._jsparkSession.sessionState().catalog()
+        for name in names.values():
+            catalog.dropTempView(name)
 
 
 def densify(table: DataFrame) -> DataFrame:

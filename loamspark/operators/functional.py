@@ -118,7 +118,7 @@ def trait_chi2(counts: DataFrame) -> DataFrame:
     """The chi-squared statistic of every trait's carriers by group; null where an expected count is 0."""
     return sql(
         """WITH k AS (SELECT *, sum(carriers) OVER (PARTITION BY trait) AS c, sum(carriers + others) OVER (PARTITION BY trait) AS n, carriers + others AS g FROM {c})
-           SELECT trait, CASE WHEN min(c * g) > 0 AND min((n - c) * g) > 0 THEN sum(pow(carriers - c * g / n, 2) / (c * g / n) + pow(others - (n - c) * g / n, 2) / ((n - c) * g / n)) END AS chi2, count(*) - 1 AS df FROM k GROUP BY trait""",
+           SELECT trait, CASE WHEN min(c * g) > 0 AND min((n - c) * g) > 0 THEN sum(try_divide(pow(carriers - try_divide(c * g, n), 2), try_divide(c * g, n)) + try_divide(pow(others - try_divide((n - c) * g, n), 2), try_divide((n - c) * g, n))) END AS chi2, count(*) - 1 AS df FROM k GROUP BY trait""",
         c=counts,
     )
 

@@ -24,7 +24,7 @@ def phi(table: DataFrame, min_prevalence: float = 0.0, pseudocount: float = 1.0)
                 x AS (SELECT feature_id, sample_id, ln((value + {c}) / {c}) AS x FROM {t} WHERE value > 0),
                 m AS (SELECT feature_id, sum(x) AS s, sum(x * x) AS q FROM x GROUP BY feature_id HAVING count(*) >= {p} * (SELECT n FROM k)),
                 o AS (SELECT a.feature_id AS src, b.feature_id AS dst, sum(a.x * b.x) AS xy FROM x a JOIN x b ON a.sample_id = b.sample_id AND a.feature_id < b.feature_id GROUP BY ALL)
-           SELECT a.feature_id AS src, b.feature_id AS dst, greatest((a.q + b.q - 2 * coalesce(o.xy, 0D) - pow(a.s - b.s, 2) / k.n) / (k.n - 1), 0D) AS phi
+           SELECT a.feature_id AS src, b.feature_id AS dst, CASE WHEN k.n > 1 THEN greatest((a.q + b.q - 2 * coalesce(o.xy, 0D) - pow(a.s - b.s, 2) / k.n) / (k.n - 1), 0D) END AS phi
            FROM m a JOIN m b ON a.feature_id < b.feature_id CROSS JOIN k LEFT JOIN o ON o.src = a.feature_id AND o.dst = b.feature_id""",
         t=table, p=min_prevalence, c=pseudocount,
     )

@@ -108,7 +108,7 @@ def with_genes(reads: DataFrame, genes: DataFrame, length: int, bin_size: int =
     return sql(
         """WITH r AS (SELECT *, explode(sequence(start div {w}, (start + {n} - 1) div {w})) AS bin FROM {r}),
                 g AS (SELECT *, explode(sequence(cast(start div {w} AS BIGINT), cast((`end` - 1) div {w} AS BIGINT))) AS bin FROM {g})
-           SELECT r.read_id, r.strain, r.start, min_by(g.gene, struct(g.start, g.gene)) AS gene FROM r LEFT JOIN g ON g.strain = r.strain AND g.bin = r.bin AND r.start < g.`end` AND r.start + {n} > g.start GROUP BY ALL""",
+           SELECT r.read_id, r.strain, r.start, min_by(g.gene, CASE WHEN g.gene IS NOT NULL THEN struct(g.start, g.gene) END) AS gene FROM r LEFT JOIN g ON g.strain = r.strain AND g.bin = r.bin AND r.start < g.`end` AND r.start + {n} > g.start GROUP BY ALL""",
         r=reads, g=genes, n=length, w=bin_size,
     )
 
