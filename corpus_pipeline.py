@@ -30,8 +30,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return minhash_dedup.keep_first(docs)
+    """One document of each group of near duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more (op5 takes 0.85)."""
+    return minhash_dedup.keep_first(docs, 80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

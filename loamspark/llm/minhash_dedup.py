@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from . import blocks
 from .shared import connected_components, written
 
-#: Words of a shingle; documents are linked where 100 * intersection >= LEAST * union.
+#: Words of a shingle; documents are linked where 100 * intersection >= LEAST * union, or another threshold of RADII.
 WORDS = 5
 LEAST = 85
 #: Slots of a signature, each of 8 bits, and the slots in which two may differ. Of pairs at the threshold itself about one in a
 #: thousand differs in more (binomial tail of 40 slots at 0.15), of pairs at 0.9 one in 10 million.
 SLOTS = 40
 RADIUS = 13
+#: The slots in which two may differ, by threshold: at 80, too, one in a thousand of the pairs at the threshold itself differs in more (tail at 0.2).
+RADII = {LEAST: RADIUS, 80: 16}
 #: Chunks that a signature is split into.
 CHUNKS = 10
 #: Rows of one key that are compared in one task; a larger bucket is dealt to tasks by pairs of parts.
@@ -165,12 +167,13 @@ def _parts(df: DataFrame, id_: str) -> DataFrame:
     return df.withColumn("part", F.explode(code)).drop("k")
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """``a, b``: in every bucket of a key, a spanning forest of the pairs within RADIUS whose sizes allow a link."""
+def candidate_edges(reps: DataFrame, least: int = LEAST) -> DataFrame:
+    """``a, b``: in every bucket of a key, a spanning forest of the pairs within the threshold's radius whose sizes allow a link."""
+    radius = RADII[least]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = keys_of(blocks.fixed(batch.column("sig"), np.uint8))
+            keys = keys_of(blocks.fixed(batch.column("sig"), np.uint8), radius=radius)
             rows = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(batch.column(c).take(rows) for c in ("id", "n", "sig"))], ["key", "id", "n", "sig"])
 
@@ -184,7 +187,7 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
             sig = blocks.fixed(table.column("sig"), np.uint8)
 
             def near(i: int | np.ndarray, j: np.ndarray, n: np.ndarray = n, sig: np.ndarray = sig) -> np.ndarray:
-                return ((sig[i] != sig[j]).sum(axis=-1) <= RADIUS) & (100 * np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j]))
+                return ((sig[i] != sig[j]).sum(axis=-1) <= radius) & (100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
 
             two = starts[:-1][sizes == 2]
             two = two[near(two, two + 1)]
@@ -210,7 +213,7 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     return ordered.mapInArrow(compare, "a long, b long")
 
 
-def exact_edges(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+def exact_edges(docs: DataFrame, clusters: DataFrame, least: int = LEAST) -> DataFrame:
     """``a, b``: a spanning forest of the links within each cluster, by the full sets of its documents.
 
     ``clusters`` has ``node, component, n``. A cluster's documents are dealt to parts; every pair of parts is a task's unit, so
@@ -236,7 +239,7 @@ def exact_edges(docs: DataFrame, clusters: DataFrame) -> DataFrame:
             pairs = []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if b - a > 1:
-                    x, y = linked(rows[a:b])
+                    x, y = linked(rows[a:b], least)
                     pairs.append((x + a, y + a))
             if (found := _edges(ids, pairs)) is not None:
                 yield found
@@ -247,12 +250,12 @@ def exact_edges(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     return ordered.mapInArrow(compare, "a long, b long")
 
 
-def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def linked(sets: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of sets that the threshold links, by exact intersections."""
     size = np.array([len(s) for s in sets])
     if len(sets) == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        hit = size.min() > 0 and 100 * both >= LEAST * (size.sum() - both)
+        hit = size.min() > 0 and 100 * both >= least * (size.sum() - both)
         return np.zeros(int(hit), int), np.ones(int(hit), int)
     known, code = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.cumsum(size) - size
@@ -260,52 +263,54 @@ def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
         out = np.zeros(len(others), bool)
-        fit = np.flatnonzero((size[others] > 0) & (100 * np.minimum(size[i], size[others]) >= LEAST * np.maximum(size[i], size[others])))
+        fit = np.flatnonzero((size[others] > 0) & (100 * np.minimum(size[i], size[others]) >= least * np.maximum(size[i], size[others])))
         if len(fit):
             j = others[fit]
             own = code[first[i] : first[i] + size[i]]
             mark[own] = True
             both = np.add.reduceat(mark[code[blocks.spread(first[j], size[j])]].astype(np.int32), np.cumsum(size[j]) - size[j])
             mark[own] = False
-            out[fit] = 100 * both >= LEAST * (size[i] + size[j] - both)
+            out[fit] = 100 * both >= least * (size[i] + size[j] - both)
         return out
 
     return forest(len(sets), near)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``, linked at ``least`` hundredths, a threshold of RADII.
 
     Words are runs of other than blank, tab, line feed, vertical tab, form feed and carriage return, A-Z lower-cased; a set holds the text's
     distinct runs of WORDS words, of a text of fewer words its one sequence; null and empty texts, and those without a word, have an empty set and
     are linked with nothing. Rows of equal sets are one document from the start (a group's rows are aggregated before
-    they are shuffled); their signatures meet in the multi-index Hamming join, pairs within RADIUS form clusters, and within a
+    they are shuffled); their signatures meet in the multi-index Hamming join, pairs within the threshold's radius form clusters, and within a
     cluster the links are confirmed on the full sets. ``component_id`` is the smallest id that links reach, the
     document's own included, and ``kept`` tells the rows that it names. Rows that repeat an id and its set are one document; of different sets under one id each row has its own set's component. A row
     without id is linked with nothing, has no component and is kept. Other columns are not read; an empty
     table gives an empty one.
     """
+    if least not in RADII:
+        raise ValueError("radii are calibrated for the thresholds of RADII")
     narrow = written(_narrow(docs), "sets")
     known = narrow.where("n > 0 and doc_id is not null")
     same = known.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
     reps = written(same.select("s1", "s2", "n", F.col("first.doc_id").alias("id"), F.col("first.sig").alias("sig")), "reps")
-    clusters = connected_components(candidate_edges(reps.select("id", "n", "sig")))
+    clusters = connected_components(candidate_edges(reps.select("id", "n", "sig"), least))
     # Two sets can have one id where rows repeat it; the larger stands for the cluster's size.
     size = reps.groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n"))
-    links = connected_components(exact_edges(docs, clusters.join(size, "node")))
+    links = connected_components(exact_edges(docs, clusters.join(size, "node"), least))
     found = reps.select("s1", "s2", "n", "id").join(links.select(F.col("node").alias("id"), "component"), "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     out = narrow.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, that ``dedup`` keeps: one document of each group.
+def keep_first(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``dedup`` at ``least`` keeps: one document of each group.
 
     Of rows that repeat an id one stays, its sets alike or not; an id stays if any of its rows is kept. Rows without id stay.
     """
     key = "__loamspark_id"
-    found = dedup(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    found = dedup(docs, least).where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     found = written(found, "kept")
     ids = found.where("not kept").select(key)
     own = F.col("doc_id").cast("long") == F.col(key)
