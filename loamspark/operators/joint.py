@@ -9,7 +9,7 @@ the sums, a row for each run, strain and gene, come to the driver for the closed
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,8 @@ from loamspark.functions.frames import sql
 
 #: A parameter table of more rows is joined without a broadcast.
 BROADCAST_ROWS = 500_000
+#: Starts of a fit.
+RESTARTS = 10
 
 
 @dataclass(frozen=True)
@@ -44,14 +46,14 @@ class Settings:
     present: tuple[float, float] = (2.0, 1.01)
     absent: tuple[float, float] = (1.01, 2.0)
     mobile: bool = True
-    max_iter: int = 12
+    max_iter: int = 200
     tolerance: float = 1e-6
     least: float = 0.05
 
 
 @dataclass
 class Fit:
-    """``params(run, strain, gene, pi, phi)``, and by run: mobile weight, penalised log-likelihood, its trace and BIC. phi is not yet scaled."""
+    """``params(run, strain, gene, pi, phi)``, and by run: mobile weight, penalised log-likelihood, its trace, BIC, and whether it converged. phi is not yet scaled."""
 
     params: pd.DataFrame
     mobile: dict[str, float]
@@ -59,12 +61,17 @@ class Fit:
     bic: dict[str, float]
     reads: dict[str, float]
     traces: dict[str, list[float]] = field(default_factory=dict)
+    converged: dict[str, bool] = field(default_factory=dict)
 
     @property
     def best(self) -> str:
         """The run with the highest likelihood; the first of equals."""
         return max(self.ll, key=self.ll.get)
 
+    def best_of(self, name: str) -> str:
+        """The restart of the run ``name`` with the highest likelihood; the first of equals."""
+        return max((k for k in self.ll if k.startswith(f"{name}/")), key=self.ll.get)
+
     @property
     def multimodal(self) -> bool:
         """Runs differ by more than 10 in likelihood."""
@@ -184,15 +191,15 @@ def cells(rows: DataFrame) -> pd.DataFrame:
 
 
 def fit_runs(rows: DataFrame, runs: list[Run], use: Settings | None = None, reference: pd.DataFrame | None = None) -> Fit:
-    """All runs over cached ``profiles`` until each has converged, which is asked before each update.
+    """All runs over cached ``profiles`` until each has converged, which is asked before each update, or ``max_iter`` steps are done.
 
-    A run stops changing once converged. Without candidates a run has no likelihood (minus infinity) and an infinite BIC.
+    A run stops changing once converged; ``converged`` tells which did. Without candidates a run has no likelihood (minus infinity), an infinite BIC and has not converged.
     """
     use = use or Settings()
     grid = cells(rows)
     genes = int(grid["gene"].nunique())
     params, mobile = start(grid, runs, use, reference)
-    fit = Fit(params, mobile, {r.name: -math.inf for r in runs}, {r.name: math.inf for r in runs}, {r.name: 0.0 for r in runs}, {r.name: [] for r in runs})
+    fit = Fit(params, mobile, {r.name: -math.inf for r in runs}, {r.name: math.inf for r in runs}, {r.name: 0.0 for r in runs}, {r.name: [] for r in runs}, {r.name: False for r in runs})
     active = [r for r in runs if (params["run"] == r.name).any()]
     for _ in range(use.max_iter):
         if not active:
@@ -212,6 +219,8 @@ def fit_runs(rows: DataFrame, runs: list[Run], use: Settings | None = None, refe
             trace.append(fit.ll[run.name])
             if len(trace) < 2 or abs(trace[-1] - trace[-2]) >= use.tolerance * (abs(trace[-2]) or 1.0):
                 going.append(run)
+            else:
+                fit.converged[run.name] = True
         new, pools_new = maximise(params, mobile, sums, going, use)
         if going:
             params = pd.concat([params[~params["run"].isin([r.name for r in going])], new], ignore_index=True)
@@ -225,12 +234,13 @@ def fit_runs(rows: DataFrame, runs: list[Run], use: Settings | None = None, refe
     return fit
 
 
-def restarts(n: int, seed: int = 42) -> list[Run]:
-    """An even start and n - 1 random ones."""
-    return [Run("0")] + [Run(str(i), seed=seed + i) for i in range(1, n)]
+def restarts(n: int = RESTARTS, seed: int = 42, of: Run | None = None) -> list[Run]:
+    """An even start and n - 1 random ones; of a given run, they are named by it and a slash."""
+    name = f"{of.name}/" if of else ""
+    return [replace(of or Run(""), name=f"{name}{i}", seed=seed + i if i else None) for i in range(n)]
 
 
-#: A fit with deterministic starts for each question of the ablation.
+#: A fit for each question of the ablation.
 ABLATIONS = [Run("joint"), Run("strain_only", fix_phi=True), Run("function_only", fix_pi=True)]
 
 
@@ -243,16 +253,17 @@ def presence(params: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def fit(candidates: DataFrame, n: int = 3, use: Settings | None = None, reference: pd.DataFrame | None = None) -> DataFrame:
-    """``strain, gene, pi, phi, lo, hi, phi_lo, phi_hi, mobile, ll, bic`` of the best restart.
+def fit(candidates: DataFrame, n: int = RESTARTS, use: Settings | None = None, reference: pd.DataFrame | None = None) -> DataFrame:
+    """``strain, gene, pi, phi, lo, hi, phi_lo, phi_hi, mobile, ll, bic, converged`` of the best restart.
 
     lo and hi bound pi by its diagonal information n_k / pi^2 + 1e-6; phi's bounds are quantiles of its Beta posterior. Without candidates it is empty.
+    ``converged`` is false where ``max_iter`` cut the restart short.
     """
     use = use or Settings()
     spark = candidates.sparkSession
     rows = profiles(candidates, use.least).cache()
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"strain {kinds['strain']}, gene {kinds['gene']}, pi double, phi double, lo double, hi double, phi_lo double, phi_hi double, mobile double, ll double, bic double"
+    schema = f"strain {kinds['strain']}, gene {kinds['gene']}, pi double, phi double, lo double, hi double, phi_lo double, phi_hi double, mobile double, ll double, bic double, converged boolean"
     done = fit_runs(rows, restarts(n), use, reference)
     rows.unpersist()
     best = done.best
@@ -265,29 +276,33 @@ def fit(candidates: DataFrame, n: int = 3, use: Settings | None = None, referenc
     own["phi_lo"], own["phi_hi"] = special.beta_ppf(0.025, a, b), special.beta_ppf(0.975, a, b)
     named = own["phi"].notna()
     values = own[["strain", "gene", "pi", "phi", "lo", "hi", "phi_lo", "phi_hi"]].itertuples(index=False)
-    out = [(r[0], r[1] if n else None, r[2], r[3] if n else None, r[4], r[5], r[6] if n else None, r[7] if n else None, done.mobile[best], done.ll[best], done.bic[best]) for r, n in zip(values, named, strict=True)]
+    out = [(r[0], r[1] if n else None, r[2], r[3] if n else None, r[4], r[5], r[6] if n else None, r[7] if n else None, done.mobile[best], done.ll[best], done.bic[best], done.converged[best]) for r, n in zip(values, named, strict=True)]
     return spark.createDataFrame(out, schema)
 
 
-def select_strains(candidates: DataFrame, use: Settings | None = None, most: int | None = None) -> DataFrame:
-    """``k, ll, bic, chosen``: the k strains with most containment, for every k, fitted at once; the smallest BIC is chosen."""
+def select_strains(candidates: DataFrame, use: Settings | None = None, most: int | None = None, n: int = RESTARTS) -> DataFrame:
+    """``k, ll, bic, chosen, converged``: the best restart with the k strains with most containment, for every k, fitted at once; the smallest BIC is chosen."""
     use = use or Settings()
     rows = profiles(candidates, use.least).cache()
     order = [r["strain"] for r in rows.groupBy("strain").agg(F.sum(F.col("reads") * F.col("c")).alias("x")).orderBy(F.desc("x"), "strain").collect()][:most]
-    done = fit_runs(rows, [Run(str(k), tuple(order[:k])) for k in range(1, len(order) + 1)], use)
+    done = fit_runs(rows, [r for k in range(1, len(order) + 1) for r in restarts(n, of=Run(str(k), tuple(order[:k])))], use)
     rows.unpersist()
-    least = min(done.bic.values(), default=math.inf)
-    return candidates.sparkSession.createDataFrame([(int(k), done.ll[k], b, b == least) for k, b in done.bic.items()], "k int, ll double, bic double, chosen boolean")
+    best = {k: done.best_of(str(k)) for k in range(1, len(order) + 1)}
+    least = min((done.bic[b] for b in best.values()), default=math.inf)
+    out = [(k, done.ll[b], done.bic[b], done.bic[b] == least, done.converged[b]) for k, b in best.items()]
+    return candidates.sparkSession.createDataFrame(out, "k int, ll double, bic double, chosen boolean, converged boolean")
 
 
-def ablate(candidates: DataFrame, use: Settings | None = None, reference: pd.DataFrame | None = None) -> DataFrame:
-    """``run, strain, gene, pi, phi`` of the joint fit, of one with phi fixed, and of one with even weights."""
+def ablate(candidates: DataFrame, use: Settings | None = None, reference: pd.DataFrame | None = None, n: int = RESTARTS) -> DataFrame:
+    """``run, strain, gene, pi, phi, converged`` of the joint fit, of one with phi fixed, and of one with even weights, each the best of its restarts."""
     use = use or Settings()
     rows = profiles(candidates, use.least).cache()
-    done = fit_runs(rows, ABLATIONS, use, reference)
+    done = fit_runs(rows, [r for run in ABLATIONS for r in restarts(n, of=run)], use, reference)
     rows.unpersist()
-    params, _ = tables(rows, presence(done.params), done.mobile, 0)
-    return params
+    best = {done.best_of(run.name): run.name for run in ABLATIONS}
+    own = done.params[done.params["run"].isin(best)]
+    params, _ = tables(rows, presence(own.assign(run=own["run"].map(best))), done.mobile, 0)
+    return params.withColumn("converged", F.col("run").isin([name for b, name in best.items() if done.converged[b]]))
 
 
 def assign(rows: DataFrame, done: Fit, genes: int) -> DataFrame:

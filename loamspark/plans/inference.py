@@ -125,7 +125,9 @@ def _one_update(s: SparkSession, d: str) -> DataFrame:
 
 def _assigned(s: SparkSession, d: str) -> DataFrame:
     rows = jt.profiles(joint_candidates(s, d)).cache()
-    return jt.assign(rows, jt.fit_runs(rows, [jt.Run("0")], jt.Settings(max_iter=5)), 2).groupBy("strain", "gene", "is_mobile").agg(F.sum("reads").alias("reads"), F.sum(F.col("reads") * F.col("posterior")).alias("posterior"))
+    done = jt.fit_runs(rows, jt.restarts())
+    assigned = jt.assign(rows, done, 2).groupBy("strain", "gene", "is_mobile").agg(F.sum("reads").alias("reads"), F.sum(F.col("reads") * F.col("posterior")).alias("posterior"))
+    return assigned.withColumn("converged", F.lit(done.converged[done.best]))
 
 
 query("em_17_joint_shares", f"{_EVEN} SELECT strain, gene, g, m, ll, reads FROM e", "g m ll reads")(_even_shares)
