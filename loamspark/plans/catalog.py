@@ -432,7 +432,7 @@ query(
 SELECT species, greatest(2 * sum(ll - CASE WHEN rest > 0 THEN ln(rest / (1 - w)) ELSE -100 END), 0) AS lrt FROM n GROUP BY 1""",
     "lrt",
 )(lambda s, d: mx.likelihood_ratio(*_steps(s, d, 2)))
-query("em_01_mixture_fit")(lambda s, d: mx.fit(fx.cand(s, d).cache(), max_iter=60)[0])
+query("em_01_mixture_fit")(lambda s, d: mx.fit(fx.cand(s, d).cache())[0])
 _HIT = "hit AS (SELECT read_id, marker, species FROM cand WHERE containment >= 0.7)"
 query("agg_24_report_counts", f"{views('cand')}, {_HIT} SELECT species, count(*) AS reads, 100.0 * count(*) / (SELECT count(DISTINCT read_id) FROM hit) AS read_pct FROM hit GROUP BY 1", "read_pct")(lambda s, d: mx.report_counts(fx.cand(s, d).where("containment >= 0.7")).withColumn("read_pct", F.col("read_pct").cast("double")))
 query("agg_25_marker_agreement", f"{views('cand')}, {_HIT}, hc AS (SELECT marker, species, count(*) AS n FROM hit GROUP BY ALL), t AS (SELECT marker, species FROM (SELECT marker, species, row_number() OVER (PARTITION BY marker ORDER BY n DESC, species) AS rn FROM hc) WHERE rn = 1) SELECT avg(CASE WHEN a.species = b.species THEN 1.0 ELSE 0.0 END) AS agreement FROM t a JOIN t b ON a.marker < b.marker", "agreement")(lambda s, d: mx.marker_agreement(fx.cand(s, d).where("containment >= 0.7")))
