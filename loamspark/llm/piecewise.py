@@ -1,10 +1,10 @@
 """The tokenizers library over many texts: texts are cut where no token can cross, each distinct piece is encoded once.
 
-Both vocabularies split a text by a pattern before they merge. A cut is made only before a single
+Both vocabularies split a text by a pattern before they merge. A cut is made before a single
 blank, and before and after a single line feed, that stand between two characters which are no
-white space: there the pattern ends one match and starts another whatever else the text holds, so
-the ids of the pieces, one after the other, are the ids of the whole text. Other white space is left
-inside its piece.
+white space, and between an ASCII letter and an ASCII sign or digit after it: there the pattern ends one match and
+starts another whatever else the text holds, so the ids of the pieces, one after the other, are the ids of the whole text. Other
+white space is left inside its piece.
 """
 
 from __future__ import annotations
@@ -15,12 +15,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from . import blocks
 
-#: Pieces whose ids a worker keeps between slices; the rest are encoded again in each slice.
-KEPT_PIECES = 300_000
+#: Pieces of at most so many bytes whose ids a worker keeps between slices (about 40 MB); the rest are encoded again in each slice.
+KEPT_PIECES = 1_000_000
+KEPT_BYTES = 48
+#: Pieces that are encoded as one text, with a separator between them.
+JOINED = 4096
+#: Text between pieces: alone between pieces that hold no other white space or control character, it is one match and one token.
+SEPARATORS = ("\n", " \0 ")
 
 # Bytes that can start a character that is no white space: ASCII, two-byte characters from U+00C0, and three- or
 # four-byte ones but for E1-E3, which also hold Unicode's spaces.
@@ -32,13 +38,22 @@ _ASCII = np.zeros(256, dtype=bool)
 _ASCII[0x21:0x7F] = True
 _PAIR = np.zeros(256, dtype=bool)
 _PAIR[0xC3:0xE0] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_SIGN = _ASCII & ~_LETTER
+# White space, control characters, and bytes that can start a character of them.
+_APART = np.zeros(256, dtype=bool)
+_APART[:0x21] = True
+_APART[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def cuts(raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sorted positions of piece starts, with every row's start, and the length of ``raw`` at the end."""
     n = len(raw)
     if n < 3:
-        return np.unique(np.append(rows, n))
+        mark = np.zeros(n + 1, dtype=bool)
+        mark[rows] = mark[n] = True
+        return np.flatnonzero(mark)
     white = (raw == 0x20) | (raw == 0x0A)
     white[0] = white[-1] = False
     at = np.flatnonzero(white)
@@ -50,6 +65,7 @@ def cuts(raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
     mark = np.zeros(n + 1, dtype=bool)
     mark[at] = True
     mark[feeds + 1] = True
+    mark[1:n] |= _LETTER[raw[:-1]] & _SIGN[raw[1:]]
     mark[rows] = True
     mark[n] = True
     return np.flatnonzero(mark)
@@ -69,47 +85,73 @@ class Pieces:
 
     def __init__(self, path: str, kept: int = KEPT_PIECES) -> None:
         self.tokenizer, self.kept = tokenizer(path), kept
-        self.slot: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start, self.length = np.zeros(kept, np.int64), np.zeros(kept, np.int64)
-
-    def table(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, and the start and length of each piece among them."""
-        get = self.slot.get
-        slots = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
-        new = np.flatnonzero(slots < 0)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in new], add_special_tokens=False)] if len(new) else []
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        fresh = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        room = min(self.kept - len(self.slot), len(new))
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        # The separator whose token is one, and that token.
+        alone = [(s, self._plain([s])[0]) for s in SEPARATORS]
+        self.separator, self.mark = next((s, int(ids[0])) for s, ids in alone if len(ids) == 1)
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number by piece, of pieces that a separator keeps apart."""
+        n = len(new)
+        groups = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, n, JOINED), n), pa.int32()), new)
+        found = [np.array(ids, np.uint32) for ids in self._plain(pc.binary_join(groups, self.separator).to_pylist())]
+        sizes = []
+        for ids, own in zip(found, groups.value_lengths().to_pylist(), strict=True):
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) != own - 1:
+                raise ValueError("a piece holds the separator's token")
+            sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+        ids = np.concatenate(found)
+        return ids[ids != self.mark], np.concatenate(sizes)
+
+    def encode_new(self, new: pa.Array) -> pa.ListArray:
+        """The ids of each piece: most pieces in long texts with a separator between them, those with other white space by themselves."""
+        raw, at = blocks.utf8(new)
+        apart = np.append(0, np.cumsum(_APART[raw], dtype=np.int32))
+        leading = (raw[at[:-1]] == 0x20) & (np.diff(at) > 1) if len(new) else np.zeros(0, bool)
+        alone = np.diff(apart[at]) > leading
+        lengths = np.zeros(len(new), np.int64)
+        parts, order = [], [np.flatnonzero(~alone), np.flatnonzero(alone)]
+        if len(order[0]):
+            ids, lengths[order[0]] = self._joined(new.take(pa.array(order[0])))
+            parts.append(ids)
+        if len(order[1]):
+            found = self._plain(new.take(pa.array(order[1])).to_pylist())
+            lengths[order[1]] = [len(ids) for ids in found]
+            parts.append(np.array([i for ids in found for i in ids], np.uint32))
+        back = np.empty(len(new), np.int64)
+        back[np.concatenate(order)] = np.arange(len(new))
+        offsets = np.append(0, np.cumsum(lengths[np.concatenate(order)]))
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)).take(pa.array(back))
+
+    def table(self, distinct: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """Lists of ids, and which of them is each piece's."""
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        short = pc.less_equal(pc.binary_length(distinct), KEPT_BYTES).to_numpy(zero_copy_only=False)[missing]
+        missing = np.concatenate([missing[short], missing[~short]])
+        at[missing] = len(self.known) + np.arange(len(missing))
+        new = distinct.take(pa.array(missing))
+        lists = pa.concat_arrays([self.ids, self.encode_new(new)])
+        room = min(self.kept - len(self.known), int(short.sum()))
         if room:
-            size = int(lengths[:room].sum())
-            while self.used + size > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            self.flat[self.used : self.used + size] = fresh[:size]
-            base = len(self.slot)
-            self.start[base : base + room], self.length[base : base + room] = starts[:room] + self.used, lengths[:room]
-            self.used += size
-            self.slot.update(zip((pieces[i] for i in new[:room]), range(base, base + room), strict=True))
-        at, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        old = slots >= 0
-        at[old], size[old] = self.start[slots[old]], self.length[slots[old]]
-        at[new], size[new] = starts + self.used, lengths
-        return np.append(self.flat[: self.used], fresh), at, size
+            self.known = pa.concat_arrays([self.known, new.slice(0, room)])
+            self.ids = pa.concat_arrays([lists.slice(0, len(self.known))])
+        return lists, at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after the other, and where each row's begin (and the last end); a null is empty."""
         raw, rows = blocks.utf8(texts)
         at = cuts(raw, rows)
         coded = blocks.binaries(raw, at, pa.string()).dictionary_encode()
-        index = coded.indices.to_numpy()
-        flat, start, size = self.table(coded.dictionary.to_pylist())
-        sizes = size[index]
-        ids = flat[blocks.spread(start[index], sizes)] if len(index) else np.zeros(0, np.uint32)
-        ends = np.append(0, np.cumsum(sizes))
-        return ids, ends[np.searchsorted(at, rows)]
+        lists, which = self.table(coded.dictionary)
+        out = lists.take(pa.array(which[coded.indices.to_numpy()]))
+        ends = out.offsets.to_numpy()
+        return out.values.to_numpy(), ends[np.searchsorted(at, rows)].astype(np.int64)
 
 
 @lru_cache(maxsize=2)
