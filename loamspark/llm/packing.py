@@ -40,39 +40,43 @@ def cut(n: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[int]:
 class Harmonic:
     """The bins of one worker. ``add`` gives the sequences that it fills, ``finish`` the rest.
 
-    A sequence is a list of (document, start, length). At the end, the bins that lack documents are
+    A sequence is a list of (document, start, ids). At the end, the bins that lack documents are
     laid one after the other and cut at the capacity; the last rest goes into sequences of powers of two, which need no padding.
+    A pending piece holds its own ids alone, so a worker keeps less than one sequence a class, whatever the documents' lengths.
     """
 
     def __init__(self, capacity: int = CAPACITY, slack: int = SLACK) -> None:
         self.capacity, self.slack = capacity, slack
         self.open: dict[int, list] = {}
 
-    def add(self, doc: object, n: int) -> Iterator[list]:
+    def add(self, doc: object, ids: np.ndarray) -> Iterator[list]:
         at = 0
-        for size in cut(n, self.capacity, self.slack):
+        for size in cut(len(ids), self.capacity, self.slack):
             k = self.capacity // size
-            bin_ = self.open.setdefault(k, [])
-            bin_.append((doc, at, size))
+            if k == 1:
+                yield [(doc, at, ids[at : at + size])]
+            else:
+                bin_ = self.open.setdefault(k, [])
+                bin_.append((doc, at, ids[at : at + size].copy()))
+                if len(bin_) == k:
+                    del self.open[k]
+                    yield bin_
             at += size
-            if len(bin_) == k:
-                del self.open[k]
-                yield bin_
 
     def finish(self) -> Iterator[list]:
         rest = [piece for k in sorted(self.open) for piece in self.open[k]]
         self.open = {}
-        total = sum(size for _, _, size in rest)
+        total = sum(len(ids) for _, _, ids in rest)
         sizes = [self.capacity] * (total // self.capacity) + [1 << b for b in range(self.capacity.bit_length() - 1, -1, -1) if (total % self.capacity) >> b & 1]
         i = used = 0
         for size in sizes:
             out = []
             while size:
-                doc, at, have = rest[i]
-                take = min(size, have - used)
-                out.append((doc, at + used, take))
+                doc, at, ids = rest[i]
+                take = min(size, len(ids) - used)
+                out.append((doc, at + used, ids[used : used + take]))
                 size, used = size - take, used + take
-                if used == have:
+                if used == len(ids):
                     i, used = i + 1, 0
             yield out
 
@@ -88,31 +92,33 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end: int = 1, capacity:
     """
     vocabulary = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-    kinds = [pa.int64()] * 6 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = Harmonic(capacity, slack)
         number = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
+        held: list[np.ndarray] = []
 
         def put(sequence: list) -> None:
             nonlocal number
             offset = 0
-            for (key, n, ids), at, size in sequence:
-                rows.append((key, at, size, n, number, offset, ids[4 * at : 4 * (at + size)]))
-                offset += size
+            for (key, n), at, ids in sequence:
+                rows.append((key, at, len(ids), n, number, offset))
+                held.append(ids)
+                offset += len(ids)
             number += 1
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-            rows.clear()
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            ends = np.append(0, np.cumsum([len(ids) for ids in held])) * 4
+            batch = pa.RecordBatch.from_arrays([*columns, blocks.binaries(np.concatenate(held).astype("<u4").view(np.uint8), ends)], names)
+            rows.clear(), held.clear()
             return batch
 
         for part, ids, ends in piecewise.encoded(batches, vocabulary, end):
-            raw = memoryview(ids.astype("<u4").tobytes())
             for i, key in enumerate(part.column("doc_id").to_pylist()):
-                n = int(ends[i + 1] - ends[i])
-                for sequence in bins.add((key, n, bytes(raw[4 * ends[i] : 4 * ends[i + 1]])), n):
+                own = ids[ends[i] : ends[i + 1]]
+                for sequence in bins.add((key, len(own)), own):
                     put(sequence)
             if rows:
                 yield out()

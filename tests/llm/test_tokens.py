@@ -14,6 +14,7 @@ from loamspark.llm import byte_bpe, packing, piecewise, queries, token_files
 ODD = [
     None, "", " ", "\n", "  a  b\n\n c\t d ", "a\u00a0b c\u3000d e", "é è\nñ ü  ß\n", "<|endoftext|> x<|startoftext|>", "it's we'll 'S 's\n't", "\u2028 a \u2028b", "a b" * 50,
     "x" * 3000, "0 1\n22 333\r\n4444 \r\n5", "¿Qué? «sí» — no… \U0001f600 \U0001f600\n\u0301a \u0301", "ÀÉ ÊÈ Σας ΣΑΣ İ", "trailing ", " leading", "\x1c a\x1cb \x85c",
+    "a'Σ b.Σ ΑΣ' x1y22z", "it's,we'll.'S it'S", "a\0b \0 c\n\0\nd", "…a— “b”… é", "a.\n.b $$$ c%%%", "e\u0301 E\u0301. \u0130x",
 ]
 
 
@@ -106,10 +107,14 @@ def test_cut_and_bins():
     for i in range(3000):
         n = rng.randint(1, 3000)
         total += n
-        out += bins.add(i, n)
+        out += bins.add(i, np.arange(n))
+    pending = [ids for pieces in bins.open.values() for _, _, ids in pieces]
+    assert all(ids.base is None for ids in pending) and sum(map(len, pending)) <= 2048 * len(bins.open)
     full = len(out)
     out += bins.finish()
-    sizes = [sum(s for _, _, s in q) for q in out]
+    for _, at, ids in (piece for q in out for piece in q):
+        assert ids[0] == at and ids[-1] == at + len(ids) - 1
+    sizes = [sum(len(ids) for _, _, ids in q) for q in out]
     assert all(2048 - 45 <= s <= 2048 for s in sizes[:full])
     assert sum(sizes) == total and all(s == 2048 or s & (s - 1) == 0 for s in sizes[full:])
     assert not list(bins.finish())
