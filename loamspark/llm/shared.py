@@ -7,6 +7,7 @@ a Parquet table below the folder that the cluster names in ``spark.checkpoint.di
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,20 +15,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of sessions without a shared one, by application.
-_LOCAL: dict[str, str] = {}
+#: The folder of each application's tables.
+_FOLDERS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), a temporary one is set and removed at exit."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = tempfile.mkdtemp(prefix="loamspark-")
-            atexit.register(shutil.rmtree, _LOCAL[app], True)
-        found = f"file://{_LOCAL[app]}"
-    return found.rstrip("/")
+    """The application's own folder below the cluster's shared one, removed when the driver's interpreter ends.
+
+    Where no shared folder is set and Spark runs in one process (tests), a temporary one serves; on a cluster that is an error.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+        if found:
+            _FOLDERS[app] = f"{found.rstrip('/')}/loamspark-{app}"
+            atexit.register(_remove, spark, _FOLDERS[app])
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            local = tempfile.mkdtemp(prefix="loamspark-")
+            atexit.register(shutil.rmtree, local, True)
+            _FOLDERS[app] = f"file://{local}"
+        else:
+            raise ValueError("spark.checkpoint.dir is not set, and executors share no other folder")
+    return _FOLDERS[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if the session still lives."""
+    jsc = spark._jsc.sc()
+    if not jsc.isStopped():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,9 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Removes the files behind ``written()`` when nothing reads them any more."""
-    jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-    path = jvm.org.apache.hadoop.fs.Path(df._loam_path)
-    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+    _remove(df.sparkSession, df._loam_path)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

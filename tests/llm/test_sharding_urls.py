@@ -2,6 +2,8 @@ import random
 import zlib
 
 import duckdb
+from pyspark.sql import functions as F
+
 from loamspark.llm import queries, sharding, url_filter
 
 
@@ -26,17 +28,39 @@ def test_difference():
     assert sharding.difference([1, 2], 1) == ([0, 0], [3])
 
 
-def test_combine_balances_workers():
+def test_combine_balances_cells():
     rng = random.Random(0)
-    partial = {w: [rng.randint(0, 10**6) for _ in range(16)] for w in range(40)}
-    to = sharding._combine(partial, 16)
-    sums = [0] * 16
-    for w, bins in to.items():
-        assert sorted(bins) == list(range(16))
-        for b, s in enumerate(bins):
-            sums[s] += partial[w][b]
-    assert max(sums) - min(sums) < 400_000
-    assert sharding._combine({}, 16) == {}
+    sums = [(w, b, rng.randint(0, 10**6)) for w in range(40) for b in range(16) if rng.random() < 0.95]
+    to = sharding._combine(sums, 16)
+    whole = [0] * 16
+    for w, b, size in sums:
+        whole[to[w, b]] += size
+    assert all(sorted(to[w, b] for b in range(16)) == list(range(16)) for w in range(40))
+    assert max(whole) - min(whole) < 400_000
+    assert sharding._combine([], 16) == {}
+
+
+def test_levels_are_near_differencing_at_once(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["x" * int(rng.paretovariate(1.1) * 20) + str(i) for i in range(4000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, texts[i]) for i in range(0, 300, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    best = sharding.difference([(len(t) + 1) * (2 if i < 300 and i % 3 == 0 else 1) for i, t in enumerate(texts)], 16)[1]
+    found = []
+    # Few groups at once and a cell, and few cells a task, make four levels.
+    for parts, batch, few in ((1, 10_000, False), (3, 37, True), (5, 500, True)):
+        if few:
+            for name, value in (("AT_ONCE", 100), ("LARGE", 200), ("CELL_GROUPS", 30), ("CELL_BINS", 16), ("RESERVED", 4), ("FAN", 4)):
+                monkeypatch.setattr(sharding, name, value)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = sharding.shard(df.orderBy(F.rand(parts)).repartition(parts)).collect()
+        sums = check(dict(rows), got)
+        # The smallest group has 22 bytes.
+        assert max(sums) - min(sums) <= best[0] - best[-1] + 40
+        found.append({tuple(r) for r in got})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.undo()
+    assert found[1] == found[2]
 
 
 def check(rows, law_rows):
