@@ -169,15 +169,13 @@ def _links(reps: DataFrame, p: Plan) -> DataFrame:
     # A sixteenth of the ids tells which buckets to split; it decides where pairs are compared, never whether.
     large = reps.where("pmod(xxhash64(id), 16) = 0").mapInArrow(explode, schema).groupBy("key").count().where(F.col("count") * 16 > BUCKET_ROWS)
     large = written(large.select("key", F.ceil(F.col("count") * 16 / BUCKET_ROWS).cast("int").alias("k")), "large")
-    known = large.count()
-    rows = keyed.withColumns({"own": F.lit(0), "part": F.lit(0).cast("long"), "crossed": F.lit(False)})
-    if known:
-        large = F.broadcast(large) if known <= BROADCAST_KEYS else large
-        own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("k")).cast("int")
-        dealt = keyed.join(large, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        part = F.least("own", "other").cast("long") * F.col("k") + F.greatest("own", "other")
-        dealt = dealt.withColumns({"part": part, "crossed": F.col("own") != F.col("other")}).drop("k", "other")
-        rows = rows.join(large, "key", "left_anti").unionByName(dealt)
+    # One pass deals all rows: those of small buckets to their one part, those of large ones to every pair of parts that holds theirs.
+    large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
+    k = F.coalesce("k", F.lit(1))
+    dealt = keyed.join(large, "key", "left").withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), "k").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    part = F.least("own", "other").cast("long") * F.col("k") + F.greatest("own", "other")
+    rows = dealt.withColumns({"part": part, "crossed": F.col("own") != F.col("other")}).drop("k", "other")
     ordered = rows.repartition("key", "part").sortWithinPartitions("key", "part")
     return ordered.mapInArrow(compare, "id long, links long, other long")
 
