@@ -17,11 +17,11 @@ from .shared import discard, written
 
 #: Labelled documents at most that a model is fitted on, taken in the order of a hash of their ids.
 MAX_TRAINING = 20_000
-#: Tokens at most in a model, highest log-odds first.
-MAX_TOKENS = 50_000
+#: Documents that must hold a token for it to have log-odds of its own; others have those of their longest known prefix.
+LEAST_DOCUMENTS = 3
 #: Weight of a token's prior, in documents; its mean is the next shorter prefix's share of toxic documents.
 PRIOR = 2.5
-#: Log-odds from which a token counts as toxic; the others share one small negative score.
+#: Log-odds from which a word raises a segment's score; those of ordinary words lie between this and 0 by chance.
 TOXIC_FROM = 1.5
 #: Segments expected by chance in a document, at most, for a segment to count as significant.
 MAX_EXPECTED = 0.5
@@ -31,9 +31,9 @@ _EDGES = "¿¡«»“”„‘’‚…–—·•  ​﻿"
 
 @dataclass
 class Model:
-    """Log-odds by prefix length (0: the whole word), and what turns segments into a score."""
+    """Tokens and their log-odds by prefix length (0: the whole word), and what turns segments into a score."""
 
-    scores: dict[int, dict[str, float]] = field(default_factory=dict)
+    scores: dict[int, tuple[pa.Array, np.ndarray]] = field(default_factory=dict)
     drift: float = -0.03
     decay: float = 1.0
     k: float = 0.1
@@ -70,44 +70,42 @@ def _counts(train: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, size, np.int32)), coded.dictionary, *map(pa.array, sums)], ["size", "token", "n0", "n1", "h0", "h1"])
 
     counted = train.mapInArrow(run, "size int, token string, n0 long, n1 long, h0 long, h1 long")
-    return counted.groupBy("size", "token").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "h0", "h1")]).where("n0 + n1 >= 3")
+    return counted.groupBy("size", "token").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "h0", "h1")]).where(F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS)
 
 
-def _log_odds(rows: list[tuple[int, str, int, int]], n0: int, n1: int) -> dict[int, dict[str, float]]:
-    """Each token's log-odds against the corpus, with a Dirichlet prior about the share of its next shorter prefix."""
-    share = {size: {t: (a, b) for s, t, a, b in rows if s == size} for size in (0, *_PREFIXES)}
+def _log_odds(counts: pa.Table, n0: int, n1: int, zero: str, one: str) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """Every token's log-odds against the corpus, with a Dirichlet prior about the share of its longest known prefix."""
     base = (n1 + 1) / (n0 + n1 + 2)
-    out: dict[int, dict[str, float]] = {}
-    means: dict[int, dict[str, float]] = {}
-    for i, size in enumerate((*_PREFIXES, 0)):
-        means[size] = {}
-        for token, (a, b) in share[size].items():
-            prior = base
-            for shorter in reversed(_PREFIXES[:i] if size else _PREFIXES):
-                if token[:shorter] in means[shorter]:
-                    prior = means[shorter][token[:shorter]]
-                    break
-            means[size][token] = (b + PRIOR * prior) / (a + b + PRIOR)
-        out[size] = {t: math.log(m / (1 - m)) - math.log(base / (1 - base)) for t, m in means[size].items()}
-    kept = sorted(((s, size, t) for size, scores in out.items() for t, s in scores.items()), reverse=True)[:MAX_TOKENS]
-    return {size: {t: s for s, z, t in kept if z == size} for size in out}
+    means: dict[int, tuple[pa.Array, np.ndarray]] = {}
+    for size in (*_PREFIXES, 0):
+        own = counts.filter(pc.and_(pc.equal(counts.column("size"), size), pc.greater(pc.add(counts.column(zero), counts.column(one)), 1)))
+        tokens = pa.concat_arrays([pa.array([], pa.string()), *own.column("token").chunks])
+        a, b = (own.column(c).to_numpy().astype(float) for c in (zero, one))
+        prior = np.full(len(tokens), base)
+        for shorter, (known, share) in means.items():
+            at = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(tokens, 0, shorter), value_set=known), -1).to_numpy()
+            prior[at >= 0] = share[at[at >= 0]]
+        means[size] = tokens, (b + PRIOR * prior) / (a + b + PRIOR)
+    return {size: (tokens, np.log(m / (1 - m)) - math.log(base / (1 - base))) for size, (tokens, m) in means.items()}
 
 
 def _word_scores(words: pa.Array, model: Model) -> np.ndarray:
-    """The log-odds of the word, or of its longest known prefix; nan where none is known."""
-    found = np.full(len(words), np.nan)
-    for size in (0, *reversed(_PREFIXES)):
-        table = model.scores.get(size)
-        if not table:
+    """The log-odds of each word, or of its longest known prefix, or 0 where none is known."""
+    found = np.zeros(len(words))
+    for size in (*_PREFIXES, 0):
+        if size not in model.scores:
             continue
-        missing = np.isnan(found)
-        keys = pc.utf8_slice_codeunits(words, 0, size) if size else words
-        at = pc.index_in(keys, pa.array(list(table))).to_numpy(zero_copy_only=False).astype(float)
-        hit = missing & ~np.isnan(at)
-        found[hit] = np.array(list(table.values()))[at[hit].astype(int)]
+        tokens, scores = model.scores[size]
+        at = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(words, 0, size) if size else words, value_set=tokens), -1).to_numpy()
+        found[at >= 0] = scores[at[at >= 0]]
     return found
 
 
+def _steps(odds: np.ndarray, model: Model) -> np.ndarray:
+    """What a word adds to a segment: its log-odds, if they are toxic; else the drift, which is that of no toxic word, and its log-odds below 0."""
+    return np.where(odds >= TOXIC_FROM, odds, np.minimum(odds, 0) + model.drift)
+
+
 def segments(places: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, as first place, last place and score (Ruzzo and Tompa's linear scan).
 
@@ -134,9 +132,8 @@ def segments(places: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[
 def _scan(part: pa.RecordBatch, model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]], np.ndarray]]:
     """Number of words, maximal segments by word, and the byte of every word's start, for each row."""
     words, index, starts, at = _units(part)
-    by_word = _word_scores(words, model)
-    score = np.where(by_word >= TOXIC_FROM, by_word, model.drift)[index] if len(index) else np.zeros(0)
-    # A toxic word right after itself says nothing new.
+    score = _steps(_word_scores(words, model), model)[index] if len(index) else np.zeros(0)
+    # Log-odds are of documents that hold a word, however often, so a toxic word right after itself says nothing new.
     score[1:][(index[1:] == index[:-1]) & (score[1:] > 0)] = model.drift
     total = np.append(0.0, np.cumsum(score))
     hot = np.flatnonzero(score > 0)
@@ -169,7 +166,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = M
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from at most MAX_TRAINING labelled documents: calibrated on one half with the log-odds of the other, then given those of all.
 
-    ``labels`` holds the rows that may be learnt from. Without labels of both kinds the model scores everything 0.5 or less.
+    ``labels`` holds the rows that may be learnt from, any other columns of either table are not read; ids that are null or have no label 0 or 1 are not
+    learnt from, an id with both labels counts as the more frequent, a tie as 1. Null and empty texts hold no word; rows that repeat an id are learnt from each. Without
+    labels of both kinds in both halves, as with an empty table, the model scores everything 0.5 or less.
     """
     train = written(training_rows(docs, labels, label), "train")
     sizes = {(r["half"], r["label"]): r["n"] for r in train.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
@@ -177,49 +176,50 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         discard(train)
         return Model(weights=(-1.0, 0.0, 0.0))
     n0, n1 = sizes[0, 0] + sizes[1, 0], sizes[0, 1] + sizes[1, 1]
-    counts = written(_counts(train), "counts")
+    counted = written(_counts(train), "counts")
     share = F.col("n1") / (F.col("n0") + F.col("n1"))
-    likely = counts.where((F.col("size") == _PREFIXES[0]) & (share >= 1.5 * n1 / (n0 + n1))).orderBy(F.desc("n1"), "token").limit(MAX_TOKENS).select(F.col("token").alias("stem"))
-    strong = counts.where((share >= 0.4) & (F.col("n1") >= 3))
-    stem = F.substring("token", 1, _PREFIXES[0])
-    near = counts.join(F.broadcast(likely), stem == F.col("stem"), "left_semi")
-    rows_all = strong.unionAll(near).distinct().orderBy(F.desc("n1"), "size", "token").limit(4 * MAX_TOKENS).collect()
-    model = Model(scores=_log_odds([(r["size"], r["token"], r["h0"], r["h1"]) for r in rows_all if r["h0"] + r["h1"] > 1], sizes[0, 0], sizes[0, 1]))
-    discard(counts)
+    # Tokens that toxic documents favour clearly, and all tokens with the first letters of those that they favour at all; the others are ordinary.
+    strong = (share >= 0.4) & (F.col("n1") >= LEAST_DOCUMENTS)
+    stems = counted.where((F.col("size") == _PREFIXES[0]) & (share >= 1.5 * n1 / (n0 + n1))).select(F.col("token").alias("stem"), F.lit(True).alias("near"))
+    counts = counted.join(stems, F.substring("token", 1, _PREFIXES[0]) == F.col("stem"), "left").where(strong | F.col("near")).drop("stem", "near")
+    counts = counts.orderBy("size", "token").toArrow()
+    # On one half's documents, with the log-odds of the other.
+    model = Model(scores=_log_odds(counts, sizes[0, 0], sizes[0, 1], "h0", "h1"))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks.slices(batch, "text"):
                 words, index, _, at = _units(part)
-                by_word = _word_scores(words, model)
-                score = np.where(by_word >= TOXIC_FROM, by_word, 0.0)[index] if len(index) else np.zeros(0)
-                ends = np.append(0.0, np.cumsum(score > 0))
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(np.diff(at)), pa.array(np.diff(ends[at]).astype(np.int64))], ["label", "n", "hot"])
+                hot = np.append(0, np.cumsum((_word_scores(words, model) >= TOXIC_FROM)[index]))
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(np.diff(at)), pa.array(np.diff(hot[at]))], ["label", "n", "hot"])
 
     seen = train.where("half = 1").mapInArrow(hits, "label int, n long, hot long").groupBy("label").agg(F.sum("n").alias("n"), F.sum("hot").alias("hot")).collect()
     rate = {r["label"]: (r["hot"] + 1) / (r["n"] + 100) for r in seen}
-    model.drift = math.log1p(-min(0.5, rate.get(1, 0.02))) - math.log1p(-min(0.5, rate.get(0, 0.0)))
-    model.drift = min(model.drift, -1e-3)
+    model.drift = min(-1e-3, math.log1p(-min(0.5, rate.get(1, 0.02))) - math.log1p(-min(0.5, rate.get(0, 0.0))))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks.slices(batch, "text"):
-                got = [(n, [s for _, _, s in found]) for n, found, _ in _scan(part, model)]
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([n for n, _ in got], pa.int64()), pa.array([x for _, x in got], pa.list_(pa.float64()))], ["label", "n", "all"])
+                got = [(n, max((x for _, _, x in found), default=0.0)) for n, found, _ in _scan(part, model)]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([x for _, x in got], pa.float64())], ["n", "high"])
 
-    rows = train.where("half = 1").mapInArrow(scan, "label int, n long, all array<double>").collect()
-    discard(train)
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks.slices(batch, "text"):
+                got = [_evidence(n, found, model)[:2] for n, found, _ in _scan(part, model)]
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.float64())], ["label", "total", "density"])
+
+    half = train.where("half = 1")
     # Gumbel's location by maximum likelihood over the clean documents; scores are log-odds, so they decay with 1.
-    clean = [(r["n"], max(r["all"], default=0.0)) for r in rows if r["label"] == 0 and r["n"]]
-    model.k = min(1.0, max(1e-9, len(clean) / max(1e-9, sum(n * math.exp(-model.decay * s) for n, s in clean))))
-    x, y = [], []
-    for r in rows:
-        total, density, _ = _evidence(r["n"], [(0, 0, s) for s in r["all"]], model)
-        x.append((1.0, *_features(total, density)))
-        y.append(r["label"])
-    model.weights = tuple(_logistic(np.array(x), np.array(y, float)))
+    clean = half.where("label = 0").mapInArrow(highest, "n long, high double").where("n > 0").collect()
+    model.k = min(1.0, max(1e-9, len(clean) / max(1e-9, sum(r["n"] * math.exp(-model.decay * r["high"]) for r in clean))))
+    rows = half.mapInArrow(evidence, "label int, total double, density double").collect()
+    for table in (counted, train):
+        discard(table)
+    x = [(1.0, *_features(r["total"], r["density"])) for r in rows]
+    model.weights = tuple(_logistic(np.array(x), np.array([r["label"] for r in rows], float)))
     # What was calibrated on unseen documents holds for the log-odds from all of them.
-    model.scores = _log_odds([(r["size"], r["token"], r["n0"], r["n1"]) for r in rows_all], n0, n1)
+    model.scores = _log_odds(counts, n0, n1, "n0", "n1")
     return model
 
 
@@ -274,7 +274,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text scores below ``threshold``."""
+    """The rows of ``docs``, with all columns whatever their names, whose text scores below ``threshold``.
+
+    Null and empty texts have no passage and stay, as the score of no evidence is low; repeated rows and rows without id are judged like any; an
+    empty table stays empty. Nothing is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
