@@ -34,8 +34,8 @@ def trim() -> None:
         _malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in row ranges of at most ``limit`` text bytes, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``batch`` in row ranges of at most ``limit`` text bytes and ``rows`` rows, one row at least."""
     n = batch.num_rows
     if not n:
         return
@@ -44,7 +44,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     at = 0
     while at < n:
         base = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        stop = max(at + 1, min(int(np.searchsorted(ends, base + limit, side="right")), at + (rows or n)))
         yield batch.slice(at, stop - at)
         at = stop
     trim()

@@ -22,7 +22,10 @@ DIMENSIONS = 64
 NEIGHBOURS = 15
 #: Similarities are raised to this power before they weight a label.
 SHARPNESS = 8
-_BYTES = 4 << 20
+#: Cosines no further apart than rounding are tied.
+_TIED = 1e-6
+#: Text bytes and rows of a slice; a row's terms take some 50 kB while they are worked on.
+_SLICE = (4 << 20, 1024)
 
 
 @dataclass
@@ -77,16 +80,19 @@ def _normal(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Latent axes and labelled vectors from at most MAX_LABELLED labelled documents.
 
-    ``labels`` holds the rows that may be learnt from; without any, the model has no vectors.
+    ``labels`` holds the rows that may be learnt from, any other columns of either table are not read; ids that are null or have no
+    label 0 or 1 are not learnt from, an id with both labels counts as the more frequent, a tie as 1. Null and empty texts have the zero vector; rows that
+    repeat an id are learnt from each. Without labelled documents, or with an empty table, the model has no vectors. The model depends on no order of the rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks.slices(batch, "text", _BYTES):
+            for part in blocks.slices(batch, "text", *_SLICE):
                 x = terms(part)
                 yield pa.RecordBatch.from_arrays([part.column("label"), blocks.binaries(x.view(np.uint8).reshape(-1), np.arange(len(x) + 1) * x.shape[1] * 4)], ["label", "terms"])
 
     rows = training_rows(docs, labels, label, MAX_LABELLED).mapInArrow(run, "label int, terms binary").collect()
+    rows.sort(key=lambda r: (bytes(r["terms"]), r["label"]))
     if not rows:
         return Model(np.ones(TRIGRAMS + SHAPES, np.float32), np.zeros((TRIGRAMS + SHAPES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
     x = np.stack([np.frombuffer(r["terms"], np.float32) for r in rows])
@@ -103,7 +109,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 
 def vote(x: np.ndarray, model: Model) -> np.ndarray:
-    """The share of label 1 among the nearest labelled vectors, weighted by cosine; 1 where there is no vector to compare."""
+    """The share of label 1 among the nearest labelled vectors, weighted by cosine; 1 where there is no vector to compare.
+
+    All vectors that are tied in the last place vote, with that place's share of the weight each. So the zero vector, equally
+    far from all, gets the share of all labels.
+    """
     if not len(model.labels):
         return np.ones(len(x))
     z = _unit(_normal(x * model.weight) @ model.axes)
@@ -111,35 +121,49 @@ def vote(x: np.ndarray, model: Model) -> np.ndarray:
     k = min(NEIGHBOURS, len(model.labels))
     for at in range(0, len(z), 512):
         cos = z[at : at + 512] @ model.vectors.T
-        near = np.argpartition(cos, -k, axis=1)[:, -k:] if k < cos.shape[1] else np.broadcast_to(np.arange(k), cos.shape)
-        w = np.maximum(np.take_along_axis(cos, near, 1).astype(np.float64), 1e-3) ** SHARPNESS
-        out[at : at + 512] = (w * model.labels[near]).sum(axis=1) / w.sum(axis=1)
+        near = np.argpartition(cos, -k, axis=1)[:, -k:]
+        found = np.take_along_axis(cos, near, 1)
+        w = np.maximum(found.astype(np.float64), 1e-3) ** SHARPNESS
+        votes, weight = (w * model.labels[near]).sum(axis=1), w.sum(axis=1)
+        edge = found.min(axis=1)
+        for i in np.flatnonzero((cos >= edge[:, None] - _TIED).sum(axis=1) > k):
+            tied = np.abs(cos[i] - edge[i]) <= _TIED
+            above = (cos[i] > edge[i]) & ~tied
+            w = np.maximum(cos[i][above].astype(np.float64), 1e-3) ** SHARPNESS
+            last = (k - above.sum()) * max(float(edge[i]), 1e-3) ** SHARPNESS
+            votes[i] = (w * model.labels[above]).sum() + last * model.labels[tied].mean()
+            weight[i] = w.sum() + last
+        out[at : at + 512] = votes / weight
     return np.clip(out, 0, 1)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score``: the weighted vote of the NEIGHBOURS nearest labelled documents for label 1, from 0 to 1.
 
-    Only the whole text counts. Null and empty texts have the zero vector, equally far from all. Repeated rows and
+    Only the whole text counts. Null and empty texts have the zero vector, equally far from all, and score the share of all labels. Repeated rows and
     null ids keep their rows; other columns are not read; an empty table gives an empty one. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks.slices(batch, "text", _BYTES):
+            for part in blocks.slices(batch, "text", *_SLICE):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(vote(terms(part), shared.value))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text scores at least ``threshold``."""
+    """The rows of ``docs``, with all columns whatever their names, whose text scores at least ``threshold``.
+
+    Null and empty texts score the share of all labels, so all of them stay or go together; repeated rows and rows without id are judged like any;
+    an empty table stays empty; a model without labelled vectors keeps all. Nothing is shuffled.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks.slices(batch, "text", _BYTES):
+            for part in blocks.slices(batch, "text", *_SLICE):
                 yield part.filter(pa.array(vote(terms(part), shared.value) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

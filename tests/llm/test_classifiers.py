@@ -109,6 +109,24 @@ def test_votes_are_those_of_all_cosines():
         assert abs(s - (w * model.labels[near]).sum() / w.sum()) < 1e-4
 
 
+def test_ties_in_the_last_place_all_vote():
+    """Copies past the last place and the zero vector: the votes depend on no order of the labelled rows."""
+    size = quality_knn.TRIGRAMS + quality_knn.SHAPES
+    axes = np.zeros((size, 2), np.float32)
+    axes[0, 0] = axes[1, 1] = 1
+    refs = np.array([[1, 0]] * 40 + [[0, 1]] * 10, np.float32)
+    labels = np.array([1] * 10 + [0] * 30 + [1] * 10, np.float32)
+    x = np.zeros((2, size), np.float32)
+    x[0, 0] = 1
+    for order in (np.arange(50), np.arange(50)[::-1]):
+        got = quality_knn.vote(x, quality_knn.Model(np.ones(size, np.float32), axes, refs[order], labels[order]))
+        assert np.allclose(got, [0.25, 0.4])
+    some = np.array([[0.9, 0.1, 0]], np.float32)
+    model = quality_knn.Model(np.ones(size, np.float32), axes, refs[5:], labels[5:])
+    x[1, :2] = some[0, :2]
+    assert abs(quality_knn.vote(x, model)[1] - 5 / 35) < 1e-6
+
+
 def test_terms_do_not_cross_rows():
     texts = ["abc abc", "", None, "XYZ!\nq", "ab"]
     together = quality_knn.terms(pa.RecordBatch.from_pydict({"text": pa.array(texts)}))
