@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .shared import connected_components, written
+from .shared import connected_components, discard, written
 
 #: Words of a shingle; documents are linked where 100 * intersection >= LEAST * union, or another threshold of RADII.
 WORDS = 5
@@ -116,7 +116,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, s1, s2, sig``: the set's size and identity (128 bits) and its signature, null for an empty set."""
+    """``doc_id, t, n, s1, s2, sig``: the text's hash, the set's size and identity (128 bits) and its signature, null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,11 +126,12 @@ def _narrow(docs: DataFrame) -> DataFrame:
                 sig = iter(signatures(full)) if full else iter(())
                 ids = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(i[0]) for i in ids], pa.int64()), pa.array([int(i[1]) for i in ids], pa.int64()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n", "s1", "s2", "sig"],
+                    [part.column("doc_id"), part.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(i[0]) for i in ids], pa.int64()), pa.array([int(i[1]) for i in ids], pa.int64()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
+                    ["doc_id", "t", "n", "s1", "s2", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    return rows.mapInArrow(run, "doc_id long, t long, n long, s1 long, s2 long, sig binary")
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,12 +217,12 @@ def candidate_edges(reps: DataFrame, least: int = LEAST) -> DataFrame:
 def exact_edges(docs: DataFrame, clusters: DataFrame, least: int = LEAST) -> DataFrame:
     """``a, b``: a spanning forest of the links within each cluster, by the full sets of its documents.
 
-    ``clusters`` has ``node, component, n``. A cluster's documents are dealt to parts; every pair of parts is a task's unit, so
+    ``clusters`` has ``node, component, n`` and ``id, t``, the document and text that stand for the node. A cluster's documents are dealt to parts; every pair of parts is a task's unit, so
     no cluster meets in one task. Every pair of a cluster's documents is compared unless it is connected already.
     """
     size = clusters.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     size = size.select("component", F.greatest(F.least(F.ceil(F.col("docs") / PART_DOCS), F.lit(MAX_PARTS)), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int").alias("k"))
-    members = written(clusters.join(size, "component").select(F.col("node").alias("id"), "component", "k"), "members")
+    members = written(clusters.join(size, "component").select("node", "id", "t", "component", "k"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +230,7 @@ def exact_edges(docs: DataFrame, clusters: DataFrame, least: int = LEAST) -> Dat
                 found = shingle_sets(part)
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 rows = blocks.binaries(flat.view(np.uint8), np.cumsum([0, *map(len, found)]) * 8)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("component"), part.column("k"), rows], ["id", "component", "k", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("component"), part.column("k"), rows], ["id", "component", "k", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks.runs(batches, ["component", "part"]):
@@ -244,7 +245,7 @@ def exact_edges(docs: DataFrame, clusters: DataFrame, least: int = LEAST) -> Dat
             if (found := _edges(ids, pairs)) is not None:
                 yield found
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.hint("shuffle_hash"), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text").join(members.hint("shuffle_hash"), ["id", "t"])
     rows = texts.mapInArrow(sets, "id long, component long, k int, shingles binary")
     ordered = _parts(rows, "id").repartition("component", "part").sortWithinPartitions("component", "part")
     return ordered.mapInArrow(compare, "a long, b long")
@@ -276,6 +277,29 @@ def linked(sets: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.n
     return forest(len(sets), near)
 
 
+def _components(docs: DataFrame, least: int) -> DataFrame:
+    """``doc_id, t, n, node, name`` of every row: its text's hash, its set's size, and the component's number and smallest id (null for an empty set and without id)."""
+    narrow = written(_narrow(docs), "sets")
+    known = narrow.where("n > 0 and doc_id is not null")
+    same = known.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "t", "sig")).alias("first"))
+    # Sets are numbered, as one id can have several.
+    reps = same.select("s1", "s2", "n", F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("id"), F.col("first.t").alias("t"), F.col("first.sig").alias("sig"))
+    reps = written(reps, "reps")
+    clusters = connected_components(candidate_edges(reps.select(F.col("node").alias("id"), "n", "sig"), least))
+    links = connected_components(exact_edges(docs, clusters.join(reps.select("node", "id", "t", "n"), "node"), least)).withColumnRenamed("component", "root")
+    found = written(reps.select("s1", "s2", "n", "node", "id").join(links, "node", "left"), "found")
+    names = found.where("root is not null").groupBy("root").agg(F.min("id").alias("name"))
+    found = found.join(names, "root", "left").select("s1", "s2", "n", F.coalesce("root", "node").alias("node"), F.coalesce("name", "id").alias("name"))
+    out = narrow.select("doc_id", "t", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
+    return out.select("doc_id", "t", "n", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("node", "name")))
+
+
+def _checked(least: int) -> int:
+    if least not in RADII:
+        raise ValueError("radii are calibrated for the thresholds of RADII")
+    return least
+
+
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``, linked at ``least`` hundredths, a threshold of RADII.
 
@@ -288,34 +312,28 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     without id is linked with nothing, has no component and is kept. Other columns are not read; an empty
     table gives an empty one.
     """
-    if least not in RADII:
-        raise ValueError("radii are calibrated for the thresholds of RADII")
-    narrow = written(_narrow(docs), "sets")
-    known = narrow.where("n > 0 and doc_id is not null")
-    same = known.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
-    reps = written(same.select("s1", "s2", "n", F.col("first.doc_id").alias("id"), F.col("first.sig").alias("sig")), "reps")
-    clusters = connected_components(candidate_edges(reps.select("id", "n", "sig"), least))
-    # Two sets can have one id where rows repeat it; the larger stands for the cluster's size.
-    size = reps.groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n"))
-    links = connected_components(exact_edges(docs, clusters.join(size, "node"), least))
-    found = reps.select("s1", "s2", "n", "id").join(links.select(F.col("node").alias("id"), "component"), "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
-    out = narrow.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    rows = _components(docs, _checked(least))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs``, with all columns, that ``dedup`` at ``least`` keeps: one document of each group.
+    """The rows of ``docs``, with all columns whatever their names, but for near duplicates at ``least``: one document of each of ``dedup``'s groups.
 
-    Of rows that repeat an id one stays, its sets alike or not; an id stays if any of its rows is kept. Rows without id stay.
+    A group keeps the document of the smallest id, of several texts under that id the one of the smallest hash. Texts without a word are in no group
+    and stay, so do rows without id. Of rows that repeat an id and its text one stays, the one whose columns have the smallest hash
+    as JSON. So nothing depends on the order or the partitions of the rows. An empty table stays empty.
     """
-    key = "__loamspark_id"
-    found = dedup(docs, least).where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    found = written(found, "kept")
-    ids = found.where("not kept").select(key)
-    own = F.col("doc_id").cast("long") == F.col(key)
-    out = docs.join(ids, own, "left_anti")
-    twice = found.where("kept and rows > 1").select(key)
+    rows = _components(docs, _checked(least)).where("doc_id is not null")
+    texts = written(rows.groupBy(F.col("doc_id").alias("id"), "t").agg(F.max("node").alias("node"), F.count("*").alias("rows")), "texts")
+    first = texts.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "t")).alias("first")).select(F.col("first.id").alias("id"), F.col("first.t").alias("t"), F.lit(True).alias("first"))
+    kept = written(texts.join(first, ["id", "t"], "left").select("id", "t", "rows", (F.col("node").isNull() | F.coalesce("first", F.lit(False))).alias("stays")), "kept")
+    discard(texts)
+    # The row travels as one column, so its names clash with nothing.
+    nested = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), F.struct("*").alias("row"))
+    out = nested.join(kept.where("not stays").select("id", "t"), ["id", "t"], "left_anti")
+    twice = kept.where("stays and rows > 1").select("id", "t")
     if not twice.isEmpty():
-        out = out.join(twice, own, "left_anti").unionAll(out.join(twice, own, "left_semi").dropDuplicates(["doc_id"]))
-    return out
+        again = out.join(twice, ["id", "t"], "left_semi").groupBy("id", "t").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        out = out.join(twice, ["id", "t"], "left_anti").unionByName(again)
+    return out.select("row.*")

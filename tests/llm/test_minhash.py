@@ -18,7 +18,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def brute(rows, least=85):
     """Size and component of every id."""
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
@@ -34,7 +34,7 @@ def brute(rows):
             by.setdefault(x, []).append(i)
     for pair in {(a, b) for ids in by.values() for a in ids for b in ids if a < b}:
         a, b = sets[pair[0]], sets[pair[1]]
-        if 100 * len(a & b) >= 85 * len(a | b):
+        if 100 * len(a & b) >= least * len(a | b):
             x, y = root(pair[0]), root(pair[1])
             parent[max(x, y)] = min(x, y)
     return {i: (len(s), root(i)) for i, s in sets.items()}

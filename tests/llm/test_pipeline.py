@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark, small):
     docs = spark.createDataFrame(good.collect(), docs.schema)
     single = c.drop_near_duplicates(spark, docs, sf)
     assert single.columns == docs.columns
-    left = {i for i, (_, root) in brute([(i, text[i]) for i in left]).items() if i == root}
+    left = {i for i, (_, root) in brute([(i, text[i]) for i in left], 80).items() if i == root}
     assert {r.doc_id for r in single.collect()} == left
     docs = spark.createDataFrame(single.collect(), docs.schema)
     plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
