@@ -19,13 +19,8 @@ def revcomp(seq: Column) -> Column:
     return F.reverse(F.translate(F.upper(seq), "ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN"))
 
 
-def _once(value: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def canonical(kmer: Column) -> Column:
-    return _once(kmer, lambda x: F.least(x, revcomp(x)))
+    return F.least(kmer, revcomp(kmer))
 
 
 def valid(kmer: Column, bases: str = "ACGT") -> Column:
@@ -36,7 +31,8 @@ def valid(kmer: Column, bases: str = "ACGT") -> Column:
 def hash_hex(kmer: Column, seed: int = 42) -> Column:
     """The first 8 bytes of md5(seed, k-mer) as a little-endian number, in 16 hexadecimal digits that sort like it."""
     h = F.md5(F.concat(F.lit(seed.to_bytes(8, "little")), F.encode(kmer, "utf-8")))
-    return _once(h, lambda x: F.concat(*[F.substring(x, i, 2) for i in range(15, 0, -2)]))
+    # Plain uses of h: generated code computes a repeated expression once, and a lambda would leave generated code.
+    return F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)])
 
 
 def below(scale: float) -> str:

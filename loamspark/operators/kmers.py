@@ -6,7 +6,9 @@ small one broadcast by Spark's own choice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamspark.functions import dna
@@ -27,13 +29,15 @@ def hashes(sequences: DataFrame, k: int, bases: str = "ACGT") -> DataFrame:
     if k < 1:
         raise ValueError("k must be 1 or more")
     # Sequences are cut into overlapping pieces first: a substring walks from its string's start, and every k-mer row carries the
-    # string that it is cut from, so both would grow with the square of a long sequence.
+    # string that it is cut from, so both would grow with the square of a long sequence. A piece is complemented and checked as a whole.
     rows = spread(sequences.select("id", "sequence")).select("id", F.upper("sequence").alias("s"))
     cut = rows.select("id", "s", F.explode(F.when(F.length("s") >= k, F.sequence(F.lit(0), F.length("s") - k, F.lit(PIECE)))).alias("at"))
     pieces = cut.select("id", "at", F.substring(F.col("s"), F.col("at") + 1, F.lit(PIECE + k - 1)).alias("piece"))
-    at = pieces.select("id", "at", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - k)).alias("i"))
-    windows = at.select("id", (F.col("at") + F.col("i")).alias("pos"), F.substring(F.col("piece"), F.col("i") + 1, F.lit(k)).alias("kmer")).where(dna.valid(F.col("kmer"), bases))
-    return windows.select("id", "pos", dna.hash_hex(dna.canonical(F.col("kmer"))).alias("hash"))
+    ready = pieces.select("id", "at", "piece", dna.revcomp(F.col("piece")).alias("back"), dna.valid(F.col("piece"), bases).alias("clean"), (F.length("piece") - k).alias("last"))
+    at = ready.select("id", "at", "piece", "back", "clean", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    kmer = F.substring(F.col("piece"), F.col("i") + 1, F.lit(k))
+    canonical = F.least(kmer, F.substring(F.col("back"), F.col("last") - F.col("i") + 1, F.lit(k)))
+    return at.where(F.col("clean") | dna.valid(kmer, bases)).select("id", (F.col("at") + F.col("i")).alias("pos"), dna.hash_hex(canonical).alias("hash"))
 
 
 def sketch(table: DataFrame, scale: float) -> DataFrame:
@@ -70,11 +74,9 @@ def coarse_query(reads: DataFrame, index: DataFrame, scale: float, top: int = 3,
     """The ``top`` species of each read by containment of its sketch; reads whose sketch is empty use all their hashes."""
     return sql(
         """WITH h AS (SELECT DISTINCT id, hash FROM {r}),
-                f AS (SELECT id, count_if(hash < {limit}) AS sketched FROM h GROUP BY id),
-                u AS (SELECT h.id, h.hash FROM h JOIN f ON f.id = h.id WHERE h.hash < {limit} OR f.sketched = 0),
-                n AS (SELECT id, count(*) AS n FROM u GROUP BY id),
-                o AS (SELECT u.id, i.species, count(*) AS c FROM u JOIN {i} i ON i.hash = u.hash GROUP BY ALL),
-                s AS (SELECT o.id, o.species, o.c / n.n AS containment FROM o JOIN n ON n.id = o.id)
+                f AS (SELECT id, hash, count(*) OVER (PARTITION BY id) AS n, count_if(hash < {limit}) OVER (PARTITION BY id) AS sketched FROM h),
+                u AS (SELECT id, hash, CASE WHEN sketched = 0 THEN n ELSE sketched END AS n FROM f WHERE hash < {limit} OR sketched = 0),
+                s AS (SELECT u.id, i.species, count(*) / u.n AS containment FROM u JOIN {i} i ON i.hash = u.hash GROUP BY u.id, i.species, u.n)
            SELECT id, species, containment, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY containment DESC, species) AS rn FROM s WHERE containment >= {least}) WHERE rn <= {top}""",
         r=reads, i=index, limit=dna.below(scale), top=top, least=least,
     )
@@ -83,37 +85,75 @@ def coarse_query(reads: DataFrame, index: DataFrame, scale: float, top: int = 3,
 def genes_at(table: DataFrame, genes: DataFrame, bin_size: int = 1000) -> DataFrame:
     """Every k-mer with the first gene, by start, whose [start, end) holds its position; null without one.
 
-    Genes are dealt to the bins that they overlap, so the range join is an equi-join on strain and bin.
+    A bin of a sequence has one row with the genes that overlap it, in order, so a k-mer meets one row at most and is neither sorted nor counted.
     """
     return sql(
-        """WITH g AS (SELECT id, gene, start, `end`, explode(sequence(cast(floor(start / {w}) AS INT), cast(floor((`end` - 1) / {w}) AS INT))) AS bin FROM {g} WHERE `end` > start),
-                x AS (SELECT t.id, t.pos, t.hash, g.gene, row_number() OVER (PARTITION BY t.id, t.pos ORDER BY g.start, g.gene) AS rn
-                      FROM {t} t LEFT JOIN g ON g.id = t.id AND g.bin = cast(floor(t.pos / {w}) AS INT) AND g.start <= t.pos AND t.pos < g.`end`)
-           SELECT id, pos, hash, gene FROM x WHERE rn = 1""",
+        """WITH g AS (SELECT id, struct(start, gene, `end`) AS gene, explode(sequence(cast(floor(start / {w}) AS INT), cast(floor((`end` - 1) / {w}) AS INT))) AS bin FROM {g} WHERE `end` > start),
+                b AS (SELECT id, bin, sort_array(collect_list(gene)) AS genes FROM g GROUP BY id, bin)
+           SELECT t.id, t.pos, t.hash, get(filter(b.genes, x -> x.start <= t.pos AND t.pos < x.`end`), 0).gene AS gene
+           FROM {t} t LEFT JOIN b ON b.id = t.id AND b.bin = cast(floor(t.pos / {w}) AS INT)""",
         t=table, g=genes, w=bin_size,
     )
 
 
-def fine_query(reads: DataFrame, index: DataFrame, least: float = 0.1) -> DataFrame:
+def fine_query(reads: DataFrame, index: DataFrame, least: float = 0.1, best: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """Strains of each read by the part of its distinct hashes that they hold, and the gene with most votes.
 
-    Every index row is a vote; without a gene wins only if no gene has as many.
+    Every index row is a vote; without a gene wins only if no gene has as many. With ``best(id, species)``, a read meets only index rows of its species.
+    The index is joined once: a read's hash in a strain counts as one hit, whatever its votes. With ``folder``,
+    the hashes to look up are written there first, so that their size is known where Spark chooses between a broadcast and a shuffle of the index.
     """
+    pruned = best is not None
+    q = sql(
+        f"""WITH h AS (SELECT id, hash, count(*) OVER (PARTITION BY id) AS n FROM (SELECT DISTINCT id, hash FROM {{r}}))
+            SELECT h.* {", b.species FROM h JOIN {b} b ON b.id = h.id" if pruned else "FROM h"}""",
+        r=reads, **({"b": best} if pruned else {}),
+    )
+    if folder:
+        path = f"{folder}/looked-up-{uuid.uuid4().hex}"
+        q.write.parquet(path)
+        q = q.sparkSession.read.schema(q.schema).parquet(path)
     return sql(
-        """WITH h AS (SELECT DISTINCT id, hash FROM {r}), n AS (SELECT id, count(*) AS n FROM h GROUP BY id),
-                v AS (SELECT h.id, i.id AS strain, i.gene, count(*) AS votes FROM h JOIN {i} i ON i.hash = h.hash GROUP BY ALL),
-                d AS (SELECT h.id, i.strain, count(*) AS hits FROM h JOIN (SELECT DISTINCT id AS strain, hash FROM {i}) i ON i.hash = h.hash GROUP BY ALL),
-                w AS (SELECT *, row_number() OVER (PARTITION BY id, strain ORDER BY votes DESC, gene IS NULL, gene) AS rn FROM v)
-           SELECT d.id, d.strain, d.hits / n.n AS containment, w.gene FROM d JOIN n ON n.id = d.id JOIN w ON w.id = d.id AND w.strain = d.strain AND w.rn = 1 WHERE d.hits / n.n >= {least}""",
-        r=reads, i=index, least=least,
+        f"""WITH m AS (SELECT q.id, q.n, i.id AS strain, q.hash, i.gene, count(*) AS votes FROM {{q}} q JOIN {{i}} i ON i.hash = q.hash {"AND i.species = q.species" if pruned else ""} GROUP BY ALL),
+                o AS (SELECT id, n, strain, collect_list(struct(gene, votes)) AS genes FROM m GROUP BY id, n, strain, hash),
+                v AS (SELECT id, n, strain, x.gene, sum(x.votes) AS votes, count_if(p = 0) AS hits FROM o LATERAL VIEW posexplode(genes) e AS p, x GROUP BY id, n, strain, x.gene),
+                w AS (SELECT id, strain, sum(hits) / n AS containment, min_by(gene, struct(-votes, gene IS NULL, gene)) AS gene FROM v GROUP BY id, n, strain)
+           SELECT id, strain, containment, gene FROM w WHERE containment >= {{least}}""",
+        q=q, i=index, least=least,
     )
 
 
-def classify(reads: DataFrame, strains: DataFrame, coarse: DataFrame, fine: DataFrame, scale: float, top: int = 3, least: float = 0.1) -> DataFrame:
-    """Coarse then fine: only strains of a read's best species are looked up."""
-    best = coarse_query(reads, coarse, scale, top)
-    hits = fine_query(reads, fine, least)
-    return sql("SELECT h.*, s.species FROM {h} h JOIN {s} s ON s.id = h.strain LEFT SEMI JOIN {b} b ON b.id = h.id AND b.species = s.species", h=hits, s=strains, b=best)
+def classify(reads: DataFrame, strains: DataFrame, coarse: DataFrame, fine: DataFrame, scale: float, top: int = 3, least: float = 0.1, folder: str | None = None) -> DataFrame:
+    """Coarse then fine: only strains of a read's best species are looked up. An index without its strains' species is given them from ``strains``."""
+    best = coarse_query(reads, coarse, scale, top).select("id", "species")
+    keyed = fine if "species" in fine.columns else fine.join(strains.select("id", "species"), "id")
+    return fine_query(reads, keyed, least, best, folder).join(strains.select(F.col("id").alias("strain"), "species"), "strain").select("id", "strain", "containment", "gene", "species")
+
+
+def save_index(strains: DataFrame, table: DataFrame, genes: DataFrame, scale: float, path: str) -> None:
+    """Writes ``fine(id, species, hash, gene)`` and, from its files, ``coarse(species, hash)``: sequences are hashed once. The scale is kept beside them."""
+    spark = table.sparkSession
+    sql("SELECT t.id, s.species, t.hash, t.gene FROM {t} t JOIN {s} s ON s.id = t.id", t=genes_at(table, genes), s=strains).write.parquet(f"{path}/fine")
+    spark.read.parquet(f"{path}/fine").where(F.col("hash") < dna.below(scale)).select("species", "hash").distinct().write.parquet(f"{path}/coarse")
+    spark.range(1).select(F.lit(float(scale)).alias("scale")).write.parquet(f"{path}/scale")
+
+
+def load_index(spark: SparkSession, path: str, species: list[str] | None = None) -> tuple[DataFrame, DataFrame, float]:
+    """The coarse and fine tables and the scale of a saved index; of some species only if they are named, which prunes the fine one's files."""
+    coarse, fine = spark.read.parquet(f"{path}/coarse"), spark.read.parquet(f"{path}/fine")
+    if species is not None:
+        coarse, fine = (x.where(F.col("species").isin(species)) for x in (coarse, fine))
+    return coarse, fine, spark.read.parquet(f"{path}/scale").first()["scale"]
+
+
+def add_to_index(strains: DataFrame, table: DataFrame, genes: DataFrame, path: str) -> None:
+    """More strains for a saved index, under its scale. Hashes that a species of the coarse table has already are not written again."""
+    spark = table.sparkSession
+    scale = load_index(spark, path)[2]
+    more = sql("SELECT t.id, s.species, t.hash, t.gene FROM {t} t JOIN {s} s ON s.id = t.id", t=genes_at(table, genes), s=strains)
+    known = spark.read.parquet(f"{path}/coarse")
+    more.where(F.col("hash") < dna.below(scale)).select("species", "hash").distinct().join(known, ["species", "hash"], "left_anti").write.mode("append").parquet(f"{path}/coarse")
+    more.write.mode("append").parquet(f"{path}/fine")
 
 
 def classification_summary(reads: DataFrame, hits: DataFrame, min_length: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ The SQL is written from the definitions, over dense tables where the operators a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from loamspark.operators import ordination as od
 from loamspark.operators import simulate as si
 from loamspark.plans import fixtures as fx
 from loamspark.plans.fixtures import views
+from loamspark.session import table_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,7 +382,11 @@ query("km_16_fine_query", f"{views('seqs_k', 'reads_k')}, {_FINE}, {_HITS} SELEC
 
 
 def _classified(s: SparkSession, d: str) -> DataFrame:
-    return km.classify(_reads_k(s, d), fx.seqs(s, d).select("id", "species"), _coarse(s, d), _fine(s, d), SCALE).withColumn("containment", F.col("containment").cast("double"))
+    """Classification against a saved index, for which the references are read and hashed once."""
+    path = f"{table_folder(s)}/index-{uuid.uuid4().hex}"
+    km.save_index(fx.seqs(s, d).select("id", "species"), _seqs_k(s, d), _genes(s, d), SCALE, path)
+    coarse, fine, scale = km.load_index(s, path)
+    return km.classify(_reads_k(s, d), fx.seqs(s, d).select("id", "species"), coarse, fine, scale, folder=table_folder(s)).withColumn("containment", F.col("containment").cast("double"))
 
 
 _CLASS = f"{_COARSE}, {_FINE}, {_HITS}, cl AS (SELECT hits.*, species FROM hits JOIN seqs ON seqs.id = hits.strain WHERE (hits.id, species) IN (SELECT id, species FROM best))"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -12,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: The folder of each application's saved tables.
+_FOLDERS: dict[str, str] = {}
 
 
 def session(name: str = "loamspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +40,27 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(target)
+
+
+def table_folder(spark: SparkSession) -> str:
+    """A folder of the application's own for tables that its queries save, below the shared one of ``spark.checkpoint.dir``, removed when the driver ends.
+
+    Where none is set, one process (tests) may use a temporary folder; a cluster is refused.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+        if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set, and executors share no other folder")
+        _FOLDERS[app] = f"{shared.rstrip('/')}/loamspark-tables-{app}" if shared else f"file://{tempfile.mkdtemp(prefix='loamspark-')}"
+        atexit.register(_remove, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if the session still lives or the folder is local."""
+    if path.startswith("file://"):
+        shutil.rmtree(path.removeprefix("file://"), True)
+    elif not spark._jsc.sc().isStopped():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
