@@ -177,3 +177,25 @@ def indicator_test(table: DataFrame, meta: DataFrame, n: int = 99) -> DataFrame:
            FROM {s} b JOIN (SELECT feature_id, iv FROM {s} WHERE perm = 0) o ON o.feature_id = b.feature_id GROUP BY ALL""",
         s=best, b=float(n + 1),
     )
+
+
+def taxonomy_breakdown(tax: DataFrame, rank: str) -> DataFrame:
+    """``rank, n``: the features of every taxon."""
+    return tax.groupBy(rank).agg(F.count("*").alias("n"))
+
+
+def top_features(table: DataFrame, n: int) -> DataFrame:
+    """The ``n`` features with the largest totals, ties to the smaller id; a top-k that no task sorts whole."""
+    return table.groupBy("feature_id").agg(F.sum("value").alias("total")).orderBy(F.desc("total"), "feature_id").limit(n)
+
+
+def membership(stats: DataFrame) -> DataFrame:
+    """``members, n``: features by the set of groups that hold any of them, groups in order and joined by ';'. Given ``(feature_id, grp, mean_value)``."""
+    held = stats.where("mean_value > 0").groupBy("feature_id").agg(F.array_join(F.sort_array(F.collect_set(F.col("grp").cast("string"))), ";").alias("members"))
+    return held.groupBy("members").agg(F.count("*").alias("n"))
+
+
+def alpha_by_group(alpha: DataFrame, meta: DataFrame) -> DataFrame:
+    """Samples, means of the four measures and the median Shannon index of every group."""
+    means = [F.avg(c).alias(f"mean_{c}") for c in ("shannon", "simpson", "richness", "evenness")]
+    return alpha.join(meta.select("sample_id", "grp"), "sample_id").groupBy("grp").agg(F.count("*").alias("n"), *means, F.median("shannon").alias("median_shannon"))

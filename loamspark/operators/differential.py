@@ -91,3 +91,9 @@ def mann_whitney(values: DataFrame) -> DataFrame:
            SELECT g1, g2, u, CASE WHEN s > 0 THEN greatest(abs(u - n1 * n2 / 2D) - 0.5D, 0D) / s END AS z FROM u""",
         v=values,
     )
+
+
+def significance(rows: DataFrame, limit: float = 0.05, least: float = 1.0) -> DataFrame:
+    """``class`` of rows with ``q, lfc``: up or down where q is under the limit and the change over ``least``, else NS, which a missing q or change is too."""
+    sure = F.coalesce(F.col("q") < limit, F.lit(False))
+    return rows.withColumn("class", F.when(sure & (F.col("lfc") > least), "up").when(sure & (F.col("lfc") < -least), "down").otherwise("NS"))

@@ -156,6 +156,11 @@ def add_to_index(strains: DataFrame, table: DataFrame, genes: DataFrame, path: s
     more.write.mode("append").parquet(f"{path}/fine")
 
 
+def long_enough(reads: DataFrame, least: int = 50) -> DataFrame:
+    """Reads of at least so many bases; a read without a sequence is none."""
+    return reads.where(F.length("sequence") >= least)
+
+
 def classification_summary(reads: DataFrame, hits: DataFrame, min_length: int = 50) -> DataFrame:
     """Reads, classified, unclassified (too short ones too), too short, candidates of a classified read, and fractions."""
     return sql(

@@ -25,6 +25,7 @@ from loamspark.operators import simulate as si
 from loamspark.plans import fixtures as fx
 from loamspark.plans.fixtures import views
 from loamspark.session import table_folder
+from loamspark.sources.tabular import genome_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,12 +61,12 @@ query("fil_05_groups", f"{views('meta')} SELECT grp, count(*) AS n, string_agg(C
 query(
     "fil_16_genome_ids",
     "SELECT doc_id, replace(trim(regexp_replace(regexp_replace(source || '.k' || doc_id || '_k141_' || n_chars, '_k[0-9]+_[0-9]+$', ''), '_[0-9]+$', '')), '.', '_') AS genome FROM documents",
-)(lambda s, d: fx.table(s, d, "documents").selectExpr("doc_id", "replace(trim(regexp_replace(regexp_replace(concat(source, '.k', doc_id, '_k141_', n_chars), '_k[0-9]+_[0-9]+$', ''), '_[0-9]+$', '')), '.', '_') AS genome"))
-query("fil_07_min_length", f"{views('reads')} SELECT id, length(sequence) AS n FROM reads WHERE length(sequence) >= 50")(lambda s, d: fx.reads(s, d).where(F.length("sequence") >= 50).select("id", F.length("sequence").cast("long").alias("n")))
+)(lambda s, d: fx.table(s, d, "documents").select("doc_id", genome_id(F.expr("concat(source, '.k', doc_id, '_k141_', n_chars)")).alias("genome")))
+query("fil_07_min_length", f"{views('reads')} SELECT id, length(sequence) AS n FROM reads WHERE length(sequence) >= 50")(lambda s, d: km.long_enough(fx.reads(s, d), 50).select("id", F.length("sequence").cast("long").alias("n")))
 query(
     "fil_12_significance",
-    f"{views('truth')} SELECT id, CASE WHEN true_w < 0.5 AND est_w > 8 THEN 'up' WHEN true_w < 0.5 THEN 'down' ELSE 'NS' END AS class FROM truth",
-)(lambda s, d: fx.truth(s, d).selectExpr("id", "CASE WHEN true_w < 0.5 AND est_w > 8 THEN 'up' WHEN true_w < 0.5 THEN 'down' ELSE 'NS' END AS class"))
+    f"{views('truth')} SELECT id, CASE WHEN true_w < 0.5 AND est_w - 12 > 0.25 THEN 'up' WHEN true_w < 0.5 AND est_w - 12 < -0.25 THEN 'down' ELSE 'NS' END AS class FROM truth",
+)(lambda s, d: di.significance(fx.truth(s, d).selectExpr("id", "true_w AS q", "est_w - 12 AS lfc"), 0.5, 0.25).select("id", "class"))
 
 # Diversity and group aggregates
 
@@ -99,7 +100,7 @@ g AS (SELECT t.taxon, s.sample_id, coalesce(p.p, 0.0) AS p FROM (SELECT DISTINCT
 SELECT taxon, grp, avg(p) AS mean_share, stddev_pop(p) AS sd_share FROM g JOIN meta USING (sample_id) GROUP BY ALL""",
     "mean_share sd_share",
 )(lambda s, d: co.phylum_composition(fx.sp(s, d), fx.tax(s, d), fx.meta(s, d)))
-query("agg_12_taxonomy_breakdown", f"{views('tax')} SELECT phylum, count(*) AS n FROM tax GROUP BY 1")(lambda s, d: fx.tax(s, d).groupBy("phylum").agg(F.count("*").alias("n")))
+query("agg_12_taxonomy_breakdown", f"{views('tax')} SELECT phylum, count(*) AS n FROM tax GROUP BY 1")(lambda s, d: co.taxonomy_breakdown(fx.tax(s, d), "phylum"))
 query("st_16_indicator", f"{_STATS}, x AS (SELECT *, mean_value / sum(mean_value) OVER (PARTITION BY feature_id) AS spec FROM stats) SELECT feature_id, grp AS best_group, spec AS specificity, prevalence AS fidelity, spec * prevalence AS indval FROM x QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY round(spec * prevalence, 9) DESC, grp) = 1", "specificity fidelity indval")(
     lambda s, d: co.indicator(_stats(s, d)).select("feature_id", "best_group", "specificity", F.col("fidelity").cast("double").alias("fidelity"), "indval")
 )
@@ -120,13 +121,16 @@ SELECT feature_id, 1 + sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(max(c
 query("win_04_top_per_group", f"{_STATS} SELECT feature_id, grp, mean_value, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(mean_value, 6) DESC, feature_id) AS rn FROM stats) WHERE rn <= 10", "mean_value")(
     lambda s, d: co.top_n(_stats(s, d).select("feature_id", "grp", F.round("mean_value", 6).alias("mean_value")), 10, "grp", "mean_value DESC, feature_id")
 )
-query("srt_06_top_taxa", f"{views('ab')} SELECT feature_id, sum(value) AS total FROM ab GROUP BY 1 ORDER BY total DESC, feature_id LIMIT 10", "total")(lambda s, d: fx.ab(s, d).groupBy("feature_id").agg(F.sum("value").alias("total")).orderBy(F.desc("total"), "feature_id").limit(10))
+query("srt_06_top_taxa", f"{views('ab')} SELECT feature_id, sum(value) AS total FROM ab GROUP BY 1 ORDER BY total DESC, feature_id LIMIT 10", "total")(lambda s, d: co.top_features(fx.ab(s, d), 10))
 query("agg_44_group_membership", f"{_STATS} SELECT members, count(*) AS n FROM (SELECT feature_id, string_agg(grp, ';' ORDER BY grp) AS members FROM stats WHERE mean_value > 0 GROUP BY 1) GROUP BY 1")(
-    lambda s, d: _stats(s, d).where("mean_value > 0").groupBy("feature_id").agg(F.array_join(F.sort_array(F.collect_list("grp")), ";").alias("members")).groupBy("members").agg(F.count("*").alias("n"))
-)
-query("agg_40_alpha_by_group", f"{views('ab', 'meta')}, p AS (SELECT sample_id, value / sum(value) OVER (PARTITION BY sample_id) AS p FROM ab), a AS (SELECT sample_id, -sum(p * ln(p)) AS h FROM p GROUP BY 1) SELECT grp, count(*) AS n, avg(h) AS mean_shannon, median(h) AS median_shannon FROM a JOIN meta USING (sample_id) GROUP BY 1", "mean_shannon median_shannon")(
-    lambda s, d: co.alpha_diversity(fx.ab(s, d)).join(fx.meta(s, d), "sample_id").groupBy("grp").agg(F.count("*").alias("n"), F.avg("shannon").alias("mean_shannon"), F.median("shannon").alias("median_shannon"))
+    lambda s, d: co.membership(_stats(s, d))
 )
+query(
+    "agg_40_alpha_by_group",
+    f"""{views('ab', 'meta')}, p AS (SELECT sample_id, value / sum(value) OVER (PARTITION BY sample_id) AS p FROM ab WHERE value > 0), a AS (SELECT sample_id, -sum(p * ln(p)) AS h, 1 - sum(p * p) AS s, count(*) AS r FROM p GROUP BY 1)
+SELECT grp, count(*) AS n, avg(h) AS mean_shannon, avg(s) AS mean_simpson, avg(r) AS mean_richness, avg(CASE WHEN r > 1 THEN h / ln(r) ELSE 0.0 END) AS mean_evenness, median(h) AS median_shannon FROM a JOIN meta USING (sample_id) GROUP BY 1""",
+    "mean_shannon mean_simpson mean_richness mean_evenness median_shannon",
+)(lambda s, d: co.alpha_by_group(co.alpha_diversity(fx.ab(s, d)), fx.meta(s, d)))
 
 # Tests between groups
 
@@ -417,8 +421,15 @@ def _unrolled(steps: int) -> str:
     return ",\n".join(out)
 
 
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    """The candidates as a saved table: every step reads them, and a lost executor costs none of their making."""
+    made, path = fx.cand(s, d), f"{table_folder(s)}/candidates-{uuid.uuid4().hex}"
+    made.write.parquet(path)
+    return s.read.schema(made.schema).parquet(path)
+
+
 def _steps(s: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
-    c = fx.cand(s, d)
+    c = _candidates(s, d)
     return c, mx.fit(c, max_iter=n, tolerance=0.0)[0]
 
 
