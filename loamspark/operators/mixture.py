@@ -1,16 +1,21 @@
 """Mixture inference by expectation-maximisation over candidates ``(read_id, marker, species, containment)``.
 
-Parameters are tables too: ``w(species, w)``, ``d(species, d)`` and ``b(species, marker, b)``. A step is a few joins with
-these small tables and aggregates by species, whatever the number of reads.
+Reads with equal candidates are one profile with their number in ``reads`` (``profiles``); every function takes either form. Parameters are
+tables too: ``w(species, w)``, ``d(species, d)`` and ``b(species, marker, b)``. A step is a join with this small table and one aggregation,
+whatever the number of reads. Products are sums of logarithms, with a read's largest term taken out, so none underflows.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamspark.functions import special
 from loamspark.functions.frames import sql
 
 # Species with status, mitochondrial copies and DNA yield, and markers with their primers.
@@ -36,86 +41,188 @@ def uniform(candidates: DataFrame) -> DataFrame:
     )
 
 
+def profiles(candidates: DataFrame) -> DataFrame:
+    """Candidates with the reads that have the same ones as one: ``read_id`` is then a digest of the profile, ``reads`` its number of reads."""
+    if "reads" in candidates.columns:
+        return candidates
+    return sql(
+        """WITH r AS (SELECT sort_array(collect_list(struct(marker, species, containment))) AS own FROM {c} GROUP BY read_id),
+                n AS (SELECT own, count(*) AS reads FROM r GROUP BY own)
+           SELECT read_id, reads, x.marker, x.species, x.containment FROM (SELECT md5(to_json(own)) AS read_id, reads, explode(own) AS x FROM n)""",
+        c=candidates,
+    )
+
+
+def _counted(candidates: DataFrame) -> DataFrame:
+    return candidates if "reads" in candidates.columns else candidates.withColumn("reads", F.lit(1).cast("long"))
+
+
+def _degraded(params: DataFrame, rate: float, lengths: DataFrame | None) -> DataFrame:
+    if lengths is None or not rate:
+        return params
+    return params.join(F.broadcast(lengths), ["species", "marker"], "left").withColumn("b", F.col("b") * F.exp(-rate * F.coalesce(F.greatest("length", F.lit(0)), F.lit(0))))
+
+
+_TERM = "ln(p.w) + ln(p.d) + ln(p.b) + ln(greatest(c.containment, 1e-300D))"
+
+
 def responsibilities(candidates: DataFrame, params: DataFrame, rate: float = 0.0, lengths: DataFrame | None = None) -> DataFrame:
-    """``read_id, marker, species, gamma, ll``: each candidate's share of its read, and the read's log-likelihood in every row.
+    """``read_id, marker, species, gamma, ll, reads``: each candidate's share of its read, and the read's log-likelihood in every row.
 
     ``rate`` is that of degradation over ``lengths(species, marker, length)``.
     """
-    if lengths is not None and rate:
-        params = params.join(F.broadcast(lengths), ["species", "marker"], "left").withColumn("b", F.col("b") * F.exp(-rate * F.coalesce(F.greatest("length", F.lit(0)), F.lit(0))))
     return sql(
-        """SELECT read_id, marker, species, x / sum(x) OVER (PARTITION BY read_id) AS gamma, ln(sum(x) OVER (PARTITION BY read_id)) AS ll
-           FROM (SELECT c.read_id, c.marker, c.species, p.w * p.d * p.b * greatest(c.containment, 1e-300D) AS x FROM {c} c JOIN {p} p ON p.species = c.species AND p.marker = c.marker)""",
-        c=candidates, p=params,
+        f"""WITH x AS (SELECT c.read_id, c.reads, c.marker, c.species, {_TERM} AS x FROM {{c}} c JOIN {{p}} p ON p.species = c.species AND p.marker = c.marker),
+                 t AS (SELECT *, max(x) OVER (PARTITION BY read_id) AS top FROM x),
+                 z AS (SELECT *, sum(exp(x - top)) OVER (PARTITION BY read_id) AS z FROM t)
+            SELECT read_id, marker, species, exp(x - top) / z AS gamma, top + ln(z) AS ll, reads FROM z""",
+        c=_counted(candidates), p=_degraded(params, rate, lengths),
     )
 
 
-def maximise(gammas: DataFrame, params: DataFrame, alpha: float = 0.5, d_sigma: float = 0.5, b_sigma: float = 0.5, d_mu: float = 0.0, b_mu: float = 0.0, single_marker: bool = False) -> DataFrame:
-    """New parameters from one aggregation of the shares by species and marker.
+def _step(made: DataFrame, params: DataFrame, lengths: DataFrame | None) -> pd.DataFrame:
+    """``run, species, marker, g, ll, gl``: shares, the reads' log-likelihood by share, and shares times lengths, of every run in one aggregation.
+
+    Runs are rows of ``params(run, species, marker, x)`` with x the logarithm of the parameters; a candidate without a row is not one of the run.
+    """
+    length = "coalesce(greatest(l.length, 0), 0)" if lengths is not None else "0"
+    join = "LEFT JOIN {l} l ON l.species = c.species AND l.marker = c.marker" if lengths is not None else ""
+    return sql(
+        f"""WITH x AS (SELECT p.run, c.read_id, c.reads, c.marker, c.species, {length} AS length, p.x - p.rate * {length} + ln(greatest(c.containment, 1e-300D)) AS x FROM {{c}} c JOIN {{p}} p ON p.species = c.species AND p.marker = c.marker {join}),
+                 t AS (SELECT *, max(x) OVER (PARTITION BY read_id, run) AS top FROM x),
+                 z AS (SELECT *, exp(x - top) AS e, sum(exp(x - top)) OVER (PARTITION BY read_id, run) AS z FROM t)
+            SELECT run, species, marker, sum(reads * e / z) AS g, sum(reads * e / z * (top + ln(z))) AS ll, sum(reads * e / z) FILTER (WHERE length > 0) AS gs, sum(reads * e / z * length) AS gl FROM z GROUP BY run, species, marker""",
+        c=made, p=params, **({"l": lengths} if lengths is not None else {}),
+    ).toPandas()
+
+
+def maximise(state: pd.DataFrame, single: bool = False, alpha: float = 0.5, d_sigma: float = 0.5, b_sigma: float = 0.5, d_mu: float = 0.0, b_mu: float = 0.0) -> pd.DataFrame:
+    """New ``w, d, b`` of ``(run, species, marker, w, d, b, g, rows, reads)``, a small table with one row for each run, species and marker.
 
     w: effective reads plus alpha - 1, floored and normalised. d: reads over what w and b let expect, shrunk in logarithms and scaled to a geometric
     mean of 1. b: the same for each marker, by species. With one marker d and b stay, and reads are divided by d.
     """
-    counts = gammas.groupBy("species", "marker").agg(F.sum("gamma").alias("g"), F.count("*").alias("rows"))
-    reads = gammas.groupBy("marker").agg(F.count_distinct("read_id").alias("reads"))
-    g = sql(
-        "SELECT p.species, p.marker, p.d, p.b, coalesce(c.g, 0D) AS g, coalesce(c.rows, 0) AS rows, coalesce(r.reads, 0) AS reads FROM {p} p LEFT JOIN {c} c ON c.species = p.species AND c.marker = p.marker LEFT JOIN {r} r ON r.marker = p.marker",
-        p=params, c=counts, r=reads,
-    )
-    adjust = "max(d)" if single_marker else "1D"
-    w = sql(f"SELECT species, w / sum(w) OVER () AS w, g FROM (SELECT species, sum(g) AS g, greatest(sum(g) / {adjust} + {{a}} - 1, 1e-10D) AS w FROM {{g}} GROUP BY species)", g=g, a=alpha)
-    if single_marker:
-        return sql("SELECT g.species, g.marker, w.w, g.d, g.b FROM {g} g JOIN {w} w ON w.species = g.species", g=g, w=w)
-    return sql(
-        """WITH e AS (SELECT g.species, w.w, w.g AS eff, sum(w.w * g.b * g.rows) AS den, max(g.d) AS old FROM {g} g JOIN {w} w ON w.species = g.species GROUP BY ALL),
-                d AS (SELECT species, w, CASE WHEN den > 1e-10D THEN exp((greatest(eff, 1D) * ln(greatest(eff / den, 1e-10D)) + {dm} / {dv}) / (greatest(eff, 1D) + 1 / {dv})) ELSE old END AS d FROM e),
-                n AS (SELECT species, w, d / exp(avg(ln(d)) OVER ()) AS d FROM d),
-                x AS (SELECT g.species, g.marker, n.w, n.d, CASE WHEN n.w * n.d * g.reads > 1e-10D AND g.g > 0
-                             THEN exp((greatest(g.g, 1D) * ln(greatest(g.g / (n.w * n.d * g.reads), 1e-10D)) + {bm} / {bv}) / (greatest(g.g, 1D) + 1 / {bv})) ELSE exp({bm}) END AS b FROM {g} g JOIN n ON n.species = g.species)
-           SELECT species, marker, w, d, b / exp(avg(ln(b)) OVER (PARTITION BY species)) AS b FROM x""",
-        g=g, w=w, dm=d_mu, dv=d_sigma**2, bm=b_mu, bv=b_sigma**2,
-    )
+    p = state.copy()
+    own, run = [p["run"], p["species"]], p["run"]
+    by = lambda x, keys: x.groupby(keys).transform("sum")
+    share = 1 / p.groupby(own)["marker"].transform("size")
+    effective = by(p["g"], own)
+    raw = np.maximum(effective / (p["d"] if single else 1.0) + alpha - 1, 1e-10)
+    p["w"] = raw / by(raw * share, run)
+    if single:
+        return p
+    among, weight, dv, bv = by(p["w"] * p["b"] * p["rows"], own), np.maximum(effective, 1), d_sigma**2, b_sigma**2
+    log_d = (weight * np.log(np.maximum(effective / among.where(among > 1e-10, 1.0), 1e-10)) + d_mu / dv) / (weight + 1 / dv)
+    log_d = log_d.where(among > 1e-10, np.log(p["d"]))
+    p["d"] = np.exp(log_d - by(log_d * share, run) / by(share, run))
+    want, weight = p["w"] * p["d"] * p["reads"], np.maximum(p["g"], 1)
+    known = (want > 1e-10) & (p["g"] > 0)
+    log_b = ((weight * np.log(np.maximum(p["g"] / want.where(known, 1.0), 1e-10)) + b_mu / bv) / (weight + 1 / bv)).where(known, b_mu)
+    p["b"] = np.exp(log_b - by(log_b * share, own))
+    return p
 
 
 def log_likelihood(gammas: DataFrame) -> DataFrame:
-    return sql("SELECT sum(ll) AS ll, count(*) AS reads FROM (SELECT read_id, max(ll) AS ll FROM {g} GROUP BY read_id)", g=gammas)
+    return sql("SELECT sum(ll * reads) AS ll, sum(reads) AS reads FROM (SELECT read_id, max(ll) AS ll, max(reads) AS reads FROM {g} GROUP BY read_id)", g=_counted(gammas))
 
 
 def degradation_rate(gammas: DataFrame, lengths: DataFrame) -> float:
     """Shares over shares times lengths, from 1e-6 to 0.1; candidates without a length do not count."""
-    r = sql("SELECT sum(gamma) AS g, sum(gamma * length) AS gl FROM {g} JOIN {l} USING (species, marker) WHERE length > 0", g=gammas, l=lengths).first()
-    return min(0.1, max(1e-6, r["g"] / r["gl"])) if r["gl"] else 1e-3
+    r = sql("SELECT sum(gamma * reads) AS g, sum(gamma * reads * length) AS gl FROM {g} JOIN {l} USING (species, marker) WHERE length > 0", g=_counted(gammas), l=lengths).first()
+    return _rate(r["g"], r["gl"])
+
+
+def _rate(shares: float | None, lengths: float | None) -> float:
+    return min(0.1, max(1e-6, shares / lengths)) if lengths else 1e-3
+
 
+def starts(even: pd.DataFrame, restarts: int, alpha: float = 0.5, d_mu: float = 0.0, b_mu: float = 0.0, seed: int = 42) -> pd.DataFrame:
+    """Parameters to begin from, by run: the given ones, then weights of a Dirichlet and factors near 1, each run by its own seed."""
+    even = even.sort_values(["species", "marker"], ignore_index=True)
+    out = [even.assign(run=0)]
+    species, markers = sorted(even["species"].unique()), even["marker"].nunique()
+    for run in range(1, restarts):
+        rng = np.random.default_rng([seed, run])
+        w = dict(zip(species, rng.dirichlet(np.full(len(species), alpha + 0.5)), strict=True))
+        d = dict(zip(species, rng.lognormal(d_mu, 0.1, len(species)), strict=True))
+        b = rng.lognormal(b_mu, 0.1, (len(species), markers)).ravel()
+        out.append(even.assign(run=run, w=np.maximum(even["species"].map(w), 1e-10), d=even["species"].map(d), b=b[: len(even)]))
+    return pd.concat(out, ignore_index=True)
 
-def fit(candidates: DataFrame, max_iter: int = 200, tolerance: float = 1e-6, start: DataFrame | None = None, lengths: DataFrame | None = None, degradation: bool = False, mito: DataFrame | None = None, **prior: float) -> tuple[DataFrame, float, int]:
-    """Parameters, log-likelihood and iterations.
 
-    The small parameter table is brought to the driver and back after every step, which cuts the lineage; candidates are cached by the caller. With one marker,
-    d is fixed to ``mito(species, mito_cn)`` over its geometric mean.
+def fit_runs(candidates: DataFrame, begin: pd.DataFrame, max_iter: int = 200, tolerance: float = 1e-6, lengths: DataFrame | None = None, degradation: bool = False, single: bool = False, **prior: float) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Parameters ``(run, species, marker, w, d, b)`` at each run's end, and ``(run, ll, iterations, converged, rate)``.
+
+    All runs still going are rows of one parameter table, so an iteration is one plan whatever their number. Profiles are dealt by read once and
+    kept; only parameters and sums by species and marker pass the driver. A run ends where its log-likelihood changes by less than ``tolerance`` of itself.
+    """
+    spark = candidates.sparkSession
+    made = profiles(candidates).repartition("read_id").persist()
+    try:
+        keys = begin[["run", "species", "marker"]]
+        # Counts that no step changes: candidates of each run's species and markers, and reads of its markers.
+        rows = sql("SELECT run, c.species, c.marker, sum(reads) AS rows FROM {c} c JOIN {k} k ON k.species = c.species AND k.marker = c.marker GROUP BY ALL", c=made, k=_local(spark, keys)).toPandas()
+        reads = sql("SELECT run, marker, sum(reads) AS reads FROM (SELECT DISTINCT run, read_id, c.marker, reads FROM {c} c JOIN {k} k ON k.species = c.species AND k.marker = c.marker) GROUP BY ALL", c=made, k=_local(spark, keys)).toPandas()
+        state = begin[["run", "species", "marker", "w", "d", "b"]].merge(rows, "left", ["run", "species", "marker"]).merge(reads, "left", ["run", "marker"]).fillna({"rows": 0.0, "reads": 0.0})
+        done = pd.DataFrame({"run": sorted(state["run"].unique())}).assign(ll=-math.inf, iterations=0, converged=False, rate=1e-3 if degradation else 0.0).set_index("run")
+        going = list(done.index)
+
+        def expect(going: list) -> pd.DataFrame:
+            own = state[state["run"].isin(going)]
+            x = own[["run", "species", "marker"]].assign(x=np.log(own["w"]) + np.log(own["d"]) + np.log(own["b"]), rate=own["run"].map(done["rate"]))
+            return _step(made, _local(spark, x), lengths)
+
+        for step in range(1, max_iter + 1):
+            if not going:
+                break
+            sums = expect(going)
+            ll = sums.groupby("run")["ll"].sum().reindex(going, fill_value=0.0)
+            old = state[state["run"].isin(going)].drop(columns="g", errors="ignore")
+            new = maximise(old.merge(sums[["run", "species", "marker", "g"]], "left", ["run", "species", "marker"]).fillna({"g": 0.0}), single, **prior)
+            state = pd.concat([state[~state["run"].isin(going)], new], ignore_index=True)
+            if degradation and lengths is not None and not single:
+                for run, part in sums.groupby("run"):
+                    done.loc[run, "rate"] = _rate(part["gs"].sum(), part["gl"].sum())
+            change = (ll - done.loc[going, "ll"]).abs() / (ll.abs() + 1e-10)
+            done.loc[going, "ll"], done.loc[going, "iterations"] = ll, step
+            ended = [r for r in going if step > 1 and change[r] < tolerance]
+            done.loc[ended, "converged"] = True
+            going = [r for r in going if r not in ended]
+        last = expect(list(done.index)).groupby("run")["ll"].sum()
+        done["ll"] = [float(last.get(r, -math.inf)) for r in done.index]
+    finally:
+        made.unpersist()
+    return state[["run", "species", "marker", "w", "d", "b"]], done.reset_index()
+
+
+def _local(spark, frame: pd.DataFrame) -> DataFrame:
+    """A small table in the plan itself, so that its size is known and it is broadcast."""
+    return spark.createDataFrame(pa.Table.from_pandas(frame, preserve_index=False))
+
+
+def fit(
+    candidates: DataFrame, max_iter: int = 200, tolerance: float = 1e-6, start: DataFrame | None = None, lengths: DataFrame | None = None, degradation: bool = False, mito: DataFrame | None = None, restarts: int = 3, seed: int = 42, **prior: float
+) -> tuple[DataFrame, float, int]:
+    """Parameters, log-likelihood and iterations of the run with the largest log-likelihood, the first of equal ones.
+
+    The first run begins from ``start`` or equal weights, the others at random. With one marker, d is fixed to ``mito(species, mito_cn)`` over its geometric mean.
     """
     spark = candidates.sparkSession
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    schema = f"species {kinds['species']}, marker {kinds['marker']}, w double, d double, b double"
-    rows = (start if start is not None else uniform(candidates)).select("species", "marker", "w", "d", "b").collect()
-    single = len({r["marker"] for r in rows}) <= 1
-    if single and mito is not None and rows:
+    even = (start if start is not None else uniform(candidates)).select("species", "marker", "w", "d", "b").toPandas()
+    if even.empty:
+        return spark.createDataFrame([], f"species {kinds['species']}, marker {kinds['marker']}, w double, d double, b double"), 0.0, 0
+    single = even["marker"].nunique() <= 1
+    begin = starts(even, restarts, prior.get("alpha", 0.5), prior.get("d_mu", 0.0), prior.get("b_mu", 0.0), seed)
+    if single and mito is not None:
         cn = {r["species"]: r["mito_cn"] for r in mito.collect() if r["mito_cn"] and r["mito_cn"] > 0}
-        own = [math.log(cn[r["species"]]) for r in rows if r["species"] in cn]
+        own = [math.log(cn[s]) for s in even["species"] if s in cn]
         mean = math.exp(sum(own) / len(own)) if own else 1.0
-        rows = [(r["species"], r["marker"], r["w"], cn.get(r["species"], mean) / mean, 1.0) for r in rows]
-    rate, last, step = (1e-3 if degradation else 0.0), None, 0
-    for step in range(1, max_iter + 1):  # noqa: B007
-        params = spark.createDataFrame(rows, schema)
-        gammas = responsibilities(candidates, params, rate, lengths)
-        ll = log_likelihood(gammas).first()["ll"] or 0.0
-        rows = [tuple(r) for r in maximise(gammas, params, single_marker=single, **prior).select("species", "marker", "w", "d", "b").collect()]
-        if degradation and lengths is not None and not single:
-            rate = degradation_rate(gammas, lengths)
-        if last is not None and abs(ll - last) <= tolerance * abs(last):
-            break
-        last = ll
-    params = spark.createDataFrame(rows, schema)
-    return params, log_likelihood(responsibilities(candidates, params, rate, lengths)).first()["ll"] or 0.0, step
+        begin["d"], begin["b"] = begin["species"].map(lambda s: cn.get(s, mean) / mean), 1.0
+    state, done = fit_runs(candidates, begin, max_iter, tolerance, lengths, degradation, single, **prior)
+    best = done.sort_values(["ll", "run"], ascending=[False, True]).iloc[0]
+    rows = _local(spark, state[state["run"] == best["run"]].drop(columns="run"))
+    return rows.select(F.col("species").cast(kinds["species"]), F.col("marker").cast(kinds["marker"]), "w", "d", "b"), float(best["ll"]), int(best["iterations"])
 
 
 def bic(ll: float, species: int, markers: int, reads: int, degradation: bool = False) -> float:
@@ -125,38 +232,61 @@ def bic(ll: float, species: int, markers: int, reads: int, degradation: bool = F
 def intervals(gammas: DataFrame, params: DataFrame) -> DataFrame:
     """Wald's 95 % interval of every weight, from its effective reads."""
     return sql(
-        """WITH w AS (SELECT DISTINCT species, w FROM {p}), e AS (SELECT species, sum(gamma) AS n FROM {g} GROUP BY species)
+        """WITH w AS (SELECT DISTINCT species, w FROM {p}), e AS (SELECT species, sum(gamma * reads) AS n FROM {g} GROUP BY species)
            SELECT w.species, w.w, CASE WHEN e.n > 0 AND w.w > 1e-10D THEN greatest(w.w - 1.96D * sqrt(w.w * (1 - w.w) / (e.n + 1)), 0D) ELSE 0D END AS lo,
                   CASE WHEN e.n > 0 AND w.w > 1e-10D THEN least(w.w + 1.96D * sqrt(w.w * (1 - w.w) / (e.n + 1)), 1D) ELSE w.w END AS hi FROM w LEFT JOIN e ON e.species = w.species""",
-        g=gammas, p=params,
+        g=_counted(gammas), p=params,
     )
 
 
 def observed_intervals(gammas: DataFrame, params: DataFrame) -> DataFrame:
     """Intervals from the observed information: the complete less the missing one; reads without the species count with a share of 0."""
     return sql(
-        """WITH w AS (SELECT DISTINCT species, w FROM {p}), n AS (SELECT count(DISTINCT read_id) AS n FROM {g}),
-                s AS (SELECT w.species, w.w, sum(pow(gamma / w.w - (1 - gamma) / (1 - w.w), 2) - gamma * (1 - gamma) * pow(1 / w.w + 1 / (1 - w.w), 2)) AS i, count(*) AS c
+        """WITH w AS (SELECT DISTINCT species, w FROM {p}), n AS (SELECT sum(reads) AS n FROM (SELECT DISTINCT read_id, reads FROM {g})),
+                s AS (SELECT w.species, w.w, sum(reads * (pow(gamma / w.w - (1 - gamma) / (1 - w.w), 2) - gamma * (1 - gamma) * pow(1 / w.w + 1 / (1 - w.w), 2))) AS i, sum(reads) AS c
                       FROM w JOIN {g} g ON g.species = w.species WHERE w.w >= 1e-10D AND w.w < 1 GROUP BY ALL),
                 o AS (SELECT species, w, 1 / sqrt(greatest(i + (n.n - c) / pow(1 - w, 2), 1e-10D)) AS se FROM s CROSS JOIN n)
            SELECT species, w, greatest(w - 1.96D * se, 0D) AS lo, least(w + 1.96D * se, 1D) AS hi FROM o""",
-        g=gammas, p=params,
+        g=_counted(gammas), p=params,
     )
 
 
 def likelihood_ratio(candidates: DataFrame, params: DataFrame) -> DataFrame:
     """2 (ll - ll without the species) of every species with a weight, the others' weights scaled up; a read that no other explains counts -100."""
     return sql(
-        """WITH x AS (SELECT c.read_id, c.species, p.w * p.d * p.b * greatest(c.containment, 1e-300D) AS x, p.w FROM {c} c JOIN {p} p ON p.species = c.species AND p.marker = c.marker),
-                t AS (SELECT *, sum(x) OVER (PARTITION BY read_id) AS t FROM x),
-                r AS (SELECT read_id, species, w, max(t) AS t, sum(x) AS own FROM t GROUP BY ALL),
-                n AS (SELECT count(DISTINCT read_id) AS n, (SELECT sum(ll) FROM (SELECT read_id, ln(max(t)) AS ll FROM t GROUP BY read_id)) AS ll FROM t),
-                s AS (SELECT species, w, sum(ln(t)) AS with_all, sum(CASE WHEN t - own > 1e-12D * t THEN ln((t - own) / (1 - w)) ELSE -100D END) AS without, count(*) AS c FROM r WHERE w >= 1e-6D AND w < 1 GROUP BY ALL)
-           SELECT species, greatest(2 * (with_all - without + (n.n - c) * ln(1 - w)), 0D) AS lrt FROM s CROSS JOIN n""",
-        c=candidates, p=params,
+        f"""WITH x AS (SELECT c.read_id, c.reads, c.species, p.w, {_TERM} AS x FROM {{c}} c JOIN {{p}} p ON p.species = c.species AND p.marker = c.marker),
+                 e AS (SELECT *, max(x) OVER (PARTITION BY read_id) AS top FROM x),
+                 t AS (SELECT *, sum(exp(x - top)) OVER (PARTITION BY read_id) AS t FROM e),
+                 r AS (SELECT read_id, reads, species, w, top, max(t) AS t, sum(exp(x - top)) AS own FROM t GROUP BY ALL),
+                 n AS (SELECT sum(reads) AS n FROM (SELECT DISTINCT read_id, reads FROM t)),
+                 s AS (SELECT species, w, sum(reads * (top + ln(t))) AS with_all, sum(reads * CASE WHEN t - own > 1e-12D * t THEN top + ln((t - own) / (1 - w)) ELSE -100D END) AS without, sum(reads) AS c FROM r WHERE w >= 1e-6D AND w < 1 GROUP BY ALL)
+            SELECT species, greatest(2 * (with_all - without + (n.n - c) * ln(1 - w)), 0D) AS lrt FROM s CROSS JOIN n""",
+        c=_counted(candidates), p=params,
     )
 
 
+def refit_ratio(candidates: DataFrame, params: DataFrame, ll: float, max_iter: int = 50, tolerance: float = 1e-6, lengths: DataFrame | None = None, degradation: bool = False, **prior: float) -> DataFrame:
+    """``species, lrt``: 2 (ll - ll of a fit without the species), reads that no other species explains left out; 0 for a species without a weight.
+
+    Each species' fit is a run of one plan, whose parameters have no row of that species. Without any read left the ratio is infinite.
+    """
+    own = params.select("species", "marker", "w").toPandas()
+    species, kind = sorted(own["species"].unique()), params.schema["species"].dataType.simpleString()
+    tested = sorted(own.loc[own["w"] >= 1e-6, "species"].unique())
+    runs = [own.loc[own["species"] != s, ["species", "marker"]].assign(run=i, w=1 / (len(species) - 1), d=1.0, b=1.0) for i, s in enumerate(tested) if len(species) > 1]
+    less = {}
+    if runs:
+        done = fit_runs(candidates, pd.concat(runs, ignore_index=True), max_iter, tolerance, lengths, degradation, own["marker"].nunique() <= 1, **prior)[1]
+        less = {tested[r]: v for r, v in zip(done["run"], done["ll"], strict=True)}
+    rows = [(s.item() if hasattr(s, "item") else s, max(0.0, 2 * (ll - less.get(s, -math.inf))) if s in tested else 0.0) for s in species]
+    return candidates.sparkSession.createDataFrame(rows, f"species {kind}, lrt double")
+
+
+def ratio_p(ratios: DataFrame) -> DataFrame:
+    """``p`` of ratios under chi-squared with one degree of freedom; 1 at 0."""
+    return ratios.withColumn("p", F.when(F.col("lrt") <= 0, 1.0).when(F.col("lrt") == float("inf"), 0.0).otherwise(special.norm_p(F.sqrt("lrt"))))
+
+
 def prune(weights: DataFrame, least: float) -> DataFrame:
     """Weights under ``least`` become 0, the rest sum to 1."""
     return sql("SELECT species, coalesce(w / nullif(sum(w) OVER (), 0), 0D) AS w FROM (SELECT species, CASE WHEN w < {m} THEN 0D ELSE w END AS w FROM {w})", w=weights, m=least)

@@ -5,6 +5,7 @@ The SQL is written from the definitions, over dense tables where the operators a
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -422,15 +423,15 @@ def _unrolled(steps: int) -> str:
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
-    """The candidates as a saved table: every step reads them, and a lost executor costs none of their making."""
-    made, path = fx.cand(s, d), f"{table_folder(s)}/candidates-{uuid.uuid4().hex}"
+    """The candidates' profiles as a saved table: every step reads them, and a lost executor costs none of their making."""
+    made, path = mx.profiles(fx.cand(s, d)), f"{table_folder(s)}/candidates-{uuid.uuid4().hex}"
     made.write.parquet(path)
     return s.read.schema(made.schema).parquet(path)
 
 
 def _steps(s: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
     c = _candidates(s, d)
-    return c, mx.fit(c, max_iter=n, tolerance=0.0)[0]
+    return c, mx.fit(c, max_iter=n, tolerance=0.0, restarts=1)[0]
 
 
 query("em_01_mixture_steps", f"{_unrolled(3)} SELECT species, marker, w, d, b FROM p3", "w d b")(lambda s, d: _steps(s, d, 3)[1])
@@ -449,7 +450,23 @@ query(
 SELECT species, greatest(2 * sum(ll - CASE WHEN rest > 0 THEN ln(rest / (1 - w)) ELSE -100 END), 0) AS lrt FROM n GROUP BY 1""",
     "lrt",
 )(lambda s, d: mx.likelihood_ratio(*_steps(s, d, 2)))
-query("em_01_mixture_fit")(lambda s, d: mx.fit(fx.cand(s, d).cache())[0])
+query("em_01_mixture_fit")(lambda s, d: mx.fit(fx.cand(s, d))[0])
+_OWN = re.sub(r"\bcand\b", "own", _unrolled(2).replace(views("cand") + ",\n", ""))
+_REFIT = " UNION ALL ".join(f"SELECT {k} AS species, (WITH own AS MATERIALIZED (SELECT * FROM cand WHERE species <> {k}), {_OWN} SELECT sum(ll) FROM (SELECT ln(sum(p.w * p.d * p.b * c.containment)) AS ll FROM own c JOIN p2 p USING (species, marker) GROUP BY c.read_id)) AS ll" for k in range(6))
+query(
+    "em_13_refit_steps",
+    f"{_E2}, a AS (SELECT sum(ll) AS ll FROM (SELECT read_id, ln(max(t)) AS ll FROM g2 GROUP BY 1)), r AS ({_REFIT}) SELECT species, greatest(2 * (a.ll - r.ll), 0) AS lrt FROM r CROSS JOIN a",
+    "lrt",
+)(lambda s, d: (lambda c, p: mx.refit_ratio(c, p, mx.log_likelihood(mx.responsibilities(c, p)).first()["ll"], 2, 0.0))(*_steps(s, d, 2)))
+
+
+def _refits(s: SparkSession, d: str) -> DataFrame:
+    c = _candidates(s, d)
+    params, ll, _ = mx.fit(c)
+    return mx.ratio_p(mx.refit_ratio(c, params, ll))
+
+
+query("em_13_refit_ratio")(_refits)
 _HIT = "hit AS (SELECT read_id, marker, species FROM cand WHERE containment >= 0.7)"
 query("agg_24_report_counts", f"{views('cand')}, {_HIT} SELECT species, count(*) AS reads, 100.0 * count(*) / (SELECT count(DISTINCT read_id) FROM hit) AS read_pct FROM hit GROUP BY 1", "read_pct")(lambda s, d: mx.report_counts(fx.cand(s, d).where("containment >= 0.7")).withColumn("read_pct", F.col("read_pct").cast("double")))
 query("agg_25_marker_agreement", f"{views('cand')}, {_HIT}, hc AS (SELECT marker, species, count(*) AS n FROM hit GROUP BY ALL), t AS (SELECT marker, species FROM (SELECT marker, species, row_number() OVER (PARTITION BY marker ORDER BY n DESC, species) AS rn FROM hc) WHERE rn = 1) SELECT avg(CASE WHEN a.species = b.species THEN 1.0 ELSE 0.0 END) AS agreement FROM t a JOIN t b ON a.marker < b.marker", "agreement")(lambda s, d: mx.marker_agreement(fx.cand(s, d).where("containment >= 0.7")))
