@@ -44,3 +44,33 @@ def below(scale: float) -> str:
 
 def revcomp_text(seq: str) -> str:
     return seq.upper().translate(str.maketrans("ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN"))[::-1]
+
+
+def code(kmer: str | Column) -> Column:
+    """Two bits for each base, A 0, C 1, G 2 and T 3 in either case, as a signed long; null with any other letter."""
+    text = F.upper(F.col(kmer) if isinstance(kmer, str) else kmer)
+    return F.when(valid(text), F.conv(F.translate(text, "ACGT", "0123"), 4, -10).cast("long"))
+
+
+def _times(x: str, factor: int) -> str:
+    """The lower 64 bits of a product with a constant, from parts of 16 and 32 bits that no long overflows."""
+    low, high, word, half = factor & 0xFFFFFFFF, factor >> 32, 0xFFFFFFFF, 0xFFFF
+
+    def below(first: str, second: str, by: int) -> str:
+        return f"((({first}) * {by}L) + shiftleft((({second}) * {by}L) & {half}L, 16))"
+
+    parts = [f"(shiftrightunsigned({x}, {at}) & {half}L)" for at in (0, 16, 32, 48)]
+    start = below(parts[0], parts[1], low)
+    carry = f"shiftrightunsigned({start}, 32) + shiftrightunsigned({parts[1]} * {low}L, 16)"
+    top = f"({carry} + ({below(parts[0], parts[1], high)} & {word}L) + ({below(parts[2], parts[3], low)} & {word}L))"
+    return f"shiftleft({top} & {word}L, 32) | ({start} & {word}L)"
+
+
+def _folded(x: str) -> str:
+    return f"{x} ^ shiftrightunsigned({x}, 33)"
+
+
+# The two factors of MurmurHash3's 64-bit finaliser.
+FACTORS = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+#: Its five steps as SQL of a column's name.
+MIX = (_folded, lambda x: _times(x, FACTORS[0]), _folded, lambda x: _times(x, FACTORS[1]), _folded)

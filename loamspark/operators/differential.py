@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamspark.functions import special
@@ -80,19 +80,53 @@ def kruskal_wallis_test(table: DataFrame, meta: DataFrame) -> DataFrame:
     return benjamini_hochberg(rows.withColumn("p", special.chi2_p(F.col("h"), F.col("df"))))
 
 
-def mann_whitney(values: DataFrame) -> DataFrame:
-    """U of every pair of groups of ``(grp, value)``, with the tie-corrected normal score and continuity correction."""
+def mann_whitney(values: DataFrame, by: str | None = None) -> DataFrame:
+    """U of every pair of groups of ``(grp, value)``, with the tie-corrected normal score and continuity correction; within each value of ``by``, if named.
+
+    ``n1, n2, tied`` are the groups' sizes and the sum of t^3 - t over ties. Null values take no part.
+    """
+    key, own = (f"{by}, ", f"{by} AS {by}, ") if by else ("", "")
+    part = f"{key}g1, g2"
     return sql(
-        """WITH p AS (SELECT a.grp AS g1, b.grp AS g2 FROM (SELECT DISTINCT grp FROM {v}) a JOIN (SELECT DISTINCT grp FROM {v}) b ON a.grp < b.grp),
-                x AS (SELECT g1, g2, v.grp = g1 AS first, value FROM p JOIN {v} v ON v.grp IN (g1, g2)),
-                r AS (SELECT g1, g2, first, rank() OVER (PARTITION BY g1, g2 ORDER BY value) + (count(*) OVER (PARTITION BY g1, g2, value) - 1) / 2D AS r, count(*) OVER (PARTITION BY g1, g2, value) AS ties FROM x),
-                a AS (SELECT g1, g2, count_if(first) AS n1, count_if(NOT first) AS n2, sum(r) FILTER (WHERE first) AS r1, sum(cast(ties AS DOUBLE) * ties - 1) AS tied FROM r GROUP BY ALL),
+        f"""WITH v AS (SELECT {own}grp, value FROM {{v}} WHERE value IS NOT NULL), d AS (SELECT DISTINCT {key}grp FROM v),
+                p AS (SELECT {f"a.{by}, " if by else ""}a.grp AS g1, b.grp AS g2 FROM d a JOIN d b ON a.grp < b.grp {f"AND a.{by} = b.{by}" if by else ""}),
+                x AS (SELECT {f"p.{by}, " if by else ""}g1, g2, v.grp = g1 AS first, value FROM p JOIN v ON v.grp IN (g1, g2) {f"AND p.{by} = v.{by}" if by else ""}),
+                r AS (SELECT {part}, first, rank() OVER (PARTITION BY {part} ORDER BY value) + (count(*) OVER (PARTITION BY {part}, value) - 1) / 2D AS r, count(*) OVER (PARTITION BY {part}, value) AS ties FROM x),
+                a AS (SELECT {part}, count_if(first) AS n1, count_if(NOT first) AS n2, sum(r) FILTER (WHERE first) AS r1, sum(cast(ties AS DOUBLE) * ties - 1) AS tied FROM r GROUP BY ALL),
                 u AS (SELECT *, r1 - n1 * (n1 + 1) / 2D AS u, sqrt(n1 * n2 / 12D * ((n1 + n2 + 1) - tied / ((n1 + n2) * (n1 + n2 - 1D)))) AS s FROM a)
-           SELECT g1, g2, u, CASE WHEN s > 0 THEN greatest(abs(u - n1 * n2 / 2D) - 0.5D, 0D) / s END AS z FROM u""",
+            SELECT {part}, u, CASE WHEN s > 0 THEN greatest(abs(u - n1 * n2 / 2D) - 0.5D, 0D) / s END AS z, n1, n2, tied FROM u""",
         v=values,
     )
 
 
+def mann_whitney_test(values: DataFrame, by: str | None = None) -> DataFrame:
+    """``mann_whitney`` with its two-sided p: exact for at most 8 values of a group without ties, else normal; 1 where all values are equal."""
+    rows = mann_whitney(values, by)
+    return rows.withColumn("p", special.mann_whitney_p(*(F.col(c) for c in ("u", "n1", "n2", "tied", "z"))))
+
+
+MEASURES = ("shannon", "simpson", "richness", "evenness")
+
+
+def measures(alpha: DataFrame) -> DataFrame:
+    """``feature_id, sample_id, value`` of the four measures of every sample."""
+    return alpha.select("sample_id", *[F.col(m).cast("double").alias(m) for m in MEASURES]).unpivot("sample_id", list(MEASURES), "feature_id", "value")
+
+
+def alpha_tests(alpha: DataFrame, meta: DataFrame, limit: float = 0.05) -> DataFrame:
+    """Kruskal-Wallis of each measure over the groups, and for measures under ``limit`` every two groups' Mann-Whitney p, q within the measure, and stars."""
+    rows = measures(alpha)
+    overall = kruskal_wallis(rows, meta).select(F.col("feature_id").alias("measure"), "h", F.coalesce(special.chi2_p(F.col("h"), F.col("df")), F.lit(1.0)).alias("kw_p"))
+    values = rows.join(meta.select("sample_id", "grp"), "sample_id").select(F.col("feature_id").alias("measure"), "grp", "value")
+    pairs = benjamini_hochberg(mann_whitney_test(values, "measure").select("measure", "g1", "g2", "u", "p"), by=["measure"])
+    return overall.join(pairs, "measure").where(F.col("kw_p") < limit).withColumn("stars", stars(F.col("q")))
+
+
+def stars(q: Column) -> Column:
+    """Three, two or one star under 0.001, 0.01 and 0.05; else ns."""
+    return F.when(q < 0.001, "***").when(q < 0.01, "**").when(q < 0.05, "*").otherwise("ns")
+
+
 def significance(rows: DataFrame, limit: float = 0.05, least: float = 1.0) -> DataFrame:
     """``class`` of rows with ``q, lfc``: up or down where q is under the limit and the change over ``least``, else NS, which a missing q or change is too."""
     sure = F.coalesce(F.col("q") < limit, F.lit(False))

@@ -24,8 +24,8 @@ def spread(sequences: DataFrame) -> DataFrame:
     return sequences.repartition(cores) if sequences.rdd.getNumPartitions() < cores else sequences
 
 
-def hashes(sequences: DataFrame, k: int, bases: str = "ACGT") -> DataFrame:
-    """``id, pos, hash`` of every valid canonical k-mer."""
+def windows(sequences: DataFrame, k: int, bases: str = "ACGT") -> DataFrame:
+    """``id, pos, kmer, back`` of every valid k-mer, back its reverse complement."""
     if k < 1:
         raise ValueError("k must be 1 or more")
     # Sequences are cut into overlapping pieces first: a substring walks from its string's start, and every k-mer row carries the
@@ -36,8 +36,27 @@ def hashes(sequences: DataFrame, k: int, bases: str = "ACGT") -> DataFrame:
     ready = pieces.select("id", "at", "piece", dna.revcomp(F.col("piece")).alias("back"), dna.valid(F.col("piece"), bases).alias("clean"), (F.length("piece") - k).alias("last"))
     at = ready.select("id", "at", "piece", "back", "clean", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     kmer = F.substring(F.col("piece"), F.col("i") + 1, F.lit(k))
-    canonical = F.least(kmer, F.substring(F.col("back"), F.col("last") - F.col("i") + 1, F.lit(k)))
-    return at.where(F.col("clean") | dna.valid(kmer, bases)).select("id", (F.col("at") + F.col("i")).alias("pos"), dna.hash_hex(canonical).alias("hash"))
+    back = F.substring(F.col("back"), F.col("last") - F.col("i") + 1, F.lit(k))
+    return at.where(F.col("clean") | dna.valid(kmer, bases)).select("id", (F.col("at") + F.col("i")).alias("pos"), kmer.alias("kmer"), back.alias("back"))
+
+
+def hashes(sequences: DataFrame, k: int, bases: str = "ACGT") -> DataFrame:
+    """``id, pos, hash`` of every valid canonical k-mer."""
+    return windows(sequences, k, bases).select("id", "pos", dna.hash_hex(F.least("kmer", "back")).alias("hash"))
+
+
+def mixed_hashes(sequences: DataFrame, k: int) -> DataFrame:
+    """``id, pos, hash`` of every k-mer of A, C, G and T, k at most 32: the smaller, as unsigned numbers, of the mixed two-bit codes of both strands.
+
+    Hashes are the 64 bits as a signed long. All is generated code: each step is a projection of its own, since the next one uses it several times.
+    """
+    if not 1 <= k <= 32:
+        raise ValueError("k must be from 1 to 32")
+    rows = windows(sequences, k).select("id", "pos", dna.code("kmer").alias("a"), dna.code("back").alias("b"))
+    for step in dna.MIX:
+        rows = rows.select("id", "pos", *[F.expr(step(c)).alias(c) for c in ("a", "b")])
+    sign = "shiftleft(1L, 63)"
+    return rows.select("id", "pos", F.expr(f"CASE WHEN (a ^ {sign}) < (b ^ {sign}) THEN a ELSE b END").alias("hash"))
 
 
 def sketch(table: DataFrame, scale: float) -> DataFrame:

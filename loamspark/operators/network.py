@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,28 @@ def phi(table: DataFrame, min_prevalence: float = 0.0, pseudocount: float = 1.0)
     )
 
 
+def phi_by_group(table: DataFrame, meta: DataFrame, min_prevalence: float = 0.0, pseudocount: float = 1.0) -> DataFrame:
+    """``grp, src, dst, phi`` within the samples of every group ``(sample_id, grp)``; a feature that a group lacks is one of equal values there."""
+    return sql(
+        """WITH t AS (SELECT m.grp, t.feature_id, t.sample_id, t.value FROM {t} t JOIN {m} m ON m.sample_id = t.sample_id),
+                k AS (SELECT grp, count(DISTINCT sample_id) AS n FROM t GROUP BY grp),
+                x AS (SELECT grp, feature_id, sample_id, ln((value + {c}) / {c}) AS x FROM t WHERE value > 0),
+                s AS (SELECT grp, feature_id, sum(x) AS s, sum(x * x) AS q, count(*) AS c FROM x GROUP BY grp, feature_id),
+                m AS (SELECT k.grp, k.n, f.feature_id, coalesce(s.s, 0D) AS s, coalesce(s.q, 0D) AS q FROM k CROSS JOIN (SELECT DISTINCT feature_id FROM {t}) f LEFT JOIN s ON s.grp = k.grp AND s.feature_id = f.feature_id WHERE coalesce(s.c, 0) >= {p} * k.n),
+                o AS (SELECT a.grp, a.feature_id AS src, b.feature_id AS dst, sum(a.x * b.x) AS xy FROM x a JOIN x b ON a.sample_id = b.sample_id AND a.grp = b.grp AND a.feature_id < b.feature_id GROUP BY ALL)
+           SELECT a.grp, a.feature_id AS src, b.feature_id AS dst, CASE WHEN a.n > 1 THEN greatest((a.q + b.q - 2 * coalesce(o.xy, 0D) - pow(a.s - b.s, 2) / a.n) / (a.n - 1), 0D) END AS phi
+           FROM m a JOIN m b ON a.grp = b.grp AND a.feature_id < b.feature_id LEFT JOIN o ON o.grp = a.grp AND o.src = a.feature_id AND o.dst = b.feature_id""",
+        t=table, m=meta.select("sample_id", "grp"), p=min_prevalence, c=pseudocount,
+    )
+
+
+def group_networks(pairs: DataFrame, percentile: float = 5.0, limit: float | None = None) -> DataFrame:
+    """Edges of every group's network: under its own percentile of phi, or under one ``limit`` for all (a global or a fixed one). Groups of one sample have none."""
+    if limit is not None:
+        return network_at(pairs, limit)
+    return sql("SELECT p.* FROM {p} p JOIN (SELECT grp, percentile(phi, {q}) AS t FROM {p} GROUP BY grp) c ON c.grp = p.grp WHERE p.phi <= c.t", p=pairs, q=percentile / 100)
+
+
 def threshold(pairs: DataFrame, percentile: float) -> float:
     """The phi at a percentile of all pairs; 0 without pairs."""
     return pairs.agg(F.expr(f"percentile(phi, {percentile / 100!r})").alias("t")).first()["t"] or 0.0
@@ -51,6 +74,31 @@ def sensitivity(pairs: DataFrame, percentiles: list[float] | None = None) -> Dat
     return pairs.join(F.broadcast(cuts), F.col("phi") <= F.col("limit")).groupBy("percentile", "limit").agg(F.count("*").alias("edges"))
 
 
+def sensitivity_modules(pairs: DataFrame, percentiles: list[float] | None = None) -> DataFrame:
+    """``percentile, limit, edges, modularity, modules`` at every percentile: each network's modules are found in a task of its own.
+
+    Modules merge without weights; their modularity is weighted by phi. Features without an edge are modules of one.
+    """
+    at = percentiles or [float(i) for i in range(1, 21)]
+    cuts = pairs.agg(F.expr(f"percentile(phi, array({', '.join(repr(p / 100) for p in at)}))").alias("t"))
+    cuts = cuts.select(F.posexplode("t").alias("i", "limit")).select(F.element_at(F.array(*[F.lit(p) for p in at]), F.col("i") + 1).alias("percentile"), "limit")
+    # Networks are nested: one of a percentile has all edges of the lower ones.
+    size = pairs.select(F.col("src").alias("x")).unionAll(pairs.select("dst")).distinct().agg(F.count("*").alias("size"))
+    kept = pairs.join(F.broadcast(cuts), F.col("phi") <= F.col("limit")).crossJoin(F.broadcast(size)).select("percentile", "limit", "size", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "phi")
+
+    def modules(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, code = np.unique(np.concatenate([pdf["src"].to_numpy(str), pdf["dst"].to_numpy(str)]), return_inverse=True)
+        a, b, w = code[: len(pdf)], code[len(pdf) :], pdf["phi"].to_numpy(float)
+        own, total = graphs.greedy_modules(len(names), a, b), w.sum()
+        inner = np.bincount(own[a], w * (own[a] == own[b]), len(names))
+        ends = np.bincount(own[a], w, len(names)) + np.bincount(own[b], w, len(names))
+        q = float((inner / total - (ends / (2 * total)) ** 2).sum()) if total else 0.0
+        found = len(np.unique(own)) + int(pdf["size"].iloc[0]) - len(names)
+        return pd.DataFrame([(pdf["percentile"].iloc[0], pdf["limit"].iloc[0], len(pdf), q, found)], columns=["percentile", "limit", "edges", "modularity", "modules"])
+
+    return kept.groupBy("percentile").applyInPandas(modules, "percentile double, limit double, edges long, modularity double, modules long")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("near")).unionAll(edges.select(F.col("dst").alias("node"), F.col("src").alias("near")))
 

@@ -74,3 +74,12 @@ def compare_modes(rows: DataFrame, one: str, other: str) -> DataFrame:
            SELECT *, mae_other - mae_one AS mae_change, CASE WHEN mae_one < mae_other THEN {a} WHEN mae_other < mae_one THEN {b} ELSE 'tie' END AS better FROM m""",
         r=rows, a=one, b=other,
     )
+
+
+def breakdown_text(counts: DataFrame) -> DataFrame:
+    """``text``: one sentence of ``significant_by_taxon``, largest first, ties by name; no row without features."""
+    return sql(
+        """SELECT concat('Among ', sum(n), ' significant features: ', array_join(transform(array_sort(collect_list(struct(-n AS n, taxon))), x -> concat(-x.n, ' ', x.taxon)), ', '), '.') AS text
+           FROM {c} HAVING count(*) > 0""",
+        c=counts,
+    )
