@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamspark.functions import dna
@@ -54,6 +54,19 @@ def build(refs: DataFrame, primers: DataFrame, k: int = 21, primer_k: int = 15,
     return Index(coarse, fine, _keyed(primers, primer_k, "marker"), scale, k, primer_k, ks)
 
 
+def save(index: Index, path: str) -> None:
+    """The index's tables and, beside them, its scale and sizes."""
+    for name in ("coarse", "fine", "primers"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    facts = index.coarse.sparkSession.createDataFrame([(index.scale, index.coarse_k, index.primer_k, list(index.fine_ks))], "scale double, coarse_k int, primer_k int, fine_ks array<int>")
+    facts.coalesce(1).write.mode("overwrite").json(f"{path}/facts")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    f = spark.read.schema("scale double, coarse_k int, primer_k int, fine_ks array<int>").json(f"{path}/facts").first()
+    return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("coarse", "fine", "primers")), f["scale"], f["coarse_k"], f["primer_k"], tuple(f["fine_ks"]))
+
+
 def detect_marker(reads: DataFrame, index: Index, least: float = 0.1) -> DataFrame:
     """``id, marker, score`` of reads of whose k-mer positions at least this part is in a marker's primers; ties go to the lower marker."""
     return sql(

@@ -57,3 +57,26 @@ def spike_ins(spark: SparkSession, path: str) -> DataFrame:
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     return text.select(F.from_json("value", "version string, url string, sha256 string, size long").alias("m")).select("m.*")
+
+
+def calibration(spark: SparkSession, path: str) -> DataFrame:
+    """``d_mu, d_sigma, b_mu, b_sigma`` as ``sinks.calibration`` wrote them."""
+    return spark.read.schema("d_mu double, d_sigma double, b_mu double, b_sigma double").json(path)
+
+
+def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A benchmark's table by its schema, in the header's order; no rows where there is no file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    kinds = spark.createDataFrame([], schema).schema
+    rows = _tsv(spark, path)
+    return rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+
+
+def check_shape(table: DataFrame, features: int, samples: int) -> DataFrame:
+    """The table, if it has so many features and samples; else ValueError."""
+    found = table.agg(F.count_distinct("feature_id").alias("f"), F.count_distinct("sample_id").alias("s")).first()
+    if (found["f"], found["s"]) != (features, samples):
+        raise ValueError(f"{found['f']} features and {found['s']} samples, not {features} and {samples}")
+    return table
