@@ -37,3 +37,20 @@ def densify(table: DataFrame) -> DataFrame:
            LEFT JOIN {t} t ON t.feature_id = f.feature_id AND t.sample_id = s.sample_id""",
         t=table,
     )
+
+
+def counts_below(table: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """``by..., value, n, below, total, bucket`` of every distinct value, none negative: its rows, the rows of smaller values, and all rows, null ones too.
+
+    No task sorts all values: they are counted first, so ties are one row, then summed within buckets of a 64th of a power of two and over the buckets.
+    """
+    keys = "".join(f"{k}, " for k in by or [])
+    part = f"PARTITION BY {keys[:-2]} " if by else ""
+    same = "".join(f"o.{k} <=> b.{k} AND " for k in by or [])
+    return sql(
+        f"""WITH b AS (SELECT {keys}{value}, count(*) AS n, CASE WHEN {value} IS NULL THEN 2147483647 WHEN {value} > 0 THEN cast(floor(log2({value}) * 64) AS INT) ELSE -2147483648 END AS bucket FROM {{t}} GROUP BY {keys}{value}),
+                 o AS (SELECT {keys}bucket, sum(sum(n)) OVER ({part}ORDER BY bucket) - sum(n) AS before, sum(sum(n)) OVER ({part}) AS total FROM b GROUP BY {keys}bucket)
+            SELECT {"".join(f"b.{k}, " for k in by or [])}b.{value}, b.n, o.before + sum(b.n) OVER (PARTITION BY {"".join(f"b.{k}, " for k in by or [])}b.bucket ORDER BY b.{value}) - b.n AS below, o.total, b.bucket
+            FROM b JOIN o ON {same}o.bucket = b.bucket""",
+        t=table,
+    )

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamspark.functions.frames import sql
+from loamspark.functions.frames import counts_below, sql
+from loamspark.session import saved
 
 
 def normalize(table: DataFrame) -> DataFrame:
@@ -108,13 +109,22 @@ def phylum_composition(table: DataFrame, taxonomy: DataFrame, meta: DataFrame, r
 
 
 def benjamini_hochberg(table: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
-    """``q``: least of p n / rank over this and all larger p; n counts every row, null p stay null and rank last."""
-    part = f"PARTITION BY {', '.join(by)}" if by else ""
+    """``q``: least of p n / rank over this and all larger p; n counts every row, null p stay null and rank last.
+
+    q is a function of p alone, so it is found once for each distinct p and joined to the rows, which are saved first: both sides must have the very same p.
+    """
+    table = saved(table, "tests")
+    keys = "".join(f"{k}, " for k in by or [])
+    same = lambda x, y: "".join(f" AND {x}.{k} <=> {y}.{k}" for k in by or [])
+    part = f"PARTITION BY {keys[:-2]} " if by else ""
     return sql(
-        f"""SELECT * EXCEPT (bh_rank, bh_n), CASE WHEN {p} IS NOT NULL THEN least(1D, min({p} * bh_n / bh_rank) OVER ({part} ORDER BY bh_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS q
-            FROM (SELECT *, row_number() OVER ({part} ORDER BY {p} ASC NULLS LAST) AS bh_rank, count(*) OVER ({part}) AS bh_n FROM {{t}})""",
-        t=table,
-    )
+        f"""WITH e AS (SELECT *, {p} * total / (below + n) AS e FROM {{c}} WHERE {p} IS NOT NULL),
+                 m AS (SELECT {keys}bucket, min(min(e)) OVER ({part}ORDER BY bucket ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM e GROUP BY {keys}bucket),
+                 w AS (SELECT {keys}{p}, bucket, min(e) OVER (PARTITION BY {keys}bucket ORDER BY {p} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM e),
+                 q AS (SELECT w.*, least(1D, w.e, m.later) AS q FROM w JOIN m ON m.bucket = w.bucket{same("m", "w")})
+            SELECT t.*, q.q FROM {{t}} t LEFT JOIN q ON q.{p} = t.{p}{same("q", "t")}""",
+        t=table, c=counts_below(table, p, by),
+    )
 
 
 def argmax(table: DataFrame, key: str, score: str, name: str) -> DataFrame:

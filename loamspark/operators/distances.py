@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from loamspark.functions.frames import sql
+from loamspark.functions.frames import counts_below, sql
 from loamspark.operators.composition import permutations
+from loamspark.session import saved
 
 
 def bray_curtis(table: DataFrame) -> DataFrame:
@@ -86,12 +87,13 @@ def pairwise_permanova(distances: DataFrame, meta: DataFrame, n: int = 99) -> Da
 
 
 def anosim(distances: DataFrame, meta: DataFrame, n: int = 99) -> DataFrame:
-    """R from average ranks between and within groups, and permutation p; 0 where either kind of pair is missing."""
+    """R from average ranks between and within groups, and permutation p; 0 where either kind of pair is missing. Distances are saved first: they meet their ranks by value."""
+    distances = saved(distances, "distances")
     r = sql(
-        """WITH k AS (SELECT s1, s2, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2D AS r, count(*) OVER () AS m FROM {d})
+        """WITH k AS (SELECT d.s1, d.s2, c.below + (c.n + 1) / 2D AS r, c.total AS m FROM {d} d JOIN {c} c ON c.d = d.d)
            SELECT a.perm, coalesce((avg(r) FILTER (WHERE a.grp <> b.grp) - avg(r) FILTER (WHERE a.grp = b.grp)) / (max(m) / 2D), 0D) AS r
            FROM k JOIN {l} a ON a.sample_id = s1 JOIN {l} b ON b.sample_id = s2 AND b.perm = a.perm GROUP BY a.perm""",
-        d=distances, l=permutations(_checked(distances, meta), n),
+        d=distances, c=counts_below(distances, "d"), l=permutations(_checked(distances, meta), n),
     )
     return sql("SELECT max(o.r) AS r, (count_if(x.perm > 0 AND x.r >= o.r - 1e-9D) + 1) / {b} AS p FROM {r} x CROSS JOIN (SELECT r FROM {r} WHERE perm = 0) o", r=r, b=float(n + 1))
 
@@ -113,6 +115,6 @@ def gower_centred(distances: DataFrame) -> DataFrame:
     """``a, b, g``: -d squared / 2, doubly centred, for every ordered pair."""
     return sql(
         """WITH x AS (SELECT s1 AS a, s2 AS b, -d * d / 2 AS e FROM {d} UNION ALL SELECT s2, s1, -d * d / 2 FROM {d} UNION ALL SELECT s, s, 0D FROM (SELECT s1 AS s FROM {d} UNION SELECT s2 FROM {d}))
-           SELECT a, b, e - avg(e) OVER (PARTITION BY a) - avg(e) OVER (PARTITION BY b) + avg(e) OVER () AS g FROM x""",
+           SELECT a, b, e - avg(e) OVER (PARTITION BY a) - avg(e) OVER (PARTITION BY b) + (SELECT avg(e) FROM x) AS g FROM x""",
         d=distances,
     )

@@ -25,7 +25,7 @@ from loamspark.operators import ordination as od
 from loamspark.operators import simulate as si
 from loamspark.plans import fixtures as fx
 from loamspark.plans.fixtures import views
-from loamspark.session import table_folder
+from loamspark.session import saved, table_folder
 from loamspark.sources.tabular import genome_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -424,9 +424,7 @@ def _unrolled(steps: int) -> str:
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
     """The candidates' profiles as a saved table: every step reads them, and a lost executor costs none of their making."""
-    made, path = mx.profiles(fx.cand(s, d)), f"{table_folder(s)}/candidates-{uuid.uuid4().hex}"
-    made.write.parquet(path)
-    return s.read.schema(made.schema).parquet(path)
+    return saved(mx.profiles(fx.cand(s, d)), "candidates")
 
 
 def _steps(s: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:

@@ -7,10 +7,11 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: The folder of each application's saved tables.
@@ -57,6 +58,13 @@ def table_folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def saved(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """Rows as a table below ``table_folder``: later plans read them instead of making them anew, whose doubles could differ in the last place."""
+    path = f"{table_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, if the session still lives or the folder is local."""
     if path.startswith("file://"):

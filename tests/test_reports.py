@@ -108,3 +108,28 @@ def test_mixture_reads_follow_weights_and_errors(spark):
     changed = sum(a != b for r, o in zip(wrong, rows, strict=True) for a, b in zip(r.sequence, o.sequence, strict=True))
     assert abs(changed / sum(len(r.sequence) for r in rows) - 0.1) < 0.01 and set("".join(r.sequence for r in wrong)) == set("ACGT")
     assert si.known({"ox": 0.5, "yak": 0.5}, {"ox"}) == ({"ox": 0.5}, ["yak"])
+
+
+def test_false_discovery_rates_of_ties_nulls_and_groups(spark):
+    from loamspark.operators import composition as co
+
+    rng = np.random.default_rng(5)
+    ps = [None if x < 0.05 else 1.0 if x < 0.4 else 0.0 if x < 0.42 else float(rng.random() ** 6) for x in rng.random(400)]
+    rows = [(i, "a" if i % 3 else None, p) for i, p in enumerate(ps)]
+    table = spark.createDataFrame(rows, "i long, g string, p double")
+
+    def plain(own):
+        known = sorted((p, i) for i, p in own if p is not None)
+        q, least = {i: None for i, _ in own}, 1.0
+        for rank in range(len(known), 0, -1):
+            least = min(least, known[rank - 1][0] * len(own) / rank)
+            q[known[rank - 1][1]] = least
+        return q
+
+    got = {r.i: r.q for r in co.benjamini_hochberg(table).collect()}
+    assert len(got) == 400 and got == pytest.approx(plain([(i, p) for i, _, p in rows]), nan_ok=True)
+    want = {}
+    for g in ("a", None):
+        want |= plain([(i, p) for i, own, p in rows if own == g])
+    assert {r.i: r.q for r in co.benjamini_hochberg(table, by=["g"]).collect()} == pytest.approx(want)
+    assert co.benjamini_hochberg(table.limit(0)).count() == 0
