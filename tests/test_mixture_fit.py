@@ -101,6 +101,11 @@ def test_degradation_and_one_marker(spark):
     assert d == pytest.approx({0: 0.5, 1: 2.0, 2: 1.0})
 
 
+def test_bic_counts_weights_yields_biases_and_the_rate():
+    assert mx.bic(-10.0, 3, 2, 100) == pytest.approx(20 + (2 + 3 + 6) * math.log(100))
+    assert mx.bic(-10.0, 3, 2, 100, True) == pytest.approx(20 + 12 * math.log(100))
+
+
 def test_no_candidates(spark):
     params, ll, steps = mx.fit(spark.createDataFrame([], SCHEMA))
     assert params.count() == 0 and ll == 0 and steps == 0
