@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, hilbert_ann, minhash_dedup, packing, quality_knn, sharding, token_files, toxicity, url_filter
+from . import byte_bpe, embedding_dedup, hilbert_ann, minhash_dedup, packing, quality_knn, sharding, token_files, toxicity, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_ann, op2_toxicity, op3_sharding, op4_byte_bpe, op5_minhash_dedup, op6_token_files, op7_embedding_dedup, op8_quality_knn, op9_packing, op10_url_filter)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_ann, op2_toxicity, op3_sharding, op4_byte_bpe, op5_minhash_dedup, op6_token_files, op7_embedding_dedup, op8_quality_knn, op9_packing, op10_url_filter, op13_vector_codes)}
 
 OP10_SQL = r"""
 WITH parts AS (
@@ -91,4 +96,25 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
+def _op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of assignment by brute force and of floors of means, written out one after the other."""
+    steps = [
+        """kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        f"""pieces AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM kept, range({parts}) r(p))""",
+        f"""b0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM pieces) WHERE e < {entries})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, label, p, v, min(row(d, e)) AS best FROM (
+            SELECT t.vec_id, t.label, t.p, t.v, b.e, list_sum(list_transform(list_zip(t.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM pieces t JOIN b{i} b ON b.p = t.p) GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS MATERIALIZED (SELECT p, e, list(m ORDER BY pos) AS v FROM (
+                SELECT p, best[2] AS e, pos, floor(sum(v[pos]) / count(*))::BIGINT AS m FROM (SELECT p, best, v, unnest(range(1, len(v) + 1)) AS pos FROM a{i}) GROUP BY p, best[2], pos) GROUP BY p, e)""")
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m ON m.p = b.p AND m.e = b.e)")
+    return f"""WITH {", ".join(steps)},
+        coded AS (SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM coded"""
+
+
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL, "op13_vector_codes": _op13_sql()}
