@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, hilbert_ann, minhash_dedup, packing, quality_knn, sharding, token_files, toxicity, url_filter, vector_codes
+from . import byte_bpe, embedding_dedup, hilbert_ann, minhash_dedup, packing, quality_knn, secret_scan, sharding, token_files, toxicity, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,12 +71,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secret_scan.BASE), F.sha2(secret_scan.digest(F.col("base")), 256).alias("base_sha256"), secret_scan.digest(F.col("spans")).alias("spans"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
     return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_ann, op2_toxicity, op3_sharding, op4_byte_bpe, op5_minhash_dedup, op6_token_files, op7_embedding_dedup, op8_quality_knn, op9_packing, op10_url_filter, op13_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_ann, op2_toxicity, op3_sharding, op4_byte_bpe, op5_minhash_dedup, op6_token_files, op7_embedding_dedup, op8_quality_knn, op9_packing, op10_url_filter, op12_secret_scan, op13_vector_codes)}
 
 OP10_SQL = r"""
 WITH parts AS (
@@ -96,6 +102,39 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
+def _op12_sql() -> str:
+    """Matches by cutting the texts at them, and every window's characters counted anew."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    steps = ["t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"]
+    # Short runs of hexadecimal digits are no matches and take nothing from others.
+    kinds = [(k, "[0-9a-f]{32,}" if k == "hex" else p) for k, p in secret_scan.BASE.items()] + [(c.kind, c.pattern) for c in secret_scan.CLASSES]
+    for kind, pattern in kinds:
+        steps.append(f"""cut_{kind} AS MATERIALIZED (SELECT r, i, m[i] AS match, sum(length(p[i]) + CASE WHEN i > 1 THEN length(m[i - 1]) ELSE 0 END) OVER (PARTITION BY r ORDER BY i)::BIGINT AS start
+            FROM (SELECT r, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, {quoted(pattern)}) AS m, string_split_regex(text, {quoted(pattern)}) AS p FROM t)))""")
+    found = []
+    for turn, kind in enumerate(secret_scan.BASE):
+        size = f"length(regexp_extract(match, {quoted(secret_scan.BASE[kind])}, 2))" if kind == "assign" else "length(match)"
+        found.append(f"SELECT r, start, {turn} AS turn, start + length(match) AS stop, '{kind}' AS kind FROM cut_{kind} WHERE {size} >= {secret_scan.LEAST[kind]}")
+    steps.append(f"base AS MATERIALIZED ({' UNION ALL '.join(found)})")
+    added = []
+    for turn, c in enumerate(secret_scan.CLASSES, len(secret_scan.BASE)):
+        steps.append(f"""hot_{c.kind} AS (SELECT r, i, w, start FROM (
+            SELECT r, i, start, w, window_text, unnest(string_split(window_text, '')) AS ch FROM (
+              SELECT r, i, start, w, substr(match, w + 1, {c.window}) AS window_text FROM (
+                SELECT *, unnest(range(0, length(match) - {c.window} + 1)) AS w FROM cut_{c.kind} WHERE NOT regexp_matches(lower(match), {quoted(secret_scan.ALLOWED)}))))
+            WHERE NOT regexp_matches(window_text, {quoted(c.allowed)}) GROUP BY r, i, w, start, ch)""".replace("SELECT r, i, w, start FROM", f"SELECT r, i, w, start, {c.costs}[count(*) + 1] AS cost FROM", 1))
+        steps.append(f"warm_{c.kind} AS (SELECT r, i, start, w FROM hot_{c.kind} GROUP BY ALL HAVING sum(cost) <= {c.most})")
+        added.append(f"SELECT r, start + min(w) AS start, {turn} AS turn, start + max(w) + {c.window} AS stop, '{c.kind}' AS kind FROM warm_{c.kind} GROUP BY r, i, start")
+    steps.append(f"""spans AS (SELECT * FROM base UNION ALL SELECT * FROM ({' UNION ALL '.join(added)}) a
+        WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = a.r AND b.start <= a.start AND a.start < b.stop))""")
+    text = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, turn), '')"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secret_scan.BASE)
+    return f"""WITH {", ".join(steps)},
+        b AS (SELECT r, {counts}, {text} AS base FROM base GROUP BY r), s AS (SELECT r, {text} AS spans FROM spans GROUP BY r)
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN b ON b.r = t.r LEFT JOIN s ON s.r = t.r"""
+
+
 def _op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
     """Rounds of assignment by brute force and of floors of means, written out one after the other."""
     steps = [
@@ -117,4 +156,4 @@ def _op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
                (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM coded"""
 
 
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL, "op13_vector_codes": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL, "op12_secret_scan": _op12_sql(), "op13_vector_codes": _op13_sql()}
