@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, hilbert_ann, minhash_dedup, packing, quality_knn, secret_scan, sharding, token_files, toxicity, url_filter, vector_codes
+from . import byte_bpe, embedding_dedup, hard_negatives, hilbert_ann, minhash_dedup, packing, quality_knn, secret_scan, sharding, token_files, toxicity, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    table = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(table, F.col("vec_id") % 100 == 0)
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -82,7 +88,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_ann, op2_toxicity, op3_sharding, op4_byte_bpe, op5_minhash_dedup, op6_token_files, op7_embedding_dedup, op8_quality_knn, op9_packing, op10_url_filter, op12_secret_scan, op13_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_ann, op2_toxicity, op3_sharding, op4_byte_bpe, op5_minhash_dedup, op6_token_files, op7_embedding_dedup, op8_quality_knn, op9_packing, op10_url_filter, op11_hard_negatives, op12_secret_scan, op13_vector_codes)}
 
 OP10_SQL = r"""
 WITH parts AS (
@@ -102,6 +108,20 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
+OP11_SQL = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER best AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 10
+"""
+
+
 def _op12_sql() -> str:
     """Matches by cutting the texts at them, and every window's characters counted anew."""
     quoted = lambda text: "'" + text.replace("'", "''") + "'"
@@ -156,4 +176,4 @@ def _op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
                (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM coded"""
 
 
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL, "op12_secret_scan": _op12_sql(), "op13_vector_codes": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_secret_scan": _op12_sql(), "op13_vector_codes": _op13_sql()}
