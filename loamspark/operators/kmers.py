@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loamspark.functions import dna
 from loamspark.functions.frames import sql
+from loamspark.sources.fastq_files import read_fastq
 
 #: K-mers of a piece that a sequence is cut into.
 PIECE = 256
@@ -175,6 +176,22 @@ def add_to_index(strains: DataFrame, table: DataFrame, genes: DataFrame, path: s
     more.write.mode("append").parquet(f"{path}/fine")
 
 
+def classify_file(spark: SparkSession, path: str, index: str, strains: DataFrame, k: int, top: int = 3, least: float = 0.1, min_length: int = 50, split_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hits ``id, strain, containment, gene, species`` of a FASTQ file's reads in a saved index, and the summary of the file's classification; both are lazy.
+
+    ``path`` is a file, a folder or a pattern, plain or compressed. Reads are split from it by bytes and their k-mers meet the saved tables, in one plan. Reads under ``min_length`` have no hits. A read of a name
+    that another has too is told apart by its file and place, which its id then holds.
+    """
+    found = read_fastq(spark, path, **({"split_bytes": split_bytes} if split_bytes else {}))
+    reads = found.select("read_id", F.concat_ws(":", "file", "at").alias("place"), "sequence")
+    # Names that repeat are few or none; the place is unique.
+    repeated = reads.groupBy("read_id").agg(F.count("*").alias("n")).where("n > 1").select("read_id", F.lit(True).alias("repeated"))
+    named = reads.join(repeated, "read_id", "left").select(F.when(F.col("repeated"), F.concat_ws("@", "read_id", "place")).otherwise(F.col("read_id")).alias("id"), "sequence")
+    coarse, fine, scale = load_index(spark, index)
+    hits = classify(hashes(long_enough(named, min_length), k), strains, coarse, fine, scale, top, least)
+    return hits, classification_summary(named, hits, min_length)
+
+
 def long_enough(reads: DataFrame, least: int = 50) -> DataFrame:
     """Reads of at least so many bases; a read without a sequence is none."""
     return reads.where(F.length("sequence") >= least)
