@@ -2,17 +2,19 @@
 
 pi is a strain's weight, phi(strain, gene) how its reads spread over genes; a pool of mobile genes may take reads of any strain. Reads with
 the same candidates are one row with a count, so an iteration costs distinct candidate lists, not reads. Restarts, ablations and
-choices of strains are *runs*: rows of one parameter table, so that one plan an iteration serves all of them. Shares are summed in Spark; only
-the sums, a row for each run, strain and gene, come to the driver for the closed-form update.
+choices of strains are *runs*: one pass an iteration over the packed profiles serves all of them. Shares are summed in Spark; only
+the sums, a row for each run and each strain's gene, come to the driver for the closed-form update.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from loamspark.functions.frames import sql
 
 #: A parameter table of more rows is joined without a broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of a packed block, about.
+BLOCK_ROWS = 1 << 16
 #: Starts of a fit.
 RESTARTS = 10
 
@@ -111,35 +115,148 @@ def expected(rows: DataFrame, params: DataFrame, pools: DataFrame) -> DataFrame:
     )
 
 
-def maximise(params: pd.DataFrame, mobile: dict[str, float], sums: pd.DataFrame, runs: list[Run], use: Settings) -> tuple[pd.DataFrame, dict[str, float]]:
-    """New weights and phi of every run: MAP under the priors, phi from the reads that hit any gene, within 1e-6 of 0 and 1."""
-    out, pools = [], {}
-    joined = params.merge(sums[["run", "strain", "gene", "g", "s", "m"]], on=["run", "strain", "gene"], how="left").fillna({"g": 0.0, "s": 0.0, "m": 0.0})
-    for run in runs:
-        own = joined[joined["run"] == run.name].copy()
-        by = own.groupby("strain")
-        raw = np.maximum(by["s"].sum() + use.alpha - 1, 1e-10)
-        pool = max(own["m"].sum() + use.alpha - 1, 1e-10) if use.mobile else 0.0
+@dataclass
+class State:
+    """Parameters of all runs over the grid of strains and genes: ``pi`` by run and strain, ``phi`` by run and cell, the pool's weight by run.
+
+    ``strain`` and ``named`` tell a cell's strain and whether it has a gene; ``a`` and ``b`` are its Beta prior; ``inside`` tells a run's strains.
+    """
+
+    strain: np.ndarray
+    named: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    inside: np.ndarray
+    pi: np.ndarray
+    phi: np.ndarray
+    mobile: np.ndarray
+    genes: int
+
+    def shares(self, run: int, block: Block) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+        """Of one block: shares by cell and by strain, the pool's share, log-likelihood and reads, as ``expected`` sums them."""
+        use = self.inside[run][block.strain]
+        if not use.any():
+            return np.zeros(len(self.strain)), np.zeros(self.pi.shape[1]), 0.0, 0.0, 0.0
+        c, phi = np.maximum(block.c, 1e-300), np.maximum(self.phi[run][block.cell], 1e-300)
+        x = np.where(use, np.maximum(self.pi[run][block.strain], 1e-300) * c * phi, 0.0)
+        # A strain counts once in a profile, by its likeliest row.
+        own = np.maximum.reduceat(x, block.first)
+        rows = np.add.reduceat(use, block.start, dtype=np.int64)
+        mean = np.add.reduceat(np.where(use, block.c, 0.0), block.start) / np.maximum(rows, 1)
+        pool = self.mobile[run] * 0.5 * mean / max(self.genes, 1)
+        total = np.add.reduceat(own, block.group) + pool
+        reads, total = np.where(rows > 0, block.reads, 0.0), np.where(rows > 0, total, 1.0)
+        share = own * np.repeat(reads / total, np.diff(np.append(block.group, len(block.first))))
+        by_row = np.repeat(share, np.diff(np.append(block.first, len(x))))
+        return (
+            np.bincount(block.cell, by_row, len(self.strain)),
+            np.bincount(block.strain[block.first], share, self.pi.shape[1]),
+            float((reads * pool / total).sum()),
+            float((reads * np.log(total)).sum()),
+            float(reads.sum()),
+        )
+
+    def update(self, run: int, how: Run, g: np.ndarray, s: np.ndarray, pooled: float, use: Settings) -> None:
+        """New weights and phi: MAP under the priors, phi from the reads that hit any gene, within 1e-6 of 0 and 1."""
+        inside, cells = self.inside[run], self.inside[run][self.strain]
+        raw = np.where(inside, np.maximum(s + use.alpha - 1, 1e-10), 0.0)
+        pool = max(pooled + use.alpha - 1, 1e-10) if use.mobile else 0.0
+        if how.fix_pi:
+            raw, pool = inside.astype(float), float(use.mobile)
         whole = raw.sum() + pool
-        if run.fix_pi:
-            raw, pool, whole = raw * 0 + 1.0, float(use.mobile), len(raw) + float(use.mobile)
-        own["pi"] = own["strain"].map(raw / whole)
-        pools[run.name] = float(pool / whole) if whole else 0.0
-        if not run.fix_phi:
-            genic = own["strain"].map(own[own["gene"].notna()].groupby("strain")["g"].sum()).fillna(0.0)
-            top = np.maximum(own["g"] + own["a"] - 1, 1e-10)
-            low = np.maximum(genic + own["a"] + own["b"] - 2, top + 1e-10)
-            own["phi"] = np.where(own["gene"].notna(), np.clip(top / low, 1e-6, 1 - 1e-6), np.nan)
-        out.append(own[params.columns])
-    return pd.concat(out, ignore_index=True) if out else params, pools
-
-
-def _prior(params: pd.DataFrame, mobile: float, use: Settings) -> float:
-    """Log-density of the priors, up to a constant, with the default Beta on every phi."""
-    pi = params.drop_duplicates("strain")["pi"].to_numpy(float)
-    phi = np.clip(params["phi"].dropna().to_numpy(float), 1e-300, 1 - 1e-16)
-    pi = np.append(pi, mobile) if use.mobile else pi
-    return float((use.alpha - 1) * np.log(pi[pi > 1e-300]).sum() + (use.beta[0] - 1) * np.log(phi).sum() + (use.beta[1] - 1) * np.log1p(-phi).sum())
+        self.pi[run], self.mobile[run] = raw / whole, pool / whole
+        if not how.fix_phi:
+            genic = np.bincount(self.strain[self.named], g[self.named], self.pi.shape[1])
+            top = np.maximum(g + self.a - 1, 1e-10)
+            low = np.maximum(genic[self.strain] + self.a + self.b - 2, top + 1e-10)
+            self.phi[run] = np.where(self.named & cells, np.clip(top / low, 1e-6, 1 - 1e-6), 1.0)
+
+    def prior(self, run: int, use: Settings) -> float:
+        """Log-density of the priors, up to a constant, with the default Beta on every phi."""
+        pi = self.pi[run][self.inside[run]]
+        phi = np.clip(self.phi[run][self.named & self.inside[run][self.strain]], 1e-300, 1 - 1e-16)
+        pi = np.append(pi, self.mobile[run]) if use.mobile else pi
+        return float((use.alpha - 1) * np.log(pi[pi > 1e-300]).sum() + (use.beta[0] - 1) * np.log(phi).sum() + (use.beta[1] - 1) * np.log1p(-phi).sum())
+
+
+@dataclass
+class Block:
+    """Whole profiles: reads of each, its first row and first strain; each strain's first row there; and cell, strain and containment of the rows."""
+
+    reads: np.ndarray
+    start: np.ndarray
+    group: np.ndarray
+    first: np.ndarray
+    cell: np.ndarray
+    strain: np.ndarray
+    c: np.ndarray
+
+    @staticmethod
+    def of(profile: np.ndarray, reads: np.ndarray, cell: np.ndarray, c: np.ndarray, strain_of: np.ndarray) -> Block:
+        strain = strain_of[cell]
+        new = np.append(True, profile[1:] != profile[:-1])
+        start, first = np.flatnonzero(new), np.flatnonzero(new | np.append(True, strain[1:] != strain[:-1]))
+        return Block(reads[start].astype(float), start, np.searchsorted(first, start), first, cell, strain, c)
+
+
+def packed(rows: DataFrame, grid: pd.DataFrame) -> DataFrame:
+    """``block``: profiles in blocks of about BLOCK_ROWS rows, each as bytes of its rows' profiles, reads, cells of the grid and containments. They are made once and read at every step."""
+    spark, kinds = rows.sparkSession, {f.name: f.dataType.simpleString() for f in rows.schema}
+    codes = spark.createDataFrame([(s, g, i) for i, (s, g) in enumerate(zip(grid["strain"], grid["gene"], strict=True))], f"strain {kinds['strain']}, gene {kinds['gene']}, cell int")
+    codes = F.broadcast(codes) if len(grid) <= BROADCAST_ROWS else codes
+    coded = rows.alias("r").join(codes.alias("k"), (F.col("r.strain") == F.col("k.strain")) & F.col("r.gene").eqNullSafe(F.col("k.gene")))
+    n = rows.count()
+    tasks = max(min(spark.sparkContext.defaultParallelism, -(-n // 8192)), -(-n // (4 * BLOCK_ROWS)), 1)
+    ordered = coded.select("r.profile", F.col("r.reads").cast("long").alias("reads"), "k.cell", "r.c").repartition(tasks, "profile").sortWithinPartitions("profile", "cell")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table) -> pa.RecordBatch:
+            parts = [table.column(c).to_numpy() for c in ("profile", "reads", "cell", "c")]
+            return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in parts], ["profile", "reads", "cell", "c"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < BLOCK_ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            profile = table.column("profile").to_numpy()
+            # The last profile may go on in the next batch.
+            cut = int(np.flatnonzero(np.append(True, profile[1:] != profile[:-1]))[-1])
+            if cut:
+                yield out(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield out(pa.Table.from_batches(held))
+
+    return ordered.mapInArrow(pack, "profile binary, reads binary, cell binary, c binary")
+
+
+def stepped(blocks: DataFrame, state: State, runs: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, float, float, float]]:
+    """``State.shares`` of each of ``runs``, summed over all blocks: a task adds up its own, Spark adds up the tasks'."""
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast((state, runs))
+    cells, strains = len(state.strain), state.pi.shape[1]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, names = shared.value
+        sums = np.zeros((len(names), cells + strains + 3))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                profile, reads, cell, c = (np.frombuffer(batch.column(n)[i].as_py(), t) for n, t in (("profile", np.int64), ("reads", np.int64), ("cell", np.int32), ("c", np.float64)))
+                block = Block.of(profile, reads, cell, c, own.strain)
+                for j, run in enumerate(names):
+                    g, s, *rest = own.shares(run, block)
+                    sums[j] += np.concatenate([g, s, rest])
+        run, at = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(run.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[run, at])], ["run", "at", "v"])
+
+    found = blocks.mapInArrow(add, "run int, at int, v double").groupBy("run", "at").agg(F.sum("v").alias("v")).toArrow()
+    sums = np.zeros((len(runs), cells + strains + 3))
+    sums[found.column("run").to_numpy(), found.column("at").to_numpy()] = found.column("v").to_numpy()
+    shared.unpersist()
+    return {run: (v[:cells], v[cells : cells + strains], *(float(x) for x in v[cells + strains :])) for run, v in zip(runs, sums, strict=True)}
 
 
 def start(cells: pd.DataFrame, runs: list[Run], use: Settings, reference: pd.DataFrame | None = None) -> tuple[pd.DataFrame, dict[str, float]]:
@@ -200,33 +317,47 @@ def fit_runs(rows: DataFrame, runs: list[Run], use: Settings | None = None, refe
     genes = int(grid["gene"].nunique())
     params, mobile = start(grid, runs, use, reference)
     fit = Fit(params, mobile, {r.name: -math.inf for r in runs}, {r.name: math.inf for r in runs}, {r.name: 0.0 for r in runs}, {r.name: [] for r in runs}, {r.name: False for r in runs})
-    active = [r for r in runs if (params["run"] == r.name).any()]
-    for _ in range(use.max_iter):
-        if not active:
-            break
-        names = {r.name for r in active}
-        given, pools = tables(rows, params[params["run"].isin(names)], {k: v for k, v in mobile.items() if k in names}, genes)
-        sums = pd.DataFrame([tuple(r) for r in expected(rows, given, pools).collect()], columns=["run", "strain", "gene", "g", "s", "m", "ll", "reads"], dtype=object)
-        sums = sums.astype({c: float for c in ("g", "s", "m", "ll", "reads")})
-        going = []
-        for run in active:
-            own = sums[sums["run"] == run.name]
-            if own.empty:
-                continue
-            fit.reads[run.name] = float(own["reads"].sum())
-            fit.ll[run.name] = float(own["ll"].sum()) + _prior(params[params["run"] == run.name], mobile[run.name], use)
-            trace = fit.traces[run.name]
-            trace.append(fit.ll[run.name])
-            if len(trace) < 2 or abs(trace[-1] - trace[-2]) >= use.tolerance * (abs(trace[-2]) or 1.0):
-                going.append(run)
-            else:
-                fit.converged[run.name] = True
-        new, pools_new = maximise(params, mobile, sums, going, use)
-        if going:
-            params = pd.concat([params[~params["run"].isin([r.name for r in going])], new], ignore_index=True)
-            mobile = mobile | pools_new
-        active = going
-    fit.params, fit.mobile = params, mobile
+    strains = sorted(grid["strain"].unique())
+    if strains:
+        number = {v: i for i, v in enumerate(strains)}
+        # Each run's rows of params are its part of the grid, in the grid's order.
+        own = [np.flatnonzero(grid["strain"].isin(r.strains)) if r.strains else np.arange(len(grid)) for r in runs]
+        state = State(grid["strain"].map(number).to_numpy(int), grid["gene"].notna().to_numpy(), np.zeros(len(grid)), np.zeros(len(grid)), np.zeros((len(runs), len(strains)), bool), np.zeros((len(runs), len(strains))), np.ones((len(runs), len(grid))), np.array([mobile[r.name] for r in runs]), genes)
+        for i, (run, at) in enumerate(zip(runs, own, strict=True)):
+            part = params[params["run"] == run.name]
+            state.a[at], state.b[at] = part["a"].to_numpy(float), part["b"].to_numpy(float)
+            state.inside[i, state.strain[at]] = True
+            state.pi[i, state.strain[at]] = part["pi"].to_numpy(float)
+            state.phi[i, at] = part["phi"].fillna(1.0).to_numpy(float)
+        blocks = packed(rows, grid).persist()
+        active = [i for i, at in enumerate(own) if len(at)]
+        try:
+            for _ in range(use.max_iter):
+                if not active:
+                    break
+                going = []
+                for i, (g, s, pooled, ll, reads) in stepped(blocks, state, active).items():
+                    name = runs[i].name
+                    if not reads:
+                        continue
+                    fit.reads[name], fit.ll[name] = reads, ll + state.prior(i, use)
+                    trace = fit.traces[name]
+                    trace.append(fit.ll[name])
+                    if len(trace) < 2 or abs(trace[-1] - trace[-2]) >= use.tolerance * (abs(trace[-2]) or 1.0):
+                        going.append(i)
+                        state.update(i, runs[i], g, s, pooled, use)
+                    else:
+                        fit.converged[name] = True
+                active = going
+        finally:
+            blocks.unpersist()
+        done = []
+        for i, (run, at) in enumerate(zip(runs, own, strict=True)):
+            part = params[params["run"] == run.name].copy()
+            part["pi"], part["phi"] = state.pi[i, state.strain[at]], np.where(state.named[at], state.phi[i, at], np.nan)
+            done.append(part)
+        fit.params, fit.mobile = pd.concat(done, ignore_index=True), {r.name: float(m) for r, m in zip(runs, state.mobile, strict=True)}
+    params = fit.params
     for run in runs:
         if fit.reads[run.name]:
             k = params[params["run"] == run.name]["strain"].nunique()
