@@ -137,6 +137,79 @@ query(
 SELECT e.strain, e.gene, s.s / w.n AS pi, CASE WHEN e.gene IS NOT NULL THEN (e.g + 0.5) / (s.genic + 1) END AS phi, w.m / w.n AS mobile FROM e JOIN s USING (strain) CROSS JOIN w""",
     "pi phi mobile",
 )(_one_update)
+
+
+def _joint_steps_sql(runs: str, steps: int) -> str:
+    """CTEs of ``steps`` EM steps from an even start, written out: p{i}(run, strain, gene, pi, phi), m{i}(run, mobile) and e{i}, the sums of step i.
+
+    ``runs`` selects run, strain, fix_pi and fix_phi from ``c``, the candidates, and ``o``, the strains in the order of their containments.
+    """
+    out = [
+        "c AS MATERIALIZED (SELECT read_id, species AS strain, nullif(marker, 2) AS gene, containment AS c FROM cand WHERE containment >= 0.05)",
+        "o AS (SELECT strain, row_number() OVER (ORDER BY sum(c) DESC, strain) AS nth FROM c GROUP BY strain)",
+        f"u AS MATERIALIZED ({runs})",
+        "n AS (SELECT run, count(*) + 1 AS n, any_value(fix_pi) AS fix_pi, any_value(fix_phi) AS fix_phi FROM u GROUP BY run)",
+        "gn AS (SELECT count(DISTINCT gene) AS genes FROM c)",
+        "p0 AS MATERIALIZED (SELECT u.run, u.strain, g.gene, 1.0 / n.n AS pi, CASE WHEN g.gene IS NOT NULL THEN 0.5::DOUBLE END AS phi FROM u JOIN n USING (run) CROSS JOIN (SELECT DISTINCT gene FROM c) g)",
+        "m0 AS MATERIALIZED (SELECT run, 1.0 / n AS mobile FROM n)",
+    ]
+    for i in range(steps):
+        out += [
+            f"x{i} AS (SELECT p.run, c.read_id, c.strain, c.gene, c.c, greatest(p.pi, 1e-300) * greatest(c.c, 1e-300) * greatest(coalesce(p.phi, 1), 1e-300) AS x FROM c JOIN p{i} p ON p.strain = c.strain AND p.gene IS NOT DISTINCT FROM c.gene)",
+            f"y{i} AS (SELECT *, max(x) OVER w AS own, count(*) OVER w AS k FROM x{i} WINDOW w AS (PARTITION BY run, read_id, strain))",
+            f"z{i} AS (SELECT *, sum(own / k) OVER w AS total, avg(c) OVER w AS mean, count(*) OVER w AS kk FROM y{i} WINDOW w AS (PARTITION BY run, read_id))",
+            f"t{i} AS MATERIALIZED (SELECT z.*, m.mobile * 0.5 * mean / greatest(genes, 1) AS pool, total + m.mobile * 0.5 * mean / greatest(genes, 1) AS whole FROM z{i} z JOIN m{i} m USING (run) CROSS JOIN gn)",
+            f"e{i} AS MATERIALIZED (SELECT run, strain, gene, sum(own / whole) AS g, sum(own / whole / k) AS s, sum(pool / whole / kk) AS m, sum(ln(whole) / kk) AS ll, sum(1.0 / kk) AS reads FROM t{i} GROUP BY ALL)",
+            f"s{i} AS (SELECT run, strain, sum(s) AS s, coalesce(sum(g) FILTER (WHERE gene IS NOT NULL), 0) AS genic FROM e{i} GROUP BY ALL)",
+            f"r{i} AS (SELECT u.run, u.strain, CASE WHEN u.fix_pi THEN 1.0 ELSE greatest(coalesce(s.s, 0), 1e-10) END AS raw, coalesce(s.genic, 0) AS genic FROM u LEFT JOIN s{i} s ON s.run = u.run AND s.strain = u.strain)",
+            f"w{i} AS (SELECT r.run, any_value(q.pool) AS pool, sum(r.raw) + any_value(q.pool) AS whole FROM r{i} r JOIN (SELECT e.run, CASE WHEN any_value(n.fix_pi) THEN 1.0 ELSE greatest(sum(e.m), 1e-10) END AS pool FROM e{i} e JOIN n USING (run) GROUP BY e.run) q ON q.run = r.run GROUP BY r.run)",
+            f"m{i + 1} AS MATERIALIZED (SELECT run, pool / whole AS mobile FROM w{i})",
+            f"""p{i + 1} AS MATERIALIZED (SELECT p.run, p.strain, p.gene, r.raw / w.whole AS pi, CASE WHEN p.gene IS NULL THEN NULL WHEN n.fix_phi THEN p.phi
+                ELSE least(greatest(greatest(coalesce(e.g, 0) + 0.5, 1e-10) / greatest(r.genic + 1, greatest(coalesce(e.g, 0) + 0.5, 1e-10) + 1e-10), 1e-6), 1 - 1e-6) END AS phi
+                FROM p{i} p JOIN r{i} r ON r.run = p.run AND r.strain = p.strain JOIN w{i} w ON w.run = p.run JOIN n ON n.run = p.run LEFT JOIN e{i} e ON e.run = p.run AND e.strain = p.strain AND e.gene IS NOT DISTINCT FROM p.gene)""",
+        ]
+    return f"{views('cand')}, {', '.join(out)}"
+
+
+_ONE_RUN = "SELECT DISTINCT '0' AS run, strain, false AS fix_pi, false AS fix_phi FROM c"
+_CHOICES = "SELECT k.nth AS run, o.strain, false AS fix_pi, false AS fix_phi FROM o k JOIN o ON o.nth <= k.nth"
+_PARTS = "SELECT DISTINCT run, strain, run = 'function_only' AS fix_pi, run = 'strain_only' AS fix_phi FROM c CROSS JOIN (VALUES ('joint'), ('strain_only'), ('function_only')) v(run)"
+
+
+def _steps(s: SparkSession, d: str, runs: list[jt.Run], steps: int) -> tuple[DataFrame, jt.Fit]:
+    rows = jt.profiles(joint_candidates(s, d))
+    return rows, jt.fit_runs(rows, runs, jt.Settings(max_iter=steps, tolerance=0.0))
+
+
+def _fit_steps(s: SparkSession, d: str) -> DataFrame:
+    rows, done = _steps(s, d, [jt.Run("0")], 4)
+    return jt.tables(rows, done.params, done.mobile, 2)[0].select("strain", "gene", "pi", "phi", F.lit(done.mobile["0"]).alias("mobile"))
+
+
+def _part_steps(s: SparkSession, d: str) -> DataFrame:
+    rows, done = _steps(s, d, jt.ABLATIONS, 3)
+    return jt.tables(rows, done.params, done.mobile, 2)[0].select("run", "strain", "gene", "pi", "phi")
+
+
+def _assigned_steps(s: SparkSession, d: str) -> DataFrame:
+    rows, done = _steps(s, d, [jt.Run("0")], 3)
+    return jt.assign(rows, done, 2).groupBy("strain", "gene", "is_mobile").agg(F.sum("reads").alias("reads"), F.sum(F.col("reads") * F.col("posterior")).alias("posterior"))
+
+
+query("em_16_joint_steps", f"{_joint_steps_sql(_ONE_RUN, 4)} SELECT strain, gene, pi, phi, mobile FROM p4 JOIN m4 USING (run)", "pi phi mobile")(_fit_steps)
+query(
+    "em_23_choice_steps",
+    f"""{_joint_steps_sql(_CHOICES, 3)}, l AS (SELECT run, sum(ll) AS ll, sum(reads) AS reads FROM e2 GROUP BY run), f AS (SELECT run, sum(0.5 * ln(phi) + 0.5 * ln(1 - phi)) AS prior, count(DISTINCT strain) AS k FROM p2 GROUP BY run),
+b AS (SELECT run::INTEGER AS k, ll + prior AS ll, -2 * (ll + prior) + (k - 1 + k * genes + 1) * ln(greatest(reads, 1)) AS bic FROM l JOIN f USING (run) CROSS JOIN gn) SELECT *, bic = min(bic) OVER () AS chosen, false AS converged FROM b""",
+    "ll bic",
+)(lambda s, d: jt.select_strains(joint_candidates(s, d), jt.Settings(max_iter=3, tolerance=0.0), n=1))
+query("em_26_ablation_steps", f"{_joint_steps_sql(_PARTS, 3)} SELECT run, strain, gene, pi, phi FROM p3", "pi phi")(_part_steps)
+query(
+    "em_24_assigned_steps",
+    f"""{_joint_steps_sql(_ONE_RUN, 4)}, r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY own DESC, strain, x DESC, gene NULLS FIRST) AS rn FROM t3)
+SELECT strain, gene, pool > own AS is_mobile, count(*) AS reads, sum(own / whole) AS posterior FROM r WHERE rn = 1 GROUP BY ALL""",
+    "posterior",
+)(_assigned_steps)
 query("em_16_joint_fit")(lambda s, d: jt.fit(joint_candidates(s, d)))
 query("em_23_select_strains")(lambda s, d: jt.select_strains(joint_candidates(s, d)))
 query("em_24_assigned_reads")(_assigned)
