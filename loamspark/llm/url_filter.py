@@ -60,7 +60,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     A rule fits its host and all subdomains where the url's path starts with the rule's. The longest rule (host
     and path) wins; of equally long ones that with the longer host, then the first in order. Each distinct
-    (host, path) of the pages gives the keys that a fitting rule could have: every parent domain with every prefix
+    (host, path) of the pages gives the keys that a fitting rule could have: every parent domain of at most as many labels as the longest rule's host with every prefix
     of a length that occurs among the rules. The Bloom filter, joined on its block, passes possible hits; an
     exact join on host and path removes false positives. A page that no rule fits gets ``default`` and a null rule.
     Null urls and urls without ``://`` have empty host and path. Repeated rows and null ids keep their rows; an empty
@@ -68,12 +68,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     ``allow`` comes first.
     """
     rules = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.min("verdict").alias("rule_verdict"))
-    known = rules.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
+    known = rules.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths"), F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(1)).alias("labels")).first()
     blocks = max(1, min(MAX_BLOCKS, known["n"] // KEYS_PER_BLOCK + 1))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     places = rows.where("host <> ''").select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # No rule has more labels than the longest rule's host, so a page's host has no more parents than that, however long it is.
+    parents = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
+    places = places.withColumn("labels", F.slice(labels, F.greatest(F.lit(1), F.size(labels) - (known["labels"] - 1)), F.lit(known["labels"])))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in known["lengths"] or [0]]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = places.select("host", "path", F.explode(parents).alias("rule_host"), prefixes.alias("prefixes")).select("host", "path", "rule_host", F.explode("prefixes").alias("rule_path"))
     key = _hash(F.col("rule_host"), F.col("rule_path"))

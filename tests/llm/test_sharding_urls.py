@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import duckdb
@@ -122,3 +123,16 @@ def test_many_rules_and_small_filter(spark, monkeypatch):
     assert got == {1: ("h3.com/p3/ok", "allow"), 2: ("h3.com/p3", "allow"), 3: ("h4.com/p4", "block"), 4: (None, "unknown")}
     none = url_filter.judge(pages, url_filter.rules_table(spark, rules).limit(0)).collect()
     assert {r.verdict for r in none} == {"allow"}
+
+
+def test_very_long_hosts(spark):
+    """A host of 100,000 labels has no more parents than the longest rule's host has labels."""
+    long = ".".join(["a"] * 100_000)
+    pages = spark.createDataFrame([(1, f"http://{long}.example.com/de/x"), (2, f"http://{long}/"), (3, f"http://{'.' * 100_000}net/x")], "page_id long, url string")
+    rules = url_filter.rules_table(spark)
+    url_filter.judge(pages.where("page_id = 0"), rules).collect()
+    t = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()}
+    print(time.time() - t)
+    assert got == {1: ("example.com/de/", "block"), 2: (None, "allow"), 3: ("net/", "block")}
+    assert time.time() - t < 20

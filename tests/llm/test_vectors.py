@@ -2,6 +2,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loamspark.llm import embedding_dedup as e
@@ -84,7 +85,10 @@ def test_ann_clashes_and_repeated_ids(spark):
 
 def test_ann_work(spark):
     """Each query is compared with a fourth of the table at most, each row once, and finds 0.9 of its neighbours, in data without structure."""
-    table = spark.read.parquet("/root/testdata/check_l/embeddings.parquet")
+    x = np.random.default_rng(23).standard_normal((51_282, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 64, pa.int32()), pa.array(x.reshape(-1)))
+    table = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": flat}))
     reps = h.representatives(table).select("node", "embedding")
     n = reps.count()
     asked = table.where("vec_id % 400 = 0").select(F.col("vec_id").alias("id"), "embedding")
