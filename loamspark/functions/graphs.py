@@ -2,51 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 
 
-def neighbours(n: int, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
-    near: list[list[int]] = [[] for _ in range(n)]
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        near[x].append(y), near[y].append(x)
-    return near
-
-
-def from_source(near: list[list[int]], s: int) -> tuple[np.ndarray, float]:
-    """What one source adds to every node's betweenness, and the source's closeness scaled by the part that it reaches."""
-    n = len(near)
-    far, ways, order, before = [-1] * n, [0.0] * n, [], [[] for _ in range(n)]
-    far[s], ways[s], todo = 0, 1.0, deque([s])
-    while todo:
-        v = todo.popleft()
-        order.append(v)
-        for u in near[v]:
-            if far[u] < 0:
-                far[u] = far[v] + 1
-                todo.append(u)
-            if far[u] == far[v] + 1:
-                ways[u] += ways[v]
-                before[u].append(v)
-    share = [0.0] * n
-    for u in reversed(order):
-        for v in before[u]:
-            share[v] += ways[v] / ways[u] * (1 + share[u])
-    share[s] = 0.0
-    total, reached = sum(far[v] for v in order), len(order)
-    return np.array(share), ((reached - 1) / total * (reached - 1) / (n - 1) if total else 0.0)
-
-
-def betweenness(near: list[list[int]]) -> np.ndarray:
-    n = len(near)
-    return sum((from_source(near, s)[0] for s in range(n)), np.zeros(n)) * (1 / ((n - 1) * (n - 2)) if n > 2 else 0)
-
-
-def closeness(near: list[list[int]]) -> np.ndarray:
-    return np.array([from_source(near, s)[1] for s in range(len(near))])
-
-
 def hubs(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """Principal eigenvector of W W^T with sum 1; degrees' shares if it vanishes."""
     if not len(a):

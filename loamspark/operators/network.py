@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loamspark.functions import graphs
 from loamspark.functions.frames import sql
+from loamspark.session import saved
 
 
 def phi(table: DataFrame, min_prevalence: float = 0.0, pseudocount: float = 1.0) -> DataFrame:
@@ -116,45 +117,76 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return sql("SELECT n, n * (n - 1) / 2 AS possible, e AS edges, coalesce(e / nullif(n * (n - 1) / 2, 0), 0D) AS density FROM (SELECT count(*) AS n FROM {n}) CROSS JOIN (SELECT count(*) AS e FROM {e})", n=nodes, e=edges)
 
 
-def _topology(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
-    near = graphs.neighbours(n, a, b)
-    return {"betweenness": graphs.betweenness(near), "closeness": graphs.closeness(near), "hub": graphs.hubs(n, a, b, w), "module": graphs.greedy_modules(n, a, b)}
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: int | None = None, batch_rows: int = 200_000_000) -> DataFrame:
+    """``feature_id, betweenness, closeness`` of every node by shortest paths without weights, level by level for many sources at once.
 
-
-def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Betweenness, closeness, hub score and module of every node of one graph.
-
-    Shortest paths are searched from every source in parallel, each task with the edges of the graph; modules merge one after the
-    other, so they are one task's work. The graph's edges are what a task holds.
+    A level is a table ``(source, node, depth, ways)``: the neighbours of the level before that neither it nor the one before it holds. From the deepest level back,
+    a node's share of the paths through it is summed over the next level's neighbours. Edges are joined, never collected, and only row counts reach the driver.
+    Sources are taken in batches by hash, so that a batch's levels hold ``batch_rows`` rows at most on average. With ``sources``, so many nodes, in the order of a hash, are searched from: betweenness is then scaled up by
+    their part of all, and closeness is null for the others. A node without an edge has 0 in both; closeness is scaled by the part that a node reaches.
     """
     spark = nodes.sparkSession
+    named = nodes.select("feature_id").where("feature_id IS NOT NULL").distinct()
+    n = named.count()
+    kind = nodes.schema["feature_id"].dataType.simpleString()
+    if not n:
+        return spark.createDataFrame([], f"feature_id {kind}, betweenness double, closeness double")
+    near = saved(both_ways(edges.where("src <> dst")).distinct(), "neighbours")
+    asked = named if sources is None or sources >= n else named.orderBy(F.xxhash64("feature_id"), "feature_id").limit(sources)
+    count = n if sources is None else min(n, sources)
+    batches = max(1, -(-count * n // batch_rows))
+    asked = saved(asked.withColumn("batch", F.pmod(F.xxhash64("feature_id", F.lit(3)), F.lit(batches))), "sources")
+    through, reached = [], []
+    for batch in range(batches):
+        levels = [saved(asked.where(F.col("batch") == batch).select(F.col("feature_id").alias("source"), F.col("feature_id").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("ways")), "level")]
+        while not levels[-1].isEmpty():
+            last = levels[-1]
+            known = last if len(levels) == 1 else last.unionAll(levels[-2])
+            met = last.join(near, "node").groupBy("source", F.col("near").alias("node")).agg(F.sum("ways").alias("ways"))
+            levels.append(saved(met.join(known.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(len(levels)).alias("depth"), "ways"), "level"))
+        share = None
+        for level in reversed(levels[1:-1]):
+            own = level.select("source", "node", "ways")
+            if share is None:
+                share = own.withColumn("share", F.lit(0.0))
+            else:
+                back = share.join(near, "node").select("source", F.col("near").alias("node"), ((1 + F.col("share")) / F.col("ways")).alias("part"))
+                part = back.groupBy("source", "node").agg(F.sum("part").alias("part"))
+                share = saved(own.join(part, ["source", "node"], "left").select("source", "node", "ways", F.coalesce(F.col("ways") * F.col("part"), F.lit(0.0)).alias("share")), "shares")
+            through.append(share.groupBy("node").agg(F.sum("share").alias("share")))
+        for level in levels[1:-1]:
+            reached.append(level.groupBy("source").agg(F.sum("depth").alias("far"), F.count("*").alias("n")))
+    scale = (n / count) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    total = _union(through, "node").groupBy("node").agg((F.sum("share") * scale).alias("betweenness")) if through else None
+    close = _union(reached, "source").groupBy("source").agg((F.sum("n") / F.sum("far") * F.sum("n") / (n - 1)).alias("closeness")) if reached else None
+    out = named.join(asked.select("feature_id", F.lit(0.0).alias("zero")), "feature_id", "left")
+    out = out.join(total.withColumnRenamed("node", "feature_id"), "feature_id", "left") if total is not None else out.withColumn("betweenness", F.lit(0.0))
+    out = out.join(close.withColumnRenamed("source", "feature_id"), "feature_id", "left") if close is not None else out.withColumn("closeness", F.lit(None).cast("double"))
+    return out.select("feature_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), F.coalesce("closeness", "zero").alias("closeness"))
+
+
+def _union(frames: list[DataFrame], key: str) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``feature_id, hub, module`` of every node of one graph. Modules merge one after the other, so the driver holds the graph's edges."""
+    spark = nodes.sparkSession
     names = [r[0] for r in nodes.select("feature_id").distinct().orderBy("feature_id").collect()]
     index = {v: i for i, v in enumerate(names)}
     rows = edges.select("src", "dst", "phi").collect()
     a, b, w = (np.array([f(r) for r in rows]) for f in (lambda r: index[r[0]], lambda r: index[r[1]], lambda r: float(r[2])))
-    a, b = a.astype(int), b.astype(int)
-    n = len(names)
-    shared = spark.sparkContext.broadcast((n, a, b))
-
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, a, b = shared.value
-        near = graphs.neighbours(n, a, b)
-        for batch in batches:
-            sources = batch.column("id").to_numpy()
-            between, close = np.zeros(n), np.zeros(n)
-            for s in sources:
-                part, reach = graphs.from_source(near, int(s))
-                between += part
-                close[s] = reach
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(between), pa.array(close)], ["i", "between", "close"])
-
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    path = spark.range(n).repartition(spark.sparkContext.defaultParallelism).mapInArrow(paths, "i long, between double, close double") if n else spark.createDataFrame([], "i long, between double, close double")
-    path = path.groupBy("i").agg((F.sum("between") * scale).alias("betweenness"), F.sum("close").alias("closeness"))
-    hub, module = graphs.hubs(n, a, b, w), graphs.greedy_modules(n, a, b)
+    hub, module = graphs.hubs(len(names), a.astype(int), b.astype(int), w), graphs.greedy_modules(len(names), a.astype(int), b.astype(int))
     kind = nodes.schema["feature_id"].dataType.simpleString()
-    own = spark.createDataFrame([(i, v, float(hub[i]), int(module[i])) for i, v in enumerate(names)], f"i long, feature_id {kind}, hub double, module int")
-    return own.join(path, "i", "left").select("feature_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), F.coalesce("closeness", F.lit(0.0)).alias("closeness"), "hub", "module")
+    return spark.createDataFrame([(v, float(hub[i]), int(module[i])) for i, v in enumerate(names)], f"feature_id {kind}, hub double, module int")
+
+
+def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Betweenness and closeness by ``shortest_paths``, hub score and module by ``modules``, of every node of one graph."""
+    return shortest_paths(nodes, edges).join(modules(nodes, edges), "feature_id").select("feature_id", "betweenness", "closeness", "hub", "module")
 
 
 def modularity(edges: DataFrame, modules: DataFrame, weight: str | None = "phi") -> DataFrame:

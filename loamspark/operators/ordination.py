@@ -1,17 +1,24 @@
 """Ordination of distances ``(s1, s2, d)`` and resampling of abundances.
 
-A distance matrix of n samples is one task's work here, n squared numbers; draws are spread by sample.
+Principal axes come from tiles of the distances spread over the cluster. For non-metric scaling a distance matrix of n samples is one task's work, n squared numbers; draws are spread by sample.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamspark.functions.frames import sql
 
+#: Samples along a side of a tile of distances, and samples whose numbers are broadcast at most.
+TILE = 512
+BROADCAST_SAMPLES = 500_000
+
 
 def square(pairs: pd.DataFrame) -> tuple[list, np.ndarray]:
     names = sorted(set(pairs["s1"]) | set(pairs["s2"]))
@@ -40,16 +47,107 @@ def _one_task(distances: DataFrame, f, schema: str) -> DataFrame:
     return distances.groupBy().applyInPandas(lambda pdf: f(pdf), schema)
 
 
-def pcoa(distances: DataFrame, axes: int = 2) -> DataFrame:
-    """``sample_id, axis, value, explained``."""
-    kind = distances.schema["s1"].dataType.simpleString()
+def _tiles(distances: DataFrame, names: list) -> DataFrame:
+    """``i, j, e``: tiles of TILE by TILE samples, each the numbers of its pairs and minus half their squared distances as bytes. Pairs are dealt by tile, so no task holds all of them."""
+    spark, kind = distances.sparkSession, distances.schema["s1"].dataType.simpleString()
+    numbers = spark.createDataFrame([(v, i) for i, v in enumerate(names)], f"name {kind}, number int")
+    numbers = F.broadcast(numbers) if len(names) <= BROADCAST_SAMPLES else numbers
+    coded = distances.join(numbers.select(F.col("name").alias("s1"), F.col("number").alias("i")), "s1").join(numbers.select(F.col("name").alias("s2"), F.col("number").alias("j")), "s2")
+    coded = coded.where("i <> j").select("i", "j", (-0.5 * F.col("d").cast("double") * F.col("d")).alias("e"), F.floor(F.col("i") / TILE).alias("x"), F.floor(F.col("j") / TILE).alias("y"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A piece of a tile at a time: products add up.
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("i", "j", "e")], ["i", "j", "e"])
+
+    return coded.repartition("x", "y").sortWithinPartitions("x", "y").select("i", "j", "e").mapInArrow(pack, "i binary, j binary, e binary")
+
+
+def _product(tiles: DataFrame, x: np.ndarray) -> np.ndarray:
+    """The centred matrix times a thin block: tasks multiply their tiles, Spark adds up by row."""
+    x = x - x.mean(axis=0)
+    shared = tiles.sparkSession.sparkContext.broadcast(x)
+    k = x.shape[1]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        y, met = np.zeros_like(own), np.zeros(len(own), bool)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j, e = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("i", np.int32), ("j", np.int32), ("e", np.float64)))
+                np.add.at(y, i, e[:, None] * own[j])
+                np.add.at(y, j, e[:, None] * own[i])
+                met[i] = met[j] = True
+        rows = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(y[rows, c]) for c in range(k))], ["row", *(f"y{c}" for c in range(k))])
+
+    found = tiles.mapInArrow(multiply, ", ".join(["row long", *(f"y{c} double" for c in range(k))])).groupBy("row").agg(*(F.sum(f"y{c}").alias(f"y{c}") for c in range(k))).toPandas()
+    y = np.zeros_like(x)
+    y[found["row"].to_numpy(int)] = found[[f"y{c}" for c in range(k)]].to_numpy(float)
+    shared.unpersist()
+    return y - y.mean(axis=0)
+
+
+def leading(tiles: DataFrame, n: int, axes: int, block: int = 8, steps: int = 60, tolerance: float = 1e-11) -> tuple[np.ndarray, np.ndarray, float]:
+    """The largest eigenvalues of the centred matrix, their vectors, and the sum of the positive ones, by a block Krylov space with full orthogonalisation.
+
+    Each step is one product with the tiles; the driver holds thin blocks, n rows each, and a small projected matrix. It ends where the wanted pairs' residuals are within ``tolerance`` of the largest
+    eigenvalue, or where the space is complete. The sum of the positive eigenvalues is exact in a complete space; else it is the random start block's quadrature.
+    """
+    rng = np.random.default_rng(42)
+    start = rng.standard_normal((n, min(block, n)))
+    q = np.linalg.qr(start - start.mean(axis=0))[0][:, : max(n - 1, 0)]
+    basis, image, width = np.zeros((n, 0)), np.zeros((n, 0)), q.shape[1]
+    value, vector, total = np.zeros(0), np.zeros((n, 0)), 0.0
+    for _ in range(steps):
+        if not q.shape[1]:
+            break
+        w = _product(tiles, q)
+        basis, image = np.column_stack([basis, q]), np.column_stack([image, w])
+        t = basis.T @ image
+        theta, y = np.linalg.eigh((t + t.T) / 2)
+        theta, y = theta[::-1], y[:, ::-1]
+        k = min(axes, len(theta))
+        value, vector = theta[:k], basis @ y[:, :k]
+        gap = np.linalg.norm(image @ y[:, :k] - vector * value, axis=0)
+        size = max(np.abs(theta).max(), 1e-300)
+        rest = w - basis @ (basis.T @ w)
+        rest -= basis @ (basis.T @ rest)
+        u, s, _ = np.linalg.svd(rest - rest.mean(axis=0), full_matrices=False)
+        q = u[:, s > 1e-10 * size][:, : max(n - 1 - basis.shape[1], 0)]
+        complete = not q.shape[1]
+        positive = np.clip(theta, 0, None)
+        total = float(positive.sum()) if complete else float((y[:width] ** 2 @ positive).sum() * (n - 1) / width)
+        if complete or (len(theta) >= axes and (gap[value > 1e-12 * size] <= tolerance * size).all()):
+            break
+    return value, vector, total
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, d = square(pdf)
-        x, part = principal(d, axes)
-        return pd.DataFrame([(s, a + 1, x[i, a], part[a]) for i, s in enumerate(names) for a in range(x.shape[1])], columns=["sample_id", "axis", "value", "explained"])
 
-    return _one_task(distances, run, f"sample_id {kind}, axis int, value double, explained double")
+def pcoa(distances: DataFrame, axes: int = 2) -> DataFrame:
+    """``sample_id, axis, value, explained``: coordinates on the largest axes, and their parts of the positive eigenvalues; each axis has its largest entry positive.
+
+    Distances stay in tiles over the cluster; the driver holds the samples' names and thin blocks (``leading``). An absent pair has distance 0.
+    """
+    spark, kind = distances.sparkSession, distances.schema["s1"].dataType.simpleString()
+    tiled = distances.select("s1", "s2", "d").persist()
+    try:
+        names = [r[0] for r in tiled.select(F.col("s1").alias("name")).unionAll(tiled.select("s2")).distinct().orderBy("name").collect()]
+        n, k = len(names), min(axes, max(len(names) - 1, 0))
+        schema = f"sample_id {kind}, axis int, value double, explained double"
+        if not k:
+            return spark.createDataFrame([], schema)
+        tiles = _tiles(tiled, names).persist()
+        try:
+            value, vector, total = leading(tiles, n, k)
+        finally:
+            tiles.unpersist()
+    finally:
+        tiled.unpersist()
+    x = vector * np.sign(vector[np.abs(vector).argmax(axis=0), np.arange(len(value))]) * np.sqrt(np.clip(value, 0, None))
+    part = np.clip(value, 0, None) / total if total else np.zeros(len(value))
+    rows = pd.DataFrame({"sample_id": np.repeat(np.array(names, object), len(value)), "axis": np.tile(np.arange(1, len(value) + 1), n), "value": x.reshape(-1), "explained": np.tile(part, n)})
+    return spark.createDataFrame(rows, schema)
 
 
 def isotonic(y: np.ndarray) -> np.ndarray:

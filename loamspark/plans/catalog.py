@@ -211,6 +211,30 @@ SELECT a, b, e - avg(e) OVER (PARTITION BY a) - avg(e) OVER (PARTITION BY b) + a
 
 query("st_07_rarefaction")(lambda s, d: od.rarefaction(fx.ab(s, d), depths=8, draws=5))
 query("st_07_expected_richness", f"{views('ab')}, t AS (SELECT sample_id, sum(value) AS t FROM ab GROUP BY 1) SELECT sample_id, sum(1 - power(1 - value / t, 100)) AS richness FROM ab JOIN t USING (sample_id) GROUP BY 1", "richness")(lambda s, d: od.expected_richness(fx.ab(s, d), 100))
+
+
+def _axes_sql(axes: int = 3, squarings: int = 14) -> str:
+    """The axes in SQL: powers of the centred matrix, shifted so that its largest eigenvalue leads, tend to the leading axis' projector; then that axis is taken out."""
+    steps = ["""x AS (SELECT s1 AS a, s2 AS b, -d * d / 2 AS e FROM dist UNION ALL SELECT s2, s1, -d * d / 2 FROM dist UNION ALL SELECT sample_id, sample_id, 0.0 FROM (SELECT DISTINCT sample_id FROM tiny)),
+g1 AS MATERIALIZED (SELECT a, b, e - avg(e) OVER (PARTITION BY a) - avg(e) OVER (PARTITION BY b) + avg(e) OVER () AS g FROM x)"""]
+    for k in range(1, axes + 1):
+        steps.append(f"q{k}_0 AS MATERIALIZED (SELECT a, b, g + CASE WHEN a = b THEN (SELECT max(r) FROM (SELECT sum(abs(g)) AS r FROM g{k} GROUP BY a)) ELSE 0 END AS m FROM g{k})")
+        for i in range(squarings):
+            steps.append(f"q{k}_{i + 1} AS MATERIALIZED (SELECT p.a, q.b, sum(p.m * q.m) / (SELECT sum(m * m) FROM q{k}_{i}) AS m FROM q{k}_{i} p JOIN q{k}_{i} q ON q.a = p.b GROUP BY ALL)")
+        steps.append(f"l{k} AS MATERIALIZED (SELECT sum(g * m) AS l FROM g{k} JOIN q{k}_{squarings} USING (a, b))")
+        steps.append(f"v{k} AS MATERIALIZED (SELECT a AS sample_id, {k} AS axis, m / sqrt(d) * sqrt(l) AS value, l FROM q{k}_{squarings} JOIN (SELECT a AS top, m AS d FROM q{k}_{squarings} WHERE a = b ORDER BY m DESC LIMIT 1) ON b = top CROSS JOIN l{k})")
+        steps.append(f"g{k + 1} AS MATERIALIZED (SELECT a, b, g - l * m AS g FROM g{k} JOIN q{k}_{squarings} USING (a, b) CROSS JOIN l{k})")
+    return f"{views('dist', 'tmeta')}, {', '.join(steps)}"
+
+
+query("st_08_axes", f"{_axes_sql()} {' UNION ALL '.join(f'SELECT sample_id, axis, value FROM v{k}' for k in (1, 2, 3))}", "value")(lambda s, d: od.pcoa(ds.bray_curtis(fx.tiny(s, d)), 3).select("sample_id", "axis", "value"))
+query(
+    "st_13_dispersion",
+    f"""{_axes_sql(2)}, p AS (SELECT sample_id, grp, v1.value AS x, v2.value AS y FROM v1 JOIN v2 USING (sample_id) JOIN tmeta USING (sample_id)), c AS (SELECT grp, avg(x) AS x, avg(y) AS y FROM p GROUP BY 1),
+z AS (SELECT grp, sqrt(power(p.x - c.x, 2) + power(p.y - c.y, 2)) AS z FROM p JOIN c USING (grp)), a AS (SELECT grp, count(*) AS n, avg(z) AS m FROM z GROUP BY 1),
+t AS (SELECT (SELECT sum(n * power(m - (SELECT avg(z) FROM z), 2)) FROM a) / ((SELECT count(*) FROM a) - 1) AS between_, (SELECT sum(power(z - m, 2)) FROM z JOIN a USING (grp)) / ((SELECT count(*) FROM z) - (SELECT count(*) FROM a)) AS within) SELECT between_ / within AS f FROM t""",
+    "f",
+)(lambda s, d: od.permdisp(ds.bray_curtis(fx.tiny(s, d)), fx.tmeta(s, d).select("sample_id", "grp"), 9).select("f"))
 query("st_08_pcoa")(lambda s, d: od.pcoa(ds.bray_curtis(fx.tiny(s, d)), 3))
 query("st_09_nmds")(lambda s, d: od.nmds(ds.bray_curtis(fx.tiny(s, d)), 2))
 query("st_13_permdisp")(lambda s, d: od.permdisp(ds.bray_curtis(fx.tiny(s, d)), fx.tmeta(s, d).select("sample_id", "grp"), 99))
@@ -287,6 +311,27 @@ query("gr_05_degrees", f"{views('net')}, e AS (SELECT src AS n FROM net UNION AL
 query("agg_45_network_summary", f"{views('net')} SELECT n, n * (n - 1) / 2.0 AS possible, e AS edges, e / (n * (n - 1) / 2.0) AS density FROM (SELECT count(DISTINCT feature_id) AS n FROM tiny) CROSS JOIN (SELECT count(*) AS e FROM net)", "possible density")(
     lambda s, d: nw.summary(_nodes(s, d), _net(s, d)).withColumns({"possible": F.col("possible").cast("double"), "density": F.col("density").cast("double")})
 )
+
+
+def _walks(levels: int = 12) -> str:
+    """CTEs of the network's walks by length, and of its shortest paths: f(s, v, d, ways)."""
+    steps = ["e AS MATERIALIZED (SELECT src AS v, dst AS u FROM net UNION SELECT dst, src FROM net)", "n AS (SELECT DISTINCT feature_id AS v FROM tiny)", "w0 AS (SELECT v AS s, v, 1.0::DOUBLE AS ways FROM n)"]
+    steps += [f"w{i + 1} AS MATERIALIZED (SELECT w.s, e.u AS v, sum(w.ways) AS ways FROM w{i} w JOIN e ON e.v = w.v GROUP BY ALL)" for i in range(levels)]
+    steps.append("f AS MATERIALIZED (SELECT s, v, min(d) AS d, arg_min(ways, d) AS ways FROM (" + " UNION ALL ".join(f"SELECT s, v, {i} AS d, ways FROM w{i}" for i in range(levels + 1)) + ") GROUP BY s, v)")
+    return f"{views('net')}, {', '.join(steps)}"
+
+
+query(
+    "gr_06_betweenness",
+    f"""{_walks()}, b AS (SELECT a.v, sum(a.ways * c.ways / f.ways) AS b FROM f a JOIN f c ON c.s = a.v JOIN f ON f.s = a.s AND f.v = c.v AND f.d = a.d + c.d WHERE a.s <> a.v AND c.v <> a.v AND a.s <> c.v GROUP BY a.v)
+SELECT v AS feature_id, coalesce(b, 0) / (((SELECT count(*) FROM n) - 1.0) * ((SELECT count(*) FROM n) - 2.0)) AS betweenness FROM n LEFT JOIN b USING (v)""",
+    "betweenness",
+)(lambda s, d: nw.shortest_paths(_nodes(s, d), _net(s, d)).select("feature_id", "betweenness"))
+query(
+    "gr_07_closeness",
+    f"""{_walks()} SELECT n.v AS feature_id, coalesce(sum(f.d > 0) / nullif(sum(f.d), 0) * sum(f.d > 0) / ((SELECT count(*) FROM n) - 1.0), 0) AS closeness FROM n LEFT JOIN f ON f.s = n.v GROUP BY n.v""",
+    "closeness",
+)(lambda s, d: nw.shortest_paths(_nodes(s, d), _net(s, d)).select("feature_id", "closeness"))
 query("gr_06_topology")(lambda s, d: nw.topology(_nodes(s, d), _net(s, d)))
 query(
     "gr_08_modularity_of_modules",
@@ -330,7 +375,7 @@ query(
 SELECT module, CAST(sum(n) OVER (PARTITION BY module) AS BIGINT) AS size, phylum AS dominant, n / CAST(sum(n) OVER (PARTITION BY module) AS DOUBLE) AS fraction FROM c QUALIFY row_number() OVER (PARTITION BY module ORDER BY n DESC, phylum) = 1""",
     "fraction",
 )(lambda s, d: nw.module_composition(fx.mods(s, d), fx.table(s, d, "part").selectExpr("concat('Brand#', row_number() OVER (ORDER BY p_partkey)) AS feature_id", "p_type AS phylum")).withColumn("fraction", F.col("fraction").cast("double")))
-query("gr_13_null_model")(lambda s, d: nw.null_summary(nw.null_model(_net(s, d), 20), nw.modularity(_net(s, d), nw.topology(_nodes(s, d), _net(s, d)).select("feature_id", "module"), None).first()["q"]))
+query("gr_13_null_model")(lambda s, d: nw.null_summary(nw.null_model(_net(s, d), 20), nw.modularity(_net(s, d), nw.modules(_nodes(s, d), _net(s, d)).select("feature_id", "module"), None).first()["q"]))
 
 # K-mers
 
