@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
@@ -146,3 +147,36 @@ def mann_whitney_p(u, n1, n2, tied, z):
         return pd.Series(np.where(np.isnan(out), 1.0, out))
 
     return f(u, n1, n2, tied, z)
+
+
+def hypergeometric_p(a: int, b: int, c: int, d: int, greater: bool, piece: int = 1 << 16) -> float:
+    """Fisher's p of one table. The counts that the margins allow are gone through in pieces, so memory does not grow with them."""
+    r, s, n = a + b, a + c, a + b + c + d
+    log_factorial = lambda x: _lgamma(np.asarray(x, float) + 1)
+    whole = math.lgamma(r + 1) + math.lgamma(n - r + 1) + math.lgamma(s + 1) + math.lgamma(n - s + 1) - math.lgamma(n + 1)
+    chance = lambda k: np.exp(whole - log_factorial(k) - log_factorial(r - k) - log_factorial(s - k) - log_factorial(n - r - s + k))
+    own, total = float(chance(np.array([a]))[0]), 0.0
+    for at in range(a if greater else max(0, r + s - n), min(r, s) + 1, piece):
+        p = chance(np.arange(at, min(at + piece, min(r, s) + 1)))
+        total += float(p.sum() if greater else p[p <= own * (1 + 1e-7)].sum())
+    return min(1.0, total)
+
+
+def fisher_p(a: Column, b: Column, c: Column, d: Column, greater: bool) -> Column:
+    """Fisher's p of the tables a b over c d; null for a null count. Equal tables of a batch are computed once."""
+
+    @F.pandas_udf("double")
+    def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        known: dict[tuple, float] = {}
+        out = []
+        for row in zip(a, b, c, d):
+            if any(pd.isna(v) for v in row):
+                out.append(None)
+                continue
+            key = tuple(int(v) for v in row)
+            if key not in known:
+                known[key] = hypergeometric_p(*key, greater)
+            out.append(known[key])
+        return pd.Series(out, dtype="float64")
+
+    return p(a, b, c, d)

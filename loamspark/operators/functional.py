@@ -136,23 +136,8 @@ def trait_enrichment(counts: DataFrame) -> DataFrame:
 
 
 def fisher(tables: DataFrame, alternative: str = "greater") -> DataFrame:
-    """``p`` of the 2x2 tables in columns a, b, c, d (a b over c d), from the hypergeometric distribution.
-
-    Log-factorials are a running sum of logarithms, so the whole is SQL: every table explodes to the counts that its margins allow.
-    """
-    keep = "k >= a" if alternative == "greater" else "pk <= pa * (1 + 1e-7D)"
-    return sql(
-        f"""WITH t AS (SELECT *, a + b AS r, a + c AS s, a + b + c + d AS n, monotonically_increasing_id() AS i FROM {{t}}),
-                 m AS (SELECT max(n) AS n FROM t),
-                 l AS (SELECT 0L AS x, 0D AS lf UNION ALL SELECT x, sum(ln(x)) OVER (ORDER BY x) AS lf FROM (SELECT explode(sequence(1L, greatest(n, 1L))) AS x FROM m)),
-                 k AS (SELECT t.*, explode(sequence(greatest(0L, r + s - n), least(r, s))) AS k FROM t),
-                 h AS (SELECT k.*, exp(lr.lf + lnr.lf + ls.lf + lns.lf - ln_.lf - lk.lf - lrk.lf - lsk.lf - lx.lf) AS pk
-                       FROM k JOIN l lr ON lr.x = r JOIN l lnr ON lnr.x = n - r JOIN l ls ON ls.x = s JOIN l lns ON lns.x = n - s JOIN l ln_ ON ln_.x = n
-                       JOIN l lk ON lk.x = k JOIN l lrk ON lrk.x = r - k JOIN l lsk ON lsk.x = s - k JOIN l lx ON lx.x = n - r - s + k),
-                 o AS (SELECT *, max(CASE WHEN k = a THEN pk END) OVER (PARTITION BY i) AS pa FROM h)
-            SELECT * EXCEPT (r, s, n, i, k, pk, pa) FROM (SELECT {", ".join(tables.columns)}, r, s, n, i, 0 AS k, 0 AS pk, 0 AS pa, least(1D, sum(pk) FILTER (WHERE {keep})) AS p FROM o GROUP BY {", ".join(tables.columns)}, r, s, n, i)""",
-        t=tables,
-    )
+    """``p`` of the 2x2 tables in columns a, b, c, d (a b over c d), from the hypergeometric distribution: counts of a or more, or (two-sided) all that are not likelier."""
+    return tables.withColumn("p", special.fisher_p(*(F.col(c).cast("long") for c in "abcd"), alternative == "greater"))
 
 
 def keystone_traits(keystones: DataFrame, traits: DataFrame) -> DataFrame:

@@ -20,7 +20,9 @@ PIECE = 256
 
 
 def spread(sequences: DataFrame) -> DataFrame:
-    """Fewer partitions than cores are dealt anew: k-mers cost far more than moving their sequences. Larger inputs stay as they are."""
+    """Fewer partitions than cores are dealt anew: k-mers cost far more than moving their sequences. Larger inputs and streams stay as they are."""
+    if sequences.isStreaming:
+        return sequences
     cores = sequences.sparkSession.sparkContext.defaultParallelism
     return sequences.repartition(cores) if sequences.rdd.getNumPartitions() < cores else sequences
 

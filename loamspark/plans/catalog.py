@@ -274,6 +274,17 @@ query(
 SELECT trait, sum(power(carriers - c * g / n, 2) / (c * g / n) + power(others - (n - c) * g / n, 2) / ((n - c) * g / n)) AS chi2 FROM (SELECT trait, grp, CAST(carriers AS DOUBLE) AS carriers, CAST(others AS DOUBLE) AS others, CAST(c AS DOUBLE) AS c, CAST(n AS DOUBLE) AS n, CAST(g AS DOUBLE) AS g FROM k) GROUP BY 1""",
     "chi2",
 )(lambda s, d: fu.trait_chi2(_counts(s, d)).select("trait", F.col("chi2").cast("double").alias("chi2")))
+# Two groups: Fisher's two-sided p from log-gammas, and q.
+query(
+    "st_19_trait_fisher",
+    f"""{_COUNTS.replace("JOIN meta USING (sample_id)", "JOIN (SELECT sample_id, balance AS grp FROM meta) USING (sample_id)")}, w AS (SELECT trait, max(carriers) FILTER (WHERE grp = 'high') AS a, max(carriers) FILTER (WHERE grp = 'low') AS b, max(others) FILTER (WHERE grp = 'high') AS c, max(others) FILTER (WHERE grp = 'low') AS d FROM cn GROUP BY 1),
+k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k FROM w),
+h AS (SELECT trait, a, k, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)) AS h FROM k),
+p AS (SELECT trait, least(1.0, sum(h) FILTER (WHERE h <= own * (1 + 1e-7))) AS p FROM (SELECT *, max(h) FILTER (WHERE k = a) OVER (PARTITION BY trait) AS own FROM h) GROUP BY 1),
+r AS (SELECT trait, p, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS e FROM p)
+SELECT trait, p, least(1.0, min(e) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r""",
+    "p q",
+)(lambda s, d: fu.trait_enrichment(fu.trait_counts(fu.trait_table(fx.genes(s, d), fx.traits(s, d)), co.group_stats(fx.sp(s, d), fx.meta(s, d).selectExpr("sample_id", "balance AS grp")))).select("trait", "p", "q"))
 query(
     "st_20_fisher_greater",
     """WITH t AS (SELECT count(*) FILTER (WHERE k AND w) AS a, count(*) FILTER (WHERE k AND NOT w) AS b, count(*) FILTER (WHERE NOT k AND w) AS c, count(*) FILTER (WHERE NOT k AND NOT w) AS d FROM (SELECT p_retailprice > 1500 AS k, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 3) AS w FROM part))

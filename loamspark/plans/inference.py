@@ -71,8 +71,6 @@ query(
 n AS (SELECT grp, count(*) AS n FROM meta WHERE sample_id IN (SELECT sample_id FROM sp) GROUP BY 1) SELECT grp, class, sum(v) / max(n) AS value FROM p JOIN meta USING (sample_id) JOIN n USING (grp) GROUP BY ALL""",
     "value",
 )(lambda s, d: su.class_by_group(fu.project(fu.cazy_table(fx.genes(s, d)), fx.sp(s, d)).withColumnRenamed("feature_id", "function_id"), fx.meta(s, d)))
-query("agg_46_significant_by_taxon")(lambda s, d: su.significant_by_taxon(di.differential_test(fx.sp(s, d), fx.meta(s, d), "EUROPE", "ASIA"), fx.tax(s, d).select("feature_id", F.col("phylum").alias("taxon")), 1.01))
-query("srt_03_top_effects")(lambda s, d: su.top_effects(di.differential_test(fx.ab(s, d), fx.meta(s, d), "EUROPE", "AFRICA"), "effect", 10, 1.1))
 _PHI = "t AS (SELECT DISTINCT l_suppkey AS strain, 'g' || (l_partkey % 40) AS gene FROM lineitem WHERE l_returnflag = 'R'), e AS (SELECT DISTINCT l_suppkey AS strain, 'g' || (l_partkey % 40) AS gene FROM lineitem WHERE l_discount > 0.05), grid AS (SELECT strain, gene FROM (SELECT DISTINCT l_suppkey AS strain FROM lineitem) CROSS JOIN (SELECT DISTINCT gene FROM {})), "
 
 
@@ -243,4 +241,3 @@ query(
     f"{_SEQS}, {_ORIGIN} SELECT o.read_id, o.strain, o.start, arg_min(g.gene, (g.start, g.gene)) AS gene FROM o LEFT JOIN gn g ON g.strain = o.strain AND o.start < g.\"end\" AND o.start + 100 > g.start GROUP BY ALL",
 )(lambda s, d: st.with_genes(_origins(s, d), _places(s, d), 100))
 query("sim_06_flawed_reads")(lambda s, d: st.with_errors(st.fragments(_origins(s, d), fx.seqs(s, d).withColumnRenamed("id", "strain"), 100).withColumn("read_id", F.col("read_id").cast("string")), 0.005))
-query("sim_03_metagenome")(lambda s, d: st.simulate(s, st.Scenario())["reads"])

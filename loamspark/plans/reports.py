@@ -15,8 +15,10 @@ from loamspark.operators import network as nw
 from loamspark.operators import simulate as si
 from loamspark.operators import summaries as su
 from loamspark.plans import fixtures as fx
-from loamspark.plans.catalog import _pairs, _steps, _unrolled, query
+from loamspark.plans.catalog import _pairs, _seqs_k, _steps, _unrolled, query
 from loamspark.plans.fixtures import views
+from loamspark.session import saved
+from loamspark.streaming import classify as sc
 
 # Tests between groups of diversity
 
@@ -32,6 +34,11 @@ def _alpha(s: SparkSession, d: str) -> DataFrame:
 query("st_22_alpha_ranks", f"{views('tiny', 'tmeta')}, {_ALPHA.format(t='tiny')}, {_LONG}, {_U} SELECT measure, g1, g2, u FROM u", "u")(
     lambda s, d: di.mann_whitney(di.measures(_alpha(s, d)).join(fx.tmeta(s, d), "sample_id").select(F.col("feature_id").alias("measure"), "grp", "value"), "measure").select("measure", "g1", "g2", "u")
 )
+def _few(s: SparkSession, d: str) -> DataFrame:
+    africa = fx.tmeta(s, d).where("grp = 'AFRICA'").select("sample_id", F.lit(True).alias("africa"))
+    return fx.tiny(s, d).join(africa, "sample_id", "left").where("feature_id < 'Brand#2' OR africa IS NULL").drop("africa")
+
+
 # All ways to choose the first group's places among both groups' ranks are numbers of so many bits.
 query(
     "st_21_exact_p",
@@ -40,6 +47,20 @@ w AS (SELECT c.*, list_sum(list_transform(range(0, n1 + n2), lambda i: CASE WHEN
 SELECT g1, g2, u, least(1.0, 2.0 * count(*) FILTER (WHERE x >= greatest(u, n1 * n2 - u)) / count(*)) AS p FROM w GROUP BY g1, g2, u""",
     "u p",
 )(lambda s, d: di.mann_whitney_test(_alpha(s, d).join(fx.tmeta(s, d), "sample_id").select("grp", F.col("shannon").alias("value"))).select("g1", "g2", "u", "p"))
+# One region lacks half of the features, so that measures without ties differ between the groups.
+query(
+    "st_22_alpha_differences",
+    f"""{views('tiny', 'tmeta')}, few AS (SELECT * FROM tiny WHERE feature_id < 'Brand#2' OR sample_id NOT IN (SELECT sample_id FROM tmeta WHERE grp = 'AFRICA')), {_ALPHA.format(t='few')}, {_LONG}, {_U},
+n AS (SELECT grp, count(*) AS n FROM v WHERE measure = 'shannon' GROUP BY 1), k AS (SELECT measure, grp, rank() OVER (PARTITION BY measure ORDER BY value) AS r FROM v),
+h AS (SELECT measure, 12.0 / ((SELECT sum(n) FROM n) * ((SELECT sum(n) FROM n) + 1)) * sum(s * s / c) - 3 * ((SELECT sum(n) FROM n) + 1) AS h FROM (SELECT measure, grp, sum(r) AS s, count(*) AS c FROM k GROUP BY ALL) GROUP BY 1),
+c AS (SELECT u.measure, u.g1, u.g2, u.u, a.n AS n1, b.n AS n2 FROM u JOIN n a ON a.grp = g1 JOIN n b ON b.grp = g2 WHERE measure IN ('shannon', 'simpson')),
+w AS (SELECT c.*, list_sum(list_transform(range(0, n1 + n2), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN i + 1 ELSE 0 END)) - n1 * (n1 + 1) / 2 AS x FROM c JOIN range(0, 65536) r(m) ON m < (1 << (n1 + n2)) AND bit_count(m) = n1),
+pp AS (SELECT measure, g1, g2, u, least(1.0, 2.0 * count(*) FILTER (WHERE x >= greatest(u, n1 * n2 - u)) / count(*)) AS p FROM w GROUP BY ALL),
+q AS (SELECT *, p * count(*) OVER (PARTITION BY measure) / count(*) OVER (PARTITION BY measure ORDER BY p) AS e FROM pp),
+f AS (SELECT measure, g1, g2, u, p, least(1.0, min(e) OVER (PARTITION BY measure ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM q)
+SELECT f.*, h, exp(-h / 2) * (1 + h / 2) AS kw_p, CASE WHEN q < 0.001 THEN '***' WHEN q < 0.01 THEN '**' WHEN q < 0.05 THEN '*' ELSE 'ns' END AS stars FROM f JOIN h USING (measure) WHERE exp(-h / 2) * (1 + h / 2) < 0.05""",
+    "u p q h kw_p",
+)(lambda s, d: di.alpha_tests(co.alpha_diversity(_few(s, d)), fx.tmeta(s, d)).where("measure IN ('shannon', 'simpson')"))
 query("st_22_alpha_tests")(lambda s, d: di.alpha_tests(co.alpha_diversity(fx.ab(s, d)), fx.meta(s, d)))
 
 # Networks of groups
@@ -191,3 +212,16 @@ a AS (SELECT k.marker, k.n, k.species, sequence, CASE WHEN length(sequence) > 10
 query("agg_26_verdict_open", f"{_unrolled(2)} SELECT CASE WHEN bool_or(species = 2 AND w >= 0.001) THEN 'INCONCLUSIVE' ELSE 'PASS' END AS verdict FROM p2")(
     lambda s, d: mx.verdict(_steps(s, d, 2)[1].select("species", "w").distinct(), s.createDataFrame([(1, "HALAL"), (2, "MASHBOOH")], "species int, status string"), 1.0, 100, 100)
 )
+
+
+# Streams: the benchmark's texts as reads, in as many batches as there are files
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    columns = fx.table(s, d, "benchmark").schema
+    reads = s.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(f"{d}/benchmark.parquet*").select(F.col("item_id").alias("id"), dna.projected(F.col("text")).alias("sequence"))
+    index = saved(_seqs_k(s, d).join(fx.seqs(s, d).select("id", "species"), "id").select("species", "hash").distinct(), "index")
+    return sc.latest(sc.counts(reads, index), ["id", "species"], "hashes", s)
+
+
+query("str_01_distinct_hashes", f"{views('seqs_k', 'reads_k')}, i AS (SELECT DISTINCT species, hash FROM seqs_k JOIN seqs USING (id)) SELECT r.id, i.species, count(DISTINCT r.hash) AS hashes FROM reads_k r JOIN i USING (hash) GROUP BY ALL")(_streamed)
