@@ -8,6 +8,7 @@ whatever the number of reads. Products are sums of logarithms, with a read's lar
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -136,6 +137,47 @@ def _rate(shares: float | None, lengths: float | None) -> float:
     return min(0.1, max(1e-6, shares / lengths)) if lengths else 1e-3
 
 
+def narrowed(values: Callable[[pd.DataFrame], np.ndarray], runs: list, low: float, high: float, points: int = 17, tolerance: float = 1e-8) -> pd.DataFrame:
+    """``run, rate, ll``: where each run's value is largest between ``low`` and ``high``, ends included.
+
+    ``values`` takes all runs' trial points ``(run, rate)`` at once. Each round spreads ``points`` over what is left and goes on between the best one's neighbours, until that is no wider than ``tolerance``; of
+    several largest values the smallest rate is taken. A value with one peak is found to the tolerance.
+    """
+    left, found = {r: (low, high) for r in runs}, {}
+    while left:
+        trials = pd.DataFrame([(r, x) for r, (a, b) in left.items() for x in np.linspace(a, b, points)], columns=["run", "rate"])
+        trials["ll"] = values(trials)
+        for run, part in trials.groupby("run", sort=False):
+            rate, ll = part["rate"].to_numpy(), part["ll"].to_numpy()
+            at = int(np.argmax(ll))
+            found[run] = (rate[at], ll[at])
+            left[run] = (rate[max(at - 1, 0)], rate[min(at + 1, points - 1)])
+            if left[run][1] - left[run][0] <= tolerance:
+                del left[run]
+    return pd.DataFrame([(r, *found[r]) for r in runs], columns=["run", "rate", "ll"])
+
+
+def likelihood_rates(candidates: DataFrame, params: DataFrame, lengths: DataFrame, low: float = 1e-6, high: float = 0.1, points: int = 17, tolerance: float = 1e-8) -> pd.DataFrame:
+    """``run, rate, ll``: the rate of degradation of each run of ``params(run, species, marker, w, d, b)`` at which the observed reads are likeliest. All runs' trial points are rows of one plan a round."""
+    spark = candidates.sparkSession
+    made = profiles(candidates).repartition("read_id").persist()
+    try:
+        return _rates(made, params.toPandas(), lengths, lambda frame: _local(spark, frame), low, high, points, tolerance)
+    finally:
+        made.unpersist()
+
+
+def _rates(made: DataFrame, params: pd.DataFrame, lengths: DataFrame, table: Callable[[pd.DataFrame], DataFrame], low: float = 1e-6, high: float = 0.1, points: int = 17, tolerance: float = 1e-8) -> pd.DataFrame:
+    x = params[["run", "species", "marker"]].assign(x=np.log(params["w"]) + np.log(params["d"]) + np.log(params["b"]))
+
+    def values(trials: pd.DataFrame) -> np.ndarray:
+        numbered = trials.assign(trial=np.arange(len(trials)))
+        own = x.merge(numbered, on="run")[["trial", "species", "marker", "x", "rate"]].rename(columns={"trial": "run"})
+        return _step(made, table(own), lengths).groupby("run")["ll"].sum().reindex(range(len(trials)), fill_value=-math.inf).to_numpy(float)
+
+    return narrowed(values, sorted(params["run"].unique()), low, high, points, tolerance)
+
+
 def starts(even: pd.DataFrame, restarts: int, alpha: float = 0.5, d_mu: float = 0.0, b_mu: float = 0.0, seed: int = 42) -> pd.DataFrame:
     """Parameters to begin from, by run: the given ones, then weights of a Dirichlet and factors near 1, each run by its own seed."""
     even = even.sort_values(["species", "marker"], ignore_index=True)
@@ -150,11 +192,12 @@ def starts(even: pd.DataFrame, restarts: int, alpha: float = 0.5, d_mu: float =
     return pd.concat(out, ignore_index=True)
 
 
-def fit_runs(candidates: DataFrame, begin: pd.DataFrame, max_iter: int = 200, tolerance: float = 1e-6, lengths: DataFrame | None = None, degradation: bool = False, single: bool = False, **prior: float) -> tuple[pd.DataFrame, pd.DataFrame]:
+def fit_runs(candidates: DataFrame, begin: pd.DataFrame, max_iter: int = 200, tolerance: float = 1e-6, lengths: DataFrame | None = None, degradation: bool = False, single: bool = False, by_likelihood: bool = False, **prior: float) -> tuple[pd.DataFrame, pd.DataFrame]:
     """Parameters ``(run, species, marker, w, d, b)`` at each run's end, and ``(run, ll, iterations, converged, rate)``.
 
     All runs still going are rows of one parameter table, so an iteration is one plan whatever their number. Profiles are dealt by read once and
     kept; only parameters and sums by species and marker pass the driver. A run ends where its log-likelihood changes by less than ``tolerance`` of itself.
+    The rate of degradation is that of shares over lengths, or with ``by_likelihood`` the likeliest one (``likelihood_rates``).
     """
     spark = candidates.sparkSession
     made = profiles(candidates).repartition("read_id").persist()
@@ -180,7 +223,10 @@ def fit_runs(candidates: DataFrame, begin: pd.DataFrame, max_iter: int = 200, to
             old = state[state["run"].isin(going)].drop(columns="g", errors="ignore")
             new = maximise(old.merge(sums[["run", "species", "marker", "g"]], "left", ["run", "species", "marker"]).fillna({"g": 0.0}), single, **prior)
             state = pd.concat([state[~state["run"].isin(going)], new], ignore_index=True)
-            if degradation and lengths is not None and not single:
+            if degradation and lengths is not None and not single and by_likelihood:
+                fitted = _rates(made, new, lengths, lambda frame: _local(spark, frame)).set_index("run")
+                done.loc[fitted.index, "rate"] = fitted["rate"]
+            elif degradation and lengths is not None and not single:
                 for run, part in sums.groupby("run"):
                     done.loc[run, "rate"] = _rate(part["gs"].sum(), part["gl"].sum())
             change = (ll - done.loc[going, "ll"]).abs() / (ll.abs() + 1e-10)

@@ -9,6 +9,7 @@ from loamspark.operators import differential as di
 from loamspark.operators import functional as fu
 from loamspark.operators import joint as jt
 from loamspark.operators import markers as mk
+from loamspark.operators import mixture as mx
 from loamspark.operators import strains as st
 from loamspark.operators import summaries as su
 from loamspark.plans import fixtures as fx
@@ -98,6 +99,27 @@ SELECT *, mae_other - mae_one AS mae_change, CASE WHEN mae_one < mae_other THEN
     )
 )
 
+# The likeliest rate of degradation, all runs' trial points in one plan a round; the logarithm of a sum of exponentials has its maximum at an end, as the grid shows.
+
+_LENGTHS = "ln AS (SELECT s AS species, m AS marker, 100 + 20 * s + 50 * m AS length FROM range(6) a(s) CROSS JOIN range(3) b(m))"
+query(
+    "em_07_likelihood_rate",
+    f"""{views("cand")}, {_LENGTHS}, g AS (SELECT 1e-6 + i * (0.1 - 1e-6) / 64 AS rate FROM range(65) r(i)), rr AS (SELECT 0 AS run UNION ALL SELECT 1),
+l AS (SELECT run, rate, read_id, ln(sum(CASE WHEN run = 0 THEN 1 / 6.0 ELSE (species + 1) / 21.0 END * exp(-rate * length) * containment)) AS ll FROM cand JOIN ln USING (species, marker) CROSS JOIN g CROSS JOIN rr GROUP BY ALL)
+SELECT run, arg_max(rate, ll) AS rate, max(ll) AS ll FROM (SELECT run, rate, sum(ll) AS ll FROM l GROUP BY ALL) GROUP BY run""",
+    "rate ll",
+)(lambda s, d: _fitted_rates(s, d))
+
+
+def _fitted_rates(s: SparkSession, d: str) -> DataFrame:
+    cand = fx.cand(s, d)
+    lengths = s.sql("SELECT s.id AS species, m.id AS marker, 100 + 20 * s.id + 50 * m.id AS length FROM range(6) s CROSS JOIN range(3) m")
+    runs = cand.select("species", "marker").distinct().select(F.explode(F.array(F.lit(0), F.lit(1))).alias("run"), "species", "marker")
+    params = runs.select("run", "species", "marker", F.when(F.col("run") == 0, 1 / 6).otherwise((F.col("species") + 1) / 21).alias("w"), F.lit(1.0).alias("d"), F.lit(1.0).alias("b"))
+    found = mx.likelihood_rates(cand, params, lengths)
+    return s.createDataFrame(found).select(F.col("run").cast("int").alias("run"), "rate", "ll")
+
+
 # Joint inference: the mixture's candidates, whose markers are genes and the last of them none.
 
 _EVEN = f"""{views("cand")}, k AS (SELECT count(DISTINCT species) AS k FROM cand), x AS (SELECT read_id, species AS strain, nullif(marker, 2) AS gene, containment AS c, containment / (k + 1) * CASE WHEN marker = 2 THEN 1 ELSE 0.5 END AS x FROM cand CROSS JOIN k WHERE containment >= 0.05),

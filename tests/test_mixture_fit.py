@@ -109,3 +109,36 @@ def test_bic_counts_weights_yields_biases_and_the_rate():
 def test_no_candidates(spark):
     params, ll, steps = mx.fit(spark.createDataFrame([], SCHEMA))
     assert params.count() == 0 and ll == 0 and steps == 0
+
+
+def test_narrowing_finds_peaks_and_ends():
+    peaks = {"a": 0.03123456, "b": 1e-6, "c": 0.1, "d": 0.07}
+    asked = []
+
+    def values(trials):
+        asked.append(len(trials))
+        return np.array([-((x - peaks[r]) ** 2) for r, x in zip(trials["run"], trials["rate"], strict=True)])
+
+    found = mx.narrowed(values, list(peaks), 1e-6, 0.1).set_index("run")["rate"]
+    assert {r: found[r] for r in peaks} == pytest.approx(peaks, abs=1e-7)
+    assert len(asked) <= 10 and asked[0] == 4 * 17
+
+
+def test_likeliest_rates_of_several_runs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, m, s, float(rng.uniform(0.3, 1))) for i in range(80) for m in (i % 2,) for s in range(3)]
+    cand = spark.createDataFrame(rows, "read_id int, marker int, species int, containment double")
+    lengths = spark.createDataFrame([(s, m, 50 * (s + 1) * (m + 1)) for s in range(3) for m in range(2)], "species int, marker int, length int")
+    params = spark.createDataFrame([(run, s, m, (0.2, 0.3, 0.5)[(s + run) % 3], 1.0, 1.0) for run in (0, 1) for s in range(3) for m in range(2)], "run int, species int, marker int, w double, d double, b double")
+
+    def ll(run, rate):
+        reads = {}
+        for i, m, s, c in rows:
+            reads[i] = reads.get(i, 0) + (0.2, 0.3, 0.5)[(s + run) % 3] * np.exp(-rate * 50 * (s + 1) * (m + 1)) * c
+        return sum(np.log(v) for v in reads.values())
+
+    found = mx.likelihood_rates(cand, params, lengths, tolerance=1e-4).set_index("run")
+    for run in (0, 1):
+        grid = np.linspace(1e-6, 0.1, 50)
+        assert found.loc[run, "rate"] == pytest.approx(max(grid, key=lambda x: ll(run, x)), abs=1e-4)
+        assert found.loc[run, "ll"] == pytest.approx(ll(run, found.loc[run, "rate"]), rel=1e-12)
