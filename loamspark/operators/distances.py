@@ -9,30 +9,20 @@ from pyspark.sql import DataFrame
 
 from loamspark.functions.frames import counts_below, sql
 from loamspark.operators.composition import permutations
+from loamspark.operators.pairs import pair_sums
 from loamspark.session import saved
 
 
 def bray_curtis(table: DataFrame) -> DataFrame:
-    """1 - 2 sum(min) / (sum + sum): only features that both samples have meet; pairs without any are 1, two empty samples null."""
-    return sql(
-        """WITH n AS (SELECT sample_id, sum(value) AS t FROM {t} GROUP BY sample_id),
-                o AS (SELECT x.sample_id AS s1, y.sample_id AS s2, sum(least(x.value, y.value)) AS m FROM {t} x JOIN {t} y ON x.feature_id = y.feature_id AND x.sample_id < y.sample_id GROUP BY ALL)
-           SELECT a.sample_id AS s1, b.sample_id AS s2, 1 - 2 * coalesce(o.m, 0D) / nullif(a.t + b.t, 0) AS d
-           FROM n a JOIN n b ON a.sample_id < b.sample_id LEFT JOIN o ON o.s1 = a.sample_id AND o.s2 = b.sample_id""",
-        t=table,
-    )
+    """1 - 2 sum(min) / (sum + sum) of all pairs of samples, by blocks of them (``pairs``); pairs without a common feature are 1, two empty samples null."""
+    sums = pair_sums(table.selectExpr("sample_id AS item", "feature_id AS axis", "value"), "min")
+    return sums.selectExpr("a AS s1", "b AS s2", "1 - 2 * m / nullif(ta + tb, 0) AS d")
 
 
 def jaccard(table: DataFrame) -> DataFrame:
     """1 - both / either over presences; two empty samples are 0 apart."""
-    return sql(
-        """WITH n AS (SELECT sample_id, count_if(value > 0) AS t FROM {t} GROUP BY sample_id),
-                p AS (SELECT feature_id, sample_id FROM {t} WHERE value > 0),
-                o AS (SELECT x.sample_id AS s1, y.sample_id AS s2, count(*) AS m FROM p x JOIN p y ON x.feature_id = y.feature_id AND x.sample_id < y.sample_id GROUP BY ALL)
-           SELECT a.sample_id AS s1, b.sample_id AS s2, coalesce(1 - coalesce(o.m, 0) / nullif(a.t + b.t - coalesce(o.m, 0), 0), 0D) AS d
-           FROM n a JOIN n b ON a.sample_id < b.sample_id LEFT JOIN o ON o.s1 = a.sample_id AND o.s2 = b.sample_id""",
-        t=table,
-    )
+    sums = pair_sums(table.selectExpr("sample_id AS item", "feature_id AS axis", "CASE WHEN value > 0 THEN 1D ELSE 0D END AS value"), "dot")
+    return sums.selectExpr("a AS s1", "b AS s2", "coalesce(1 - m / nullif(ta + tb - m, 0), 0D) AS d")
 
 
 def _checked(distances: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,39 +12,46 @@ from pyspark.sql import functions as F
 
 from loamspark.functions import graphs
 from loamspark.functions.frames import sql
+from loamspark.operators.pairs import pair_sums
 from loamspark.session import saved
 
 
+_PHI = "CASE WHEN k > 1 THEN greatest((qa + qb - 2 * m - pow(ta - tb, 2) / k) / (k - 1), 0D) END"
+
+
 def phi(table: DataFrame, min_prevalence: float = 0.0, pseudocount: float = 1.0) -> DataFrame:
-    """Variance of the log-ratio of every two features with enough prevalence, over all samples.
+    """Variance of the log-ratio of every two features with enough prevalence, over all samples, by blocks of features (``pairs``).
 
     var(x - y) = var x + var y - 2 cov, with logarithms taken relative to an empty cell's, so absent cells add nothing and the
     covariance needs only the samples that both features have.
     """
-    return sql(
-        """WITH k AS (SELECT count(DISTINCT sample_id) AS n FROM {t}),
-                x AS (SELECT feature_id, sample_id, ln((value + {c}) / {c}) AS x FROM {t} WHERE value > 0),
-                m AS (SELECT feature_id, sum(x) AS s, sum(x * x) AS q FROM x GROUP BY feature_id HAVING count(*) >= {p} * (SELECT n FROM k)),
-                o AS (SELECT a.feature_id AS src, b.feature_id AS dst, sum(a.x * b.x) AS xy FROM x a JOIN x b ON a.sample_id = b.sample_id AND a.feature_id < b.feature_id GROUP BY ALL)
-           SELECT a.feature_id AS src, b.feature_id AS dst, CASE WHEN k.n > 1 THEN greatest((a.q + b.q - 2 * coalesce(o.xy, 0D) - pow(a.s - b.s, 2) / k.n) / (k.n - 1), 0D) END AS phi
-           FROM m a JOIN m b ON a.feature_id < b.feature_id CROSS JOIN k LEFT JOIN o ON o.src = a.feature_id AND o.dst = b.feature_id""",
+    logs = sql(
+        """WITH x AS (SELECT feature_id AS item, sample_id AS axis, ln((value + {c}) / {c}) AS value FROM {t} WHERE value > 0),
+                f AS (SELECT item FROM x GROUP BY item HAVING count(*) >= {p} * (SELECT count(DISTINCT sample_id) FROM {t}))
+           SELECT x.* FROM x LEFT SEMI JOIN f ON f.item = x.item""",
         t=table, p=min_prevalence, c=pseudocount,
     )
+    counted = sql("SELECT *, (SELECT count(DISTINCT sample_id) FROM {t}) AS k FROM {s}", s=pair_sums(logs, "dot"), t=table)
+    return counted.selectExpr("a AS src", "b AS dst", f"{_PHI} AS phi")
 
 
 def phi_by_group(table: DataFrame, meta: DataFrame, min_prevalence: float = 0.0, pseudocount: float = 1.0) -> DataFrame:
     """``grp, src, dst, phi`` within the samples of every group ``(sample_id, grp)``; a feature that a group lacks is one of equal values there."""
-    return sql(
+    logs = sql(
         """WITH t AS (SELECT m.grp, t.feature_id, t.sample_id, t.value FROM {t} t JOIN {m} m ON m.sample_id = t.sample_id),
                 k AS (SELECT grp, count(DISTINCT sample_id) AS n FROM t GROUP BY grp),
-                x AS (SELECT grp, feature_id, sample_id, ln((value + {c}) / {c}) AS x FROM t WHERE value > 0),
-                s AS (SELECT grp, feature_id, sum(x) AS s, sum(x * x) AS q, count(*) AS c FROM x GROUP BY grp, feature_id),
-                m AS (SELECT k.grp, k.n, f.feature_id, coalesce(s.s, 0D) AS s, coalesce(s.q, 0D) AS q FROM k CROSS JOIN (SELECT DISTINCT feature_id FROM {t}) f LEFT JOIN s ON s.grp = k.grp AND s.feature_id = f.feature_id WHERE coalesce(s.c, 0) >= {p} * k.n),
-                o AS (SELECT a.grp, a.feature_id AS src, b.feature_id AS dst, sum(a.x * b.x) AS xy FROM x a JOIN x b ON a.sample_id = b.sample_id AND a.grp = b.grp AND a.feature_id < b.feature_id GROUP BY ALL)
-           SELECT a.grp, a.feature_id AS src, b.feature_id AS dst, CASE WHEN a.n > 1 THEN greatest((a.q + b.q - 2 * coalesce(o.xy, 0D) - pow(a.s - b.s, 2) / a.n) / (a.n - 1), 0D) END AS phi
-           FROM m a JOIN m b ON a.grp = b.grp AND a.feature_id < b.feature_id LEFT JOIN o ON o.grp = a.grp AND o.src = a.feature_id AND o.dst = b.feature_id""",
+                x AS (SELECT grp, feature_id AS item, sample_id AS axis, ln((value + {c}) / {c}) AS value FROM t WHERE value > 0),
+                c AS (SELECT grp, item, count(*) AS c FROM x GROUP BY grp, item),
+                a AS (SELECT feature_id AS item, explode((SELECT collect_set(grp) FROM k)) AS grp FROM (SELECT DISTINCT feature_id FROM {t})),
+                f AS (SELECT a.grp, a.item FROM a JOIN k ON k.grp = a.grp LEFT JOIN c ON c.grp = a.grp AND c.item = a.item WHERE coalesce(c.c, 0) >= {p} * k.n)
+           SELECT f.grp, f.item, x.axis, coalesce(x.value, 0D) AS value FROM f LEFT JOIN x ON x.grp = f.grp AND x.item = f.item""",
         t=table, m=meta.select("sample_id", "grp"), p=min_prevalence, c=pseudocount,
     )
+    return sql(
+        f"""WITH k AS (SELECT m.grp, count(DISTINCT t.sample_id) AS k FROM {{t}} t JOIN {{m}} m ON m.sample_id = t.sample_id GROUP BY m.grp)
+            SELECT s.grp, a AS src, b AS dst, {_PHI} AS phi FROM {{s}} s JOIN k ON k.grp = s.grp""",
+        s=pair_sums(logs, "dot", "grp"), t=table, m=meta.select("sample_id", "grp"),
+    )
 
 
 def group_networks(pairs: DataFrame, percentile: float = 5.0, limit: float | None = None) -> DataFrame:
