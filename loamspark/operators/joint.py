@@ -26,6 +26,8 @@ from loamspark.functions.frames import sql
 BROADCAST_ROWS = 500_000
 #: Rows of a packed block, about.
 BLOCK_ROWS = 1 << 16
+#: Numbers of the tasks' sums that the driver adds up at most.
+COLLECTED = 4_000_000
 #: Starts of a fit.
 RESTARTS = 10
 
@@ -199,8 +201,8 @@ class Block:
         return Block(reads[start].astype(float), start, np.searchsorted(first, start), first, cell, strain, c)
 
 
-def packed(rows: DataFrame, grid: pd.DataFrame) -> DataFrame:
-    """``block``: profiles in blocks of about BLOCK_ROWS rows, each as bytes of its rows' profiles, reads, cells of the grid and containments. They are made once and read at every step."""
+def packed(rows: DataFrame, grid: pd.DataFrame) -> tuple[DataFrame, int]:
+    """Blocks and the number of tasks that they are dealt to. Profiles lie in blocks of about BLOCK_ROWS rows, each as bytes of its rows' profiles, reads, cells of the grid and containments; they are made once and read at every step, so small tables have few tasks."""
     spark, kinds = rows.sparkSession, {f.name: f.dataType.simpleString() for f in rows.schema}
     codes = spark.createDataFrame([(s, g, i) for i, (s, g) in enumerate(zip(grid["strain"], grid["gene"], strict=True))], f"strain {kinds['strain']}, gene {kinds['gene']}, cell int")
     codes = F.broadcast(codes) if len(grid) <= BROADCAST_ROWS else codes
@@ -230,11 +232,11 @@ def packed(rows: DataFrame, grid: pd.DataFrame) -> DataFrame:
         if held and sum(b.num_rows for b in held):
             yield out(pa.Table.from_batches(held))
 
-    return ordered.mapInArrow(pack, "profile binary, reads binary, cell binary, c binary")
+    return ordered.mapInArrow(pack, "profile binary, reads binary, cell binary, c binary").coalesce(tasks), tasks
 
 
-def stepped(blocks: DataFrame, state: State, runs: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, float, float, float]]:
-    """``State.shares`` of each of ``runs``, summed over all blocks: a task adds up its own, Spark adds up the tasks'."""
+def stepped(blocks: DataFrame, tasks: int, state: State, runs: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, float, float, float]]:
+    """``State.shares`` of each of ``runs``, summed over all blocks. A task adds up its own; the driver adds up at most COLLECTED numbers of the tasks, more are first added up in Spark."""
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast((state, runs))
     cells, strains = len(state.strain), state.pi.shape[1]
@@ -252,9 +254,11 @@ def stepped(blocks: DataFrame, state: State, runs: list[int]) -> dict[int, tuple
         run, at = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(run.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[run, at])], ["run", "at", "v"])
 
-    found = blocks.mapInArrow(add, "run int, at int, v double").groupBy("run", "at").agg(F.sum("v").alias("v")).toArrow()
-    sums = np.zeros((len(runs), cells + strains + 3))
-    sums[found.column("run").to_numpy(), found.column("at").to_numpy()] = found.column("v").to_numpy()
+    found, sums = blocks.mapInArrow(add, "run int, at int, v double"), np.zeros((len(runs), cells + strains + 3))
+    if tasks * sums.size > COLLECTED:
+        found = found.groupBy("run", "at").agg(F.sum("v").alias("v"))
+    found = found.toArrow()
+    np.add.at(sums, (found.column("run").to_numpy(), found.column("at").to_numpy()), found.column("v").to_numpy())
     shared.unpersist()
     return {run: (v[:cells], v[cells : cells + strains], *(float(x) for x in v[cells + strains :])) for run, v in zip(runs, sums, strict=True)}
 
@@ -329,14 +333,15 @@ def fit_runs(rows: DataFrame, runs: list[Run], use: Settings | None = None, refe
             state.inside[i, state.strain[at]] = True
             state.pi[i, state.strain[at]] = part["pi"].to_numpy(float)
             state.phi[i, at] = part["phi"].fillna(1.0).to_numpy(float)
-        blocks = packed(rows, grid).persist()
+        blocks, tasks = packed(rows, grid)
+        blocks = blocks.persist()
         active = [i for i, at in enumerate(own) if len(at)]
         try:
             for _ in range(use.max_iter):
                 if not active:
                     break
                 going = []
-                for i, (g, s, pooled, ll, reads) in stepped(blocks, state, active).items():
+                for i, (g, s, pooled, ll, reads) in stepped(blocks, tasks, state, active).items():
                     name = runs[i].name
                     if not reads:
                         continue

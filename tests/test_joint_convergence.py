@@ -24,10 +24,15 @@ def test_defaults_are_the_reference():
     assert [(r.name, r.strains, r.fix_pi) for r in own] == [(f"x/{i}", ("a",), True) for i in range(3)] and own[0].seed is None and own[1].seed != own[2].seed
 
 
-def test_runs_go_on_to_convergence_and_tell_it(spark):
+def test_runs_go_on_to_convergence_and_tell_it(spark, monkeypatch):
     rows = jt.profiles(spark.createDataFrame(slow_rows(), CAND)).cache()
     done = jt.fit_runs(rows, jt.restarts(2))
     short = jt.fit_runs(rows, jt.restarts(2), jt.Settings(max_iter=5))
+    # Sums that are too many for the driver are added up in Spark, to the same.
+    monkeypatch.setattr(jt, "COLLECTED", 0)
+    monkeypatch.setattr(jt, "BLOCK_ROWS", 50)
+    other = jt.fit_runs(rows, jt.restarts(2), jt.Settings(max_iter=5))
+    assert other.params[["pi", "phi"]].to_numpy() == pytest.approx(short.params[["pi", "phi"]].to_numpy(), rel=1e-12)
     rows.unpersist()
     for name, trace in done.traces.items():
         assert done.converged[name] and 12 < len(trace) < 200
