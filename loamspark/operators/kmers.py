@@ -6,10 +6,14 @@ small one broadcast by Spark's own choice.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamspark.functions import dna
 from loamspark.functions.frames import sql
@@ -152,30 +156,79 @@ def classify(reads: DataFrame, strains: DataFrame, coarse: DataFrame, fine: Data
     return fine_query(reads, keyed, least, best, folder).join(strains.select(F.col("id").alias("strain"), "species"), "strain").select("id", "strain", "containment", "gene", "species")
 
 
+def _versions(spark: SparkSession, path: str) -> tuple[Any, Any, list[int]]:
+    """The index's file system, its folder of manifests, and the versions in it, ascending."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+    return system, folder, sorted(int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d+\.json", n))
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    _, folder, versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(path)
+    return json.loads(spark.read.text(f"{folder}/{versions[-1]}.json", wholetext=True).first()[0])
+
+
+def _commit(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Writes a manifest under its version, which must be new: of two that add at once, the second fails and nothing of it is seen."""
+    system, folder, versions = _versions(spark, path)
+    if manifest["version"] in versions:
+        raise ValueError(f"version {manifest['version']} of {path} was written by another")
+    out = system.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{manifest['version']}.json"), False)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+
+
+def _write_part(more: DataFrame, known: DataFrame | None, scale: float, path: str, part: str) -> tuple[str, str]:
+    """Writes a part of the ``fine`` table, its files by species and in the order of the hash, and ``coarse`` from its files, less what is known; returns their schemas."""
+    spark = more.sparkSession
+    # A range of (species, hash) splits a species with very many rows, and lets a file's statistics tell which hashes it may hold.
+    more.repartitionByRange("species", "hash").sortWithinPartitions("species", "hash").write.partitionBy("species").parquet(f"{path}/fine/part={part}")
+    coarse = spark.read.schema(more.schema).parquet(f"{path}/fine/part={part}").where(F.col("hash") < dna.below(scale)).select("species", "hash").distinct()
+    coarse = coarse if known is None else coarse.join(known, ["species", "hash"], "left_anti")
+    coarse.write.parquet(f"{path}/coarse/part={part}")
+    return more.schema.json(), coarse.schema.json()
+
+
 def save_index(strains: DataFrame, table: DataFrame, genes: DataFrame, scale: float, path: str) -> None:
-    """Writes ``fine(id, species, hash, gene)`` and, from its files, ``coarse(species, hash)``: sequences are hashed once. The scale is kept beside them."""
+    """Writes an index: ``fine(id, species, hash, gene)``, partitioned by species, and ``coarse(species, hash)``; sequences are hashed once.
+
+    Tables lie in parts, folders of their own, and a manifest of a version, written last, names the parts and the scale, so readers see whole versions only. A path that has an index already is an error.
+    """
     spark = table.sparkSession
-    sql("SELECT t.id, s.species, t.hash, t.gene FROM {t} t JOIN {s} s ON s.id = t.id", t=genes_at(table, genes), s=strains).write.parquet(f"{path}/fine")
-    spark.read.parquet(f"{path}/fine").where(F.col("hash") < dna.below(scale)).select("species", "hash").distinct().write.parquet(f"{path}/coarse")
-    spark.range(1).select(F.lit(float(scale)).alias("scale")).write.parquet(f"{path}/scale")
+    if _versions(spark, path)[2]:
+        raise FileExistsError(path)
+    part = uuid.uuid4().hex
+    fine, coarse = _write_part(sql("SELECT t.id, s.species, t.hash, t.gene FROM {t} t JOIN {s} s ON s.id = t.id", t=genes_at(table, genes), s=strains), None, scale, path, part)
+    _commit(spark, path, {"version": 1, "scale": float(scale), "parts": [part], "fine": fine, "coarse": coarse})
 
 
 def load_index(spark: SparkSession, path: str, species: list[str] | None = None) -> tuple[DataFrame, DataFrame, float]:
-    """The coarse and fine tables and the scale of a saved index; of some species only if they are named, which prunes the fine one's files."""
-    coarse, fine = spark.read.parquet(f"{path}/coarse"), spark.read.parquet(f"{path}/fine")
+    """The coarse and fine tables and the scale of a saved index's newest version; of some species only if they are named, which leaves out the others' files."""
+    known = _manifest(spark, path)
+    read = lambda name: spark.read.schema(T.StructType.fromJson(json.loads(known[name]))).option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/part={p}" for p in known["parts"]])
+    coarse, fine = read("coarse").select("species", "hash"), read("fine").select("id", "species", "hash", "gene")
     if species is not None:
         coarse, fine = (x.where(F.col("species").isin(species)) for x in (coarse, fine))
-    return coarse, fine, spark.read.parquet(f"{path}/scale").first()["scale"]
+    return coarse, fine, known["scale"]
 
 
 def add_to_index(strains: DataFrame, table: DataFrame, genes: DataFrame, path: str) -> None:
-    """More strains for a saved index, under its scale. Hashes that a species of the coarse table has already are not written again."""
+    """More strains for a saved index, under its scale, as its next version. Hashes that a species of the coarse table has already are not written again.
+
+    A strain that the index has already is refused, so an add that is repeated cannot double its votes; one that fails leaves the last version as it was.
+    """
     spark = table.sparkSession
-    scale = load_index(spark, path)[2]
-    more = sql("SELECT t.id, s.species, t.hash, t.gene FROM {t} t JOIN {s} s ON s.id = t.id", t=genes_at(table, genes), s=strains)
-    known = spark.read.parquet(f"{path}/coarse")
-    more.where(F.col("hash") < dna.below(scale)).select("species", "hash").distinct().join(known, ["species", "hash"], "left_anti").write.mode("append").parquet(f"{path}/coarse")
-    more.write.mode("append").parquet(f"{path}/fine")
+    known = _manifest(spark, path)
+    coarse, fine, scale = load_index(spark, path)
+    held = fine.select("id").distinct().join(table.select("id").distinct(), "id", "left_semi").first()
+    if held is not None:
+        raise ValueError(f"strain {held['id']} is in the index already")
+    part = uuid.uuid4().hex
+    _write_part(sql("SELECT t.id, s.species, t.hash, t.gene FROM {t} t JOIN {s} s ON s.id = t.id", t=genes_at(table, genes), s=strains), coarse, scale, path, part)
+    _commit(spark, path, known | {"version": known["version"] + 1, "parts": [*known["parts"], part]})
 
 
 def classify_file(spark: SparkSession, path: str, index: str, strains: DataFrame, k: int, top: int = 3, least: float = 0.1, min_length: int = 50, split_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from loamspark.operators import differential as di
 from loamspark.operators import kmers as km
 
@@ -28,6 +30,16 @@ def test_saved_index(spark, tmp_path):
     assert {tuple(r) for r in km.classify(looked, strains, coarse, fine, scale, folder=str(tmp_path)).collect()} == expected
     assert coarse.count() == coarse.distinct().count() and {r[0] for r in km.load_index(spark, path, ["s1"])[1].select("species").distinct().collect()} == {"s1"}
 
+    # The same add again is refused, and so is a second index; neither changes what is read.
+    for again in (lambda: km.add_to_index(strains, table.where("id = 3"), genes, path), lambda: km.save_index(strains, first, genes, 0.5, path), lambda: km._commit(spark, path, {"version": 2})):
+        with pytest.raises((ValueError, FileExistsError)):
+            again()
+    assert km.load_index(spark, path)[1].count() == fine.count() and scale == 0.5
+    plan = km.load_index(spark, path, ["s1"])[1]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [species" in plan.replace("isnotnull(species#", "species#") or "species" in plan.split("PartitionFilters:")[1].split("]")[0]
+    with pytest.raises(FileNotFoundError):
+        km.load_index(spark, str(tmp_path / "none"))
+
 
 def test_significance(spark):
     rows = spark.createDataFrame([(1, 0.01, 2.0), (2, 0.01, -2.0), (3, 0.01, 0.5), (4, 0.2, 3.0), (5, None, 3.0), (6, 0.01, None)], "id int, q double, lfc double")
