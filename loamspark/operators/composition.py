@@ -147,6 +147,12 @@ def specificity(stats: DataFrame) -> DataFrame:
     )
 
 
+def specialists(scores: DataFrame, n: int = 15, limit: float = 0.5) -> DataFrame:
+    """The ``n`` features of the highest specificity, ties by name, with the numbers of all specialists, above ``limit``, and generalists beside them."""
+    counts = scores.agg(F.count_if(F.col("score") > limit).alias("specialists"), F.count_if(F.col("score") <= limit).alias("generalists"))
+    return scores.orderBy(F.desc("score"), "feature_id").limit(n).crossJoin(F.broadcast(counts))
+
+
 def indicator(stats: DataFrame) -> DataFrame:
     """IndVal: the group's share of the means times its prevalence, for the best group of each feature."""
     return sql(

@@ -31,6 +31,11 @@ def grouped_errors(rows: DataFrame, by: str) -> DataFrame:
     return sql(f"SELECT {by}, count(*) AS n, avg(abs(est_w - true_w)) AS mae, stddev_samp(est_w - true_w) AS sd FROM {{r}} GROUP BY {by}", r=rows)
 
 
+def timings(rows: DataFrame, by: str, seconds: str = "seconds") -> DataFrame:
+    """``n, mean, sd`` of the times of every ``by``; one time has no spread."""
+    return sql(f"SELECT {by}, count({seconds}) AS n, avg({seconds}) AS mean, coalesce(stddev_samp({seconds}), 0D) AS sd FROM {{r}} GROUP BY {by}", r=rows)
+
+
 def totals(rows: DataFrame, dataset: str, value: str) -> DataFrame:
     """Sums by dataset with the grand total beside them, in one aggregation."""
     return sql(f"SELECT coalesce(cast({dataset} AS STRING), 'total') AS dataset, count(*) AS n, sum({value}) AS value FROM {{r}} GROUP BY ROLLUP ({dataset})", r=rows)

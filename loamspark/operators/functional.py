@@ -101,6 +101,12 @@ def redundancy_comparison(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return summary, differential.mann_whitney(rows.select("grp", F.col("shannon").alias("value")))
 
 
+def first_carriers(traits: DataFrame, order: DataFrame, n: int = 30) -> DataFrame:
+    """``feature_id, position`` of the first ``n`` features with any trait, in the input's order ``(feature_id, position)``."""
+    carriers = traits.where(F.col("value") > 0).select("feature_id").distinct()
+    return order.join(carriers, "feature_id", "left_semi").orderBy("position", "feature_id").limit(n).select("feature_id", "position")
+
+
 def trait_counts(traits: DataFrame, stats: DataFrame) -> DataFrame:
     """Carriers of every trait in every group, each genome in the group of its highest mean; the others of the group beside them."""
     home = composition.argmax(stats, "feature_id", "mean_value", "grp")

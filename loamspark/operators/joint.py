@@ -389,10 +389,17 @@ def presence(params: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def fit(candidates: DataFrame, n: int = RESTARTS, use: Settings | None = None, reference: pd.DataFrame | None = None) -> DataFrame:
+def even_profile(strains: list, genes: list, mobile: bool = True) -> pd.DataFrame:
+    """What is known of strains without a read: even weights between 0 and 1, every phi 0.5 between 0 and 1, an infinite BIC, no convergence."""
+    weight = 1 / max(len(strains) + mobile, 1)
+    rows = [(s, g, weight, 0.5, 0.0, 1.0, 0.0, 1.0, weight * mobile, -math.inf, math.inf, False) for s in strains for g in genes]
+    return pd.DataFrame(rows, columns=["strain", "gene", "pi", "phi", "lo", "hi", "phi_lo", "phi_hi", "mobile", "ll", "bic", "converged"])
+
+
+def fit(candidates: DataFrame, n: int = RESTARTS, use: Settings | None = None, reference: pd.DataFrame | None = None, strains: list | None = None, genes: list | None = None) -> DataFrame:
     """``strain, gene, pi, phi, lo, hi, phi_lo, phi_hi, mobile, ll, bic, converged`` of the best restart.
 
-    lo and hi bound pi by its diagonal information n_k / pi^2 + 1e-6; phi's bounds are quantiles of its Beta posterior. Without candidates it is empty.
+    lo and hi bound pi by its diagonal information n_k / pi^2 + 1e-6; phi's bounds are quantiles of its Beta posterior. Without candidates it is empty, or the ``even_profile`` of ``strains`` and ``genes`` where they are named.
     ``converged`` is false where ``max_iter`` cut the restart short.
     """
     use = use or Settings()
@@ -400,6 +407,9 @@ def fit(candidates: DataFrame, n: int = RESTARTS, use: Settings | None = None, r
     rows = profiles(candidates, use.least).cache()
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"strain {kinds['strain']}, gene {kinds['gene']}, pi double, phi double, lo double, hi double, phi_lo double, phi_hi double, mobile double, ll double, bic double, converged boolean"
+    if strains and genes and rows.isEmpty():
+        rows.unpersist()
+        return spark.createDataFrame(even_profile(strains, genes, use.mobile).itertuples(index=False, name=None), schema)
     done = fit_runs(rows, restarts(n), use, reference)
     rows.unpersist()
     best = done.best

@@ -108,17 +108,17 @@ def coarse_query(reads: DataFrame, index: DataFrame, scale: float, top: int = 3,
     )
 
 
-def genes_at(table: DataFrame, genes: DataFrame, bin_size: int = 1000) -> DataFrame:
-    """Every k-mer with the first gene, by start, whose [start, end) holds its position; null without one.
+def genes_at(table: DataFrame, genes: DataFrame, bin_size: int = 1000, order: str = "start") -> DataFrame:
+    """Every k-mer with the first gene, by start or by another column of the annotation (its line, say), whose [start, end) holds its position; null without one.
 
     A bin of a sequence has one row with the genes that overlap it, in order, so a k-mer meets one row at most and is neither sorted nor counted.
     """
     return sql(
-        """WITH g AS (SELECT id, struct(start, gene, `end`) AS gene, explode(sequence(cast(floor(start / {w}) AS INT), cast(floor((`end` - 1) / {w}) AS INT))) AS bin FROM {g} WHERE `end` > start),
+        """WITH g AS (SELECT id, struct({o} AS nth, start, gene, `end`) AS gene, explode(sequence(cast(floor(start / {w}) AS INT), cast(floor((`end` - 1) / {w}) AS INT))) AS bin FROM {g} WHERE `end` > start),
                 b AS (SELECT id, bin, sort_array(collect_list(gene)) AS genes FROM g GROUP BY id, bin)
            SELECT t.id, t.pos, t.hash, get(filter(b.genes, x -> x.start <= t.pos AND t.pos < x.`end`), 0).gene AS gene
            FROM {t} t LEFT JOIN b ON b.id = t.id AND b.bin = cast(floor(t.pos / {w}) AS INT)""",
-        t=table, g=genes, w=bin_size,
+        t=table, g=genes, w=bin_size, o=F.col(order),
     )
 
 

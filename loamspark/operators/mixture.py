@@ -380,3 +380,10 @@ def calibrate(samples: DataFrame) -> DataFrame:
 def fragment_rate(lengths: DataFrame) -> DataFrame:
     """1 / mean length; 0 without lengths, 1 where the mean is under 1."""
     return lengths.agg(F.when(F.count("*") == 0, 0.0).when(F.avg("length") < 1, 1.0).otherwise(F.try_divide(F.lit(1.0), F.avg("length"))).alias("rate"))
+
+
+def species_by_marker(hits: DataFrame, markers: list) -> DataFrame:
+    """A row for each species of ``hits(read_id, marker, species)``: its hits at each of ``markers``, a column each, and ``read_pct``, all its hits at them in hundredths of the classified reads."""
+    classified = hits.agg(F.countDistinct("read_id").alias("classified"))
+    wide = hits.where(F.col("marker").isin(markers)).groupBy("species").pivot("marker", markers).count().na.fill(0)
+    return wide.withColumn("read_pct", 100 * sum(F.col(f"`{m}`") for m in markers) / F.lit(max(classified.first()[0], 1)))

@@ -9,6 +9,7 @@ from loamspark.functions import dna
 from loamspark.operators import composition as co
 from loamspark.operators import differential as di
 from loamspark.operators import evaluation as ev
+from loamspark.operators import functional as fu
 from loamspark.operators import kmers as km
 from loamspark.operators import mixture as mx
 from loamspark.operators import network as nw
@@ -214,6 +215,24 @@ query("agg_26_verdict_open", f"{_unrolled(2)} SELECT CASE WHEN bool_or(species =
 )
 
 
+query("agg_24_species_by_marker", f"""{views('cand')}, n AS (SELECT count(DISTINCT read_id) AS n FROM cand) SELECT species, count(*) FILTER (WHERE marker = 0) AS "0", count(*) FILTER (WHERE marker = 1) AS "1", count(*) FILTER (WHERE marker = 2) AS "2", 100.0 * count(*) / (SELECT n FROM n) AS read_pct FROM cand GROUP BY species""", "read_pct")(
+    lambda s, d: mx.species_by_marker(fx.cand(s, d), [0, 1, 2])
+)
+query("agg_51_timings", "SELECT l_linenumber AS reads, count(*) AS n, avg(l_extendedprice / 1000) AS mean, stddev_samp(l_extendedprice / 1000) AS sd FROM lineitem GROUP BY 1", "mean sd")(
+    lambda s, d: ev.timings(fx.table(s, d, "lineitem").selectExpr("l_linenumber AS reads", "l_extendedprice / 1000 AS seconds"), "reads")
+)
+query(
+    "srt_04_top_specialists",
+    f"""{views('dsp', 'meta')}, st AS (SELECT feature_id, grp, avg(value) AS v FROM dsp JOIN meta USING (sample_id) GROUP BY ALL), p AS (SELECT feature_id, v / nullif(sum(v) OVER (PARTITION BY feature_id), 0) AS p, count(*) OVER (PARTITION BY feature_id) AS c FROM st),
+h AS (SELECT feature_id, round(1 + coalesce(sum(p * ln(p)) FILTER (WHERE p > 0), 0) / ln(max(c)), 9) AS score FROM p GROUP BY 1) SELECT feature_id, score, (SELECT count(*) FROM h WHERE score > 0.5) AS specialists, (SELECT count(*) FROM h WHERE score <= 0.5) AS generalists FROM h ORDER BY score DESC, feature_id LIMIT 15""",
+    "score",
+)(lambda s, d: co.specialists(co.specificity(co.group_stats(fx.sp(s, d), fx.meta(s, d))).select("feature_id", F.round("score", 9).alias("score"))))
+query(
+    "srt_08_first_carriers",
+    f"""{views('genes', 'traits')} SELECT feature_id, feature_id * 7919 % 1000 AS position FROM (SELECT DISTINCT feature_id FROM genes JOIN traits USING (ko_id)) ORDER BY position, feature_id LIMIT 30""",
+)(lambda s, d: fu.first_carriers(fu.trait_table(fx.genes(s, d), fx.traits(s, d)), fx.table(s, d, "part").selectExpr("p_partkey AS feature_id", "p_partkey * 7919 % 1000 AS position")))
+
+
 # Streams: the benchmark's texts as reads, in as many batches as there are files
 
 
