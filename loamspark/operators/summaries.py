@@ -14,10 +14,10 @@ def taxa_by_group(table: DataFrame, taxa: DataFrame, groups: DataFrame, top: int
     """
     return sql(
         """WITH v AS (SELECT t.sample_id, coalesce(x.taxon, 'Unclassified') AS taxon, sum(t.value) AS value FROM {t} t LEFT JOIN {x} x ON x.feature_id = t.feature_id GROUP BY ALL),
-                r AS (SELECT taxon, row_number() OVER (ORDER BY total DESC, taxon) AS rn FROM (SELECT taxon, sum(value) AS total FROM v GROUP BY taxon)),
+                r AS (SELECT taxon, true AS kept FROM (SELECT taxon, sum(value) AS total FROM v GROUP BY taxon) ORDER BY total DESC, taxon LIMIT {top}),
                 n AS (SELECT g.grp, count(*) AS n FROM (SELECT DISTINCT sample_id FROM {t}) s JOIN {g} g ON g.sample_id = s.sample_id GROUP BY g.grp)
-           SELECT g.grp, CASE WHEN r.rn <= {top} THEN v.taxon ELSE 'Other' END AS taxon, sum(v.value) / max(n.n) AS mean_value
-           FROM v JOIN {g} g ON g.sample_id = v.sample_id JOIN r ON r.taxon = v.taxon JOIN n ON n.grp = g.grp GROUP BY ALL""",
+           SELECT g.grp, CASE WHEN r.kept THEN v.taxon ELSE 'Other' END AS taxon, sum(v.value) / max(n.n) AS mean_value
+           FROM v JOIN {g} g ON g.sample_id = v.sample_id LEFT JOIN r ON r.taxon = v.taxon JOIN n ON n.grp = g.grp GROUP BY ALL""",
         t=table, x=taxa, g=groups, top=top,
     )
 
