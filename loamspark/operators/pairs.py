@@ -9,6 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from loamspark.functions.frames import sql
 
 #: Items of a block, about: a task holds one sum for each pair of two blocks' items. Axes that are multiplied at once.
 BLOCK = 1024
@@ -85,16 +88,15 @@ def pair_sums(cells: DataFrame, kind: str, by: str | None = None) -> DataFrame:
     """
     if kind not in ("dot", "min"):
         raise ValueError(kind)
-    count = max(1, -(-(cells.agg(F.approx_count_distinct("item")).first()[0]) // BLOCK))
+    # The number of blocks is a subquery of the plan, so nothing runs before the result is asked for.
+    counted = sql("SELECT *, (SELECT cast(greatest(ceil(approx_count_distinct(item) / {n}), 1) AS INT) FROM {c}) AS blocks FROM {c}", c=cells, n=BLOCK)
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
     keys = [*([by] if by else []), "i", "j"]
-    own = cells.select(*([by] if by else []), "item", "axis", F.col("value").cast("double").alias("value"), F.pmod(F.xxhash64("item"), F.lit(count)).cast("int").alias("own"))
-    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+    own = counted.select(*([by] if by else []), "item", "axis", F.col("value").cast("double").alias("value"), F.pmod(F.xxhash64("item"), "blocks").cast("int").alias("own"), "blocks")
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
     ordered = sent.repartition(*keys).sortWithinPartitions(*keys, "axis")
     out = [*([by] if by else []), "a", "b", "m", "ta", "tb", "qa", "qb"]
     types = {f.name: f.dataType for f in ordered.schema}
-    from pyspark.sql.pandas.types import to_arrow_type
-
     item_type, by_type = to_arrow_type(types["item"]), to_arrow_type(types[by]) if by else None
 
     def done(sums: _Sums) -> Iterator[pa.RecordBatch]:
