@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamspark.session import saved
+
 #: Items of a block, about: a task holds one sum for each pair of two blocks' items. Axes that are multiplied at once.
 BLOCK = 1024
 _AXES = 512
@@ -81,7 +83,7 @@ def pair_sums(cells: DataFrame, kind: str, by: str | None = None) -> DataFrame:
     """``a, b, m, ta, tb, qa, qb`` (and ``by``) of all pairs of items a < b of ``cells(item, axis, value)``, within each group ``by`` if given.
 
     m is the sum of products (``kind`` dot) or of the smaller values (min) over the axes that both have; t and q are an item's own sum and sum of squares. An item needs one cell to be there, which may be 0. Cells go to every
-    pair of blocks that theirs is in, so the table is sent as often as there are blocks; a task streams its cells by axis and holds a square of sums.
+    pair of blocks that theirs is in, so the table is sent as often as there are blocks; a task streams its cells by axis and holds a square of sums. The sums are saved as a table when this is called, since what reads them often reads them twice.
     """
     if kind not in ("dot", "min"):
         raise ValueError(kind)
@@ -122,4 +124,4 @@ def pair_sums(cells: DataFrame, kind: str, by: str | None = None) -> DataFrame:
             yield from done(sums)
 
     group = f"{by} {kinds[by]}, " if by else ""
-    return ordered.mapInArrow(add_up, f"{group}a {kinds['item']}, b {kinds['item']}, m double, ta double, tb double, qa double, qb double")
+    return saved(ordered.mapInArrow(add_up, f"{group}a {kinds['item']}, b {kinds['item']}, m double, ta double, tb double, qa double, qb double"), "pairs")
