@@ -9,18 +9,24 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamspark.functions import dna
 from loamspark.functions.frames import sql
+from loamspark.session import saved
 from loamspark.sources.fastq_files import read_fastq
 
-#: K-mers of a piece that a sequence is cut into.
+#: K-mers of a piece that a sequence is cut into. Rows of a batch of k-mers, at most, and k-mers hashed at once.
 PIECE = 256
+ROWS = 65536
+CACHED = 16384
 
 
 def spread(sequences: DataFrame) -> DataFrame:
@@ -47,9 +53,61 @@ def windows(sequences: DataFrame, k: int, bases: str = "ACGT") -> DataFrame:
     return at.where(F.col("clean") | dna.valid(kmer, bases)).select("id", (F.col("at") + F.col("i")).alias("pos"), kmer.alias("kmer"), back.alias("back"))
 
 
-def hashes(sequences: DataFrame, k: int, bases: str = "ACGT") -> DataFrame:
-    """``id, pos, hash`` of every valid canonical k-mer."""
-    return windows(sequences, k, bases).select("id", "pos", dna.hash_hex(F.least("kmer", "back")).alias("hash"))
+def hashes(sequences: DataFrame, k: int, bases: str = "ACGT", scale: float = 1.0) -> DataFrame:
+    """``id, pos, hash`` of every valid canonical k-mer; with a scale, only of those whose hash is under its limit, so that a sketch's other k-mers never leave their task.
+
+    K-mers of A, C, G and T up to k = 31 are hashed in Arrow batches, many at once; others by Spark's own functions.
+    """
+    limit = dna.below(scale)
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    if bases != "ACGT" or k > 31:
+        rows = windows(sequences, k, bases).select("id", "pos", dna.hash_hex(F.least("kmer", "back")).alias("hash"))
+        return rows if scale == 1 else rows.where(F.col("hash") < limit)
+    under = np.uint64(min(int(limit, 16), 2**64 - 1))
+
+    def found(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, codes = dna.canonical_codes(raw, k)
+        numbers = dna.md5_numbers(codes, k)
+        kept = np.flatnonzero(numbers < under) if scale != 1 else slice(None)
+        return at[kept], numbers[kept]
+
+    def digits(numbers: np.ndarray) -> pa.Array:
+        ends = np.arange(0, 16 * len(numbers) + 1, 16, dtype=np.int32)
+        return pa.StringArray.from_buffers(len(numbers), pa.py_buffer(ends), pa.py_buffer(dna.hex_digits(numbers)))
+
+    return _at_places(sequences, k, found, digits, "hash string")
+
+
+def _at_places(sequences: DataFrame, n: int, found: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], column: Callable[[np.ndarray], pa.Array], field: str) -> DataFrame:
+    """``id, pos`` and a column of what ``found`` tells of the windows of n letters, given upper-case texts in ASCII: their places and a number for each.
+
+    Sequences are put together, apart by a byte that ASCII does not have, and given in parts that stay in the processor's cache, whatever the length of one.
+    """
+    kind, name = sequences.schema["id"].dataType.simpleString(), field.split()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, texts, size = 0, [], 0
+            for i, text in enumerate(batch.column(1)):
+                texts.append((text.as_py() or "").encode("ascii", "replace"))  # a letter beyond ASCII is one place and no base
+                size += len(texts[-1])
+                if size >= ROWS or i + 1 == batch.num_rows:
+                    yield from together(batch.column(0), first, texts)
+                    first, texts, size = i + 1, [], 0
+
+    def together(ids: pa.Array, first: int, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        raw = np.frombuffer(b"\xff".join(texts), np.uint8)
+        starts, last = np.cumsum([0, *[len(t) + 1 for t in texts]]), len(raw) - n + 1
+        for begin in range(0, last, ROWS):
+            end = min(begin + ROWS, last)
+            parts = [(at, *found(raw[at : min(at + CACHED, end) + n - 1])) for at in range(begin, end, CACHED)]
+            place, number = np.concatenate([at + x for at, x, _ in parts]), np.concatenate([y for _, _, y in parts])
+            if len(place):
+                row = np.searchsorted(starts, place, side="right") - 1
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + row)), pa.array((place - starts[row]).astype(np.int32)), column(number)], ["id", "pos", name])
+
+    return spread(sequences.select("id", "sequence")).select("id", F.upper("sequence").alias("sequence")).mapInArrow(run, f"id {kind}, pos int, {field}")
 
 
 def mixed_hashes(sequences: DataFrame, k: int) -> DataFrame:
@@ -71,9 +129,32 @@ def sketch(table: DataFrame, scale: float) -> DataFrame:
     return table.where(F.col("hash") < dna.below(scale)).select("id", "hash").distinct()
 
 
-def containment(a: DataFrame, b: DataFrame, distinct: bool = True) -> DataFrame:
-    """``a, b, shared, containment, jaccard`` of all pairs that share a hash; over positions of a instead of distinct hashes if not ``distinct``."""
+#: Distinct hashes that are broadcast at most.
+BROADCAST = 500_000
+
+
+def met(table: DataFrame, reads: DataFrame) -> DataFrame:
+    """The rows of a k-mer table whose hash some read has, the only ones that a search of these reads meets: of a large table the others never leave their task.
+
+    The reads' hashes are counted before they are broadcast; more than ``BROADCAST`` are joined as Spark chooses.
+    """
+    wanted = saved(reads.select("hash").distinct(), "wanted")
+    return table.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "hash", "left_semi").select(table.columns)
+
+
+def containment(a: DataFrame, b: DataFrame, distinct: bool = True, jaccard: bool = True) -> DataFrame:
+    """``a, b, shared, containment, jaccard`` of all pairs that share a hash; over positions of a instead of distinct hashes if not ``distinct``.
+
+    Without ``jaccard``, b's own hashes are not counted, so those that a does not have are left out before they are shuffled.
+    """
     x = a.select("id", "hash").distinct() if distinct else a.select("id", "hash")
+    if not jaccard:
+        x = saved(x, "hashes")
+        return sql(
+            """WITH n AS (SELECT id, count(*) AS n FROM {x} GROUP BY id), o AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM {x} x JOIN {y} y ON y.hash = x.hash GROUP BY ALL)
+               SELECT o.a, o.b, o.shared, o.shared / n.n AS containment FROM o JOIN n ON n.id = o.a""",
+            x=x, y=met(b, x).select("id", "hash").distinct(),
+        )
     return sql(
         """WITH n AS (SELECT id, count(*) AS n FROM {x} GROUP BY id), m AS (SELECT id, count(*) AS m FROM {y} GROUP BY id),
                 o AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM {x} x JOIN {y} y ON y.hash = x.hash GROUP BY ALL)
@@ -279,14 +360,19 @@ IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG"
 
 def primer_hits(sequences: DataFrame, primer: str, mismatches: int = 0) -> DataFrame:
     """``id, pos, mismatches`` of every window that the primer fits, by IUPAC codes, with at most so many mismatches."""
-    n = len(primer)
-    rows = sequences.select("id", F.upper("sequence").alias("s"))
-    cut = rows.select("id", "s", F.explode(F.when(F.length("s") >= n, F.sequence(F.lit(0), F.length("s") - n, F.lit(PIECE)))).alias("at"))
-    pieces = cut.select("id", "at", F.substring(F.col("s"), F.col("at") + 1, F.lit(PIECE + n - 1)).alias("piece"))
-    at = pieces.select("id", "at", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - n)).alias("i"))
-    window = at.select("id", (F.col("at") + F.col("i")).alias("pos"), F.substring(F.col("piece"), F.col("i") + 1, F.lit(n)).alias("w"))
-    missed = sum((F.when(F.substring("w", i + 1, 1).isin(*IUPAC[c]), 0).otherwise(1) for i, c in enumerate(primer.upper())), F.lit(0))
-    return window.withColumn("mismatches", missed).where(F.col("mismatches") <= mismatches).select("id", "pos", "mismatches")
+    n, fits = len(primer), np.zeros((len(primer), 256), bool)
+    for i, c in enumerate(primer.upper()):
+        fits[i, np.frombuffer(IUPAC[c].encode(), np.uint8)] = True
+
+    def found(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        last, apart = len(raw) - n + 1, np.concatenate([[0], np.cumsum(raw == 255, dtype=np.int32)])
+        missed = np.zeros(last, np.int32)
+        for i in range(n):
+            missed += ~fits[i][raw[i : i + last]]
+        at = np.flatnonzero((missed <= mismatches) & (apart[n:] == apart[:-n]))
+        return at, missed[at]
+
+    return _at_places(sequences, n, found, pa.array, "mismatches int")
 
 
 def amplicons(sequences: DataFrame, forward: str, reverse: str, mismatches: int = 2, shortest: int = 50, longest: int = 2000) -> DataFrame:

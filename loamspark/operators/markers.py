@@ -30,14 +30,15 @@ class Index:
     fine_ks: tuple[int, ...] = (21,)
 
 
-def _keyed(rows: DataFrame, k: int, *keys: str) -> DataFrame:
-    """Distinct hashes of ``sequence`` beside its keys."""
-    named = rows.select(F.struct(*keys).alias("id"), "sequence")
-    return km.hashes(named, k).select(*[F.col(f"id.{c}").alias(c) for c in keys], "hash").distinct()
+def _keyed(rows: DataFrame, k: int, *keys: str, scale: float = 1.0, reads: DataFrame | None = None) -> DataFrame:
+    """Distinct hashes of ``sequence`` beside its keys; with reads, only those that they have."""
+    found = km.hashes(rows.select(F.struct(*keys).alias("id"), "sequence"), k, scale=scale)
+    found = found if reads is None else km.met(found, km.hashes(reads, k, scale=scale))
+    return found.select(*[F.col(f"id.{c}").alias(c) for c in keys], "hash").distinct()
 
 
-def build(refs: DataFrame, primers: DataFrame, k: int = 21, primer_k: int = 15, scale: float | None = None) -> Index:
-    """The index of references and ``primers(marker, sequence)``.
+def build(refs: DataFrame, primers: DataFrame, k: int = 21, primer_k: int = 15, scale: float | None = None, reads: DataFrame | None = None) -> Index:
+    """The index of references and ``primers(marker, sequence)``; with ``reads(id, sequence)``, the part of it that these reads meet, which classifies them alike.
 
     A reference shorter than k gives k-mers of its own length, 15 at least. Without a scale, one that suits the shortest reference is taken.
     """
@@ -45,11 +46,11 @@ def build(refs: DataFrame, primers: DataFrame, k: int = 21, primer_k: int = 15,
     sized = refs.where("sequence IS NOT NULL").withColumn("k", shortest)
     facts = sized.agg(F.min(F.length("sequence")).alias("shortest"), F.collect_set("k").alias("ks")).first()
     scale = scale or km.auto_scale(facts["shortest"] or 0, k)
-    coarse = _keyed(sized, k, "species").where(F.col("hash") < dna.below(scale))
+    coarse = _keyed(sized, k, "species", scale=scale, reads=reads)
     ks = tuple(sorted(facts["ks"])) or (k,)
     fine = None
     for n in ks:
-        part = _keyed(sized.where(F.col("k") == n), n, "species", "marker").select("species", "marker", F.lit(n).alias("k"), "hash")
+        part = _keyed(sized.where(F.col("k") == n), n, "species", "marker", reads=reads).select("species", "marker", F.lit(n).alias("k"), "hash")
         fine = part if fine is None else fine.unionAll(part)
     return Index(coarse, fine, _keyed(primers, primer_k, "marker"), scale, k, primer_k, ks)
 
