@@ -15,15 +15,16 @@ from loamspark.operators import summaries as su
 from loamspark.plans import fixtures as fx
 from loamspark.plans.catalog import query
 from loamspark.plans.fixtures import views
+from loamspark.session import saved
 
 # Marker classification: documents are the references of twelve species and three markers, benchmark items the reads and, by their beginnings, the primers.
 
 _SCALE = 0.05
 
 
-def marker_index(s: SparkSession, d: str) -> mk.Index:
+def marker_index(s: SparkSession, d: str, reads: DataFrame | None = None) -> mk.Index:
     refs = fx.seqs(s, d).selectExpr("id % 12 AS species", "id div 12 % 3 AS marker", "sequence").where(F.length("sequence") >= 21)
-    return mk.build(refs, fx.reads(s, d).selectExpr("id % 3 AS marker", "substring(sequence, 1, cast(15 + id % 60 AS INT)) AS sequence"), scale=_SCALE)
+    return mk.build(refs, fx.reads(s, d).selectExpr("id % 3 AS marker", "substring(sequence, 1, cast(15 + id % 60 AS INT)) AS sequence"), scale=_SCALE, reads=reads)
 
 
 def _windows(source: str, k: int) -> str:
@@ -46,7 +47,9 @@ hits AS (SELECT o.id, o.marker, o.species, o.containment FROM ok o LEFT JOIN det
 
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
-    return mk.classify(fx.reads(s, d), marker_index(s, d))
+    """The reads' hits, saved: the summary reads them three times."""
+    reads = fx.reads(s, d)
+    return saved(mk.classify(reads, marker_index(s, d, reads)), "hits")
 
 
 query("km_20_fine_index_sizes", f"{_MARKERS} SELECT species, marker, count(*) AS n FROM fk GROUP BY ALL")(lambda s, d: marker_index(s, d).fine.groupBy("species", "marker").agg(F.count("*").alias("n")))
