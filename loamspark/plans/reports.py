@@ -16,7 +16,7 @@ from loamspark.operators import network as nw
 from loamspark.operators import simulate as si
 from loamspark.operators import summaries as su
 from loamspark.plans import fixtures as fx
-from loamspark.plans.catalog import _pairs, _seqs_k, _steps, _unrolled, query
+from loamspark.plans.catalog import _pairs, _reads_k, _seqs_k, _steps, _unrolled, query
 from loamspark.plans.fixtures import views
 from loamspark.session import saved
 from loamspark.streaming import classify as sc
@@ -239,7 +239,8 @@ query(
 def _streamed(s: SparkSession, d: str) -> DataFrame:
     columns = fx.table(s, d, "benchmark").schema
     reads = s.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(f"{d}/benchmark.parquet*").select(F.col("item_id").alias("id"), dna.projected(F.col("text")).alias("sequence"))
-    index = saved(_seqs_k(s, d).join(fx.seqs(s, d).select("id", "species"), "id").select("species", "hash").distinct(), "index")
+    # The source is a table that is all there, so the index needs only the k-mers that its reads have.
+    index = saved(km.met(_seqs_k(s, d), _reads_k(s, d)).join(fx.seqs(s, d).select("id", "species"), "id").select("species", "hash").distinct(), "index")
     return sc.latest(sc.counts(reads, index), ["id", "species"], "hashes", s)
 
 
