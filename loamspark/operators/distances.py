@@ -5,13 +5,21 @@ Distances are rows ``(s1, s2, d)`` with s1 < s2; labels are ``(sample_id, grp)``
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loamspark.functions.frames import counts_below, sql
 from loamspark.operators.composition import permutations
+from loamspark.operators.pairs import BLOCK
 from loamspark.session import saved
 
 
+#: Meetings of a feature's samples that a task holds at once, about.
+MEETINGS = 1 << 20
+
+
 def bray_curtis(table: DataFrame) -> DataFrame:
     """1 - 2 sum(min) / (sum + sum): only features that both samples have meet; pairs without any are 1, two empty samples null."""
     return sql(
@@ -24,15 +32,54 @@ def bray_curtis(table: DataFrame) -> DataFrame:
 
 
 def jaccard(table: DataFrame) -> DataFrame:
-    """1 - both / either over presences; two empty samples are 0 apart."""
-    return sql(
-        """WITH n AS (SELECT sample_id, count_if(value > 0) AS t FROM {t} GROUP BY sample_id),
-                p AS (SELECT feature_id, sample_id FROM {t} WHERE value > 0),
-                o AS (SELECT x.sample_id AS s1, y.sample_id AS s2, count(*) AS m FROM p x JOIN p y ON x.feature_id = y.feature_id AND x.sample_id < y.sample_id GROUP BY ALL)
-           SELECT a.sample_id AS s1, b.sample_id AS s2, coalesce(1 - coalesce(o.m, 0) / nullif(a.t + b.t - coalesce(o.m, 0), 0), 0D) AS d
-           FROM n a JOIN n b ON a.sample_id < b.sample_id LEFT JOIN o ON o.s1 = a.sample_id AND o.s2 = b.sample_id""",
-        t=table,
-    )
+    """1 - both / either over presences; two empty samples are 0 apart.
+
+    A sample is one list of its features, and each pair of blocks of samples is a group whose distances are counted in arrays: no row is made for a feature that two samples share, and nothing but the lists is
+    shuffled. The numbers are whole, so their order does not matter. The result itself has a row for every pair.
+    """
+    present = F.collect_list(F.when(F.col("value") > 0, F.col("feature_id")))
+    lists = saved(table.where("sample_id IS NOT NULL").groupBy("sample_id").agg(present.alias("features")), "presences")
+    blocks = max(1, -(-lists.count() // BLOCK))
+    own = lists.withColumn("own", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+    kind = {f.name: f.dataType.simpleString() for f in lists.schema}["sample_id"]
+    return sent.groupBy("i", "j").applyInArrow(_jaccard, f"s1 {kind}, s2 {kind}, d double")
+
+
+def _jaccard(block: pa.Table) -> pa.Table:
+    """The distances within one block of samples, or between two."""
+    block = block.combine_chunks()
+    ids, lists, own = (block.column(c).chunk(0) for c in ("sample_id", "features", "own"))
+    sizes = np.diff(lists.offsets.to_numpy())
+    code = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    sample, second = np.repeat(np.arange(len(sizes)), sizes), own.to_numpy() != own.to_numpy().min()
+    left, right = np.flatnonzero(~second), np.flatnonzero(second if second.any() else ~second)
+    place = np.zeros(len(sizes), np.int64)
+    place[right] = np.arange(len(right))
+    columns = np.flatnonzero(np.isin(sample, right))
+    columns = columns[np.argsort(code[columns], kind="stable")]
+    many = np.bincount(code[columns], minlength=int(code.max(initial=-1)) + 1)
+    begin = np.cumsum(many) - many
+    place[left], of = np.arange(len(left)), place[sample[columns]]
+    rows = np.flatnonzero(~second[sample])
+    both = np.zeros(len(left) * len(right), np.int64)
+    # Each feature of a left sample meets the right samples that have it, about so many meetings at once.
+    ends = np.cumsum(many[code[rows]])
+    for part in np.split(rows, np.searchsorted(ends, np.arange(MEETINGS, ends[-1], MEETINGS))) if len(rows) else []:
+        n = many[code[part]]
+        meets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[code[part]], n)
+        both += np.bincount(np.repeat(place[sample[part]], n) * len(right) + of[meets], minlength=len(both))
+    if second.any():
+        r, c = (x.reshape(-1) for x in np.indices((len(left), len(right))))
+    else:
+        r, c = np.triu_indices(len(left), 1)
+    m, x, y = both[r * len(right) + c], left[r], right[c]
+    either = sizes[x] + sizes[y] - m
+    rank = np.empty(len(sizes), np.int64)
+    rank[np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(sizes))
+    first, last = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
+    d = np.where(either > 0, 1 - m / np.maximum(either, 1), 0.0)
+    return pa.Table.from_arrays([ids.take(pa.array(first)), ids.take(pa.array(last)), pa.array(d)], ["s1", "s2", "d"])
 
 
 def _checked(distances: DataFrame, labels: DataFrame) -> DataFrame:

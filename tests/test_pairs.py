@@ -43,3 +43,18 @@ def test_no_products_in_plans(spark):
     empty = spark.createDataFrame([("f", "s", 0.0), ("f", "t", 0.0)], "feature_id string, sample_id string, value double")
     assert [r.d for r in ds.bray_curtis(empty).collect()] == [None] and [r.d for r in ds.jaccard(empty).collect()] == [0.0]
     assert ds.bray_curtis(empty.limit(0)).collect() == [] and nw.phi(empty).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_jaccard_by_blocks_makes_no_row_for_a_shared_feature(spark, monkeypatch, kind):
+    monkeypatch.setattr(ds, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    name = (lambda x: x) if kind == "int" else (lambda x: f"é{x}")
+    # A feature that all have, samples without any, and zeros.
+    own = {s: {f for f in range(1, 40) if rng.random() < 0.2} | {0} for s in range(30)} | {30: set(), 31: set()}
+    rows = [(name(f), name(s), 1.5) for s, x in own.items() for f in x] + [(name(99), name(s), 0.0) for s in own]
+    got = ds.jaccard(spark.createDataFrame(rows, f"feature_id {kind}, sample_id {kind}, value double"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {tuple(sorted((name(a), name(b)))): 1 - len(own[a] & own[b]) / len(own[a] | own[b]) if own[a] | own[b] else 0.0 for a in own for b in own if a < b}
+    found = got.collect()
+    assert len(found) == len(want) and {(r.s1, r.s2): r.d for r in found} == pytest.approx(want)
