@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from loamspark.functions import special
 from loamspark.functions.frames import sql
+from loamspark.session import saved
 
 
 #: A parameter table of more rows is joined without a broadcast.
@@ -93,6 +94,11 @@ def profiles(candidates: DataFrame, least: float = 0.05) -> DataFrame:
     return rows.select("profile", "reads", "x.strain", "x.gene", "x.c").repartition("profile")
 
 
+def saved_profiles(candidates: DataFrame, least: float = 0.05) -> DataFrame:
+    """``profiles`` as a saved table: they are few, and every plan over them would otherwise group all reads again."""
+    return saved(profiles(candidates, least), "profiles")
+
+
 def _shares(rows: DataFrame, params: DataFrame, pools: DataFrame) -> DataFrame:
     """Every candidate row of every run with ``own``, its strain's likelihood, ``pool``, the mobile one's, and the strain's and the profile's numbers of rows.
 
@@ -312,7 +318,7 @@ def cells(rows: DataFrame) -> pd.DataFrame:
 
 
 def fit_runs(rows: DataFrame, runs: list[Run], use: Settings | None = None, reference: pd.DataFrame | None = None) -> Fit:
-    """All runs over cached ``profiles`` until each has converged, which is asked before each update, or ``max_iter`` steps are done.
+    """All runs over saved ``profiles`` until each has converged, which is asked before each update, or ``max_iter`` steps are done.
 
     A run stops changing once converged; ``converged`` tells which did. Without candidates a run has no likelihood (minus infinity), an infinite BIC and has not converged.
     """
@@ -404,14 +410,12 @@ def fit(candidates: DataFrame, n: int = RESTARTS, use: Settings | None = None, r
     """
     use = use or Settings()
     spark = candidates.sparkSession
-    rows = profiles(candidates, use.least).cache()
+    rows = saved_profiles(candidates, use.least)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"strain {kinds['strain']}, gene {kinds['gene']}, pi double, phi double, lo double, hi double, phi_lo double, phi_hi double, mobile double, ll double, bic double, converged boolean"
     if strains and genes and rows.isEmpty():
-        rows.unpersist()
         return spark.createDataFrame(even_profile(strains, genes, use.mobile).itertuples(index=False, name=None), schema)
     done = fit_runs(rows, restarts(n), use, reference)
-    rows.unpersist()
     best = done.best
     own = presence(done.params[done.params["run"] == best])
     count, pi = done.reads[best], own["pi"].to_numpy(float)
@@ -429,10 +433,9 @@ def fit(candidates: DataFrame, n: int = RESTARTS, use: Settings | None = None, r
 def select_strains(candidates: DataFrame, use: Settings | None = None, most: int | None = None, n: int = RESTARTS) -> DataFrame:
     """``k, ll, bic, chosen, converged``: the best restart with the k strains with most containment, for every k, fitted at once; the smallest BIC is chosen."""
     use = use or Settings()
-    rows = profiles(candidates, use.least).cache()
+    rows = saved_profiles(candidates, use.least)
     order = [r["strain"] for r in rows.groupBy("strain").agg(F.sum(F.col("reads") * F.col("c")).alias("x")).orderBy(F.desc("x"), "strain").collect()][:most]
     done = fit_runs(rows, [r for k in range(1, len(order) + 1) for r in restarts(n, of=Run(str(k), tuple(order[:k])))], use)
-    rows.unpersist()
     best = {k: done.best_of(str(k)) for k in range(1, len(order) + 1)}
     least = min((done.bic[b] for b in best.values()), default=math.inf)
     out = [(k, done.ll[b], done.bic[b], done.bic[b] == least, done.converged[b]) for k, b in best.items()]
@@ -442,9 +445,8 @@ def select_strains(candidates: DataFrame, use: Settings | None = None, most: int
 def ablate(candidates: DataFrame, use: Settings | None = None, reference: pd.DataFrame | None = None, n: int = RESTARTS) -> DataFrame:
     """``run, strain, gene, pi, phi, converged`` of the joint fit, of one with phi fixed, and of one with even weights, each the best of its restarts."""
     use = use or Settings()
-    rows = profiles(candidates, use.least).cache()
+    rows = saved_profiles(candidates, use.least)
     done = fit_runs(rows, [r for run in ABLATIONS for r in restarts(n, of=run)], use, reference)
-    rows.unpersist()
     best = {done.best_of(run.name): run.name for run in ABLATIONS}
     own = done.params[done.params["run"].isin(best)]
     params, _ = tables(rows, presence(own.assign(run=own["run"].map(best))), done.mobile, 0)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loamspark.functions import special
 from loamspark.functions.frames import sql
+from loamspark.session import saved
 
 # Species with status, mitochondrial copies and DNA yield, and markers with their primers.
 SPECIES = [
@@ -252,8 +253,10 @@ def fit(
     """Parameters, log-likelihood and iterations of the run with the largest log-likelihood, the first of equal ones.
 
     The first run begins from ``start`` or equal weights, the others at random. With one marker, d is fixed to ``mito(species, mito_cn)`` over its geometric mean.
+    Reads are grouped to profiles once, which are saved; what reads them would otherwise group all reads again.
     """
     spark = candidates.sparkSession
+    candidates = candidates if "reads" in candidates.columns else saved(profiles(candidates), "profiles")
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
     even = (start if start is not None else uniform(candidates)).select("species", "marker", "w", "d", "b").toPandas()
     if even.empty:

@@ -115,7 +115,7 @@ SELECT run, arg_max(rate, ll) AS rate, max(ll) AS ll FROM (SELECT run, rate, sum
 
 
 def _fitted_rates(s: SparkSession, d: str) -> DataFrame:
-    cand = fx.cand(s, d)
+    cand = saved(mx.profiles(fx.cand(s, d)), "candidates")
     lengths = s.sql("SELECT s.id AS species, m.id AS marker, 100 + 20 * s.id + 50 * m.id AS length FROM range(6) s CROSS JOIN range(3) m")
     runs = cand.select("species", "marker").distinct().select(F.explode(F.array(F.lit(0), F.lit(1))).alias("run"), "species", "marker")
     params = runs.select("run", "species", "marker", F.when(F.col("run") == 0, 1 / 6).otherwise((F.col("species") + 1) / 21).alias("w"), F.lit(1.0).alias("d"), F.lit(1.0).alias("b"))
@@ -135,19 +135,19 @@ def joint_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _even_shares(s: SparkSession, d: str) -> DataFrame:
-    rows = jt.profiles(joint_candidates(s, d))
+    rows = jt.saved_profiles(joint_candidates(s, d))
     params, mobile = jt.start(jt.cells(rows), [jt.Run("0")], jt.Settings())
     return jt.expected(rows, *jt.tables(rows, params, mobile, 2)).drop("run", "s")
 
 
 def _one_update(s: SparkSession, d: str) -> DataFrame:
-    rows = jt.profiles(joint_candidates(s, d))
+    rows = jt.saved_profiles(joint_candidates(s, d))
     done = jt.fit_runs(rows, [jt.Run("0")], jt.Settings(max_iter=1))
     return jt.tables(rows, done.params, done.mobile, 2)[0].select("strain", "gene", "pi", "phi", F.lit(done.mobile["0"]).alias("mobile"))
 
 
 def _assigned(s: SparkSession, d: str) -> DataFrame:
-    rows = jt.profiles(joint_candidates(s, d)).cache()
+    rows = jt.saved_profiles(joint_candidates(s, d))
     done = jt.fit_runs(rows, jt.restarts())
     assigned = jt.assign(rows, done, 2).groupBy("strain", "gene", "is_mobile").agg(F.sum("reads").alias("reads"), F.sum(F.col("reads") * F.col("posterior")).alias("posterior"))
     return assigned.withColumn("converged", F.lit(done.converged[done.best]))
@@ -200,7 +200,7 @@ _PARTS = "SELECT DISTINCT run, strain, run = 'function_only' AS fix_pi, run = 's
 
 
 def _steps(s: SparkSession, d: str, runs: list[jt.Run], steps: int) -> tuple[DataFrame, jt.Fit]:
-    rows = jt.profiles(joint_candidates(s, d))
+    rows = jt.saved_profiles(joint_candidates(s, d))
     return rows, jt.fit_runs(rows, runs, jt.Settings(max_iter=steps, tolerance=0.0))
 
 

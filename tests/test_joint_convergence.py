@@ -51,3 +51,28 @@ def test_results_tell_convergence(spark):
     assert all(r.pi == pytest.approx(1 / 3) for r in parts if r.run == "function_only")
     assert jt.select_strains(spark.createDataFrame([], CAND), short, n=2).count() == 0
     assert jt.ablate(spark.createDataFrame([], CAND), short, n=2).count() == 0
+
+
+def test_reads_are_grouped_once(spark, tmp_path):
+    """Every plan after the first reads saved profiles; before, each grouped all reads again, which on large tables shuffled them over and over."""
+    from pyspark.sql import functions as F
+
+    from loamspark.operators import joint as jt
+    from loamspark.operators import mixture as mx
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(60).select(F.col("id").alias("read_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("species"), (F.col("id") % 2).cast("int").alias("marker"), F.lit(0.9).alias("containment"))
+    once = rows.mapInArrow(counted, rows.schema)
+    mx.fit(once, max_iter=3)
+    assert seen.value == 120
+    seen.value = 0
+    profiles = jt.saved_profiles(once.selectExpr("read_id", "species AS strain", "marker AS gene", "containment"))
+    done = jt.fit_runs(profiles, [jt.Run("0")], jt.Settings(max_iter=3))
+    assert jt.assign(profiles, done, 2).agg(F.sum("reads")).first()[0] == 60
+    assert seen.value == 120
