@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from loamspark.functions.frames import counts_below, sql
 from loamspark.operators.composition import permutations
-from loamspark.operators.pairs import BLOCK
 from loamspark.session import saved
 
 
+#: Samples of a block, about: lists are sent as often as there are blocks, and a task holds one number for each pair of two blocks' samples.
+BLOCK = 2048
 #: Meetings of a feature's samples that a task holds at once, about.
 MEETINGS = 1 << 20
 
@@ -62,18 +63,20 @@ def _jaccard(block: pa.Table) -> pa.Table:
     begin = np.cumsum(many) - many
     place[left], of = np.arange(len(left)), place[sample[columns]]
     rows = np.flatnonzero(~second[sample])
-    both = np.zeros(len(left) * len(right), np.int64)
+    both = np.zeros(len(left) * len(right), np.int32)
     # Each feature of a left sample meets the right samples that have it, about so many meetings at once.
     ends = np.cumsum(many[code[rows]])
     for part in np.split(rows, np.searchsorted(ends, np.arange(MEETINGS, ends[-1], MEETINGS))) if len(rows) else []:
         n = many[code[part]]
         meets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[code[part]], n)
-        both += np.bincount(np.repeat(place[sample[part]], n) * len(right) + of[meets], minlength=len(both))
+        at, times = np.unique(np.repeat(place[sample[part]], n) * len(right) + of[meets], return_counts=True)
+        both[at] += times.astype(np.int32)
     if second.any():
-        r, c = (x.reshape(-1) for x in np.indices((len(left), len(right))))
+        r, c = (x.reshape(-1) for x in np.indices((len(left), len(right)), np.int32))
     else:
         r, c = np.triu_indices(len(left), 1)
-    m, x, y = both[r * len(right) + c], left[r], right[c]
+    m, x, y = (both if second.any() else both.reshape(len(left), -1)[r, c]), left.astype(np.int32)[r], right.astype(np.int32)[c]
+    del r, c
     either = sizes[x] + sizes[y] - m
     rank = np.empty(len(sizes), np.int64)
     rank[np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(sizes))
