@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from loamspark.functions.frames import sql
 
+#: Reads that a task holds at once.
+HELD = 10_000
+
 
 def reads(sequences: DataFrame, each: int, length: int = 150, error: float = 0.001, seed: int = 42) -> DataFrame:
     """``read_id, id, start, sequence, errors``: ``each`` reads from random places of every sequence, bases replaced at the error rate."""
@@ -18,6 +21,7 @@ def reads(sequences: DataFrame, each: int, length: int = 150, error: float = 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bases = np.frombuffer(b"ACGT", np.uint8)
+        frame = lambda out: pd.DataFrame(out, columns=["read_id", "id", "start", "sequence", "errors"])
         for pdf in batches:
             out = []
             for i, s in zip(pdf["id"], pdf["sequence"], strict=True):
@@ -30,7 +34,11 @@ def reads(sequences: DataFrame, each: int, length: int = 150, error: float = 0.0
                     code = np.searchsorted(bases, read[hit])
                     read[hit] = bases[(code + rng.integers(1, 4, int(hit.sum()))) % 4]
                     out.append((f"{i}_{r}", i, int(at), read.tobytes().decode(), int(hit.sum())))
-            yield pd.DataFrame(out, columns=["read_id", "id", "start", "sequence", "errors"])
+                    # A batch of sequences has `each` times as many reads, which are not all held at once.
+                    if len(out) >= HELD:
+                        yield frame(out)
+                        out = []
+            yield frame(out)
 
     return sequences.select("id", "sequence").mapInPandas(run, f"read_id string, id {kind}, start long, sequence string, errors long")
 

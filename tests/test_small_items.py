@@ -23,3 +23,12 @@ def test_genes_in_the_order_of_the_annotation(spark):
     table = spark.createDataFrame([("s", 50, "h")], "id string, pos int, hash string")
     genes = spark.createDataFrame([("s", 0, 100, "early", 2), ("s", 40, 60, "first", 1)], "id string, start int, end int, gene string, line int")
     assert km.genes_at(table, genes).first().gene == "early" and km.genes_at(table, genes, order="line").first().gene == "first"
+
+
+def test_simulated_reads_leave_their_task_in_parts(spark, monkeypatch):
+    from loamspark.operators import simulate as si
+
+    rows = spark.createDataFrame([(i, "ACGTTGCA" * 30) for i in range(4)], "id int, sequence string").coalesce(1)
+    want = sorted(map(tuple, si.reads(rows, 25, 50, 0.1).collect()))
+    monkeypatch.setattr(si, "HELD", 10)
+    assert len(want) == 100 and sorted(map(tuple, si.reads(rows, 25, 50, 0.1).collect())) == want
