@@ -7,6 +7,7 @@ small one broadcast by Spark's own choice.
 from __future__ import annotations
 
 import json
+import math
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,6 +28,8 @@ from loamspark.sources.fastq_files import read_fastq
 PIECE = 256
 ROWS = 65536
 CACHED = 16384
+#: K-mers that a task sorts at once, and those of a bucket of ``distinct_counts``, about, at most.
+SORTED = 1 << 22
 
 
 def spread(sequences: DataFrame) -> DataFrame:
@@ -163,6 +166,68 @@ def containment(a: DataFrame, b: DataFrame, distinct: bool = True, jaccard: bool
     )
 
 
+def distinct_counts(sequences: DataFrame, k: int, letters: int, *keys: str) -> DataFrame:
+    """``keys..., n``: the distinct canonical k-mers of A, C, G and T of the sequences of each key; k at most 31, ``letters`` about all of the sequences'.
+
+    A k-mer is its code of two bits a base, multiplied by an odd number within those bits, which no two share, so its first bits spread codes over buckets. A
+    task sorts many at once and sends those of a key and bucket as one row, without the first bits; a bucket's are sorted again. No k-mer is a row of its own.
+    """
+    if not 1 <= k <= 31:
+        raise ValueError("k must be from 1 to 31")
+    bits = min(2 * k, max(6, math.ceil(math.log2(max(letters, 1) / SORTED))))
+    low, width = 2 * k - bits, max(1, -(-(2 * k - bits) // 8))
+    kinds = ", ".join(f"{c} {sequences.schema[c].dataType.simpleString()}" for c in keys)
+
+    def rows(held: dict[tuple, list[np.ndarray]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for key, parts in held.items():
+            codes = np.concatenate(parts).astype("<u8")
+            codes *= np.uint64(0x9E3779B97F4A7C15)
+            codes &= np.uint64((1 << 2 * k) - 1)
+            codes.sort()
+            codes = codes[np.r_[True, codes[1:] != codes[:-1]]]
+            buckets = (codes >> np.uint64(low)).astype(np.int32)
+            starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+            codes &= np.uint64((1 << low) - 1)
+            ends = (np.r_[starts, len(codes)] * width).astype(np.int32)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(codes.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())])
+            own = [pa.array([x], schema.field(c).type).take(pa.array(np.zeros(len(starts), np.int32))) for c, x in zip(keys, key, strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(buckets[starts]), packed], [*keys, "bucket", "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, schema = {}, 0, None
+        for batch in batches:
+            texts, schema = {}, batch.schema
+            for *key, text in zip(*(batch.column(c).to_pylist() for c in (*keys, "sequence")), strict=True):
+                texts.setdefault(tuple(key), []).append((text or "").encode("ascii", "replace"))
+            for key, own in texts.items():
+                raw = np.frombuffer(b"\xff".join(own), np.uint8)
+                for at in range(0, len(raw) - k + 1, CACHED):
+                    codes = dna.canonical_codes(raw[at : at + CACHED + k - 1], k)[1]
+                    if len(codes):
+                        held.setdefault(key, []).append(codes)
+                        size += len(codes)
+                    if size >= SORTED:
+                        yield from rows(held, schema)
+                        held, size = {}, 0
+        yield from rows(held, schema)
+
+    def counted(bucket: pa.Table) -> pa.Table:
+        own: dict[tuple, list[bytes]] = {}
+        for *key, packed in zip(*(bucket[c].to_pylist() for c in (*keys, "codes")), strict=True):
+            own.setdefault(tuple(key), []).append(packed)
+        n = []
+        for parts in own.values():
+            raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
+            codes = np.zeros((len(raw), 8), np.uint8)
+            codes[:, :width] = raw
+            codes = np.sort(codes.view("<u8").ravel())
+            n.append(1 + int(np.count_nonzero(codes[1:] != codes[:-1])))
+        return pa.table([*(pa.array([key[i] for key in own], bucket.schema.field(c).type) for i, c in enumerate(keys)), pa.array(n, pa.int64())], [*keys, "n"])
+
+    packed = spread(sequences.select(*keys, "sequence")).select(*keys, F.upper("sequence").alias("sequence")).mapInArrow(run, f"{kinds}, bucket int, codes binary")
+    return packed.groupBy("bucket").applyInArrow(counted, f"{kinds}, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def merge(sketches: DataFrame) -> DataFrame:
     return sketches.select("hash").distinct()
 

@@ -8,6 +8,7 @@ integers; their order settles ties.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from loamspark.functions import dna
 from loamspark.functions.frames import sql
 from loamspark.operators import kmers as km
+from loamspark.session import saved
 
 
 @dataclass(frozen=True)
@@ -37,13 +39,26 @@ def _keyed(rows: DataFrame, k: int, *keys: str, scale: float = 1.0, reads: DataF
     return found.select(*[F.col(f"id.{c}").alias(c) for c in keys], "hash").distinct()
 
 
+def _sized(refs: DataFrame, k: int, primer_k: int) -> DataFrame:
+    """References with their ``k``."""
+    shortest = F.when(F.length("sequence") < k, F.greatest(F.length("sequence"), F.lit(primer_k))).otherwise(k)
+    return refs.where("sequence IS NOT NULL").withColumn("k", shortest)
+
+
+def fine_sizes(refs: DataFrame, k: int = 21, primer_k: int = 15) -> DataFrame:
+    """``species, marker, n``: the rows of each in the fine index of these references, counted without hashing or making one."""
+    sized = saved(_sized(refs, k, primer_k), "references")
+    parts = [km.distinct_counts(sized.where(F.col("k") == r["k"]), r["k"], r["letters"], "species", "marker") for r in sized.groupBy("k").agg(F.sum(F.length("sequence")).alias("letters")).collect()]
+    counts = reduce(DataFrame.unionAll, parts) if parts else sized.selectExpr("species", "marker", "0L AS n")
+    return counts.groupBy("species", "marker").agg(F.sum("n").alias("n"))
+
+
 def build(refs: DataFrame, primers: DataFrame, k: int = 21, primer_k: int = 15, scale: float | None = None, reads: DataFrame | None = None) -> Index:
     """The index of references and ``primers(marker, sequence)``; with ``reads(id, sequence)``, the part of it that these reads meet, which classifies them alike.
 
     A reference shorter than k gives k-mers of its own length, 15 at least. Without a scale, one that suits the shortest reference is taken.
     """
-    shortest = F.when(F.length("sequence") < k, F.greatest(F.length("sequence"), F.lit(primer_k))).otherwise(k)
-    sized = refs.where("sequence IS NOT NULL").withColumn("k", shortest)
+    sized = _sized(refs, k, primer_k)
     facts = sized.agg(F.min(F.length("sequence")).alias("shortest"), F.collect_set("k").alias("ks")).first()
     scale = scale or km.auto_scale(facts["shortest"] or 0, k)
     coarse = _keyed(sized, k, "species", scale=scale, reads=reads)

@@ -22,9 +22,12 @@ from loamspark.session import saved
 _SCALE = 0.05
 
 
+def _refs(s: SparkSession, d: str) -> DataFrame:
+    return fx.seqs(s, d).selectExpr("id % 12 AS species", "id div 12 % 3 AS marker", "sequence").where(F.length("sequence") >= 21)
+
+
 def marker_index(s: SparkSession, d: str, reads: DataFrame | None = None) -> mk.Index:
-    refs = fx.seqs(s, d).selectExpr("id % 12 AS species", "id div 12 % 3 AS marker", "sequence").where(F.length("sequence") >= 21)
-    return mk.build(refs, fx.reads(s, d).selectExpr("id % 3 AS marker", "substring(sequence, 1, cast(15 + id % 60 AS INT)) AS sequence"), scale=_SCALE, reads=reads)
+    return mk.build(_refs(s, d), fx.reads(s, d).selectExpr("id % 3 AS marker", "substring(sequence, 1, cast(15 + id % 60 AS INT)) AS sequence"), scale=_SCALE, reads=reads)
 
 
 def _windows(source: str, k: int) -> str:
@@ -52,7 +55,7 @@ def _hits(s: SparkSession, d: str) -> DataFrame:
     return saved(mk.classify(reads, marker_index(s, d, reads)), "hits")
 
 
-query("km_20_fine_index_sizes", f"{_MARKERS} SELECT species, marker, count(*) AS n FROM fk GROUP BY ALL")(lambda s, d: marker_index(s, d).fine.groupBy("species", "marker").agg(F.count("*").alias("n")))
+query("km_20_fine_index_sizes", f"{_MARKERS} SELECT species, marker, count(*) AS n FROM fk GROUP BY ALL")(lambda s, d: mk.fine_sizes(_refs(s, d)))
 query("km_21_detect_marker", f"{_MARKERS} SELECT id, marker, score FROM det", "score")(lambda s, d: mk.detect_marker(fx.reads(s, d), marker_index(s, d)))
 query("km_22_classify_marker_reads", f"{_MARKERS} SELECT * FROM hits", "containment")(_hits)
 query(

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from loamspark.functions import dna
 from loamspark.operators import kmers as km
 from loamspark.operators import markers as mk
+from loamspark.plans import inference  # noqa: F401
+from loamspark.plans.catalog import QUERIES
 
 RNG = np.random.default_rng(5)
 
@@ -60,3 +62,21 @@ def test_a_part_of_a_marker_index_classifies_alike(spark):
     assert part.fine.count() < whole.fine.count() / 4 and part.coarse.count() < whole.coarse.count()
     want = sorted(map(tuple, mk.classify(reads, whole).collect()))
     assert want and sorted(map(tuple, mk.classify(reads, part).collect())) == want
+
+
+def test_fine_sizes_are_those_of_the_index_without_a_row_for_each_kmer(spark, monkeypatch):
+    monkeypatch.setattr(km, "SORTED", 700)
+    monkeypatch.setattr(km, "CACHED", 256)
+    texts = [_text(3000), None, "", "acgtn" * 9, _text(40) + "é" + _text(40), _text(14), _text(15), _text(20), _text(21), *[_text(60, "ACGTN") for _ in range(40)]]
+    refs = spark.createDataFrame([(i % 3 if i % 7 else None, i % 2, s) for i, s in enumerate([*texts, *texts[:3]])], "species long, marker int, sequence string").repartition(3)
+    want = mk.build(refs, refs.select("marker", "sequence"), scale=1.0).fine.groupBy("species", "marker").count()
+    got = mk.fine_sizes(refs)
+    assert got.dtypes == [("species", "bigint"), ("marker", "int"), ("n", "bigint")]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.withColumnRenamed("count", "n").collect()))
+    rows = spark.createDataFrame([(1, "ACGTACGTTT" * 5000)], "id int, sequence string")
+    assert [tuple(r) for k in (1, 2, 31) for r in km.distinct_counts(rows, k, 50_000, "id").collect()] == [(1, km.windows(rows, k).select(F.least("kmer", "back")).distinct().count()) for k in (1, 2, 31)]
+
+
+def test_fine_sizes_query_shuffles_no_row_for_each_kmer(spark, small):
+    plan = QUERIES["km_20_fine_index_sizes"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "codes" in plan and "hash string" not in plan and " hash#" not in plan
