@@ -104,11 +104,18 @@ def origins(spark: SparkSession, s: Scenario) -> DataFrame:
 
 
 def with_genes(reads: DataFrame, genes: DataFrame, length: int, bin_size: int = 1000) -> DataFrame:
-    """``read_id, strain, start, gene``: the first gene, by start, of its strain that a read overlaps; null without one. Both sides are dealt to bins, so the overlap join is an equi-join."""
+    """``read_id, strain, start, gene``: the first gene, by start, of its strain that a read overlaps; null without one.
+
+    Of the genes that end after a read's start, the first one is overlapped if it starts before the read's end, and else none is. So genes by their ends and reads by their
+    starts are put in one order, from the last to the first, and a read takes the smallest gene so far; no pair of a read and a gene is a row. A read is in the
+    bin of its start, a gene in every bin with starts of reads that overlap it, so that a long strain is dealt out.
+    """
     return sql(
-        """WITH r AS (SELECT *, explode(sequence(start div {w}, (start + {n} - 1) div {w})) AS bin FROM {r}),
-                g AS (SELECT *, explode(sequence(cast(start div {w} AS BIGINT), cast((`end` - 1) div {w} AS BIGINT))) AS bin FROM {g})
-           SELECT r.read_id, r.strain, r.start, min_by(g.gene, CASE WHEN g.gene IS NOT NULL THEN struct(g.start, g.gene) END) AS gene FROM r LEFT JOIN g ON g.strain = r.strain AND g.bin = r.bin AND r.start < g.`end` AND r.start + {n} > g.start GROUP BY ALL""",
+        """WITH a AS (SELECT strain, cast(floor(start / {w}) AS BIGINT) AS bin, cast(start AS BIGINT) AS at, read_id, start, NULL AS gene FROM {r}
+                      UNION ALL SELECT strain, explode(sequence(cast(floor((start - {n} + 1) / {w}) AS BIGINT), cast(floor((`end` - 1) / {w}) AS BIGINT))) AS bin, `end`, NULL, NULL, struct(start, gene)
+                      FROM {g} WHERE `end` > start - {n} + 1 AND strain IS NOT NULL AND gene IS NOT NULL),
+                f AS (SELECT *, min(gene) OVER (PARTITION BY strain, bin ORDER BY at DESC, gene NULLS FIRST ROWS UNBOUNDED PRECEDING) AS first FROM a)
+           SELECT read_id, strain, start, CASE WHEN first.start < start + {n} THEN first.gene END AS gene FROM f WHERE gene IS NULL GROUP BY strain, bin, read_id, start, first""",
         r=reads, g=genes, n=length, w=bin_size,
     )
 

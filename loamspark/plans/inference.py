@@ -253,8 +253,8 @@ _ORIGIN = "o AS (SELECT l_orderkey * 10 + l_linenumber AS read_id, doc_id AS str
 
 
 def _origins(s: SparkSession, d: str) -> DataFrame:
-    lines, docs = fx.table(s, d, "lineitem"), fx.seqs(s, d).where(F.length("sequence") >= 100)
-    return lines.join(docs, lines["l_suppkey"] == docs["id"]).selectExpr("l_orderkey * 10 + l_linenumber AS read_id", "id AS strain", "cast(l_partkey * 37 % length(sequence) AS INT) AS start")
+    lines, docs = fx.table(s, d, "lineitem"), fx.seqs(s, d).select("id", F.length("sequence").alias("size")).where("size >= 100")
+    return lines.join(docs, lines["l_suppkey"] == docs["id"]).selectExpr("l_orderkey * 10 + l_linenumber AS read_id", "id AS strain", "cast(l_partkey * 37 % size AS INT) AS start")
 
 
 def _places(s: SparkSession, d: str) -> DataFrame:

@@ -114,3 +114,16 @@ def test_no_division_by_zero(spark):
     assert found["t"] is None and found["u"] > 0
     one = spark.createDataFrame([("a", "s", 1.0), ("b", "s", 2.0)], "feature_id string, sample_id string, value double")
     assert [r.phi for r in nw.phi(one).collect()] == [None]
+
+
+def test_overlapped_genes_are_the_first_of_all_pairs_without_a_join(spark):
+    rng = np.random.default_rng(8)
+    reads = [(f"r{i:03d}", f"s{i % 3}", int(x)) for i, x in enumerate(rng.integers(0, 2500, 300))] + [("r000", "s0", 7), ("r000", "s0", 7), ("alone", "s9", 5), ("none", None, 5)]
+    genes = [(f"s{i % 3}", f"g{rng.integers(40)}", int(x), int(x + rng.choice([0, 1, 80, 3000]))) for i, x in enumerate(rng.integers(0, 2500, 40))] + [("s0", None, 0, 9000), (None, "g0", 0, 9000)]
+    made = spark.createDataFrame(reads, "read_id string, strain string, start int").repartition(3), spark.createDataFrame(genes, "strain string, gene string, start int, `end` int")
+    for length, bins in ((100, 1000), (100, 64), (1, 10)):
+        want = {(r, s, at, min([(x, g) for t, g, x, end in genes if t == s and t and g and at < end and at + length > x], default=(0, None))[1]) for r, s, at in reads}
+        got = st.with_genes(*made, length, bins)
+        assert got.dtypes == [("read_id", "string"), ("strain", "string"), ("start", "int"), ("gene", "string")]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and {g for *_, g in want} != {None}
+    assert "Join" not in st.with_genes(*made, 100)._jdf.queryExecution().executedPlan().toString()
