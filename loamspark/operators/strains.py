@@ -130,24 +130,54 @@ def fragments(reads: DataFrame, strains: DataFrame, length: int, piece: int = 40
     )
 
 
-def _flawed(raw: np.ndarray, rate: float, rng: np.random.Generator) -> tuple[bytes, bytes]:
-    """A read with errors and its qualities: of errors, 90 % replace, 5 % insert and 5 % delete; the rate runs from half of the mean to one and a half."""
-    n = len(raw)
-    at = rate * (0.5 + np.arange(n) / max(n - 1, 1)) if n > 1 else np.full(n, rate)
-    kind = np.where(rng.random(n) < at, 1 + np.searchsorted([0.9, 0.95], rng.random(n), side="right"), 0)
-    base = raw.copy()
+def _rates(n: int, rate: float) -> np.ndarray:
+    """The rate at each place of a read: from half of the mean to one and a half."""
+    return rate * (0.5 + np.arange(n) / max(n - 1, 1)) if n > 1 else np.full(n, rate)
+
+
+def _flawed(ids: list[str], texts: list[bytes], rate: float, seed: int) -> tuple[list[bytes], list[bytes]]:
+    """Reads with errors and their qualities: of errors, 90 % replace, 5 % insert and 5 % delete.
+
+    Each read's draws are from a generator of its own, as many as it needs and in the order of its steps; all else is done for all reads at once.
+    """
+    # The words that default_rng makes of [seed, *bytes], without a conversion of each.
+    head = np.array([seed >> at & 0xFFFFFFFF for at in range(0, max(seed.bit_length(), 1), 32)], np.uint32)
+    rngs = [np.random.Generator(np.random.PCG64(np.concatenate([head, np.frombuffer(i.encode(), np.uint8)], dtype=np.uint32))) for i in ids]
+    sizes = np.array([len(t) for t in texts])
+    known = {n: _rates(n, rate) for n in set(sizes.tolist())}
+    at, base = np.concatenate([known[n] for n in sizes.tolist()]), np.frombuffer(b"".join(texts), np.uint8).copy()
+    draws = [rng.random(2 * n) for rng, n in zip(rngs, sizes.tolist(), strict=True)]
+    u, v = np.concatenate([x[:n] for x, n in zip(draws, sizes, strict=True)]), np.concatenate([x[n:] for x, n in zip(draws, sizes, strict=True)])
+    kind, hit = np.zeros(len(base), np.int8), np.flatnonzero(u < at)
+    kind[hit] = 1 + np.searchsorted([0.9, 0.95], v[hit], side="right")
+    owner = np.searchsorted(np.cumsum(sizes), hit, side="right")
+    swaps, more, fewer = (np.bincount(owner[kind[hit] == k], minlength=len(ids)) for k in (1, 2, 3))
+    ends = np.cumsum(sizes + more - fewer)
+    noise, drop, other, new = np.empty(int(ends[-1])), np.zeros(int(ends[-1])), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for rng, replaced, added, first, end in zip(rngs, swaps.tolist(), more.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        if replaced:
+            other.append(rng.integers(1, 4, replaced))
+        if added:
+            new.append(rng.integers(0, 4, added))
+        rng.standard_normal(out=noise[first:end])
+        if replaced or added:
+            drop[first:end] = rng.uniform(5, 15, end - first)
     swap = kind == 1
-    base[swap] = _BASES[(np.searchsorted(_BASES, base[swap]) + rng.integers(1, 4, int(swap.sum()))) % 4]
+    base[swap] = _BASES[(np.searchsorted(_BASES, base[swap]) + np.concatenate(other)) % 4]
     # A place gives one base, two where one is inserted before it, none where it is deleted.
-    count = np.where(kind == 2, 2, np.where(kind == 3, 0, 1))
-    place = np.repeat(np.arange(n), count)
+    place = np.repeat(np.arange(len(base)), np.where(kind == 2, 2, np.where(kind == 3, 0, 1)))
     first = np.r_[True, place[1:] != place[:-1]] if len(place) else np.zeros(0, bool)
-    added = (kind[place] == 2) & first
+    made = (kind[place] == 2) & first
     out = base[place]
-    out[added] = _BASES[rng.integers(0, 4, int(added.sum()))]
-    wrong = added | (kind[place] == 1)
-    q = -10 * np.log10(np.maximum(at[place], 1e-9)) + rng.normal(0, 2.0, len(place)) - np.where(wrong, rng.uniform(5, 15, len(place)), 0.0)
-    return out.tobytes(), (np.clip(np.rint(q), 2, 41).astype(np.uint8) + 33).tobytes()
+    out[made] = _BASES[np.concatenate(new)]
+    q = -10 * np.log10(np.maximum(at[place], 1e-9)) + 2.0 * noise - np.where(made | (kind[place] == 1), drop, 0.0)
+    read, quality = out.tobytes(), (np.clip(np.rint(q), 2, 41).astype(np.uint8) + 33).tobytes()
+    spans = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    return [read[a:b] for a, b in spans], [quality[a:b] for a, b in spans]
+
+
+#: Bases of the reads that get their errors at once, about.
+_TOGETHER = 1 << 17
 
 
 def with_errors(reads: DataFrame, rate: float, seed: int = 42) -> DataFrame:
@@ -155,8 +185,14 @@ def with_errors(reads: DataFrame, rate: float, seed: int = 42) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [_flawed(np.frombuffer(s.encode(), np.uint8), rate, np.random.default_rng([seed, *i.encode()])) for i, s in zip(pdf["read_id"], pdf["sequence"], strict=True)]
-            yield pd.DataFrame({"read_id": pdf["read_id"], "sequence": [a.decode() for a, _ in made], "quality": [b.decode() for _, b in made]})
+            texts = [s.encode() for s in pdf["sequence"]]
+            part = np.cumsum([len(t) for t in texts]) // _TOGETHER
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    ids = pdf["read_id"].iloc[a:b]
+                    made, quality = _flawed(ids.tolist(), texts[a:b], rate, seed)
+                    yield pd.DataFrame({"read_id": ids, "sequence": [x.decode() for x in made], "quality": [x.decode() for x in quality]})
 
     return reads.select("read_id", "sequence").mapInPandas(run, "read_id string, sequence string, quality string")
 

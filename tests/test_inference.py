@@ -127,3 +127,29 @@ def test_overlapped_genes_are_the_first_of_all_pairs_without_a_join(spark):
         assert got.dtypes == [("read_id", "string"), ("strain", "string"), ("start", "int"), ("gene", "string")]
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and {g for *_, g in want} != {None}
     assert "Join" not in st.with_genes(*made, 100)._jdf.queryExecution().executedPlan().toString()
+
+
+def _flawed_alone(raw, rate, rng):
+    """A read with errors by the definition, each step on this read alone."""
+    n, letters = len(raw), np.frombuffer(b"ACGT", np.uint8)
+    at = rate * (0.5 + np.arange(n) / max(n - 1, 1)) if n > 1 else np.full(n, rate)
+    kind = np.where(rng.random(n) < at, 1 + np.searchsorted([0.9, 0.95], rng.random(n), side="right"), 0)
+    base, place = raw.copy(), np.repeat(np.arange(n), np.where(kind == 2, 2, np.where(kind == 3, 0, 1)))
+    swap = kind == 1
+    base[swap] = letters[(np.searchsorted(letters, base[swap]) + rng.integers(1, 4, int(swap.sum()))) % 4]
+    added = (kind[place] == 2) & np.r_[True, place[1:] != place[:-1]][: len(place)]
+    out = base[place]
+    out[added] = letters[rng.integers(0, 4, int(added.sum()))]
+    q = -10 * np.log10(np.maximum(at[place], 1e-9)) + rng.normal(0, 2.0, len(place)) - np.where(added | swap[place], rng.uniform(5, 15, len(place)), 0.0)
+    return out.tobytes(), (np.clip(np.rint(q), 2, 41).astype(np.uint8) + 33).tobytes()
+
+
+def test_reads_that_get_errors_at_once_are_those_of_each_alone(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ACGTN"), n)) for n in rng.choice([0, 1, 2, 50, 100, 100, 900], 120)]
+    ids = ["", "é", *(str(x) for x in rng.integers(0, 10**9, 118))]
+    for rate, seed in ((0.005, 42), (0.3, 0), (0.9, 2**40 + 5), (0.0, 1)):
+        want = [_flawed_alone(np.frombuffer(t.encode(), np.uint8), rate, np.random.default_rng([seed, *i.encode()])) for i, t in zip(ids, texts, strict=True)]
+        assert list(zip(*st._flawed(ids, [t.encode() for t in texts], rate, seed), strict=True)) == want
+        rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "read_id string, sequence string").repartition(2)
+        assert sorted(map(tuple, st.with_errors(rows, rate, seed).collect())) == sorted((i, a.decode(), b.decode()) for i, (a, b) in zip(ids, want, strict=True))
