@@ -73,15 +73,33 @@ def aggregate_rank(table: DataFrame, taxonomy: DataFrame, rank: str) -> DataFram
     )
 
 
-def group_stats(table: DataFrame, meta: DataFrame) -> DataFrame:
-    """``feature_id, grp, mean_value, prevalence``: over all samples of the group that the table has; every feature with every group."""
+#: Rows of a task that sums repeated cells, about; samples that are broadcast at most.
+ROWS = 500_000
+BROADCAST = 500_000
+
+
+def summed(table: DataFrame) -> DataFrame:
+    """Cells of a table that repeats them, summed. Rows are counted first and dealt by cell to as many tasks as hold ``ROWS`` each, so a task's memory does not grow with the table."""
+    parts = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // ROWS))
+    return sql("SELECT feature_id, sample_id, sum(value) AS value FROM {t} GROUP BY ALL", t=table.repartition(parts, "feature_id", "sample_id"))
+
+
+def group_stats(table: DataFrame, meta: DataFrame, repeated: bool = False) -> DataFrame:
+    """``feature_id, grp, mean_value, prevalence``: over all samples of the group that the table has; every feature with every group.
+
+    Cells that the table may hold several times, if ``repeated``, are summed first. Sums by feature and group are saved, since they are read twice; samples are counted before they are broadcast.
+    """
+    s = sql("SELECT m.sample_id, m.grp FROM {m} m LEFT SEMI JOIN (SELECT DISTINCT sample_id FROM {t}) t ON t.sample_id = m.sample_id", t=table, m=meta)
+    hint = (lambda x: f"/*+ BROADCAST({x}) */") if meta.count() <= BROADCAST else (lambda x: "")
+    sums = saved(
+        sql(f"SELECT {hint('s')} t.feature_id, s.grp, sum(t.value) AS v, count_if(t.value > 0) AS c FROM {{t}} t LEFT JOIN {{s}} s ON s.sample_id = t.sample_id GROUP BY ALL", t=summed(table) if repeated else table, s=s),
+        "sums",
+    )
     return sql(
-        """WITH s AS (SELECT m.sample_id, m.grp FROM {m} m LEFT SEMI JOIN {t} t ON t.sample_id = m.sample_id),
-                n AS (SELECT grp, count(*) AS n FROM s GROUP BY grp),
-                a AS (SELECT t.feature_id, s.grp, sum(t.value) AS v, count_if(t.value > 0) AS c FROM {t} t JOIN s ON s.sample_id = t.sample_id GROUP BY ALL)
-           SELECT f.feature_id, n.grp, coalesce(a.v, 0D) / n.n AS mean_value, coalesce(a.c, 0) / n.n AS prevalence
-           FROM (SELECT DISTINCT feature_id FROM {t}) f CROSS JOIN n LEFT JOIN a ON a.feature_id = f.feature_id AND a.grp = n.grp""",
-        t=table, m=meta,
+        f"""WITH n AS (SELECT grp, count(*) AS n FROM {{s}} GROUP BY grp)
+           SELECT {hint('n')} f.feature_id, n.grp, coalesce(a.v, 0D) / n.n AS mean_value, coalesce(a.c, 0) / n.n AS prevalence
+           FROM (SELECT DISTINCT feature_id FROM {{a}}) f CROSS JOIN n LEFT JOIN {{a}} a ON a.feature_id = f.feature_id AND a.grp = n.grp""",
+        s=s, a=sums,
     )
 
 

@@ -83,7 +83,7 @@ _STATS_AB = _STATS.replace("FROM dsp JOIN", "FROM dab JOIN").replace(views("dsp"
 
 
 def _stats(s: SparkSession, d: str) -> DataFrame:
-    return co.group_stats(fx.sp(s, d), fx.meta(s, d))
+    return co.group_stats(fx.lines(s, d), fx.meta(s, d), repeated=True)
 
 
 query("agg_08_group_means", f"{_STATS} SELECT feature_id, grp, mean_value FROM stats", "mean_value")(lambda s, d: _stats(s, d).select("feature_id", "grp", "mean_value"))
@@ -283,7 +283,7 @@ p AS (SELECT trait, least(1.0, sum(h) FILTER (WHERE h <= own * (1 + 1e-7))) AS p
 r AS (SELECT trait, p, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS e FROM p)
 SELECT trait, p, least(1.0, min(e) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r""",
     "p q",
-)(lambda s, d: fu.trait_enrichment(fu.trait_counts(fu.trait_table(fx.genes(s, d), fx.traits(s, d)), co.group_stats(fx.sp(s, d), fx.meta(s, d).selectExpr("sample_id", "balance AS grp")))).select("trait", "p", "q"))
+)(lambda s, d: fu.trait_enrichment(fu.trait_counts(fu.trait_table(fx.genes(s, d), fx.traits(s, d)), co.group_stats(fx.lines(s, d), fx.meta(s, d).selectExpr("sample_id", "balance AS grp"), repeated=True))).select("trait", "p", "q"))
 query(
     "st_20_fisher_greater",
     """WITH t AS (SELECT count(*) FILTER (WHERE k AND w) AS a, count(*) FILTER (WHERE k AND NOT w) AS b, count(*) FILTER (WHERE NOT k AND w) AS c, count(*) FILTER (WHERE NOT k AND NOT w) AS d FROM (SELECT p_retailprice > 1500 AS k, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 3) AS w FROM part))

@@ -75,6 +75,11 @@ def sp(spark: SparkSession, d: str) -> DataFrame:
     return sql("SELECT l_suppkey AS sample_id, l_partkey AS feature_id, sum(l_quantity) AS value FROM {lineitem} GROUP BY ALL", **_tables(spark, d, "lineitem"))
 
 
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that ``sp`` sums."""
+    return table(spark, d, "lineitem").selectExpr("l_suppkey AS sample_id", "l_partkey AS feature_id", "l_quantity AS value")
+
+
 def meta(spark: SparkSession, d: str) -> DataFrame:
     return sql("SELECT s_suppkey AS sample_id, r_name AS grp, CASE WHEN s_acctbal < 3000 THEN 'low' ELSE 'high' END AS balance FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey", **_tables(spark, d, "supplier", "nation", "region"))
 

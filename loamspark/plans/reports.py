@@ -226,7 +226,7 @@ query(
     f"""{views('dsp', 'meta')}, st AS (SELECT feature_id, grp, avg(value) AS v FROM dsp JOIN meta USING (sample_id) GROUP BY ALL), p AS (SELECT feature_id, v / nullif(sum(v) OVER (PARTITION BY feature_id), 0) AS p, count(*) OVER (PARTITION BY feature_id) AS c FROM st),
 h AS (SELECT feature_id, round(1 + coalesce(sum(p * ln(p)) FILTER (WHERE p > 0), 0) / ln(max(c)), 9) AS score FROM p GROUP BY 1) SELECT feature_id, score, (SELECT count(*) FROM h WHERE score > 0.5) AS specialists, (SELECT count(*) FROM h WHERE score <= 0.5) AS generalists FROM h ORDER BY score DESC, feature_id LIMIT 15""",
     "score",
-)(lambda s, d: co.specialists(co.specificity(co.group_stats(fx.sp(s, d), fx.meta(s, d))).select("feature_id", F.round("score", 9).alias("score"))))
+)(lambda s, d: co.specialists(co.specificity(co.group_stats(fx.lines(s, d), fx.meta(s, d), repeated=True)).select("feature_id", F.round("score", 9).alias("score"))))
 query(
     "srt_08_first_carriers",
     f"""{views('genes', 'traits')} SELECT feature_id, feature_id * 7919 % 1000 AS position FROM (SELECT DISTINCT feature_id FROM genes JOIN traits USING (ko_id)) ORDER BY position, feature_id LIMIT 30""",

@@ -207,3 +207,29 @@ def test_entry_without_the_corpus_part(spark, monkeypatch):
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     names = set(entry.queries())
     assert "agg_05_alpha_diversity" in names and not any(n.startswith("op") for n in names)
+
+
+def test_group_stats_of_repeated_cells_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(co, "ROWS", 100)
+    rng = np.random.default_rng(4)
+    rows = [(f"f{a}", int(b), float(c)) for a, b, c in zip(rng.integers(0, 30, 1500), rng.integers(0, 20, 1500), rng.integers(0, 3, 1500), strict=True)] + [("alone", 99, 2.0), ("f1", 0, None)]
+    meta = {b: (None if b == 7 else f"g{b % 3}") for b in [*range(18), 500]}
+    table, groups = spark.createDataFrame(rows, "feature_id string, sample_id int, value double"), spark.createDataFrame(list(meta.items()), "sample_id int, grp string")
+    cells = {}
+    for f, b, v in rows:
+        cells[f, b] = cells.get((f, b), 0.0) + (v or 0.0)
+    own = {g: [b for b in meta if meta[b] == g and any(x == b for _, x, _ in rows)] for g in set(meta.values())}
+    want = {(f, g): (sum(cells.get((f, b), 0.0) for b in own[g]) / len(own[g]), sum(cells.get((f, b), 0.0) > 0 for b in own[g]) / len(own[g])) for f in {f for f, _, _ in rows} for g in own if g}
+    for limit in (500_000, 0):
+        monkeypatch.setattr(co, "BROADCAST", limit)
+        for stats in (co.group_stats(table, groups, repeated=True), co.group_stats(table.groupBy("feature_id", "sample_id").agg(F.sum("value").alias("value")), groups)):
+            got = {(r.feature_id, r.grp): (r.mean_value, r.prevalence) for r in stats.collect() if r.grp}
+            assert sorted(got) == sorted(k for k in want if k[1]) and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert co.summed(table).rdd.getNumPartitions() == 16
+
+
+def test_group_stats_queries_deal_cells_out_by_their_number(spark, small, monkeypatch):
+    monkeypatch.setattr(co, "ROWS", 500)
+    seen = []
+    monkeypatch.setattr(co, "summed", lambda table, f=co.summed: seen.append(f(table).rdd.getNumPartitions()) or f(table))
+    assert catalog.QUERIES["agg_08_group_means"](spark, small).count() and seen[0] >= spark.read.parquet(f"{small}/lineitem.parquet").count() / 500
