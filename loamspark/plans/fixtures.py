@@ -105,9 +105,10 @@ def traits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cand(spark: SparkSession, d: str) -> DataFrame:
+    """Both candidates of each line. They are dealt by read at once, so that grouping them by read later moves none again."""
     return sql(
-        """SELECT read_id, marker, species, max(c) AS containment FROM (SELECT l_orderkey * 10 + l_linenumber AS read_id, l_linenumber % 3 AS marker, l_partkey % 6 AS species, 0.95D - l_tax AS c FROM {lineitem}
-           UNION ALL SELECT l_orderkey * 10 + l_linenumber, l_linenumber % 3, (l_suppkey * l_suppkey) % 6, 0.5D + l_discount FROM {lineitem}) GROUP BY ALL""",
+        """SELECT read_id, marker, species, max(c) AS containment FROM (SELECT * FROM (SELECT l_orderkey * 10 + l_linenumber AS read_id, l_linenumber % 3 AS marker, l_partkey % 6 AS species, 0.95D - l_tax AS c FROM {lineitem}
+           UNION ALL SELECT l_orderkey * 10 + l_linenumber, l_linenumber % 3, (l_suppkey * l_suppkey) % 6, 0.5D + l_discount FROM {lineitem}) DISTRIBUTE BY read_id) GROUP BY ALL""",
         **_tables(spark, d, "lineitem"),
     )
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from loamspark.operators import mixture as mx
+from loamspark.plans import fixtures
 
 SCHEMA = "read_id long, marker int, species int, containment double"
 
@@ -142,3 +143,8 @@ def test_likeliest_rates_of_several_runs(spark):
         grid = np.linspace(1e-6, 0.1, 50)
         assert found.loc[run, "rate"] == pytest.approx(max(grid, key=lambda x: ll(run, x)), abs=1e-4)
         assert found.loc[run, "ll"] == pytest.approx(ll(run, found.loc[run, "rate"]), rel=1e-12)
+
+
+def test_profiles_of_the_tables_deal_candidates_by_read_once(spark, small):
+    plan = mx.profiles(fixtures.cand(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(read_id") == 1 and "Exchange hashpartitioning(read_id" in plan and plan.count("Exchange ") == 2
