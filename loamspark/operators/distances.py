@@ -5,8 +5,11 @@ Distances are rows ``(s1, s2, d)`` with s1 < s2; labels are ``(sample_id, grp)``
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +18,13 @@ from loamspark.operators.composition import permutations
 from loamspark.session import saved
 
 
-#: Samples of a block, about: lists are sent as often as there are blocks, and a task holds one number for each pair of two blocks' samples.
+#: Samples and cells of a block, about.
 BLOCK = 2048
-#: Meetings of a feature's samples that a task holds at once, about.
+CELLS = 1 << 22
+#: Pairs of samples that a task counts at once, about, and meetings of their features. Samples of the second block that stand together in the result.
+PAIRS = 1 << 18
 MEETINGS = 1 << 20
+TILE = 256
 
 
 def bray_curtis(table: DataFrame) -> DataFrame:
@@ -35,54 +41,132 @@ def bray_curtis(table: DataFrame) -> DataFrame:
 def jaccard(table: DataFrame) -> DataFrame:
     """1 - both / either over presences; two empty samples are 0 apart.
 
-    A sample is one list of its features, and each pair of blocks of samples is a group whose distances are counted in arrays: no row is made for a feature that two samples share, and nothing but the lists is
-    shuffled. The numbers are whole, so their order does not matter. The result itself has a row for every pair.
+    A sample is one list of its features. The lists are saved once, as blocks of samples in their order, and each pair of blocks is read from there and counted in arrays: no row is made for a feature that two
+    samples share, and nothing is shuffled or saved more than once, however many blocks there are. The result itself has a row for every pair.
     """
     present = F.collect_list(F.when(F.col("value") > 0, F.col("feature_id")))
     lists = saved(table.where("sample_id IS NOT NULL").groupBy("sample_id").agg(present.alias("features")), "presences")
-    blocks = max(1, -(-lists.count() // BLOCK))
-    own = lists.withColumn("own", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
-    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+    n = lists.agg(F.count("*").alias("samples"), F.coalesce(F.sum(F.size("features")), F.lit(0)).alias("cells")).first()
+    parts = max(1, -(-n["samples"] // BLOCK), -(-n["cells"] // CELLS))
+    ordered = lists.repartitionByRange(parts, "sample_id").sortWithinPartitions("sample_id")
+    blocks = saved(ordered.mapInArrow(_pack, "block binary").withColumn("own", F.monotonically_increasing_id()), "blocks")
+    # A pair of blocks comes twice, in either order. As a product of partitions, both sides are read where they are saved.
+    pairs = blocks.hint("shuffle_replicate_nl").crossJoin(blocks.select(F.col("block").alias("beside"), F.col("own").alias("other")))
     kind = {f.name: f.dataType.simpleString() for f in lists.schema}["sample_id"]
-    return sent.groupBy("i", "j").applyInArrow(_jaccard, f"s1 {kind}, s2 {kind}, d double")
-
-
-def _jaccard(block: pa.Table) -> pa.Table:
-    """The distances within one block of samples, or between two."""
-    block = block.combine_chunks()
-    ids, lists, own = (block.column(c).chunk(0) for c in ("sample_id", "features", "own"))
-    sizes = np.diff(lists.offsets.to_numpy())
-    code = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    sample, second = np.repeat(np.arange(len(sizes)), sizes), own.to_numpy() != own.to_numpy().min()
-    left, right = np.flatnonzero(~second), np.flatnonzero(second if second.any() else ~second)
-    place = np.zeros(len(sizes), np.int64)
-    place[right] = np.arange(len(right))
-    columns = np.flatnonzero(np.isin(sample, right))
-    columns = columns[np.argsort(code[columns], kind="stable")]
-    many = np.bincount(code[columns], minlength=int(code.max(initial=-1)) + 1)
-    begin = np.cumsum(many) - many
-    place[left], of = np.arange(len(left)), place[sample[columns]]
-    rows = np.flatnonzero(~second[sample])
-    both = np.zeros(len(left) * len(right), np.int32)
-    # Each feature of a left sample meets the right samples that have it, about so many meetings at once.
-    ends = np.cumsum(many[code[rows]])
-    for part in np.split(rows, np.searchsorted(ends, np.arange(MEETINGS, ends[-1], MEETINGS))) if len(rows) else []:
-        n = many[code[part]]
-        meets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[code[part]], n)
-        at, times = np.unique(np.repeat(place[sample[part]], n) * len(right) + of[meets], return_counts=True)
-        both[at] += times.astype(np.int32)
-    if second.any():
-        r, c = (x.reshape(-1) for x in np.indices((len(left), len(right)), np.int32))
-    else:
-        r, c = np.triu_indices(len(left), 1)
-    m, x, y = (both if second.any() else both.reshape(len(left), -1)[r, c]), left.astype(np.int32)[r], right.astype(np.int32)[c]
-    del r, c
-    either = sizes[x] + sizes[y] - m
-    rank = np.empty(len(sizes), np.int64)
-    rank[np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(sizes))
-    first, last = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
-    d = np.where(either > 0, 1 - m / np.maximum(either, 1), 0.0)
-    return pa.Table.from_arrays([ids.take(pa.array(first)), ids.take(pa.array(last)), pa.array(d)], ["s1", "s2", "d"])
+    return pairs.mapInArrow(_jaccard, f"s1 {kind}, s2 {kind}, d double")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a partition's samples, each as Arrow's bytes: samples, their numbers of features, the features in order, and which ones the samples have."""
+    some, cells = [], 0
+    for batch in batches:
+        some.append(batch)
+        cells += len(batch.column("features").flatten())
+        if cells >= 2 * CELLS:
+            yield _packed(some)
+            some, cells = [], 0
+    if sum(b.num_rows for b in some):
+        yield _packed(some)
+
+
+def _packed(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(some).combine_chunks()
+    ids, lists = (rows.column(c).chunk(0) for c in ("sample_id", "features"))
+    found = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(found.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    parts = {"ids": ids, "sizes": pc.list_value_length(lists), "features": found.dictionary.take(pa.array(order)), "code": pa.array(rank[found.indices.to_numpy(zero_copy_only=False)])}
+    one = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in parts.values()], list(parts))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, one.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_batch(one)
+    return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+
+class _Block:
+    """A block of samples: their ids, sizes and cells, which are codes of its features."""
+
+    def __init__(self, block: pa.Buffer) -> None:
+        one = pa.ipc.open_stream(block).read_next_batch()
+        self.ids, sizes, self.features, code = (one.column(c).flatten() for c in ("ids", "sizes", "features", "code"))
+        self.sizes, self.code = sizes.to_numpy().astype(np.int64), code.to_numpy()
+        self.start = np.append(0, np.cumsum(self.sizes))
+        self.sample = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
+def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distances within a block of samples, or between the first half of the earlier block and the later one; the other half comes with the blocks in the other order."""
+    kept: tuple[int, _Block] | None = None
+    for batch in batches:
+        for own, other, block, beside in zip(*(batch.column(c) for c in ("own", "other", "block", "beside")), strict=True):
+            i, j = own.as_py(), other.as_py()
+            if kept is None or kept[0] != i:
+                kept = (i, _Block(block.as_buffer()))
+            one = kept[1]
+            half = len(one.ids) // 2
+            if i == j:
+                yield from _distances(one, one, 0, len(one.ids))
+            elif i < j:
+                yield from _distances(one, _Block(beside.as_buffer()), 0, half)
+            else:
+                earlier = _Block(beside.as_buffer())
+                yield from _distances(earlier, one, len(earlier.ids) // 2, len(earlier.ids))
+
+
+def _distances(left: _Block, right: _Block, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+    """Of left's samples from begin to end to right's samples, or to those after them if both are one block; about PAIRS at once, in tiles: so ordered, files of the result are small."""
+    wide = len(right.ids)
+    met = _meetings(left, right)
+    shape = None
+    for a in range(begin, end, max(1, PAIRS // wide)):
+        b = min(end, a + max(1, PAIRS // wide))
+        if shape != b - a or left is right:
+            shape = b - a
+            at = np.concatenate([(np.arange(shape)[:, None] * wide + np.arange(t, min(wide, t + TILE))).reshape(-1) for t in range(0, wide, TILE)])
+            if left is right:
+                at = at[at // wide + a < at % wide]
+            x, y = np.divmod(at, wide)
+            seconds, far = right.ids.take(pa.array(y)), pa.array(np.ones(len(at)))
+        if not len(at):
+            continue
+        both = met(a, b)
+        if both is None and left.sizes[a:b].all():
+            d = far
+        else:
+            m = np.zeros(len(at), np.int64) if both is None else both[at]
+            either = left.sizes[x + a] + right.sizes[y] - m
+            d = pa.array(np.where(either > 0, 1 - m / np.maximum(either, 1), 0.0))
+        yield pa.RecordBatch.from_arrays([left.ids.take(pa.array(x + a)), seconds, d], ["s1", "s2", "d"])
+
+
+def _meetings(left: _Block, right: _Block) -> Callable[[int, int], np.ndarray | None]:
+    """For left's samples from a to b, how many features they share with each of right's; None if none of them any."""
+    one, other = left.features, right.features
+    if not len(one) or not len(other) or one[-1].as_py() < other[0].as_py() or other[-1].as_py() < one[0].as_py():
+        return lambda a, b: None
+    code = pc.fill_null(pc.index_in(one, value_set=other), -1).to_numpy()
+    if (code < 0).all():
+        return lambda a, b: None
+    cell, wide = code[left.code], len(right.ids)
+    of = right.sample[np.argsort(right.code)]
+    many = np.bincount(right.code, minlength=len(other))
+    first = np.cumsum(many) - many
+
+    def met(a: int, b: int) -> np.ndarray | None:
+        rows = left.start[a] + np.flatnonzero(cell[left.start[a] : left.start[b]] >= 0)
+        if not len(rows):
+            return None
+        both = np.zeros((b - a) * wide, np.int64)
+        # Each feature of a left sample meets the right samples that have it, about so many meetings at once.
+        ends = np.cumsum(many[cell[rows]])
+        for part in np.split(rows, np.searchsorted(ends, np.arange(MEETINGS, ends[-1], MEETINGS))):
+            n = many[cell[part]]
+            meets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[cell[part]], n)
+            both += np.bincount(np.repeat((left.sample[part] - a) * wide, n) + of[meets], minlength=len(both))
+        return both
+
+    return met
 
 
 def _checked(distances: DataFrame, labels: DataFrame) -> DataFrame:
